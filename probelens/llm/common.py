@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: cells of one block of a count table that partitions exchange
-BLOCK = 1 << 16
+BLOCK = 1 << 20
 SALTS = 32
 
 
@@ -70,7 +70,7 @@ def sparse_rows(key: int, counts: np.ndarray) -> pd.DataFrame:
         part = counts[start : start + BLOCK]
         at = np.flatnonzero(part)
         if len(at):
-            rows.append((key, blk, salt, at.astype("<u2").tobytes(), part[at].astype("<i8").tobytes()))
+            rows.append((key, blk, salt, at.astype("<u4").tobytes(), part[at].astype("<i8").tobytes()))
     return pd.DataFrame(rows, columns=["key", "blk", "salt", "idx", "val"])
 
 
@@ -86,11 +86,11 @@ def merged(partials: DataFrame, most: int | None = None) -> DataFrame:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.int64)
         for idx, val in zip(pdf["idx"], pdf["val"]):
-            total[np.frombuffer(idx, "<u2")] += np.frombuffer(val, "<i8")
+            total[np.frombuffer(idx, "<u4")] += np.frombuffer(val, "<i8")
         if most:
             np.minimum(total, most, out=total)
         at = np.flatnonzero(total)
-        return pd.DataFrame([(int(pdf["key"].iloc[0]), int(pdf["blk"].iloc[0]), 0, at.astype("<u2").tobytes(), total[at].astype("<i8").tobytes())], columns=["key", "blk", "salt", "idx", "val"])
+        return pd.DataFrame([(int(pdf["key"].iloc[0]), int(pdf["blk"].iloc[0]), 0, at.astype("<u4").tobytes(), total[at].astype("<i8").tobytes())], columns=["key", "blk", "salt", "idx", "val"])
 
     return partials.groupBy("key", "blk", "salt").applyInPandas(add, SPARSE).groupBy("key", "blk").applyInPandas(add, SPARSE)
 
@@ -99,5 +99,5 @@ def gathered(partials: DataFrame, keys: int, cells: int, most: int | None = None
     """The merged table on the driver: keys x cells numbers, a size that the parameters fix, not the data."""
     out = np.zeros((keys, -(-cells // BLOCK) * BLOCK), dtype)
     for row in merged(partials, most).select("key", "blk", "idx", "val").toLocalIterator():
-        out[row["key"], row["blk"] * BLOCK + np.frombuffer(row["idx"], "<u2").astype(np.int64)] = np.frombuffer(row["val"], "<i8")
+        out[row["key"], row["blk"] * BLOCK + np.frombuffer(row["idx"], "<u4").astype(np.int64)] = np.frombuffer(row["val"], "<i8")
     return out[:, :cells]
