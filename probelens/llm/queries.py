@@ -73,8 +73,8 @@ QUERIES = {f.__name__: f for f in (op1_topk_hamming, op2_mix_sources, op3_toxici
 W = r"[^\x20\x09-\x0D]+"
 SQL = {
     "op1_topk_hamming": """
-        WITH b AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> x > 0) AS bits FROM embeddings),
-        p AS (SELECT q.vec_id AS query_id, r.vec_id, len(list_filter(list_zip(q.bits, r.bits), z -> z[1] <> z[2])) AS distance
+        WITH b AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
+        p AS (SELECT q.vec_id AS query_id, r.vec_id, len(list_filter(list_zip(q.bits, r.bits), lambda z: z[1] <> z[2])) AS distance
               FROM b q JOIN b r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)
         SELECT query_id, rank::INT AS rank, vec_id, distance::INT AS distance FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p) WHERE rank <= 10""",
@@ -116,8 +116,8 @@ SQL = {
     "op10_decontaminate": r"""
         WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
         d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents),
-        si AS (SELECT DISTINCT item_id, least(5, len(ws)) AS n, unnest(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), k -> array_to_string(ws[k:k + least(5, len(ws)) - 1], ' '))) AS g FROM i WHERE len(ws) > 0),
-        sd AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), k -> array_to_string(ws[k:k + 4], ' '))) AS g FROM d WHERE len(ws) >= 5),
+        si AS (SELECT DISTINCT item_id, least(5, len(ws)) AS n, unnest(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda k: array_to_string(ws[k:k + least(5, len(ws)) - 1], ' '))) AS g FROM i WHERE len(ws) > 0),
+        sd AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) AS g FROM d WHERE len(ws) >= 5),
         q AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY item_id)
         SELECT doc_id, item_id, count(*)::INT AS n_shared, any_value(n_item)::INT AS n_item, count(*)::DOUBLE / any_value(n_item) AS containment
         FROM si JOIN sd USING (g) JOIN q USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)""",
