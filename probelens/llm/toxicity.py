@@ -119,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     """
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("cls"))
     half = F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string")).cast("binary"))
-    train = docs.select("doc_id", F.col(text).cast("binary").alias("raw")).join(marked, "doc_id").select("raw", "cls", (half % 2).cast("int").alias("half"), F.shiftright(half, 1).alias("h"))
+    train = docs.select("doc_id", F.col(text).cast("binary").alias("raw")).join(marked.hint("merge"), "doc_id").select("raw", "cls", (half % 2).cast("int").alias("half"), F.shiftright(half, 1).alias("h"))
     table = count(train)
     halves = [Model(table[2 * k : 2 * k + 2], table[4 + k], floor, discount) for k in range(2)]
     rate = min(1.0, max_fit_rows / max(1, marked.count()))
