@@ -24,9 +24,8 @@ def normal(*parts) -> Column:
     return F.sqrt(-2 * F.log(uniform(*parts, "r"))) * F.cos(F.lit(6.283185307179586) * uniform(*parts, "a"))
 
 
-def poisson(*parts) -> Column:
-    """A Poisson(1) weight: a bootstrap replicate that needs no join and no global row number."""
-    u = uniform(*parts)
+def poisson(u: Column) -> Column:
+    """A Poisson(1) weight from a uniform draw: a bootstrap replicate that needs no join and no global row number."""
     return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
 
 

@@ -7,14 +7,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelens.functions.draws import poisson
+from probelens.functions.draws import POISSON, poisson, uniform
 from probelens.operators.ranks import auroc, spearman
 
 
 def replicates(rows: DataFrame, n_boot: int, seed, unit: str) -> DataFrame:
     """rows for each replicate b with their weight w > 0. unit: what is drawn (an item, or the cluster it belongs to)."""
     each = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    return each.withColumn("w", poisson(seed, F.col("b"), F.col(unit))).where("w > 0")
+    return each.withColumn("_u", uniform(seed, F.col("b"), F.col(unit))).where(F.col("_u") >= POISSON[0]).withColumn("w", poisson(F.col("_u"))).drop("_u")
 
 
 def interval(values: DataFrame, value: str, by: tuple = (), alpha: float = 0.05) -> DataFrame:
