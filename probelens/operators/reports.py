@@ -88,8 +88,8 @@ def ladder_verdict(knees: DataFrame, width: float = 0.23, least: int = 3) -> Dat
 
 def cluster_entropy(rows: DataFrame, by: tuple, cluster: str) -> DataFrame:
     """(by, n, n_clusters, entropy) of the clusters' shares."""
-    per = rows.groupBy(*by, cluster).agg(F.count("*").cast("double").alias("c"))
-    got = per.groupBy(*by).agg(F.sum("c").alias("n"), F.count("*").alias("n_clusters"), F.sum(F.col("c") * F.log("c")).alias("cl"))
+    per = rows.groupBy(*by, cluster).agg(F.count("*").cast("double").alias("_c"))
+    got = per.groupBy(*by).agg(F.sum("_c").alias("n"), F.count("*").alias("n_clusters"), F.sum(F.col("_c") * F.log("_c")).alias("cl"))
     return got.select(*by, F.col("n").cast("long").alias("n"), "n_clusters", (F.log("n") - F.col("cl") / F.col("n")).alias("entropy"))
 
 
