@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,13 +85,12 @@ def build(universe: DataFrame, listed: list[str], seed: int = 0, most: int = 1 <
         sent = spark.sparkContext.broadcast((first, set(listed)))
 
         def wrong(batches):
-            for pdf in batches:
-                keys = pdf["key"].to_numpy()
-                level, known = sent.value
-                hit = keys[level.has(keys)]
-                yield pd.DataFrame({"key": [k for k in hit if k not in known]})
+            level, known = sent.value
+            for batch in batches:
+                keys = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, hit in zip(keys, level.has(keys)) if hit and k not in known], pa.string())})
 
-        false = written(universe.select("key").mapInPandas(wrong, "key string").distinct(), "false-keys")
+        false = written(universe.select("key").mapInArrow(wrong, "key string").distinct(), "false-keys")
         n = false.count()
         if n <= most:
             break

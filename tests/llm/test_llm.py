@@ -1,0 +1,298 @@
+"""The training-data operators against brute force, and on odd input."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from probelens.llm import components, decontam, langid, mixing, pii, quality, simhash, substring, topk_hamming, toxicity, urlfilter
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Texts with copies, near copies, a shared passage, nulls, empty and long ones, repeated rows and an odd column."""
+    rng = random.Random(5)
+    base = [prose(rng, 120) for _ in range(12)]
+    shared = prose(rng, 70)
+    rows = [(i, t, "src0" if i % 3 else "src1") for i, t in enumerate(base)]
+    rows += [(20 + i, base[0], "src0") for i in range(8)]
+    rows += [(40 + i, base[1] + f" extra{i}", None) for i in range(8)]
+    rows += [(60 + i, f"{prose(rng, 30)} {shared} {prose(rng, 20)}", "src2") for i in range(5)]
+    rows += [(80, None, "src1"), (81, "", None), (82, " \n\t", "src0"), (83, "one", "src0"), (84, prose(rng, 9000), "src0"), (84, prose(rng, 40), "src0"), (None, base[0], "src1"), (85, base[0], "src2"), (85, base[0], "src2")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("value", F.lit(1)).withColumn("component", F.lit("x"))
+
+
+def empty(df):
+    return df.where("false")
+
+
+def brute_fp(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hs = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+@pytest.mark.parametrize("options", [{}, {"blocks": 5}, {"bucket_cap": 3}])
+def test_simhash(spark, docs, options):
+    rows = [(r["doc_id"], brute_fp(r["text"])) for r in docs.collect()]
+    fps = sorted({f for _, f in rows})
+    group = {f: {f} for f in fps}
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 3 and group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[a]:
+                    group[x] = group[a]
+    least = lambda f: min((d for d, g in rows if g in group[f] and d is not None), default=None)
+    want = sorted(((d, f, least(f)) for d, f in rows), key=str)
+    got = sorted(((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash.near_duplicates(docs, **options).collect()), key=str)
+    assert got == want
+    if not options:
+        assert simhash.near_duplicates(empty(docs)).count() == 0
+        kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+        assert {0, 1, 2, 84, None} <= kept and not kept & {20, 21, 85}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
+    group = {}
+    for u, v in links:
+        if u is not None and u != v:
+            a, b = group.setdefault(u, {u}), group.setdefault(v, {v})
+            if a is not b:
+                a |= b
+                for x in b:
+                    group[x] = a
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: min(g) for x, g in group.items()}
+
+
+def test_substrings(spark, docs):
+    rows = [(r["doc_id"], (r["text"] or "").encode().split()) for r in docs.collect()]
+    first = {}
+    for d, w in rows:
+        if d is not None:
+            for i in range(len(w) - 49):
+                k = tuple(w[i : i + 50])
+                first[k] = min(d, first.get(k, d))
+    want = []
+    for d, w in rows:
+        keep = [True] * len(w)
+        for i in range(len(w) - 49):
+            if d is not None and first[tuple(w[i : i + 50])] < d:
+                keep[i : i + 50] = [False] * 50
+        kept = b" ".join(x for x, k in zip(w, keep) if k)
+        want.append((d, len(w), len(w) - sum(keep), hashlib.sha256(kept).hexdigest()))
+    for bits in (8, 20):  # a sketch that is full loses nothing
+        got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup_substrings(docs, bits=bits).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert substring.dedup_substrings(empty(docs), bits=8).count() == 0
+
+
+def test_mixing(spark, docs):
+    got = mixing.mix(docs).collect()
+    assert len(got) == docs.count()
+    by = {}
+    for r in got:
+        assert r["taken"] <= 2 * r["size"] and r["taken"] == sum(c["words"] for c in r["copies"]) and all(0 <= c["position"] <= 1 for c in r["copies"])
+        by.setdefault(r["source"], []).append(r)
+    for rows in by.values():
+        assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) < 1.001 and rows[0]["target"] <= 2 * rows[0]["source_size"] + 1e-6
+    total = sum(r["size"] for r in got)
+    assert abs(sum(rows[0]["target"] for rows in by.values()) - 1.5 * total) < 1e-6 * total
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, got))
+    order = [r["position"] for r in mixing.training_order(mixing.mix(docs)).collect()]
+    assert order == sorted(order)
+    assert mixing.mix(empty(docs)).count() == 0
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(150, 64))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(200 + i, [float(x) for x in base[0]]) for i in range(30)] + [(900, None), (None, [1.0] * 64), (300, [float("nan")] + [1.0] * 63), (300, [float("nan")] + [1.0] * 63)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("code", topk_hamming.sign_code())
+    codes = {i: sum(1 << b for b, x in enumerate(v) if x > 0) for i, v in rows if i is not None and v is not None}
+    got = {}
+    for r in topk_hamming.top_k(df, df.where("vec_id % 100 = 0"), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"]))
+    want = {q: sorted(((codes[q] ^ c).bit_count(), i) for i, c in codes.items() if i != q)[:5] for q in codes if q % 100 == 0}
+    assert got == want
+    few = df.where("vec_id < 3")
+    assert topk_hamming.top_k(few, few.where("vec_id = 0"), k=5).count() == 2
+    assert topk_hamming.top_k(empty(df), empty(df)).count() == 0
+
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def test_urls(spark):
+    urls = ["http://A.Example.org/es/1?x", "https://example.org/en/12", "http://example.org", "ftp://x.com/de/", "http://com/fr/a#b", "nothing", None, "", "http://notexample.org/es/", "http://a.com/DE/", "x://"] * 2
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("m", F.lit(1))
+
+    def one(url):
+        m = re.search(r"://([^/?#]*)([^?#]*)", url or "", re.S)
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        hits = [(len(h + p), len(h), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *(max(hits)[2:] if hits else (None, "allow")))
+
+    want = [one(u) for u in urls]
+    for limit in (1 << 20, 0):  # by the cascade, and by the join
+        got = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(df, RULES, max_filter_bytes=limit).orderBy("page_id").collect()]
+        assert got == want
+    assert urlfilter.judge(empty(df), RULES).count() == 0
+
+
+def test_cascade_is_exact(spark):
+    keys = [f"k{i}" for i in range(5000)]
+    listed = set(keys[::7])
+    cascade = urlfilter.build(spark.createDataFrame([(k,) for k in keys], "key string"), sorted(listed))
+    assert [k for k, hit in zip(keys, cascade.has(keys)) if hit] == [k for k in keys if k in listed]
+
+
+def test_decontamination(spark, docs):
+    rng = random.Random(9)
+    items = [prose(rng, 30) for _ in range(6)] + ["Two words", "", None]
+    leak = items[0].split()
+    leak[3] = "changed"
+    extra = [(100, f"{prose(rng, 5000)} {items[1].upper()}! {prose(rng, 10)}", None), (101, " ".join(items[2].split()[:28]), None), (102, " ".join(items[3].split()[:12]), None), (103, " ".join(leak), None), (104, "has two words, here", None)]
+    all_docs = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame(extra, "doc_id long, text string, source string"))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("doc_id", F.lit(0))
+
+    def grams(t, n):
+        w = re.findall(r"\w+", (t or "").lower())
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    want = set()
+    for r in all_docs.collect():
+        for i, t in enumerate(items):
+            n = min(5, len(re.findall(r"\w+", t or "")))
+            if n:
+                g = grams(t, n)
+                if len(g & grams(r["text"], n)) >= 0.8 * len(g):
+                    want.add((r["doc_id"], i))
+    for block in (1 << 20, 50):
+        assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(all_docs, bench, max_block_chars=block).collect()} == want
+    assert {100, 101, 104} <= {d for d, _ in want}
+    kept = decontam.decontaminate(all_docs, bench)
+    assert kept.count() == all_docs.count() - len({d for d, _ in want})
+    assert decontam.contaminated(empty(docs), bench).count() == 0 and decontam.contaminated(docs, empty(bench)).count() == 0
+
+
+def test_pii(spark):
+    rows = [(1, "Mrs Jane Doe and Mr. John Smith; Mrs Jane Doe. Call +1 (323) 555-9830 or +1 323 555 9830"), (2, "card 4111 1111 1111 1111 and 4111111111111111, mail A.B@mail.example.com a.b@mail.example.com"), (3, "ip 10.20.30.4 license 4.0 version 3. Г-н Иван Петров"), (4, None), (5, ""), (None, "x@y.org"), (6, "x@y.org"), (6, "x@y.org"), (7, "z" * 50_000 + " q@r.org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.lit("m"))
+    got = {}
+    for r in pii.replace_pii(df, count="n").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert got[4] == [None] and got[5] == [""] and len(got[6]) == 2 and got[6][0] == got[6][1] == got[None][0]
+    for private in ("Jane", "Smith", "555-9830", "4111 1111", "a.b@", "10.20.30.4", "x@y", "Иван", "q@r"):
+        assert not any(private in (t or "") for ts in got.values() for t in ts)
+    names = re.match(r"Mrs (\w+ \w+) and Mr\. (\w+ \w+); Mrs (\w+ \w+)\. Call (.+) or (.+)", got[1][0])
+    assert names[1] == names[3] != names[2] and names[1].split()[0] in pii.GIVEN["latin"]["f"]
+    assert re.sub(r"\D", "", names[4]) == re.sub(r"\D", "", names[5]) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", names[4])
+    cards = re.findall(r"\d[\d ]{14,18}\d", got[2][0])
+    digits = [int(c) for c in cards[1]][::-1]
+    assert cards[0].replace(" ", "") == cards[1] and sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+    assert "license 4.0 version 3." in got[3][0] and re.search(r"Г-н [А-Я][а-я]+ [А-Я][а-я]+$", got[3][0])
+    assert pii.replace_pii(empty(df)).count() == 0
+
+
+def test_pii_surrogates_are_distinct(spark):
+    found = spark.createDataFrame([("address", f"{i}.{j}.1.{k}", "n") for i in range(10) for j in range(10) for k in range(10)], "type string, entity string, gender string")
+    got = pii.entities(found, "k").collect()
+    assert len({r["surrogate"] for r in got}) == 1000 and not {r["surrogate"] for r in got} & {r["entity"] for r in got} if len(got) < 500 else len({r["surrogate"] for r in got}) == len(got)
+
+
+def labelled(spark, n=400, seed=4):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        bad = i % 4 == 0
+        words = prose(rng, rng.randrange(30, 120)).split()
+        if bad:
+            for _ in range(6):
+                words.insert(rng.randrange(len(words)), rng.choice(["oaf", "twit", "cad"]))
+        rows.append((i, " ".join(words), int(bad), int(not bad)))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int, quality int")
+
+
+def odd(spark):
+    return spark.createDataFrame([(1000, None), (1001, ""), (1002, "é" * 40_000), (None, "a b")], "doc_id long, text string")
+
+
+def test_toxicity(spark):
+    rows = labelled(spark)
+    train, held = rows.where("doc_id < 250"), rows.where("doc_id >= 250")
+    model = toxicity.learn(train.select("doc_id", "text"), train.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int")))
+    got = toxicity.score(held.select("doc_id", "text", "toxic"), model).collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd(spark), model).collect())
+    none = toxicity.learn(empty(rows.select("doc_id", "text")), empty(rows.select("doc_id", "toxic")))
+    assert {r["predicted"] for r in toxicity.score(odd(spark), none).collect()} == {0}
+
+
+def test_quality(spark):
+    rows = labelled(spark).withColumn("text", F.when(F.col("quality") == 0, F.regexp_replace("text", " ", "### ")).otherwise(F.col("text")))
+    train, held = rows.where("doc_id < 250"), rows.where("doc_id >= 250")
+    net = quality.learn(train.select("doc_id", "text"), train.select("doc_id", "quality"), max_fit_rows=200, epochs=6)
+    got = quality.score(held.select("doc_id", "text", "quality"), net).collect()
+    assert np.mean([(r["score"] >= 0.5) == (r["quality"] == 1) for r in got]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in quality.score(odd(spark), net).collect())
+    assert quality.learn(empty(rows.select("doc_id", "text")), empty(rows.select("doc_id", "quality"))) is not None
+
+
+def test_language(spark):
+    rng = random.Random(8)
+    parts = {"aa": ["lor", "mip", "sun", "dol"], "bb": ["ska", "tra", "ove", "nik"], "cc": ["zhu", "wei", "xing", "qia"]}
+    say = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=3)) for _ in range(n))
+    rows = [(i, say(lang, 40), lang) for i in range(60) for lang in [list(parts)[i % 3]]]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tests = [(i, say(lang, 30), lang) for i in range(30) for lang in [list(parts)[i % 3]]] + [(100, say("aa", 30) + " " + say("bb", 30), "mix"), (101, None, "und"), (102, "12 ..", "und"), (103, "", "und")]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(tests, "doc_id long, text string, want string"), model).collect()}
+    assert all(r["lang_pred"] == r["want"] for r in got.values() if r["want"] != "mix")
+    assert {x["lang"] for x in got[100]["langs"]} == {"aa", "bb"} and all(abs(x["share"] - 0.5) < 0.1 for x in got[100]["langs"])
+    none = langid.learn(empty(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame(tests, "doc_id long, text string, want string"), none).collect()} == {"und"}
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, d).toPandas()
+    docs = spark.read.parquet(f"{d}/documents.parquet").toPandas().set_index("doc_id")
+    bench = [re.findall(r"\w+", t.lower()) for t in spark.read.parquet(f"{d}/benchmark.parquet").toPandas()["text"]]
+    fps = {i: brute_fp(t) for i, t in docs["text"].items()}
+    ids = sorted(fps)
+    group = {i: i for i in ids}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if (fps[a] ^ fps[b]).bit_count() <= 3:
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    leaky = lambda t: any(len({tuple(w[i : i + 5]) for i in range(len(w) - 4)} & t) >= 0.8 * len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in bench)
+    words = {i: re.findall(r"\w+", docs["text"][i].lower()) for i in ids}
+    want = {i for i in ids if root(i) == i and re.search(r"[^\W\d_]", docs["text"][i]) and not leaky({tuple(words[i][k : k + 5]) for k in range(len(words[i]) - 4)})}
+    assert set(out["doc_id"]) <= want and len(want - set(out["doc_id"])) < 0.5 * len(want)  # the mix leaves out what targets don't reach
+    assert (out["taken"] > 0).all() and out["first_position"].is_monotonic_increasing
+    for i, t in zip(out["doc_id"], out["text"]):
+        for private in re.findall(r"\b[\w.]+@[\w.]+\b|\b\d{16}\b|\b[0-9a-f]{40}\b", docs["text"][i]):
+            assert private not in t
