@@ -177,6 +177,6 @@ def _joined(rows: DataFrame, verdict: dict[str, str], lengths: list[int]) -> Dat
     listed = rows.sparkSession.createDataFrame(list(verdict.items()), "key string, v string")
     numbered = written(rows.withColumn("_id", F.monotonically_increasing_id()), "pages")
     hits = numbered.select("_id", F.explode(keys(lengths)).alias("key")).join(listed, "key")
-    best = hits.groupBy("_id").agg(F.max(F.struct(F.length("key").alias("a"), F.instr("key", "\0").alias("b"), "key", "v")).alias("m"))
+    best = hits.groupBy("_id").agg(F.max(F.struct(F.length("key").alias("a"), F.instr("key", "\0").alias("b"), "key", "v")).alias("_m"))
     out = numbered.join(best, "_id", "left").drop("_id")
-    return out.withColumns({"rule": F.replace(F.col("m.key"), F.lit("\0"), F.lit("")), "verdict": F.coalesce("m.v", F.lit("allow"))}).drop("m")
+    return out.withColumns({"rule": F.replace(F.col("_m.key"), F.lit("\0"), F.lit("")), "verdict": F.coalesce("_m.v", F.lit("allow"))}).drop("_m")
