@@ -1,8 +1,10 @@
 """Exact top-k by Hamming distance: incremental multi-index hashing (Norouzi et al., 2012).
 
-A 64-bit code is cut into m segments of about log2(rows) bits, each with a hash table. Round s looks up every word at
-distance s of each query segment. After it, a code that was not met differs by more than s in every segment, so all
-codes within m (s + 1) - 1 bits are known: a query is done once its k-th verified distance is within that radius.
+A 64-bit code is cut into m segments of about log2(rows) - 2 bits, each with a hash table (a word then holds about four
+codes: in an equi-join a looked-up word costs more than a code met under it). Round s looks up every word at distance s
+of the first a query segments. After it, a code that was not met differs by more than s in these and by more than s - 1
+in the others, so all codes within m s + a - 1 bits are known: a query is done once its k-th verified distance is within
+that radius. A query with k verified distances asks only for the segments that reach the k-th.
 Equal codes are one entry of the index, with the k + 1 smallest ids.
 """
 
@@ -20,8 +22,9 @@ from probelens.llm.common import written
 def sign_code(vector: str = "embedding") -> Column:
     """Bit i is 1 if component i is above 0 (not NaN); components beyond 64 are added to i mod 64 first. Null: null."""
     v = F.col(vector)
+    plain = F.transform(v, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
     folded = F.transform(F.sequence(F.lit(0), F.least(F.size(v), F.lit(64)) - 1), lambda i: F.aggregate(F.filter(v, lambda x, j: j % 64 == i), F.lit(0.0), lambda a, x: a + x.cast("double")))
-    bits = F.transform(folded, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.expr("1L")).otherwise(F.expr("0L")))
+    bits = F.transform(F.when(F.size(v) <= 64, plain).otherwise(folded), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.expr("1L")).otherwise(F.expr("0L")))
     code = F.aggregate(F.transform(bits, lambda b, i: F.call_function("shiftleft", b, i)), F.expr("0L"), lambda a, b: a.bitwiseOR(b))
     return F.when(F.size(v) > 0, code)
 
@@ -36,15 +39,15 @@ def _flipped(j: int, val: Column, masks: list[int]) -> Column:
     return F.transform(words, lambda x: F.struct(F.lit(j).alias("j"), val.bitwiseXOR(x).alias("val")))
 
 
-def _words(code: str, segments, flips=None) -> Column:
-    """Array of (j, val): the code's segments, with each of the flips if given."""
+def _words(code: str, segments, flips=None, first: str | None = None) -> Column:
+    """Array of (j, val): the code's segments, with each of the flips if given, of the first segments only if named."""
     out = []
     for j, (at, width) in enumerate(segments):
         val = F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1))
         if flips is None:
             out.append(F.array(F.struct(F.lit(j).alias("j"), val.alias("val"))))
         elif flips[width]:
-            out.append(_flipped(j, val, flips[width]))
+            out.append(F.when(F.col(first) > j, _flipped(j, val, flips[width])).otherwise(F.array().cast("array<struct<j:int,val:bigint>>")))
     return F.flatten(F.array(*out))
 
 
@@ -59,24 +62,25 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     few = Window.partitionBy("code").orderBy("id")
     index = written(named.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     asked = written(queries.select(F.col(id_col).alias("query_id"), F.col(code_col).alias("q")).where("query_id is not null and q is not null").distinct(), "queries")
-    m = max(1, min(16, round(64 / max(4, math.log2(max(2, index.count()))))))
+    m = max(1, min(16, round(64 / max(4, math.log2(max(2, index.count())) - 2))))
     segments = _segments(m)
     tables = index.select("code", F.element_at("ids", 1).alias("low"), F.size("ids").alias("n"), F.explode(_words("code", segments)).alias("w")).select("w.j", "w.val", "code", "low", "n")
-    todo = asked.select("q").distinct().withColumn("bound", F.lit(64))
+    todo = asked.select("q").distinct().withColumns({"bound": F.lit(64), "a": F.lit(m)})
     best = None
     widest = max(w for _, w in segments)
     ranked = Window.partitionBy("q").orderBy("dist", "low")
     for s in range(widest + 1):
         flips = {w: [sum(1 << i for i in c) for c in combinations(range(w), s)] for w in {w for _, w in segments}}
-        probes = todo.select("q", "bound", F.explode(_words("q", segments, flips)).alias("w")).select("q", "bound", "w.j", "w.val")
+        probes = todo.select("q", "bound", F.explode(_words("q", segments, flips, "a")).alias("w")).select("q", "bound", "w.j", "w.val")
         dist = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         met = probes.alias("p").join(tables.alias("t"), (F.col("p.j") == F.col("t.j")) & (F.col("p.val") == F.col("t.val")) & (dist <= F.col("bound")))
         met = met.select("q", "code", "low", "n", dist.alias("dist"))
         met = (met if best is None else met.unionByName(best)).distinct()
         best = written(met.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).drop("r"), "best")
-        radius = m * (s + 1) - 1
-        known = best.groupBy("q").agg(F.sum(F.when(F.col("dist") <= radius, F.col("n")).otherwise(0)).alias("sure"), F.sum("n").alias("have"), F.max("dist").alias("worst"))
-        todo = written(todo.select("q").join(known, "q", "left").where(F.coalesce("sure", F.lit(0)) < k + 1).select("q", F.when(F.col("have") >= k + 1, F.col("worst")).otherwise(F.lit(64)).alias("bound")), "todo")
+        near = best.join(todo.select("q", (F.col("a") + m * s - 1).alias("radius")), "q")
+        known = near.groupBy("q").agg(F.sum(F.when(F.col("dist") <= F.col("radius"), F.col("n")).otherwise(0)).alias("sure"), F.sum("n").alias("have"), F.max("dist").alias("worst"))
+        left = todo.select("q").join(known, "q", "left").where(F.coalesce("sure", F.lit(0)) < k + 1).select("q", F.when(F.col("have") >= k + 1, F.col("worst")).otherwise(F.lit(64)).alias("bound"))
+        todo = written(left.withColumn("a", F.least(F.col("bound") - m * (s + 1) + 1, F.lit(m))), "todo")
         if todo.isEmpty():
             break
     found = best.join(index, "code").select("q", "dist", F.explode("ids").alias("id"))
