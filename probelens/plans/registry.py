@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelens.functions import draws, scalars, text
-from probelens.operators import boot, cells, gates, joins, linear, probes, ranks, reports
+from probelens.functions import draws, intervals, scalars, text
+from probelens.operators import boot, cells, fitted, gates, joins, linear, probes, ranks, reports
 from probelens.plans.worlds import order_cells, order_items, table, vector_acts
+from probelens.sources import readers, sinks
+from probelens.streaming import gates as gates_stream
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -349,3 +351,79 @@ def _(s, d):
 def _(s, d):
     rows = cells.balanced(order_cells(s, d))
     return gates.roll_up([gates.ft_yield(rows), gates.edit_balance(rows)])
+
+
+@query("json_map_scan", "SELECT 'k' AS key, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS total FROM events WHERE props->>'$.k' IS NOT NULL")
+def _(s, d):
+    return readers.json_map(table(s, d, "events"), "props", "bigint").groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("markdown_rows", "SELECT '| ' || concat_ws(' | ', n_name, count(c_custkey)::VARCHAR, coalesce(min(c_custkey)::VARCHAR, '—')) || ' |' AS line FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
+def _(s, d):
+    had = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("low"))
+    return table(s, d, "nation").join(had, "n_nationkey", "left").select(sinks.markdown_row(F.col("n_name"), F.coalesce("n", F.lit(0)), F.col("low")).alias("line"))
+
+
+@query("pending_layers", "SELECT p_brand AS brand, p_size AS size FROM (SELECT DISTINCT p_brand, p_size FROM part) a WHERE NOT EXISTS (FROM part b WHERE b.p_brand = a.p_brand AND b.p_size = a.p_size AND b.p_retailprice > 1000)")
+def _(s, d):
+    part = table(s, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), "p_retailprice")
+    return sinks.pending(part.select("brand", "size").distinct(), part.where("p_retailprice > 1000"), ("brand", "size"))
+
+
+@query("subspace_reset", """WITH m AS (SELECT unnest(embedding[1:4])::DOUBLE AS x, unnest(range(1, 5)) AS p FROM embeddings), c AS (SELECT p, avg(x) AS c FROM m GROUP BY p), k AS (SELECT list(c ORDER BY p) AS c FROM c),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e, c, (embedding[1]::DOUBLE - c[1]) * 0.6::DOUBLE + (embedding[2]::DOUBLE - c[2]) * 0.8::DOUBLE AS a FROM embeddings, k)
+SELECT vec_id, round(e[1] - a * 0.6::DOUBLE, 6) + 0.0::DOUBLE AS x1, round(e[2] - a * 0.8::DOUBLE, 6) + 0.0::DOUBLE AS x2, round(c[3], 6) + 0.0::DOUBLE AS x3, round(e[4], 6) + 0.0::DOUBLE AS x4 FROM v""")
+def _(s, d):
+    first = table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("vec"))
+    mean = first.agg(*[F.avg(F.element_at("vec", i)).alias(f"m{i}") for i in range(1, 5)]).select(F.array("m1", "m2", "m3", "m4").alias("mean"))
+    basis = F.array(*[F.array(*map(F.lit, u)) for u in ([0.6, 0.8, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0])])
+    at = first.crossJoin(F.broadcast(mean)).withColumn("vec", fitted.off_subspace(F.col("vec"), basis, F.col("mean")))  # one row of means
+    return at.select("vec_id", *[F.element_at("vec", i).alias(f"x{i}") for i in range(1, 5)]).select("vec_id", *r6("x1", "x2", "x3", "x4"))
+
+
+@query("stream_window_counts", "WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT start, event_type, n FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def _(s, d):
+    stream = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d.rstrip('/')}/event[s].parquet")
+    return gates_stream.drained(gates_stream.window_counts(stream, "ts", ("event_type",))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("out_of_fold_probe")
+def _(s, d):
+    return fitted.out_of_fold(vector_acts(s, d)).select("item_id", "layer", "fold", "truth", "score")
+
+
+@query("fielded_probe")
+def _(s, d):
+    return fitted.fielded(vector_acts(s, d)).select("item_id", "layer", "fold", "cell", "truth", "score")
+
+
+def _framed(s, d) -> DataFrame:
+    """Activations with the first component of the vector as the frequency axis."""
+    return vector_acts(s, d).withColumn("logf", F.element_at("vec", 1).cast("double"))
+
+
+@query("cross_fitted_probe")
+def _(s, d):
+    return fitted.cross_fitted(_framed(s, d)).select("layer", "half", "n", "recoverability", "off_diagonal")
+
+
+@query("fit_stability")
+def _(s, d):
+    return fitted.fit_stability(vector_acts(s, d), 60)
+
+
+@query("erasure_probe")
+def _(s, d):
+    erased = fitted.erase(vector_acts(s, d), rounds=4)
+    return ranks.auroc(fitted.fielded(erased).where(~F.col("cell").isin("TT", "FA")), ("layer",)).select("layer", *r6("auroc"), "n_pos", "n_neg")
+
+
+@query("eigen_score")
+def _(s, d):
+    return fitted.eigen_score(vector_acts(s, d).select("item_id", "vec")).select("item_id", "k", "score")
+
+
+@query("discordance_interval")
+def _(s, d):
+    rows = table(s, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("hits"), F.count("value").alias("n"))
+    return rows.withColumn("ci", intervals.clopper_pearson(F.col("hits"), F.col("n"))).select("event_type", "hits", "n", "ci.lo", "ci.hi")
