@@ -45,7 +45,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", smooth: float
                 pool: list[bytes] = []
                 for i, raw in enumerate(own):
                     pool += raw.lower().split()
-                    if len(pool) > 200_000 or i == len(own) - 1:
+                    if len(pool) > 50_000 or i == len(own) - 1:
                         if pool:
                             total[place[name]] += np.bincount(gram_cells(pool)[0], minlength=CELLS)
                         pool = []
@@ -117,9 +117,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
                     held.append(words)
                     where.append(i)
                     size += len(words)
-                if held and (size > 150_000 or i == len(texts) - 1):
+                if held and (size > 40_000 or i == len(texts) - 1):
                     fresh = list({w for ws in held for w in ws if w not in seen})
-                    if len(seen) + len(fresh) > 400_000:  # forget, to stay small
+                    if len(seen) + len(fresh) > 120_000:  # forget, to stay small
                         seen.clear()
                         fresh = list({w for ws in held for w in ws})
                     if fresh:
