@@ -96,7 +96,9 @@ def test_scalars(spark):
     assert tuple(row) == (0.0, "+0.123 [+0.010, +0.200]*", "model-7b", "2026-08-14")
 
 
-def test_registry_has_sql_for_every_query():
+def test_registry_has_sql_for_every_query_but_fits():
+    """Iterated fits, eigenvalues and beta quantiles have no SQL; tests/test_fitted.py compares their operators by hand."""
     from probelens.plans import registry
 
-    assert set(registry.QUERIES) == set(registry.SQL)
+    without = {"out_of_fold_probe", "fielded_probe", "cross_fitted_probe", "fit_stability", "erasure_probe", "eigen_score", "discordance_interval"}
+    assert set(registry.SQL) == set(registry.QUERIES) - without and without <= set(registry.QUERIES)
