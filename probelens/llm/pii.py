@@ -32,9 +32,11 @@ SYLLABLES = {"latin": ("ba", "de", "fi", "go", "ha", "ke", "li", "mo", "na", "pe
 
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _UPPER = r"\p{Lu}[\p{L}'’-]*+"
+#: gives its last dot back where that ends a sentence
+_DOMAIN = r"(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}"
 #: (type, pattern), the first that fits holds; all are bounded by look-arounds and possessive where they repeat
 PATTERNS = (
-    ("email", r"(?<![\w.%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}"),
+    ("email", rf"(?:(?<![\w.%+-])(?:\w[\w.%+-]*+|[%+-][.%+-]*+)|(?<=[.%+-])\w[\w.%+-]{{0,255}}+)@{_DOMAIN}"),
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho)[_-][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("address", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"),

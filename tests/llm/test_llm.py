@@ -209,6 +209,15 @@ def test_pii(spark):
     assert pii.replace_pii(empty(df)).count() == 0
 
 
+def test_pii_addresses_at_any_place(spark):
+    texts = ["Write to john.doe@example.com. Thanks", "end john@mail.example.co.uk.", "(john@example.com)", "john@example.com\nnext", "at the end john@example.com", "to.-john@example.com, or +john@example.com", "...john@example.com...then", "john@example.com.2024", "%@example.com. x"]
+    got = [r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)).orderBy("doc_id").collect()]
+    assert not [t for t in got if re.search("john|example", t)]
+    assert got[0].startswith("Write to ") and got[0].endswith(".com. Thanks") and got[1].endswith(".uk.") and got[6].endswith(".com...then")
+    alone = got[2][1:-1]
+    assert got[3] == alone + "\nnext" and got[4] == "at the end " + alone and got[7] == alone + ".2024"
+
+
 def test_pii_surrogates_are_distinct(spark):
     found = spark.createDataFrame([("address", f"{i}.{j}.1.{k}", "n") for i in range(10) for j in range(10) for k in range(10)], "type string, entity string, gender string")
     got = pii.entities(found, "k").collect()
