@@ -8,13 +8,15 @@ above ``floor``, so that the mix of languages and topics of a class adds nothing
 into 0..1. A class counts a word once for each text that has it, and the discount is ``discount`` texts: one odd text,
 or a few copies of it, make no word toxic.
 
-Words are runs of A-Z (lower-cased), digits and non-ASCII bytes, hashed to ``CELLS`` cells; counts cover all labelled
-training text and the tables have a fixed size whatever the corpus. The curve is fitted on at most about
-``max_fit_rows`` training rows, each scored by models counted on the other half of the training rows.
+Words are runs of A-Z (lower-cased), digits and non-ASCII bytes, known by their 64-bit hashes; counts cover all labelled
+training text, different predecessors are told apart over all of it, and the tables grow with the corpus. Scoring takes
+only the words whose difference is not that of a word never seen. The curve is fitted on at most about ``max_fit_rows``
+training rows, each scored by models counted on the other half of the training rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,76 +26,127 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelens.llm.common import SPARSE, gathered, sparse_rows
+from probelens.llm.common import written
 
-CELLS = 1 << 20
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
 PACK = 300_000
+#: words that a task of the counts holds before it hands their counts on
+HELD = 1_000_000
+#: what stands before a text's first word
+START = 0
+#: mass that the shared backoff adds to each word
+ADDED = 0.1
 
 
-def tokens(raw: bytes | None) -> list[int]:
-    return [x & (CELLS - 1) for x in map(xxhash.xxh32_intdigest, _TOKEN.findall((raw or b"").lower()))]
+def tokens(raw: bytes | None) -> np.ndarray:
+    found = _TOKEN.findall((raw or b"").lower())
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
 
 
 def _packs(texts) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(positions of the texts, their cells end to end, their sizes), some hundred thousand words at a time."""
-    where, pool, sizes = [], [], []
+    """(positions of the texts, their words' hashes end to end, their sizes), some hundred thousand words at a time."""
+    where, pool, sizes, n = [], [], [], 0
     for i, raw in enumerate(texts):
         own = tokens(raw)
         where.append(i)
-        pool += own
+        pool.append(own)
         sizes.append(len(own))
-        if len(pool) > PACK:
-            yield where, np.array(pool, np.int64), np.array(sizes)
-            where, pool, sizes = [], [], []
+        n += len(own)
+        if n > PACK:
+            yield where, np.concatenate(pool), np.array(sizes)
+            where, pool, sizes, n = [], [], [], 0
     if where:
-        yield where, np.array(pool, np.int64), np.array(sizes)
+        yield where, np.concatenate(pool), np.array(sizes)
 
 
-def count(rows: DataFrame) -> np.ndarray:
-    """rows(raw binary, cls 0/1, half 0/1) -> six rows of cells: texts with a word by (half, cls), then by half the words' different
-    predecessors, told apart within some hundred thousand words and added up."""
+def _folded(word: np.ndarray, other: np.ndarray, value: np.ndarray, fold: np.ufunc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (word, other) with their values folded."""
+    order = np.lexsort((other, word))
+    word, other, value = word[order], other[order], value[order]
+    first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (other[1:] != other[:-1]))))
+    return word[first], other[first], fold.reduceat(value, first)
+
+
+def count(rows: DataFrame) -> DataFrame:
+    """rows(raw binary, cls 0/1, half 0/1) -> (word, c0 .. c3, n0, n1, n2), a row for each word.
+
+    c: texts with the word, by 2 * half + cls; n: the word's different predecessors in half 0, in half 1 and in both
+    together. Tasks fold what they can hold; a grouping by (word, predecessor) makes the pairs of all tasks distinct.
+    """
+
+    def handed(words, befores, halves, once, kinds):
+        """A row for each pair; the first of a word has its texts."""
+        if not words:
+            return
+        word, before, bits = _folded(np.concatenate(words), np.concatenate(befores), np.concatenate(halves), np.bitwise_or)
+        had, kind, n = _folded(np.concatenate(once), np.concatenate(kinds), np.ones(sum(map(len, once)), np.int64), np.add)
+        texts = np.zeros((4, len(word)), np.int64)
+        texts[kind, np.searchsorted(word, had)] = n
+        yield pd.DataFrame({"word": word, "before": before, "bits": bits} | {f"c{i}": texts[i] for i in range(4)})
 
     def run(batches):
-        total = np.zeros((6, CELLS), np.int32)
+        held, n = ([], [], [], [], []), 0
         for pdf in batches:
-            for (half, cls), own in pdf.groupby(["half", "cls"])["raw"]:
-                for _, pool, sizes in _packs(own):
-                    if len(pool):
-                        once = np.unique(np.repeat(np.arange(len(sizes)), sizes) * CELLS + pool) % CELLS
-                        at, n = np.unique(once, return_counts=True)
-                        total[2 * half + cls][at] += n.astype(np.int32)
-                        pair = np.unique(np.concatenate(([0], pool[:-1])) * CELLS + pool) % CELLS
-                        at, n = np.unique(pair, return_counts=True)
-                        total[4 + half][at] += n.astype(np.int32)
-        for k in range(6):
-            yield sparse_rows(k, total[k])
-
-    return gathered(rows.mapInPandas(run, SPARSE), 6, CELLS)
+            for raw, cls, half in zip(pdf["raw"], pdf["cls"], pdf["half"]):
+                own = tokens(raw)
+                if not len(own):
+                    continue
+                distinct = np.unique(own)
+                for x, part in zip(held, (own, np.concatenate(([START], own[:-1])), np.full(len(own), 1 << half, np.int64), distinct, np.full(len(distinct), 2 * half + cls, np.int64))):
+                    x.append(part)
+                n += len(own)
+                if n > HELD:
+                    yield from handed(*held)
+                    held, n = ([], [], [], [], []), 0
+        yield from handed(*held)
+
+    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(4)]
+    pairs = rows.mapInPandas(run, "word long, before long, bits long, c0 long, c1 long, c2 long, c3 long").groupBy("word", "before").agg(F.bit_or("bits").alias("bits"), *sums)
+    befores = [F.count_if(F.col("bits").bitwiseAND(m) > 0).alias(f"n{i}") for i, m in enumerate((1, 2, 3))]
+    return written(pairs.groupBy("word").agg(*sums, *befores), "words")
 
 
 class Model:
-    """What scoring needs of one pair of class models: a word's difference of log-likelihoods, by cell."""
+    """What scoring needs of one pair of class models: differences of log-likelihoods of the words that have another than ``rest``."""
 
-    def __init__(self, counts: np.ndarray, contexts: np.ndarray, floor: float, discount: float):
-        shared = (contexts + 0.1) / (contexts.sum() + 0.1 * CELLS)
-        logs = []
-        for own in counts.astype(np.float64):
-            total = max(1.0, own.sum())
-            free = np.minimum(own, discount).sum() / total if own.sum() else 1.0
-            logs.append(np.log(np.maximum(own - discount, 0) / total + free * shared))
-        self.diff = np.maximum(logs[1] - logs[0] - floor, 0).astype(np.float32)
+    def __init__(self, words: np.ndarray, diff: np.ndarray, rest: float):
+        order = np.argsort(words)
+        self.words, self.diff, self.rest = words[order], diff[order].astype(np.float32), rest
+
+    def of(self, pool: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(pool), self.rest)
+        at = np.minimum(np.searchsorted(self.words, pool), len(self.words) - 1)
+        return np.where(self.words[at] == pool, self.diff[at], self.rest)
 
     def raw(self, texts) -> np.ndarray:
         """Difference of log-likelihoods by word, on a square-root scale; 0 for texts without words."""
         out = np.zeros(len(texts))
         for where, pool, sizes in _packs(texts):
-            sums = np.concatenate(([0.0], np.cumsum(self.diff[pool], dtype=np.float64)))
+            sums = np.concatenate(([0.0], np.cumsum(self.of(pool), dtype=np.float64)))
             ends = np.cumsum(sizes)
             out[where] = np.sqrt(np.maximum(sums[ends] - sums[ends - sizes], 0) / np.maximum(sizes, 1))
         return out
 
 
+def models(table: DataFrame, floor: float, discount: float) -> list[Model]:
+    """Of half 0, of half 1 and of both, from count(). Words no class has in more than ``discount`` texts have the backoff's difference, as words never seen."""
+    own = [[F.col("c0"), F.col("c1")], [F.col("c2"), F.col("c3")], [F.col("c0") + F.col("c2"), F.col("c1") + F.col("c3")]]
+    sums = [F.count_if(F.col(f"n{m}") > 0) for m in range(3)] + [F.sum(f"n{m}") for m in range(3)]
+    sums += [F.sum(c) for cs in own for c in cs] + [F.sum(F.least(c, F.lit(float(discount)))) for cs in own for c in cs]
+    got = [float(x or 0) for x in table.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()]
+    out = []
+    for m, cs in enumerate(own):
+        total = [max(1.0, x) for x in got[6 + 2 * m : 8 + 2 * m]]
+        free = [f / t if f else 1.0 for f, t in zip(got[12 + 2 * m : 14 + 2 * m], total)]
+        shared = (F.col(f"n{m}") + F.lit(ADDED)) / F.lit(got[3 + m] + ADDED * (got[m] + 1))  # one more word for all never seen
+        logs = [F.log(F.greatest(c - F.lit(float(discount)), F.lit(0.0)) / F.lit(t) + F.lit(f) * shared) for c, t, f in zip(cs, total, free)]
+        rest = max(0.0, math.log(free[1]) - math.log(free[0]) - floor)
+        known = table.where((cs[0] > discount) | (cs[1] > discount)).select("word", F.greatest(logs[1] - logs[0] - F.lit(float(floor)), F.lit(0.0)).alias("diff")).where(F.col("diff") != F.lit(rest)).toArrow()
+        out.append(Model(known["word"].to_numpy(), known["diff"].to_numpy(), rest))
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4) -> tuple[float, float]:
     """Slope and intercept by Newton steps on standardised x."""
     if not len(x) or y.min() == y.max():
@@ -111,6 +164,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4) -> tuple[float, fl
     return float(w[0] / sd), float(w[1] - w[0] * mean / sd)
 
 
+def _maybe_marked(docs: DataFrame, marked: DataFrame, n: int) -> DataFrame:
+    """docs without most of those whose id is not among the n of marked, by a bit map of hashed ids, 16 bits for each: fewer texts are shuffled."""
+    if docs.schema["doc_id"].dataType != marked.schema["doc_id"].dataType:
+        return docs
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit((n * 16 // 32768 + 1) * 32768))
+    block, bit = F.floor(spot / 32768), F.pmod(spot, F.lit(32768))
+    maps = marked.groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
+    return docs.withColumn("_block", block).join(F.broadcast(maps), "_block").where(held).drop("_block", "_map")
+
+
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", floor: float = 1.0, discount: float = 3.0, max_fit_rows: int = 4000) -> tuple[Model, float, float]:
     """Counts over all rows of docs that labels (doc_id, label 0/1) covers; the curve from at most about max_fit_rows of them.
 
@@ -119,10 +184,10 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     """
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("cls"))
     half = F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string")).cast("binary"))
-    train = docs.select("doc_id", F.col(text).cast("binary").alias("raw")).join(marked.hint("merge"), "doc_id").select("raw", "cls", (half % 2).cast("int").alias("half"), F.shiftright(half, 1).alias("h"))
-    table = count(train)
-    halves = [Model(table[2 * k : 2 * k + 2], table[4 + k], floor, discount) for k in range(2)]
-    rate = min(1.0, max_fit_rows / max(1, marked.count()))
+    n = marked.count()
+    train = _maybe_marked(docs.select("doc_id", F.col(text).cast("binary").alias("raw")), marked, n).join(marked.hint("merge"), "doc_id").select("raw", "cls", (half % 2).cast("int").alias("half"), F.shiftright(half, 1).alias("h"))
+    *halves, whole = models(count(train), floor, discount)
+    rate = min(1.0, max_fit_rows / max(1, n))
     sample = train.where(F.pmod("h", F.lit(1 << 20)) < int(rate * (1 << 20))).select("raw", "cls", "half").limit(2 * max_fit_rows).toPandas()  # bounded by the limit
     x, y = np.zeros(len(sample)), sample["cls"].to_numpy(float)
     for k in range(2):
@@ -130,12 +195,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         if len(own):
             x[own] = halves[1 - k].raw([sample["raw"].iloc[i] for i in own])
     slope, base = _logistic(x, y)
-    return Model(table[0:2] + table[2:4], table[4] + table[5], floor, discount), slope, base
+    return whole, slope, base
 
 
 def score(docs: DataFrame, model: tuple[Model, float, float], text: str = "text", cut: float = 0.7) -> DataFrame:
     """docs -> its columns but the text, score (0..1), predicted (score >= cut). A null or wordless text scores like raw 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # CELLS numbers, whatever the corpus
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # words that tell the classes apart
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tables, slope, base = sent.value

@@ -252,6 +252,37 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(odd(spark), none).collect()} == {0}
 
 
+@pytest.mark.parametrize("parts, held", [(1, 10**6), (5, 50)])
+def test_toxicity_counts_are_exact(spark, monkeypatch, parts, held):
+    monkeypatch.setattr(toxicity, "HELD", held)
+    rng = random.Random(7)
+    rows = [(prose(rng, rng.randrange(1, 40)) + f" x{i} end", i % 3 == 0, i % 2) for i in range(200)] + [("", 0, 0), (None, 1, 1)]
+    texts, before = {}, {}
+    for text, cls, half in rows:
+        words = (text or "").split()
+        for w in set(words):
+            texts.setdefault(w, [0] * 4)[2 * half + cls] += 1
+        for a, b in zip([None, *words], words):
+            for m in {half, 2}:
+                before.setdefault(b, [set(), set(), set()])[m].add(a)
+    want = {int(toxicity.tokens(w.encode())[0]): (*texts[w], *map(len, before[w])) for w in texts}
+    df = spark.createDataFrame([(t, int(c), h) for t, c, h in rows], "raw string, cls int, half int").withColumn("raw", F.col("raw").cast("binary"))
+    got = toxicity.count(df.repartition(parts)).collect()
+    assert {r["word"]: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+    table = spark.createDataFrame([(k, *v) for k, v in want.items()], "word long, c0 long, c1 long, c2 long, c3 long, n0 long, n1 long, n2 long")
+    for discount in (3.0, 0.5):
+        n, own = {w: v[6] for w, v in want.items()}, [{w: v[c] + v[c + 2] for w, v in want.items()} for c in range(2)]
+        p = [lambda w, o=o: (max(o[w] - discount, 0) + sum(min(x, discount) for x in o.values()) * (n[w] + 0.1) / (sum(n.values()) + 0.1 * (len(n) + 1))) / sum(o.values()) for o in own]
+        words = np.array(list(want), np.int64)
+        assert np.allclose(toxicity.models(table, 0.1, discount)[2].of(words), [max(np.log(p[1](w) / p[0](w)) - 0.1, 0) for w in want], atol=1e-5)
+
+
+def test_toxicity_prefilter_loses_none(spark):
+    docs, marked = spark.range(-3000, 60_000).withColumnRenamed("id", "doc_id"), spark.range(-2000, 8000).withColumnRenamed("id", "doc_id")
+    got = toxicity._maybe_marked(docs, marked, 10_000)
+    assert got.join(marked, "doc_id").count() == 10_000 and got.count() < 15_000
+
+
 def test_quality(spark):
     rows = labelled(spark).withColumn("text", F.when(F.col("quality") == 0, F.regexp_replace("text", " ", "### ")).otherwise(F.col("text")))
     train, held = rows.where("doc_id < 250"), rows.where("doc_id >= 250")
