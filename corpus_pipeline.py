@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the smallest doc_id."""
+    """One document of each SimHash group: the smallest doc_id; of its rows without a doc_id one stays as well."""
     return simhash.keep_one(docs)
 
 

@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelens.llm.common import written
@@ -49,13 +49,13 @@ def fingerprint(raw: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
-    """docs -> (doc_id, fp long). Null and wordless texts have fingerprint 0."""
+    """docs -> (doc_id, h, fp long), h the text's hash. Null and wordless texts have fingerprint 0."""
 
     @F.pandas_udf("long")
     def fp(raw: pd.Series) -> pd.Series:
         return raw.map(lambda x: fingerprint(x, width), na_action=None)
 
-    return docs.select("doc_id", fp(F.col(text).cast("binary")).alias("fp"))
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), fp(F.col(text).cast("binary")).alias("fp"))
 
 
 def _masks(blocks: int, radius: int) -> list[int]:
@@ -151,39 +151,49 @@ def _by_midpoint(members: DataFrame) -> DataFrame:
     return at.join(hubs, "z").where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", width: int = 3, radius: int = 3, blocks: int | None = None, bucket_cap: int = 16384) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp, component_id), a row for each row of docs.
+def _linked(rows: DataFrame, radius: int = 3, blocks: int | None = None, bucket_cap: int = 16384) -> DataFrame:
+    """rows(fp, ...) -> (fp, root), a row for each fingerprint; root is the smallest fingerprint of its component.
 
-    component_id is the smallest doc_id reachable over fingerprints at most radius bits apart, itself included. Rows
-    without a doc_id link like others but name no component. blocks None: as many as keep random buckets small (4 up
-    to 4 million distinct fingerprints, then 5, then 6); every choice finds the same links.
+    Fingerprints are the nodes: what their rows are called links nothing.
     """
     if radius != 3:
         raise ValueError("crowded buckets are split exactly for radius 3 only")
-    rows = written(fingerprints(docs, text, width), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    classes = rows.select("fp").distinct()
     if blocks is None:
         n = rows.count()
         blocks = 4 if n < 4 << 20 else 5 if n < 2 << 30 else 6
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks(blocks, radius))])
-    keyed = classes.where("rep is not null").select("fp", "rep", F.explode(keys).alias("k")).select("k.t", "k.key", "fp", "rep")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = classes.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp", F.col("fp").alias("rep"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(keyed.repartition(parts, "t", "key").sortWithinPartitions("t", "key").mapInPandas(_search(radius, bucket_cap), "kind int, u long, v long"), "stars")
     links = found.where("kind = 0").select("u", "v")
     crowded = found.where("kind = 1")
     if not crowded.isEmpty():
         links = links.unionByName(_by_midpoint(crowded.select(F.col("u").alias("rep"), F.col("v").alias("fp")).distinct()))
     labels = connected_components(links)
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the one whose doc_id names it. Rows without a doc_id stay; of rows that share one, one stays."""
-    lead = near_duplicates(docs.select("doc_id", "text"), **options).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(lead, "doc_id", "left_semi")
-    from pyspark.sql import Window
+def near_duplicates(docs: DataFrame, text: str = "text", width: int = 3, **options) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, fp, component_id), a row for each row of docs.
+
+    component_id is the smallest doc_id reachable over fingerprints at most radius bits apart, itself included. Rows
+    without a doc_id link like others but name no component. blocks None: as many as keep random buckets small (4 up
+    to 4 million distinct fingerprints, then 5, then 6); every choice finds the same links.
+    """
+    rows = written(fingerprints(docs, text, width), "fingerprints")
+    linked = rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(_linked(rows, **options), "fp")
+    named = linked.join(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
+    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
 
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return kept.unionByName(docs.where("doc_id is null"))
+def keep_one(docs: DataFrame, width: int = 3, **options) -> DataFrame:
+    """One row of each group: of least doc_id, then text hash, then hash of the row. Of a group's rows without a doc_id one stays as well."""
+    rows = written(fingerprints(docs, "text", width), "fingerprints")
+    nameless = F.col("doc_id").isNull().alias("_n")
+    leads = rows.groupBy("fp", nameless).agg(F.min(F.struct("doc_id", "h")).alias("lead")).join(_linked(rows, **options), "fp")
+    leads = leads.groupBy("root", "_n").agg(F.min("lead").alias("lead")).select("_n", F.coalesce(F.col("lead.doc_id").cast("string"), F.lit("")).alias("_d"), F.col("lead.h").alias("_h"))
+    keyed = docs.withColumns({"_n": nameless, "_d": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_h": F.xxhash64("text")})
+    first = Window.partitionBy("_n", "_d", "_h").orderBy(F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]))  # of equal texts of one id
+    once = keyed.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    return once.join(leads, ["_n", "_d", "_h"], "left_semi").select(*docs.columns)

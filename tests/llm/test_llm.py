@@ -64,6 +64,19 @@ def test_simhash(spark, docs, options):
         assert {0, 1, 2, 84, None} <= kept and not kept & {20, 21, 85}
 
 
+def test_one_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(3)
+    a, b, c, d = (prose(rng, 1500) for _ in range(4))
+    close = lambda t: next(x for i in range(500) for x in [t + f" z{i}"] if 0 < (brute_fp(x) ^ brute_fp(t)).bit_count() <= 3)
+    rows = [(5, a), (5, b), (7, close(b)), (3, close(a)), (5, a), (9, c), (None, c), (None, c), (None, d), (None, close(d)), (11, close(d))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()]
+    assert sorted((x for x in got if x[0] is not None)) == sorted([(5, b), (3, close(a)), (9, c), (11, close(d))])
+    assert sorted(t for i, t in got if i is None) in (sorted([c, d]), sorted([c, close(d)]))
+    ids = {(r["doc_id"], r["fp"] & (2**64 - 1)): r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert ids[5, brute_fp(a)] == 3 and ids[5, brute_fp(b)] == 5 and ids[7, brute_fp(close(b))] == 5
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
