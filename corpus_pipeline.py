@@ -37,10 +37,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order: documents with their target, words taken and positions. Rows without a doc_id go."""
-    named = docs.where("doc_id is not null")
-    mixed = mixing.mix(named).drop("source")
-    return named.join(mixed, "doc_id").where("taken > 0").repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
+    """The mix in training order: documents with their target, words taken and positions."""
+    return mixing.mix(docs, keep=True).where("taken > 0")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", private_data), ("mixture", mixture)]

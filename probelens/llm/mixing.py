@@ -75,15 +75,18 @@ def pieces(schedule) -> Column:
     return F.array(*out)
 
 
-def mix(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, schedules: tuple = RAMPS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, schedules: tuple = RAMPS, seed: str = "mix", keep: bool = False) -> DataFrame:
     """docs(doc_id, text, source) -> (doc_id, source, size, source_size, target, taken, copies), sorted by first position.
 
     copies: array of (position in [0, 1], words), one for each time that the mix takes the document; the last document
     that a source's target reaches is taken in part, so that each source's words are its target (rounded down). Null
     texts and texts without words have size 0 and no copies. A null source is a source of its own, after all others.
-    Equal doc_ids are ordered by size. An empty table gives an empty result.
+    Equal doc_ids are ordered by size, then by the text's hash; rows without a doc_id are dealt by that hash. keep: with
+    docs' columns in front, carried along row by row, so that ids may repeat or be null. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", "source", words().alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("h"))
+    x = F.xxhash64("text")
+    row = F.struct(*docs.columns) if keep else F.lit(None).cast("int")
+    rows = docs.select("doc_id", "source", words().alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), x.cast("string")))).alias("h"), x.alias("x"), row.alias("_row"))
     rows = written(rows.withColumn("s_null", F.col("source").isNull()).withColumn("s", F.coalesce("source", F.lit(""))), "sizes")
     bits = max(4, min(24, math.ceil(math.log2(max(1, rows.count()) / ROWS_A_BUCKET))) if rows.count() else 4)
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 6), 16, 10).cast("long"), 24 - bits))
@@ -92,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, c
     sources = targets(sums.groupBy("s_null", "s").agg(F.sum("n").alias("source_size")), weights, share, cap)
     before = Window.partitionBy("s_null", "s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).join(sources, ["s_null", "s"]).drop("n", "weight")
-    inside = Window.partitionBy(*by).orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by).orderBy("h", "doc_id", "size", "x").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))).join(starts, by).withColumn("start", F.col("at") + F.col("base"))
     quota = F.floor(F.col("target") + F.lit(1e-6))
     knots = F.element_at(F.array(*[pieces(s) for s in schedules]), (F.col("place") % len(schedules) + 1).cast("int"))
@@ -101,7 +104,8 @@ def mix(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, c
     copies = F.transform(reached, lambda x: F.struct(due(x / F.col("target"), F.col("knots")).alias("position"), F.least(F.col("size"), quota - x).alias("words")))
     out = placed.withColumn("knots", knots).withColumn("copies", copies)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    out = out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", F.get("copies", F.lit(0))["position"].alias("first_position"))
+    names = [F.col("_row")[c].alias(c) for c in docs.columns] if keep else ["doc_id", "source"]
+    out = out.select(*names, "size", "source_size", "target", taken.alias("taken"), "copies", F.get("copies", F.lit(0))["position"].alias("first_position"))
     return out.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
 

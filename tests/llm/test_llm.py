@@ -131,6 +131,24 @@ def test_mixing(spark, docs):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mixture_of_repeated_and_null_ids(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    rows = [(i // 4 if i % 3 else None, prose(rng, 10 + i), "src0" if i % 2 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.mixture(spark, df, "").collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "source", "size", "source_size", "target", "taken", "copies", "first_position"}
+    assert len({r["text"] for r in got}) == len(got) and {(r["doc_id"], r["text"], r["source"]) for r in got} <= set(rows)
+    assert all(len(r["text"].split()) == r["size"] for r in got) and any(r["doc_id"] is None for r in got)
+    for source in ("src0", None):
+        own = [r for r in got if r["source"] == source]
+        assert own[0]["source_size"] == sum(len(t.split()) for _, t, s in rows if s == source)
+        assert sum(r["taken"] for r in own) == int(own[0]["target"] + 1e-6)
+    order = [r["first_position"] for r in got]
+    assert order == sorted(order) and sorted(map(str, got)) == sorted(map(str, corpus_pipeline.mixture(spark, df.repartition(2), "").collect()))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 64))
