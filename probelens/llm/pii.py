@@ -2,7 +2,8 @@
 
 Detected entities are replaced by keyed surrogates of the same type and shape: digits stay digits, letters stay letters
 of their case, separators stay; card numbers that pass the Luhn check get surrogates that pass it, octets of an address
-stay octets; names after a title keep the title's gender and the name's script. Equal entities get equal surrogates in
+stay octets; names after a title keep the title's gender and the name's script, and are replaced wherever the text has them
+again, whole or by surname; a full name's surrogate ends in its surname's. Equal entities get equal surrogates in
 the whole corpus (however a number is punctuated), different ones different: the table of distinct entities is checked
 for surrogates that collide with each other or with a real entity, and those are drawn again until none is left.
 
@@ -46,8 +47,9 @@ PATTERNS = (
     ("name", rf"(?<=(?<![\p{{L}}])(?:{_TITLE})\.? ){_UPPER}(?: {_UPPER})?"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: what a text must have to be looked at: a digit, an @ or a title
-HINT = rf"[0-9@]|(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}"
+#: what a text must have to be looked at, implied by every pattern: a digit, an @, what a secret starts with, or a title
+HINT = rf"[0-9@]|(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z]{{16}}|(?:sk|pk|ghp|gho)[_-]|[a-fA-F]{{32}})|(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}"
+_OWNS = "['’]s$"
 DIGITS = ("card", "ssn", "phone")
 
 
@@ -55,14 +57,26 @@ def mentions(text: str = "text") -> Column:
     return F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
 
 
+def _known(found: Column) -> Column:
+    """A pattern of ANY and of the text's names wherever they stand, whole or by surname; ANY alone without names. found: mentions of ANY.
+
+    A surname of one letter is only taken behind a title.
+    """
+    names = F.filter(F.array_distinct(found), lambda m: m.rlike(rf"^{_UPPER}(?: {_UPPER})?$") & (kind(m) == "name"))
+    names = F.transform(names, lambda m: F.regexp_replace(m, _OWNS, ""))
+    names = F.filter(F.array_distinct(F.concat(names, F.transform(names, lambda m: F.substring_index(m, " ", -1)))), lambda m: F.length(m) > 1)
+    longest = F.transform(F.sort_array(F.transform(names, lambda m: F.struct(F.length(m).alias("n"), m.alias("m"))), False), lambda x: x["m"])
+    return F.when(F.size(names) > 0, F.concat(F.lit(rf"{ANY}|(?<![\p{{L}}\p{{N}}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(ANY))
+
+
 def kind(m: Column) -> Column:
     """A mention's type: of the first pattern that fits all of it."""
     return reduce(lambda rest, p: F.when(m.rlike(rf"^(?:{p[1]})$"), p[0]).otherwise(rest), reversed(PATTERNS[:-1]), F.lit("name"))
 
 
 def norm(m: Column, t: Column) -> Column:
-    """What makes mentions the same entity: digits of a number, else the mention; an e-mail address in lower case."""
-    return F.when(t.isin(*DIGITS), F.regexp_replace(m, "[^0-9]", "")).when(t == "email", F.lower(m)).otherwise(m)
+    """What makes mentions the same entity: digits of a number, else the mention; an e-mail address in lower case, a name without 's."""
+    return F.when(t == "name", F.regexp_replace(m, _OWNS, "")).when(t.isin(*DIGITS), F.regexp_replace(m, "[^0-9]", "")).when(t == "email", F.lower(m)).otherwise(m)
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -105,22 +119,30 @@ def _octets(s: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.split(s, r"\."), one), ".")
 
 
-def _name(s: Column, gender: Column, digest: Column, attempt: Column) -> Column:
-    """A name of the script, gender and number of parts of s; later attempts draw longer surnames."""
-    out = None
-    for script, mark in (("latin", None), ("greek", r"\p{IsGreek}"), ("cyrillic", r"\p{IsCyrillic}")):
-        given = reduce(lambda rest, g: F.when(gender == g, _pick(GIVEN[script][g], _byte(digest, F.lit(0)))).otherwise(rest), ("m", "f"), _pick(GIVEN[script]["n"], _byte(digest, F.lit(0))))
-        sur = F.initcap(F.array_join(_syllables(script, digest, attempt), ""))
-        both = F.when(s.contains(" "), F.concat_ws(" ", given, sur)).otherwise(sur)
-        out = both if out is None else F.when(s.rlike(mark), both).otherwise(out)
-    return out
+def _by_script(s: Column, made) -> Column:
+    return reduce(lambda rest, x: F.when(s.rlike(x[1]), made(x[0])).otherwise(rest), (("greek", r"\p{IsGreek}"), ("cyrillic", r"\p{IsCyrillic}")), made("latin"))
+
+
+def _surname(s: Column, digest: Column, attempt: Column) -> Column:
+    """A surname of the script of s; later attempts draw longer ones."""
+    return _by_script(s, lambda script: F.initcap(F.array_join(_syllables(script, digest, attempt), "")))
+
+
+def _given(s: Column, gender: Column, digest: Column, attempt: Column) -> Column:
+    """A given name of the script and gender of s; later attempts draw double and longer ones."""
+
+    def made(script):
+        one = lambda g: F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: _pick(GIVEN[script][g], _byte(digest, i))), "-")
+        return F.when(gender == "f", one("f")).when(gender == "m", one("m")).otherwise(one("n"))
+
+    return _by_script(s, made)
 
 
 def _syllables(script: str, digest: Column, attempt: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(3) + attempt), lambda i: _pick(SYLLABLES[script], _byte(digest, i)))
 
 
-def surrogate(entity: Column, t: Column, gender: Column, attempt: Column, key: str) -> Column:
+def surrogate(entity: Column, t: Column, attempt: Column, key: str) -> Column:
     digest = F.sha2(F.concat_ws("|", F.lit(key), t, entity, attempt.cast("string")), 512)
     shaped = _shaped(entity, digest)
     lead = F.concat(F.substring(entity, 1, 1), F.substring(shaped, F.lit(2), F.length(shaped) - 1))  # a card's kind, a number's country
@@ -132,35 +154,51 @@ def surrogate(entity: Column, t: Column, gender: Column, attempt: Column, key: s
     iban = F.concat(F.substring(entity, 1, 2), F.substring(shaped, F.lit(3), F.length(shaped)))
     kept = F.concat(F.regexp_extract(entity, r"^((?:AKIA|ASIA|sk|pk|ghp|gho)[_-]?)", 1), F.expr("''"))
     secret = F.when(F.length(kept) > 0, F.concat(kept, F.substring(shaped, F.length(kept) + 1, F.length(shaped)))).otherwise(shaped)
-    return F.when(t == "card", card).when(t == "phone", lead).when(t == "email", email).when(t == "address", _octets(entity, digest)).when(t == "iban", iban).when(t == "secret", secret).when(t == "name", _name(entity, gender, digest, attempt)).otherwise(shaped)
+    return F.when(t == "card", card).when(t == "phone", lead).when(t == "email", email).when(t == "address", _octets(entity, digest)).when(t == "iban", iban).when(t == "secret", secret).when(t == "name", _surname(entity, digest, attempt)).otherwise(shaped)
 
 
-def entities(found: DataFrame, key: str) -> DataFrame:
-    """found(type, entity, gender), distinct -> the same with surrogate, one to one within a type and never a real entity."""
-    now = written(found.groupBy("type", "entity").agg(F.min("gender").alias("gender")).withColumn("attempt", F.lit(0)), "entities")
+def _distinct(now: DataFrame, drawn_by, rest: tuple = ()) -> DataFrame:
+    """now(type, entity, attempt, *rest) -> (type, entity, surrogate), drawn again until none collides with another or with a real entity."""
     first = Window.partitionBy("type", "surrogate").orderBy("attempt", "entity")
     while True:
-        drawn = now.withColumn("surrogate", surrogate(F.col("entity"), F.col("type"), F.col("gender"), F.col("attempt"), key))
+        drawn = now.withColumn("surrogate", drawn_by)
         real = now.select("type", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         drawn = drawn.join(real, ["type", "surrogate"], "left").withColumn("clash", (F.row_number().over(first) > 1) | F.coalesce("real", F.lit(False)))
-        now = written(drawn.select("type", "entity", "gender", (F.col("attempt") + F.when(F.col("clash"), 1).otherwise(0)).alias("attempt"), "surrogate", "clash"), "entities")
+        now = written(drawn.select("type", "entity", *rest, (F.col("attempt") + F.when(F.col("clash"), 1).otherwise(0)).alias("attempt"), "surrogate", "clash"), "entities")
         if now.where("clash").isEmpty():
             return now.select("type", "entity", "surrogate")
         now = now.drop("surrogate", "clash")
 
 
+def entities(found: DataFrame, key: str) -> DataFrame:
+    """found(type, entity, gender), distinct -> (type, entity, surrogate), one to one within a type and never a real entity.
+
+    A full name gets the surrogate of its surname with a given name before it.
+    """
+    whole = (F.col("type") == "name") & F.col("entity").contains(" ")
+    each = found.withColumn("surname", F.when(whole, F.substring_index("entity", " ", -1)))
+    single = each.select("type", F.coalesce("surname", "entity").alias("entity")).distinct().withColumn("attempt", F.lit(0))
+    table = _distinct(written(single, "entities"), surrogate(F.col("entity"), F.col("type"), F.col("attempt"), key))
+    full = each.where(whole).groupBy("type", "entity", "surname").agg(F.min("gender").alias("gender")).withColumn("attempt", F.lit(0))
+    full = written(full.join(table.select("type", F.col("entity").alias("surname"), F.col("surrogate").alias("family")), ["type", "surname"]), "full-names")
+    if full.isEmpty():
+        return table
+    digest = F.sha2(F.concat_ws("|", F.lit(key), "type", "entity", F.col("attempt").cast("string")), 512)
+    given = _given(F.col("entity"), F.col("gender"), digest, F.col("attempt"))
+    return table.unionByName(_distinct(full, F.concat_ws(" ", given, "family"), ("gender", "family")))
+
+
 def _rendered(m: Column, t: Column, s: Column) -> Column:
     """A surrogate in the mention's punctuation: for numbers, its digits put where the mention has digits."""
     chars = F.split(m, "")
     filled = F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(s, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c))
     cased = F.when((t == "email") & m.rlike("^[^a-z]*$"), F.upper(s)).otherwise(s)
-    return F.when(t.isin(*DIGITS), F.array_join(filled, "")).otherwise(cased)
+    return F.when(t.isin(*DIGITS), F.array_join(filled, "")).when(t == "name", F.concat(s, F.regexp_extract(m, f"({_OWNS})", 1))).otherwise(cased)
 
 
 def _gender(text: str, m: Column) -> Column:
-    """Of the title before a mention's first place in the text."""
-    before = F.call_function("substring_index", F.col(text), m, F.lit(1))
-    hit = lambda g: before.rlike(rf"(?:{'|'.join(TITLES[g])})\.? $")
+    """Of a title before a mention in the text."""
+    hit = lambda g: F.rlike(F.col(text), F.concat(F.lit(rf"(?<![\p{{L}}])(?:{'|'.join(TITLES[g])})\.? "), m, F.lit(r"(?![\p{L}])")))
     return F.when(hit("f"), "f").when(hit("m"), "m").otherwise("n")
 
 
@@ -173,7 +211,8 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = "probelens", cou
     """
     names = docs.columns
     has = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    rows = docs.where(has).withColumn("_m", mentions(text))
+    rows = docs.where(has).withColumn("_m", mentions(text)).withColumn("_p", _known(F.col("_m")))
+    rows = rows.withColumn("_m", F.when(F.col("_p") == ANY, F.col("_m")).otherwise(F.regexp_extract_all(F.col(text), F.col("_p"), F.lit(0))))
     pairs = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(text).alias("_h"), F.explode(F.array_distinct("_m")).alias("m"), F.col(text).alias("x"))
     pairs = pairs.withColumn("type", kind(F.col("m"))).withColumn("gender", F.when(F.col("type") == "name", _gender("x", F.col("m"))).otherwise("n"))
     pairs = written(pairs.select("_d", "_h", "m", "type", norm(F.col("m"), F.col("type")).alias("entity"), "gender"), "mentions")
@@ -181,7 +220,7 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = "probelens", cou
     drawn = pairs.join(table, ["type", "entity"]).select("_d", "_h", "m", _rendered(F.col("m"), F.col("type"), F.col("surrogate")).alias("s"))
     maps = drawn.groupBy("_d", "_h").agg(F.map_from_entries(F.collect_set(F.struct("m", "s"))).alias("_s"))  # of one text
     some = rows.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_h": F.xxhash64(text)}).join(maps, ["_d", "_h"], "left")
-    between = F.split(F.col(text), ANY, -1)
+    between = F.split(F.col(text), F.col("_p"), -1)
     new = F.transform("_m", lambda m: F.coalesce(F.element_at("_s", m), m))
     joined = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size("_m")).alias("b"), new.alias("n")), lambda z: F.concat(z["b"], z["n"])), ""), F.element_at(between, -1))
     done = some.withColumn(text, F.when(F.size("_m") > 0, joined).otherwise(F.col(text)))
