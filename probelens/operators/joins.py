@@ -12,7 +12,8 @@ def false_swaps(pairs: DataFrame, seed=0, tries: int = 8) -> DataFrame:
     """pairs(subject, object), true -> (subject, object): for each subject one object that is not true of it.
 
     Objects are numbered by a seeded order; a subject draws ``tries`` numbers, the first draw that is not among its true
-    objects holds. No cross join: subjects meet the objects they drew. Subjects all of whose draws are true are left out.
+    objects holds. No cross join: subjects meet the objects they drew. A subject all of whose draws are true gets the
+    first object, by number, that is missing among its own; only one that is true of all objects is left out.
     """
     pool = pairs.select("object").distinct()
     total = pool.agg(F.count("*").alias("m"))
@@ -20,7 +21,12 @@ def false_swaps(pairs: DataFrame, seed=0, tries: int = 8) -> DataFrame:
     drawn = pairs.select("subject").distinct().crossJoin(F.broadcast(total)).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     drawn = drawn.withColumn("k", (h32(seed, F.col("subject"), F.col("try")) % F.col("m")).cast("int"))
     fit = drawn.join(numbered, "k").join(pairs, ["subject", "object"], "left_anti")
-    return fit.groupBy("subject").agg(F.min_by("object", "try").alias("object"))
+    got = fit.groupBy("subject").agg(F.min_by("object", "try").alias("object"))
+    left = pairs.select("subject", "object").distinct().join(got.select(F.col("subject").alias("_s")), F.col("subject").eqNullSafe(F.col("_s")), "left_anti")
+    place = F.row_number().over(Window.partitionBy("subject").orderBy("k")) - 1
+    own = left.join(numbered, "object").withColumn("place", place)
+    free = own.groupBy("subject").agg(F.coalesce(F.min(F.when(F.col("k") > F.col("place"), F.col("place"))), F.count("*").cast("int")).alias("k"))
+    return got.unionByName(free.join(numbered, "k").select("subject", "object"))
 
 
 def canonical(rows: DataFrame, name: str, aliases: DataFrame) -> DataFrame:

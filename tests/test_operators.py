@@ -83,6 +83,13 @@ def test_false_swaps_are_false(spark):
     assert len(got) >= 38 and not {(r[0], r[1]) for r in got} & set(true)
 
 
+def test_false_swaps_of_hot_subjects(spark):
+    true = [(f"s{i}", f"o{j}") for i in range(30) for j in range(50) if j != i] + [("all", f"o{j}") for j in range(50)] + [("one", "o3")]
+    got = joins.false_swaps(spark.createDataFrame(true + true[:5], "subject string, object string")).collect()
+    assert len(got) == 31 and {(r[0], r[1]) for r in got if r[0] != "one"} == {(f"s{i}", f"o{i}") for i in range(30)}
+    assert {r[0]: r[1] for r in got}["one"] != "o3"
+
+
 def test_word_containment_and_entropy(spark):
     rows = spark.createDataFrame([(1, "He lives in New York now"), (2, "Yorkshire")], "id long, t string")
     names = spark.createDataFrame([("New York",), ("York",)], "name string")
