@@ -1,9 +1,10 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
+"""Benchmark decontamination by MinHash containment search.
 
 An item contaminates a document if the document has at least ``threshold`` of the item's distinct word shingles.
-Items are partitioned by shingle count into powers of two. In each, an item is represented by its bottom-s MinHash
-sketch (its s smallest shingle hashes); a document, however long, by all its shingle hashes, as in containment MinHash
-(Koslicki and Zabeti, 2019), so a short item inside a long text isn't diluted. An item of q shingles may miss at most
+Items are not partitioned by size, which the dealt method does: each has a bound of its own, and all of one shingle width
+share one sorted array of sketch hashes and one search. An item is represented by its bottom-s MinHash sketch (its s
+smallest shingle hashes); a document, however long, by all its shingle hashes, as in containment MinHash (Koslicki and
+Zabeti, 2019), so a short item inside a long text isn't diluted. An item of q shingles may miss at most
 q - ceil(threshold q) of them; s is twice that and two more, and a document is a candidate if it has all sketch hashes
 but that many. No contaminated document can fail this test. Candidates are verified by exact shingle containment.
 
@@ -64,7 +65,7 @@ class Sketches:
             spare = q - math.ceil(threshold * q - 1e-9)
             sketch = hashes[: min(len(hashes), 2 * spare + 2)]
             entries += [(w, int(h), len(self.items)) for h in sketch]
-            self.items.append((item_id, w, exact, len(sketch) - spare, q.bit_length()))
+            self.items.append((item_id, w, exact, len(sketch) - spare))
         self.by_width = {}
         for w in sorted({e[0] for e in entries}):
             own = sorted((h, i) for ww, h, i in entries if ww == w)
@@ -87,7 +88,7 @@ class Sketches:
             if close:
                 there = set(zip(*(words[k:] for k in range(w))))
                 for i in close:
-                    item_id, _, exact, _, _ = self.items[i]
+                    item_id, _, exact, _ = self.items[i]
                     shared = len(exact & there)
                     if shared >= self.threshold * len(exact) - 1e-9:
                         found.append((item_id, shared, len(exact)))
