@@ -74,13 +74,13 @@ def predict(net: Net, texts: list[bytes | None]) -> np.ndarray:
         cells = net.cells(buf, first, second)
         at = 0
         for i, x in zip(where, held):
-            n = len(x) // CELL
+            n = len(x) // CELL - 1
             big, mean = _features(cells[at : at + n])
             out[i] = big @ net.top[:FILTERS] + mean @ net.top[FILTERS:] + net.base
-            at += n
+            at += n + 1
 
     for i, raw in enumerate(texts):
-        held.append(_padded(raw))
+        held.append(_padded(raw) + b"\0" * CELL)  # a text's last windows read zeros, not the next text
         where.append(i)
         size += len(held[-1])
         if size > 1 << 19:
@@ -178,7 +178,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
 
 def score(docs: DataFrame, net: Net, text: str = "text", cut: float = 0.3) -> DataFrame:
-    """docs -> its columns but the text, score (0..1), predicted (score >= cut). A null text is read as an empty one."""
+    """docs -> its columns but the text, score (0..1), predicted (score >= cut). A null text is read as an empty one.
+
+    Columns of docs named score or predicted give way to these. Rows may repeat or lack an id: a score depends on the
+    text alone.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -186,6 +190,6 @@ def score(docs: DataFrame, net: Net, text: str = "text", cut: float = 0.3) -> Da
             yield pd.Series(predict(sent.value, list(raw)))
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "score", "predicted")]
     out = docs.select(*rest, F.pandas_udf(run, "double")(F.col(text).cast("binary")).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
