@@ -1,8 +1,11 @@
 """Language identification as mixture inference.
 
 Each language has a byte 4-gram model over A-Z lower-cased words with a space on either side, counted over all
-training documents in hashed cells. For a document, expectation-maximisation over its words estimates the proportion of each
-language; sets of its likeliest languages are compared by log-likelihood less a penalty for each further language.
+training documents in hashed cells. For a document, expectation-maximisation over its words, until the likelihood rises
+no more, estimates the proportion of each language; sets of its likeliest languages are compared by log-likelihood less
+a penalty for each further language. Sets grow as long as a larger one could still win; the likelihood is concave in the
+proportions, so bounds from its gradient at the best single language and from its maximum over all languages tell that
+exactly, and most documents in one language need no iteration.
 """
 
 from __future__ import annotations
@@ -58,47 +61,75 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", smooth: float
     return langs, np.log((table + smooth) / (table.sum(1, keepdims=True) + smooth * CELLS)).T.astype(np.float32)
 
 
-def _em(like: np.ndarray, doc: np.ndarray, mass: np.ndarray, starts: np.ndarray, prior: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions by document and their log-likelihood; like: a row for each (document, word), scaled to a maximum of 1."""
-    share = prior
-    total = np.add.reduceat(mass, starts)
-    for _ in range(rounds):
-        part = like * share[doc]
-        part *= (mass / np.maximum(part.sum(1), 1e-300))[:, None]
-        share = np.add.reduceat(part, starts, axis=0) / total[:, None]
-    return share, np.add.reduceat(mass * np.log(np.maximum((like * share[doc]).sum(1), 1e-300)), starts)
-
+def _em(like: np.ndarray, mass: np.ndarray, sizes: np.ndarray, share: np.ndarray, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions by document and their log-likelihood; like: a row for each (document, word), scaled to a maximum of 1.
 
-def mixtures(bags: list[tuple[np.ndarray, np.ndarray]], logs: np.ndarray, penalty: float, most: int, rounds: int) -> list[np.ndarray]:
+    A document is done when a round adds no more than gain; the likelihood never falls and is 0 at most, so all get there.
+    """
+    share, value = share.copy(), np.full(len(sizes), -np.inf)
+    active = np.arange(len(sizes))
+    while len(active):
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        part = like * share[active][doc]
+        sums = np.maximum(part.sum(1), 1e-300)
+        got = np.add.reduceat(mass * np.log(sums), starts)  # of the proportions as they came in
+        part *= (mass / sums)[:, None]
+        new = np.add.reduceat(part, starts, axis=0) / np.add.reduceat(mass, starts)[:, None]
+        rises = got - value[active] > gain
+        value[active] = got
+        share[active[rises]] = new[rises]
+        if not rises.all():
+            keep = rises[doc]
+            like, mass, sizes, active = like[keep], mass[keep], sizes[rises], active[rises]
+    return share, value
+
+
+def mixtures(bags: list[tuple[np.ndarray, np.ndarray]], logs: np.ndarray, penalty: float, gain: float = 1e-3) -> list[np.ndarray]:
     """Proportions for bags of (word rows in logs, counts), zero outside the selected set."""
-    doc = np.repeat(np.arange(len(bags)), [len(x) for x, _ in bags])
+    sizes = np.array([len(x) for x, _ in bags])
     mass = np.concatenate([c for _, c in bags]).astype(np.float64)
     rows = logs[np.concatenate([x for x, _ in bags])].astype(np.float64)
-    starts = np.concatenate(([0], np.cumsum([len(x) for x, _ in bags])[:-1]))
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     n_lang, base = rows.shape[1], rows.max(1)
-    like = np.exp(rows - base[:, None])
-    share, _ = _em(like, doc, mass, starts, np.full((len(bags), n_lang), 1 / n_lang), rounds)
-    single = np.add.reduceat(mass[:, None] * (rows - base[:, None]), starts, axis=0)
-    best_lang = single.argmax(1)
-    best = np.zeros_like(share)
+    scaled = rows - base[:, None]
+    single = np.add.reduceat(mass[:, None] * scaled, starts, axis=0)
+    best_lang, value = single.argmax(1), single.max(1)
+    best = np.zeros((len(bags), n_lang))
     best[np.arange(len(bags)), best_lang] = 1
-    value = single.max(1)
-    order = np.argsort(-share, axis=1, kind="stable")
     total = np.add.reduceat(mass, starts)
-    for k in range(2, min(most, n_lang) + 1):
-        allowed = np.zeros_like(share)
-        np.put_along_axis(allowed, order[:, :k], 1 / k, axis=1)
-        got, ll = _em(like, doc, mass, starts, allowed, rounds)
-        ll = ll - penalty * (k - 1) * np.log(total + 1)
-        better = ll > value
-        best[better], value = got[better], np.maximum(ll, value)
+    cost = penalty * np.log(total + 1)
+    doc = np.repeat(np.arange(len(bags)), sizes)
+    own = scaled[np.arange(len(scaled)), best_lang[doc]]
+    slope = np.add.reduceat(mass[:, None] * np.exp(np.minimum(scaled - own[:, None], 700)), starts, axis=0).max(1) - total
+    open_ = np.flatnonzero((slope > cost) & (-value > cost))  # others: no proportions gain what a second language costs
+    if not len(open_):
+        return list(best)
+    keep = np.isin(doc, open_)
+    like, mass, sizes = np.exp(scaled[keep]), mass[keep], sizes[open_]
+    share, most = _em(like, mass, sizes, np.full((len(open_), n_lang), 1 / n_lang), gain)
+    order = np.argsort(-share, axis=1, kind="stable")
+    cost, value = cost[open_], value[open_]
+    for k in range(2, n_lang + 1):
+        could = np.flatnonzero(most + gain - cost * (k - 1) > value)
+        if not len(could):
+            break
+        allowed = np.zeros((len(could), n_lang))
+        np.put_along_axis(allowed, order[could, :k], 1 / k, axis=1)
+        mine = np.isin(np.repeat(np.arange(len(open_)), sizes), could)
+        got, ll = _em(like[mine], mass[mine], sizes[could], allowed, gain)
+        ll = ll - cost[could] * (k - 1)
+        better = ll > value[could]
+        best[open_[could[better]]] = got[better]
+        value[could] = np.maximum(value[could], ll)
     return list(best)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", penalty: float = 4.0, most: int = 4, rounds: int = 12) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", penalty: float = 4.0, gain: float = 1e-3) -> DataFrame:
     """docs -> its columns but the text's, lang_pred, score (share of lang_pred in 0..1), langs: array of (lang, share).
 
-    A null text, one without a letter, or a model without languages gives und with score 0 and no langs.
+    A null text, one without a letter, or a model without languages gives und with score 0 and no langs. Columns of docs
+    named lang_pred, score or langs give way to these. gain: nats under which a round of the iteration is its last.
     """
     names, table = model
     spark = docs.sparkSession
@@ -131,7 +162,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
                             logs[base + a : base + a + len(starts)] = np.add.reduceat(sent.value[cells], starts, axis=0)
                         seen.update(zip(fresh, range(base, base + len(fresh))))
                     bags = [np.unique(np.fromiter(map(seen.__getitem__, ws), np.int64, len(ws)), return_counts=True) for ws in held]
-                    for j, share in zip(where, mixtures(bags, logs, penalty, most, rounds)):
+                    for j, share in zip(where, mixtures(bags, logs, penalty, gain)):
                         top = np.argsort(-share, kind="stable")
                         out[j] = (names[top[0]], min(1.0, float(share[top[0]])), [(names[x], float(share[x])) for x in top if share[x] > 0])
                     held, where, size = [], [], 0
@@ -140,8 +171,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     from collections.abc import Iterator
 
     run = F.pandas_udf(_typed(run.func, Iterator), run.returnType)
-    rest = [c for c in docs.columns if c != text]
-    return docs.select(*rest, run(F.col(text)).alias("_r")).select(*rest, "_r.lang_pred", "_r.score", "_r.langs")
+    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score", "langs")]
+    out = docs.select(F.struct(*rest).alias("d"), run(F.col(text)).alias("r")) if rest else docs.select(run(F.col(text)).alias("r"))
+    return out.select(*[F.col("d")[c].alias(c) for c in rest], "r.lang_pred", "r.score", "r.langs")
 
 
 def _typed(f, iterator):
