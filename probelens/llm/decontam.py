@@ -1,12 +1,13 @@
-"""Benchmark decontamination by MinHash containment search.
+"""Benchmark decontamination by size-partitioned MinHash containment search.
 
 An item contaminates a document if the document has at least ``threshold`` of the item's distinct word shingles.
-Items are not partitioned by size, which the dealt method does: each has a bound of its own, and all of one shingle width
-share one sorted array of sketch hashes and one search. An item is represented by its bottom-s MinHash sketch (its s
-smallest shingle hashes); a document, however long, by all its shingle hashes, as in containment MinHash (Koslicki and
-Zabeti, 2019), so a short item inside a long text isn't diluted. An item of q shingles may miss at most
-q - ceil(threshold q) of them; s is twice that and two more, and a document is a candidate if it has all sketch hashes
-but that many. No contaminated document can fail this test. Candidates are verified by exact shingle containment.
+Items are partitioned by their number of shingles into powers of two (as in LSH Ensemble, Zhu et al., 2016). An item is
+represented by its bottom-s MinHash sketch (its s smallest shingle hashes), and each partition has an index of its own
+from sketch hashes to items; a document, however long, asks with all its shingle hashes, as in containment MinHash
+(Koslicki and Zabeti, 2019), so a short item inside a long text isn't diluted, and it skips every partition whose
+smallest item needs more shingles than it has. An item of q shingles may miss at most q - ceil(threshold q) of them; s
+is twice that and two more, and a document is a candidate if it has all sketch hashes but that many. No contaminated
+document can fail this test. Candidates are verified by exact shingle containment.
 
 Words are runs of letters, digits and _ in the lower-cased text, so that punctuation set against a passage does not hide
 it. Items of fewer words than a shingle have their whole sequence as their one shingle, which is sought as such.
@@ -47,13 +48,38 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
+class Partition:
+    """Items of one shingle width and size class: an index from sketch hashes to items."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray, int]]):
+        """members: (item number, hits that a candidate needs, sketch, shingles that a document needs)."""
+        self.needs = np.array([n for _, n, _, _ in members])
+        self.numbers = np.array([i for i, _, _, _ in members])
+        self.least = min(x for _, _, _, x in members)
+        hashes = np.concatenate([h for _, _, h, _ in members])
+        owners = np.repeat(np.arange(len(members)), [len(h) for _, _, h, _ in members])
+        order = np.argsort(hashes, kind="stable")
+        self.keys, first = np.unique(hashes[order], return_index=True)
+        self.ends, self.owners = np.append(first, len(order)), owners[order]
+
+    def candidates(self, own: np.ndarray) -> np.ndarray:
+        """Item numbers that distinct shingle hashes of a document may contain."""
+        if len(own) < self.least:
+            return self.numbers[:0]
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        at = at[self.keys[at] == own]
+        if not len(at):
+            return self.numbers[:0]
+        owners = np.concatenate([self.owners[self.ends[k] : self.ends[k + 1]] for k in at])
+        return self.numbers[np.bincount(owners, minlength=len(self.needs)) >= self.needs]
+
+
 class Sketches:
-    """One block of items: sketches for the candidate test, and exact shingles for the verification."""
+    """One block of items: sketches by partition for the candidate test, and exact shingles for the verification."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, threshold: float):
-        self.width, self.threshold = width, threshold
-        self.items = []
-        entries = []
+        self.threshold, self.items = threshold, []
+        members: dict[tuple[int, int], list] = {}
         for item_id, text in items:
             words = tokenize(text)
             if not words:
@@ -61,34 +87,29 @@ class Sketches:
             w = min(width, len(words))
             exact = frozenset(tuple(words[i : i + w]) for i in range(len(words) - w + 1))
             hashes = np.unique(shingles(_hashes(words), w))
-            q = len(exact)
-            spare = q - math.ceil(threshold * q - 1e-9)
+            least = math.ceil(threshold * len(exact) - 1e-9)
+            spare = len(exact) - least
             sketch = hashes[: min(len(hashes), 2 * spare + 2)]
-            entries += [(w, int(h), len(self.items)) for h in sketch]
-            self.items.append((item_id, w, exact, len(sketch) - spare))
-        self.by_width = {}
-        for w in sorted({e[0] for e in entries}):
-            own = sorted((h, i) for ww, h, i in entries if ww == w)
-            self.by_width[w] = np.array([h for h, _ in own], np.uint64), np.array([i for _, i in own], np.int64)
+            members.setdefault((w, len(exact).bit_length()), []).append((len(self.items), max(1, len(sketch) - spare), sketch, least))
+            self.items.append((item_id, exact))
+        self.partitions: dict[int, list[Partition]] = {}
+        for (w, _), own in sorted(members.items()):
+            self.partitions.setdefault(w, []).append(Partition(own))
 
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, shared shingles, item shingles) of the items that the text contains."""
         words = tokenize(text)
-        if not words:
-            return []
         hashes, found = None, []
-        for w, (keys, owners) in self.by_width.items():
+        for w, partitions in self.partitions.items():
             if len(words) < w:
                 continue
             hashes = _hashes(words) if hashes is None else hashes
             own = np.unique(shingles(hashes, w))
-            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-            hits = np.bincount(owners[own[at] == keys], minlength=len(self.items))
-            close = [i for i in np.flatnonzero(hits) if self.items[i][1] == w and hits[i] >= max(1, self.items[i][3])]
-            if close:
-                there = set(zip(*(words[k:] for k in range(w))))
-                for i in close:
-                    item_id, _, exact, _ = self.items[i]
+            there = None
+            for partition in partitions:
+                for i in partition.candidates(own):
+                    there = set(zip(*(words[k:] for k in range(w)))) if there is None else there
+                    item_id, exact = self.items[i]
                     shared = len(exact & there)
                     if shared >= self.threshold * len(exact) - 1e-9:
                         found.append((item_id, shared, len(exact)))
