@@ -5,7 +5,8 @@ codes: in an equi-join a looked-up word costs more than a code met under it). Ro
 of the first a query segments. After it, a code that was not met differs by more than s in these and by more than s - 1
 in the others, so all codes within m s + a - 1 bits are known: a query is done once its k-th verified distance is within
 that radius. A query with k verified distances asks only for the segments that reach the k-th.
-Equal codes are one entry of the index, with the k + 1 smallest ids.
+Equal codes are one entry of the index, with the k + 1 smallest ids. Once the words at the next distance outnumber the
+codes, what is left of the queries is compared with all codes instead, in blocks: an outlier costs one scan.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,18 +54,57 @@ def _words(code: str, segments, flips=None, first: str | None = None) -> Column:
     return F.flatten(F.array(*out))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", code_col: str = "code") -> DataFrame:
+def _scan(index: DataFrame, todo: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(q, code, low, n, dist): for each q of todo, the k + 1 nearest codes of each part of the index. block: queries that are sent at once."""
+
+    def nearest(sent):
+        def run(batches):
+            qs = sent.value
+            best = None
+            for pdf in batches:
+                for a in range(0, len(pdf), 4096):
+                    part = pdf.iloc[a : a + 4096]
+                    code, low, n = (part[c].to_numpy(np.int64) for c in ("code", "low", "n"))
+                    dist = np.bitwise_count(qs[:, None] ^ code.view(np.uint64)[None]).astype(np.int64)
+                    new = [dist, *(np.broadcast_to(x, dist.shape) for x in (code, low, n))]
+                    if best is not None:
+                        new = [np.concatenate(x, axis=1) for x in zip(best, new)]
+                    order = np.lexsort((new[2], new[0]), axis=1)[:, : k + 1]
+                    best = [np.take_along_axis(x, order, axis=1) for x in new]
+            if best is not None:
+                width = best[0].shape[1]
+                yield pd.DataFrame({"q": np.repeat(qs.view(np.int64), width), "code": best[1].ravel(), "low": best[2].ravel(), "n": best[3].ravel().astype(np.int32), "dist": best[0].ravel().astype(np.int32)})
+
+        return run
+
+    out, held = None, []
+    small = index.select("code", F.element_at("ids", 1).alias("low"), F.size("ids").alias("n"))
+
+    def met(qs):
+        sent = index.sparkSession.sparkContext.broadcast(np.array(qs, np.int64).view(np.uint64))
+        return small.mapInPandas(nearest(sent), "q long, code long, low long, n int, dist int")
+
+    for r in todo.select("q").toLocalIterator():
+        held.append(r["q"])
+        if len(held) == block:
+            out, held = met(held) if out is None else out.unionByName(met(held)), []
+    return (met(held) if out is None else out.unionByName(met(held))) if held else out
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", code_col: str = "code", most_words: int = 1 << 12) -> DataFrame:
     """rows(id, code), queries(id, code) -> (query_id, rank, id, distance): the k nearest rows other than the query.
 
     Ties go to the smaller id. Rows with a null id or code are not found and not queries; repeated rows count once.
-    Fewer than k rows give fewer than k results.
+    Fewer than k rows give fewer than k results. most_words: words that a query may look up in one round whatever the
+    number of codes.
     """
     spark = rows.sparkSession
     named = rows.select(F.col(id_col).alias("id"), F.col(code_col).alias("code")).where("id is not null and code is not null").distinct()
     few = Window.partitionBy("code").orderBy("id")
     index = written(named.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     asked = written(queries.select(F.col(id_col).alias("query_id"), F.col(code_col).alias("q")).where("query_id is not null and q is not null").distinct(), "queries")
-    m = max(1, min(16, round(64 / max(4, math.log2(max(2, index.count())) - 2))))
+    size = index.count()
+    m = max(1, min(16, round(64 / max(4, math.log2(max(2, size)) - 2))))
     segments = _segments(m)
     tables = index.select("code", F.element_at("ids", 1).alias("low"), F.size("ids").alias("n"), F.explode(_words("code", segments)).alias("w")).select("w.j", "w.val", "code", "low", "n")
     todo = asked.select("q").distinct().withColumns({"bound": F.lit(64), "a": F.lit(m)})
@@ -70,6 +112,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     widest = max(w for _, w in segments)
     ranked = Window.partitionBy("q").orderBy("dist", "low")
     for s in range(widest + 1):
+        if sum(math.comb(w, s) for _, w in segments) > max(most_words, size):
+            met = _scan(index, todo, k)
+            met = (met if best is None else met.unionByName(best.select("q", "code", "low", "n", "dist"))).distinct()
+            best = written(met.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).drop("r"), "best")
+            break
         flips = {w: [sum(1 << i for i in c) for c in combinations(range(w), s)] for w in {w for _, w in segments}}
         probes = todo.select("q", "bound", F.explode(_words("q", segments, flips, "a")).alias("w")).select("q", "bound", "w.j", "w.val")
         dist = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
