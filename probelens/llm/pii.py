@@ -5,7 +5,9 @@ of their case, separators stay; card numbers that pass the Luhn check get surrog
 stay octets; names after a title keep the title's gender and the name's script, and are replaced wherever the text has them
 again, whole or by surname; a full name's surrogate ends in its surname's. Equal entities get equal surrogates in
 the whole corpus (however a number is punctuated), different ones different: the table of distinct entities is checked
-for surrogates that collide with each other or with a real entity, and those are drawn again until none is left.
+for surrogates that collide with each other or with a real entity, and those are drawn again. Where a shape has so few
+free values that some still collide after ``DRAWS`` draws, the shape's entities exchange their values by keyed rotation,
+which is one to one: no entity keeps its own, but a surrogate may then be another's real value.
 
 Mentions are folded to distinct entities before they are shuffled, and only texts that have one are joined with the
 table, by document; all other texts pass by.
@@ -13,9 +15,11 @@ table, by document; all other texts pass by.
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
+from itertools import count as rounds
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probelens.llm.common import written
@@ -51,6 +55,10 @@ ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 HINT = rf"[0-9@]|(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z]{{16}}|(?:sk|pk|ghp|gho)[_-]|[a-fA-F]{{32}})|(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}"
 _OWNS = "['’]s$"
 DIGITS = ("card", "ssn", "phone")
+#: draws before a shape counts as full
+DRAWS = 12
+#: entities that exchange values with each other, on average
+EXCHANGE = 4096
 
 
 def mentions(text: str = "text") -> Column:
@@ -85,8 +93,10 @@ def _byte(digest: Column, i: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, at * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.floor(i / 64).cast("int") * 37, F.lit(256))
 
 
-def _pick(values: tuple, n: Column) -> Column:
-    return F.element_at(F.lit(list(values)), F.pmod(n, F.lit(len(values))).cast("int") + 1)
+def _pick(values: tuple, n: Column, but: Column | None = None) -> Column:
+    """Value number n, of those other than but."""
+    left = F.lit(list(values)) if but is None else F.array_remove(F.lit(list(values)), but)
+    return F.element_at(left, F.pmod(n, F.size(left)).cast("int") + 1)
 
 
 def _shaped(s: Column, digest: Column) -> Column:
@@ -129,10 +139,10 @@ def _surname(s: Column, digest: Column, attempt: Column) -> Column:
 
 
 def _given(s: Column, gender: Column, digest: Column, attempt: Column) -> Column:
-    """A given name of the script and gender of s; later attempts draw double and longer ones."""
+    """Another given name of the script and gender of s; later attempts draw double and longer ones."""
 
     def made(script):
-        one = lambda g: F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: _pick(GIVEN[script][g], _byte(digest, i))), "-")
+        one = lambda g: F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda i: _pick(GIVEN[script][g], _byte(digest, i), F.substring_index(s, " ", 1))), "-")
         return F.when(gender == "f", one("f")).when(gender == "m", one("m")).otherwise(one("n"))
 
     return _by_script(s, made)
@@ -157,28 +167,51 @@ def surrogate(entity: Column, t: Column, attempt: Column, key: str) -> Column:
     return F.when(t == "card", card).when(t == "phone", lead).when(t == "email", email).when(t == "address", _octets(entity, digest)).when(t == "iban", iban).when(t == "secret", secret).when(t == "name", _surname(entity, digest, attempt)).otherwise(shaped)
 
 
-def _distinct(now: DataFrame, drawn_by, rest: tuple = ()) -> DataFrame:
-    """now(type, entity, attempt, *rest) -> (type, entity, surrogate), drawn again until none collides with another or with a real entity."""
+def _exchanged(now: DataFrame, key: str) -> DataFrame:
+    """now(type, entity, surrogate, clash) with the values of full shapes passed round among their entities.
+
+    Values of a full shape that the draws made are none of its entities, so what is passed round is free. A lone entity
+    of a shape keeps its last draw. Names have longer draws at hand and are never full.
+    """
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("entity", "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    now = now.withColumn("shape", shape)
+    full = now.groupBy("type", "shape").agg(F.count("*").alias("n"), F.bool_or("clash").alias("full")).where("full and n > 1").drop("full")
+    h = F.sha2(F.concat_ws("|", F.lit(key), "type", "entity"), 256)
+    within = F.pmod(F.xxhash64(h), F.greatest(F.floor(F.col("n") / EXCHANGE), F.lit(1)))
+    turn = Window.partitionBy("type", "shape", "slot").orderBy("h")
+    ring = now.join(full, ["type", "shape"]).withColumns({"h": h, "slot": within})
+    ring = ring.withColumn("surrogate", F.coalesce(F.lead("entity").over(turn), F.first("entity").over(turn)))
+    return now.join(full, ["type", "shape"], "left_anti").select("type", "entity", "surrogate").unionByName(ring.select("type", "entity", "surrogate"))
+
+
+def _distinct(now: DataFrame, drawn_by, rest: tuple = (), key: str | None = None) -> DataFrame:
+    """now(type, entity, attempt, *rest) -> (type, entity, surrogate), drawn again until none collides with another or with a real entity.
+
+    key: after DRAWS draws, full shapes exchange their values.
+    """
     first = Window.partitionBy("type", "surrogate").orderBy("attempt", "entity")
-    while True:
+    for draw in rounds(1):
         drawn = now.withColumn("surrogate", drawn_by)
         real = now.select("type", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         drawn = drawn.join(real, ["type", "surrogate"], "left").withColumn("clash", (F.row_number().over(first) > 1) | F.coalesce("real", F.lit(False)))
         now = written(drawn.select("type", "entity", *rest, (F.col("attempt") + F.when(F.col("clash"), 1).otherwise(0)).alias("attempt"), "surrogate", "clash"), "entities")
         if now.where("clash").isEmpty():
             return now.select("type", "entity", "surrogate")
+        if key is not None and draw >= DRAWS and not now.where("clash and type <> 'name'").isEmpty():
+            names = now.where("type = 'name'").select("type", "entity", *rest, "attempt")
+            return written(_exchanged(now.where("type <> 'name'"), key), "exchanged").unionByName(_distinct(names, drawn_by, rest))
         now = now.drop("surrogate", "clash")
 
 
 def entities(found: DataFrame, key: str) -> DataFrame:
-    """found(type, entity, gender), distinct -> (type, entity, surrogate), one to one within a type and never a real entity.
+    """found(type, entity, gender), distinct -> (type, entity, surrogate), one to one within a type and never a real entity but in full shapes.
 
     A full name gets the surrogate of its surname with a given name before it.
     """
     whole = (F.col("type") == "name") & F.col("entity").contains(" ")
     each = found.withColumn("surname", F.when(whole, F.substring_index("entity", " ", -1)))
     single = each.select("type", F.coalesce("surname", "entity").alias("entity")).distinct().withColumn("attempt", F.lit(0))
-    table = _distinct(written(single, "entities"), surrogate(F.col("entity"), F.col("type"), F.col("attempt"), key))
+    table = _distinct(written(single, "entities"), surrogate(F.col("entity"), F.col("type"), F.col("attempt"), key), key=key)
     full = each.where(whole).groupBy("type", "entity", "surname").agg(F.min("gender").alias("gender")).withColumn("attempt", F.lit(0))
     full = written(full.join(table.select("type", F.col("entity").alias("surname"), F.col("surrogate").alias("family")), ["type", "surname"]), "full-names")
     if full.isEmpty():
@@ -202,16 +235,24 @@ def _gender(text: str, m: Column) -> Column:
     return F.when(hit("f"), "f").when(hit("m"), "m").otherwise("n")
 
 
-def replace_pii(docs: DataFrame, text: str = "text", key: str = "probelens", count: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The secret of the session setting ``spark.probelens.pii.key``; a random one where it is unset."""
+    return spark.conf.get("spark.probelens.pii.key", None) or secrets.token_hex(32)
+
+
+def replace_pii(docs: DataFrame, text: str = "text", key: str | None = None, count: str | None = None) -> DataFrame:
     """docs with surrogates in the text; other columns as they are. count: a column for the number of replaced mentions.
 
     Null and empty texts stay. The same key gives the same surrogates for the same corpus; with another key, or where
-    entities collide that did not before, they differ. Rows may repeat or lack a doc_id: texts meet their surrogates
-    by (doc_id, hash of the text).
+    entities collide that did not before, they differ. key: a secret; None takes session_key(). Rows may repeat or lack
+    a doc_id: texts meet their surrogates by (doc_id, hash of the text). A column of docs named like count gives way.
     """
+    key = key or session_key(docs.sparkSession)
+    if count:
+        docs = docs.drop(count)
     names = docs.columns
     has = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    rows = docs.where(has).withColumn("_m", mentions(text)).withColumn("_p", _known(F.col("_m")))
+    rows = docs.where(has).select("doc_id", text, F.struct(*docs.columns).alias("_row")).withColumn("_m", mentions(text)).withColumn("_p", _known(F.col("_m")))
     rows = rows.withColumn("_m", F.when(F.col("_p") == ANY, F.col("_m")).otherwise(F.regexp_extract_all(F.col(text), F.col("_p"), F.lit(0))))
     pairs = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(text).alias("_h"), F.explode(F.array_distinct("_m")).alias("m"), F.col(text).alias("x"))
     pairs = pairs.withColumn("type", kind(F.col("m"))).withColumn("gender", F.when(F.col("type") == "name", _gender("x", F.col("m"))).otherwise("n"))
@@ -223,8 +264,7 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = "probelens", cou
     between = F.split(F.col(text), F.col("_p"), -1)
     new = F.transform("_m", lambda m: F.coalesce(F.element_at("_s", m), m))
     joined = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size("_m")).alias("b"), new.alias("n")), lambda z: F.concat(z["b"], z["n"])), ""), F.element_at(between, -1))
-    done = some.withColumn(text, F.when(F.size("_m") > 0, joined).otherwise(F.col(text)))
-    rest = docs.where(~has)
-    if count:
-        done, rest, names = done.withColumn(count, F.size("_m")), rest.withColumn(count, F.lit(0)), [*names, count]
-    return done.select(*names).unionByName(rest.select(*names))
+    new_text = F.when(F.size("_m") > 0, joined).otherwise(F.col(text)).alias(text)
+    more = (F.size("_m").alias(count), F.lit(0).alias(count)) if count else ()
+    done = some.select(*[new_text if c == text else F.col("_row")[c].alias(c) for c in names], *more[:1])
+    return done.unionByName(docs.where(~has).select(*names, *more[1:]))

@@ -51,7 +51,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(_read(spark, sf_dir, "documents", "doc_id", "text"), count="n_replaced")
+    """With the session's key, or a public one, so that the query's reruns agree."""
+    key = spark.conf.get("spark.probelens.pii.key", None) or "public"
+    return pii.replace_pii(_read(spark, sf_dir, "documents", "doc_id", "text"), key=key, count="n_replaced")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
