@@ -16,28 +16,39 @@ LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter, or without a language of LEAST_SHARE, go."""
-    found = langid.identify(docs.withColumn("_langid_text", F.col("text")), langid.learn(docs), text="_langid_text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    """Documents with a language; those without a letter (null and empty texts too), or without a language of LEAST_SHARE, go.
+
+    Rows may repeat, lack an id, and have further columns of any name: a row is judged by its text alone.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    found = langid.identify(rows, langid.learn(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the smallest doc_id; of its rows without a doc_id one stays as well."""
-    return simhash.keep_one(docs)
+    """One document of each SimHash group: the smallest doc_id, or a row without an id where the group has no other.
+
+    Null and wordless texts are one group. Ids may repeat: rows are grouped by their texts.
+    """
+    return simhash.keep_one(docs, nameless_apart=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; null and empty texts have none. A row is judged by its text alone."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with surrogates for personal data."""
-    return pii.replace_pii(docs)
+    """The same documents with surrogates for personal data, by the session's key, or a public one, so that reruns agree."""
+    return pii.replace_pii(docs, key=spark.conf.get("spark.probelens.pii.key", None) or "public")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order: documents with their target, words taken and positions."""
+    """The mix in training order: documents with their target, words taken and positions.
+
+    Ids may repeat or be null; documents without words, and those that the targets don't reach, are not in the mix.
+    Columns of documents named like one of the mix's give way to it.
+    """
     return mixing.mix(docs, keep=True).where("taken > 0")
 
 

@@ -82,13 +82,15 @@ def mix(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, c
     that a source's target reaches is taken in part, so that each source's words are its target (rounded down). Null
     texts and texts without words have size 0 and no copies. A null source is a source of its own, after all others.
     Equal doc_ids are ordered by size, then by the text's hash; rows without a doc_id are dealt by that hash. keep: with
-    docs' columns in front, carried along row by row, so that ids may repeat or be null. An empty table gives an empty result.
+    docs' columns in front, carried along row by row, so that ids may repeat or be null; those named like a column of the
+    mix give way to it. An empty table gives an empty result.
     """
     x = F.xxhash64("text")
     row = F.struct(*docs.columns) if keep else F.lit(None).cast("int")
     rows = docs.select("doc_id", "source", words().alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), x.cast("string")))).alias("h"), x.alias("x"), row.alias("_row"))
     rows = written(rows.withColumn("s_null", F.col("source").isNull()).withColumn("s", F.coalesce("source", F.lit(""))), "sizes")
-    bits = max(4, min(24, math.ceil(math.log2(max(1, rows.count()) / ROWS_A_BUCKET))) if rows.count() else 4)
+    n = rows.count()
+    bits = max(4, min(24, math.ceil(math.log2(max(1, n) / ROWS_A_BUCKET))))
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 6), 16, 10).cast("long"), 24 - bits))
     by = ["s_null", "s", "bucket"]
     sums = rows.groupBy(*by).agg(F.sum("size").alias("n"))
@@ -104,7 +106,8 @@ def mix(docs: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.5, c
     copies = F.transform(reached, lambda x: F.struct(due(x / F.col("target"), F.col("knots")).alias("position"), F.least(F.col("size"), quota - x).alias("words")))
     out = placed.withColumn("knots", knots).withColumn("copies", copies)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    names = [F.col("_row")[c].alias(c) for c in docs.columns] if keep else ["doc_id", "source"]
+    made = ("size", "source_size", "target", "taken", "copies", "first_position")
+    names = [F.col("_row")[c].alias(c) for c in docs.columns if c not in made] if keep else ["doc_id", "source"]
     out = out.select(*names, "size", "source_size", "target", taken.alias("taken"), "copies", F.get("copies", F.lit(0))["position"].alias("first_position"))
     return out.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 

@@ -187,13 +187,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 3, **optio
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, **options) -> DataFrame:
-    """One row of each group: of least doc_id, then text hash, then hash of the row. Of a group's rows without a doc_id one stays as well."""
+def keep_one(docs: DataFrame, width: int = 3, nameless_apart: bool = True, **options) -> DataFrame:
+    """One row of each group: of least doc_id, then text hash, then hash of the row.
+
+    nameless_apart: of a group's rows without a doc_id one stays as well; else only in a group that has no other rows.
+    Columns of docs may have any name.
+    """
     rows = written(fingerprints(docs, "text", width), "fingerprints")
-    nameless = F.col("doc_id").isNull().alias("_n")
-    leads = rows.groupBy("fp", nameless).agg(F.min(F.struct("doc_id", "h")).alias("lead")).join(_linked(rows, **options), "fp")
-    leads = leads.groupBy("root", "_n").agg(F.min("lead").alias("lead")).select("_n", F.coalesce(F.col("lead.doc_id").cast("string"), F.lit("")).alias("_d"), F.col("lead.h").alias("_h"))
-    keyed = docs.withColumns({"_n": nameless, "_d": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_h": F.xxhash64("text")})
-    first = Window.partitionBy("_n", "_d", "_h").orderBy(F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]))  # of equal texts of one id
-    once = keyed.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    return once.join(leads, ["_n", "_d", "_h"], "left_semi").select(*docs.columns)
+    nameless = F.col("doc_id").isNull().alias("_n") if nameless_apart else F.lit(False).alias("_n")
+    first_named = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.struct("doc_id", "h").alias("lead")))["lead"]
+    leads = rows.groupBy("fp", nameless).agg(first_named.alias("lead")).join(_linked(rows, **options), "fp")
+    named = F.struct(F.col("lead.doc_id").isNull().alias("n"), "lead")
+    leads = leads.groupBy("root", "_n").agg(F.min(named)["lead"].alias("lead")).select("_n", F.coalesce(F.col("lead.doc_id").cast("string"), F.lit("")).alias("_d"), F.col("lead.h").alias("_h"))
+    whole = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
+    keyed = docs.select(nameless, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.xxhash64("text").alias("_h"), whole.alias("_o"), F.struct(*docs.columns).alias("_row"))
+    first = Window.partitionBy("_n", "_d", "_h").orderBy("_o")  # of equal texts of one id
+    once = keyed.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    return once.join(leads, ["_n", "_d", "_h"], "left_semi").select("_row.*")
