@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: cells of one block of a count table that partitions exchange
-BLOCK = 1 << 20
-SALTS = 32
+BLOCK = 1 << 18
+#: partial blocks that a task adds up at once
+FAN = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, a new one where it is unset."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return str(held.get()).rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="probelens-"))
     return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
@@ -64,7 +67,7 @@ def fold(col: str, mod: int):
 
 def sparse_rows(key: int, counts: np.ndarray) -> pd.DataFrame:
     """The non-zero cells of a flat count array as rows (key, blk, salt, idx, val) of packed blocks."""
-    salt = TaskContext.get().partitionId() % SALTS if TaskContext.get() else 0
+    salt = TaskContext.get().partitionId() if TaskContext.get() else 0
     rows = []
     for blk, start in enumerate(range(0, len(counts), BLOCK)):
         part = counts[start : start + BLOCK]
@@ -78,7 +81,7 @@ SPARSE = "key int, blk int, salt int, idx binary, val binary"
 
 
 def merged(partials: DataFrame, most: int | None = None) -> DataFrame:
-    """Add up packed partial blocks, in two levels so that no task reads the partials of a block from all partitions.
+    """Add up packed partial blocks in a tree: a task adds those of FAN partitions, so what it holds does not grow.
 
     most: saturate there (a sketch that only asks for "repeated" needs no more than 2).
     """
@@ -90,9 +93,13 @@ def merged(partials: DataFrame, most: int | None = None) -> DataFrame:
         if most:
             np.minimum(total, most, out=total)
         at = np.flatnonzero(total)
-        return pd.DataFrame([(int(pdf["key"].iloc[0]), int(pdf["blk"].iloc[0]), 0, at.astype("<u4").tobytes(), total[at].astype("<i8").tobytes())], columns=["key", "blk", "salt", "idx", "val"])
+        return pd.DataFrame([(int(pdf["key"].iloc[0]), int(pdf["blk"].iloc[0]), int(pdf["salt"].iloc[0]) // FAN, at.astype("<u4").tobytes(), total[at].astype("<i8").tobytes())], columns=["key", "blk", "salt", "idx", "val"])
 
-    return partials.groupBy("key", "blk", "salt").applyInPandas(add, SPARSE).groupBy("key", "blk").applyInPandas(add, SPARSE)
+    left = partials.rdd.getNumPartitions()
+    while left > FAN:
+        left = -(-left // FAN)
+        partials = partials.groupBy("key", "blk", F.expr(f"salt div {FAN}").cast("int").alias("s")).applyInPandas(add, SPARSE)
+    return partials.groupBy("key", "blk").applyInPandas(add, SPARSE)
 
 
 def gathered(partials: DataFrame, keys: int, cells: int, most: int | None = None, dtype: str = "int64") -> np.ndarray:

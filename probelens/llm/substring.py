@@ -6,7 +6,7 @@ distinct anchors to a count-min sketch; partition sketches are merged by cell. A
 window whose anchor counts below 2 in some row of the sketch is in one text only and is left out. The sketch has a
 fixed size; where it fills up, more windows pass, none is lost.
 
-Pass 2 groups the windows that passed by 128-bit hashes of their word sequences. Within a partition only the smallest
+Pass 2 groups the windows that passed by 128-bit hashes of their word sequences, which stand for the sequences. Within a partition only the smallest
 doc_id of each is left open, the others are settled there; so a passage that a third of all texts share sends a row for
 each partition, not for each text. The open rows meet by window, and those with a larger doc_id than the smallest are
 covered. The covered spans of a text are then cut from it.
@@ -19,6 +19,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,11 +129,7 @@ def repeated_cells(rows: DataFrame, width: int, bits: int) -> np.ndarray:
 
 def _by_block(row: int, at: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     """sparse_rows() for cells that are known already."""
-    from pyspark import TaskContext
-
-    from probelens.llm.common import SALTS
-
-    salt = TaskContext.get().partitionId() % SALTS
+    salt = TaskContext.get().partitionId()
     blocks = at // BLOCK
     cut = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(at)]))
     out = [(row, int(blocks[a]), salt, (at[a:b] % BLOCK).astype("<u4").tobytes(), n[a:b].astype("<i8").tobytes()) for a, b in zip(cut[:-1], cut[1:]) if b > a]
