@@ -316,12 +316,45 @@ def test_toxicity_counts_are_exact(spark, monkeypatch, parts, held):
     df = spark.createDataFrame([(t, int(c), h) for t, c, h in rows], "raw string, cls int, half int").withColumn("raw", F.col("raw").cast("binary"))
     got = toxicity.count(df.repartition(parts)).collect()
     assert {r["word"]: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+    assert sorted(map(tuple, toxicity.count(df.repartition(3), n=9000).collect())) == sorted(map(tuple, got))  # in nine buckets
     table = spark.createDataFrame([(k, *v) for k, v in want.items()], "word long, c0 long, c1 long, c2 long, c3 long, n0 long, n1 long, n2 long")
-    for discount in (3.0, 0.5):
-        n, own = {w: v[6] for w, v in want.items()}, [{w: v[c] + v[c + 2] for w, v in want.items()} for c in range(2)]
-        p = [lambda w, o=o: (max(o[w] - discount, 0) + sum(min(x, discount) for x in o.values()) * (n[w] + 0.1) / (sum(n.values()) + 0.1 * (len(n) + 1))) / sum(o.values()) for o in own]
-        words = np.array(list(want), np.int64)
-        assert np.allclose(toxicity.models(table, 0.1, discount)[2].of(words), [max(np.log(p[1](w) / p[0](w)) - 0.1, 0) for w in want], atol=1e-5)
+    words = np.array(list(want), np.int64)
+    for m, (diff, rest) in enumerate(toxicity.differences(table)):
+        n = {w: v[4 + m] for w, v in want.items()}
+        logs, free = [], []
+        for c in range(2):
+            own = {w: (v[c] + v[c + 2] if m == 2 else v[2 * m + c]) for w, v in want.items()}
+            of = [sum(x == j for x in own.values()) for j in range(5)]
+            y = of[1] / (of[1] + 2 * of[2])
+            d = [0, *(j - (j + 1) * y * of[j + 1] / of[j] for j in (1, 2, 3))]
+            d = [min(max(x, 0), j) for j, x in enumerate(d)]
+            total = sum(own.values())
+            free.append(sum(d[min(x, 3)] for x in own.values()) / total)
+            shared = {w: (n[w] + 0.1) / (sum(n.values()) + 0.1 * (sum(x > 0 for x in n.values()) + 1)) for w in n}
+            logs.append(np.array([np.log((own[w] - d[min(own[w], 3)]) / total + free[-1] * shared[w]) for w in want]))
+        by = {r["word"]: r["d"] for r in table.select("word", diff.alias("d")).collect()}
+        assert np.allclose([by[w] for w in words], logs[1] - logs[0], atol=1e-9) and abs(rest - np.log(free[1] / free[0])) < 1e-12
+
+
+def test_toxicity_of_whole_texts_however_dealt(spark):
+    rows = labelled(spark, 120)
+    marks = rows.select("doc_id", "toxic")
+    got = []
+    for parts in (1, 7):
+        model = toxicity.learn(rows.repartition(parts), marks.repartition(parts))
+        scored = toxicity.score(rows.select("doc_id", "text").repartition(parts), model).unionByName(toxicity.score(odd(spark), model))
+        got.append(sorted(((r["doc_id"], r["score"]) for r in scored.collect()), key=str))
+    assert [x[0] for x in got[0]] == [x[0] for x in got[1]] and np.allclose([x[1] for x in got[0]], [x[1] for x in got[1]], atol=1e-9)
+    known = {r["word"]: r["diff"] for r in model.words.collect()}
+    for r in rows.limit(50).collect():
+        d = [known.get(int(h), model.rest) for h in toxicity.tokens(r["text"].encode())]
+        z = sum(w * (sum(max(sign * x - model.floor, 0) for x in d) / len(d)) ** 0.5 for sign, w in zip((1, -1), model.weights)) + model.weights[2]
+        assert abs(dict(got[1])[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-6
+    clash = rows.unionByName(rows.limit(3)).withColumn("score", F.lit("x")).withColumn("predicted", F.lit("y"))
+    by = [sorted((r["doc_id"], round(r["score"], 6)) for r in toxicity.score(clash, model, max_words=most).collect()) for most in (1 << 20, 0)]
+    assert by[0] == by[1] and len(by[0]) == 123  # by the table sent, and by the join
+    joined = {r["doc_id"]: r["score"] for r in toxicity.score(odd(spark), model, max_words=0).collect()}
+    assert np.allclose([joined[k] for k in joined], [dict(got[1])[k] for k in joined])
 
 
 def test_toxicity_prefilter_loses_none(spark):
@@ -340,6 +373,129 @@ def test_quality(spark):
     assert quality.learn(empty(rows.select("doc_id", "text")), empty(rows.select("doc_id", "quality"))) is not None
 
 
+def test_quality_of_a_text_does_not_depend_on_others(spark):
+    net = quality.Net(3)
+    rng = random.Random(1)
+    texts = [None, b"", b"a", *(bytes(rng.randrange(1, 256) for _ in range(n)) for n in (3, 63, 64, 65, 128, 500, 5000))]
+
+    def brute(raw):
+        raw = quality._padded(raw)
+        n = len(raw) // quality.CELL
+        x = raw + b"\0" * quality.WIDTH
+        got = np.array([net.bias + sum(net.filters[j][x[i + j]] for j in range(quality.WIDTH)) for i in range(len(raw))])
+        pooled = np.array([np.maximum(got[a * quality.CELL : b * quality.CELL].max(0), 0) for a, b in quality._chunks(n)])
+        z = pooled.max(0) @ net.top[: quality.FILTERS] + pooled.mean(0) @ net.top[quality.FILTERS :] + net.base
+        return 1 / (1 + np.exp(-z))
+
+    want = [brute(x) for x in texts]
+    assert np.allclose(quality.predict(net, texts), want, atol=1e-5)
+    assert np.allclose(quality.predict(net, texts[::-1])[::-1], want, atol=1e-5)
+    df = spark.createDataFrame([(i, (x or b"").decode("latin1"), "x") for i, x in enumerate(texts)], "doc_id long, text string, score string").withColumn("predicted", F.lit(5))
+    one, many = ({r["doc_id"]: r["score"] for r in quality.score(df.repartition(p), net).collect()} for p in (1, 5))
+    assert np.allclose([one[k] for k in sorted(one)], [many[k] for k in sorted(many)], atol=1e-6)
+
+
+def test_languages_without_a_limit_of_their_number(spark):
+    """Against EM run for long from scratch on each set, five languages in one document, and odd rows."""
+    rng = random.Random(8)
+    parts = {"aa": ["lor", "mip", "sun", "dol"], "bb": ["ska", "tra", "ove", "nik"], "cc": ["zhu", "wei", "xing", "qia"], "dd": ["ppo", "ggu", "ffe", "bba"], "ee": ["yth", "rhy", "wyx", "nym"]}
+    say = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=3)) for _ in range(n))
+    rows = [(i, say(lang, 40), lang) for i in range(100) for lang in [list(parts)[i % 5]]]
+    names, logs = model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sets = [list(parts)[:n] for n in range(1, 6)]
+    texts = [" ".join(say(x, 60) for x in own) for own in sets] + [say("bb", 3000), "12 ..", "", None]
+    df = spark.createDataFrame([(i % 3 if i else None, t, "x", "y") for i, t in enumerate(texts)] + [(1, texts[1], "x", "y")] * 2, "doc_id long, text string, langs string, score string").repartition(3)
+    got = [(r["lang_pred"], sorted((x["lang"], x["share"]) for x in r["langs"])) for r in langid.identify(df.withColumn("k", F.xxhash64("text")), model).collect()]
+    by = sorted(map(str, (sorted(x[0] for x in langs) for _, langs in got)))
+    assert by == sorted(map(str, sets + [["bb"], [], [], []] + [sets[1]] * 2))
+    for text in texts[:5]:
+        words, n = np.unique([w for w in text.encode().split()], return_counts=True)
+        cells, starts = langid.gram_cells(list(words))
+        rows_ = np.add.reduceat(logs[cells].astype(float), starts, axis=0)
+        like = np.exp(rows_ - rows_.max(1, keepdims=True))
+
+        def fit(of):
+            share = np.zeros(len(names))
+            share[of] = 1 / len(of)
+            for _ in range(3000):
+                part = like * share
+                share = (part / part.sum(1, keepdims=True) * n[:, None]).sum(0) / n.sum()
+            return share, (n * np.log((like * share).sum(1))).sum()
+
+        order = np.argsort(-fit(list(range(len(names))))[0], kind="stable")
+        singles = [(fit([i])[1], i) for i in range(len(names))]
+        best = max([(max(singles)[0], [max(singles)[1]])] + [(fit(list(order[:k]))[1] - 4.0 * (k - 1) * np.log(n.sum() + 1), list(order[:k])) for k in range(2, 6)])
+        share = fit(best[1])[0]
+        mine = langid.mixtures([(np.arange(len(words)), n)], rows_, 4.0)[0]
+        assert set(np.flatnonzero(mine)) == set(best[1]) and np.allclose(mine, share, atol=0.01)
+
+
+def test_surrogates_where_a_shape_is_full(spark):
+    found = spark.createDataFrame([("address", f"{i}.{j}.{k}.{m}", "n") for i in range(10) for j in range(10) for k in range(10) for m in range(10)] + [("secret", "ghp_" + "a" * 20, "n"), ("name", "Doe", "f")], "type string, entity string, gender string")
+    got = [(r["type"], r["entity"], r["surrogate"]) for r in pii.entities(found, "k").collect()]
+    assert len(got) == len({x[:2] for x in got}) == len({(x[0], x[2]) for x in got}) == 10_002 and all(e != s for _, e, s in got)
+
+
+def test_pii_against_brute_force(spark):
+    """Every detected entity has one surrogate in the whole corpus, of its shape, no two share one, and none is real."""
+    rng = random.Random(6)
+    mails = [f"u{i}@h{i % 7}.example.org" for i in range(40)]
+    phones = [f"+1 {rng.randrange(200, 999)} {rng.randrange(200, 999)} {rng.randrange(1000, 9999)}" for _ in range(40)]
+    ips = [f"10.{rng.randrange(100, 250)}.{i}.7" for i in range(10, 40)]
+    pool = mails + phones + ips
+    rows = [(i if i % 9 else None, " ; ".join(f"<{x}>" for x in rng.choices(pool, k=6))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit("x"), "m": F.lit(1), "type": F.lit(2), "s": F.lit(3)}).repartition(4)
+    out = pii.replace_pii(df.withColumn("was", F.col("text")), key="k", count="n").collect()
+    table = {}
+    for r in out:
+        old, new = re.findall("<(.*?)>", r["was"]), re.findall("<(.*?)>", r["text"])
+        assert len(old) == len(new) == r["n"] == 6
+        for a, b in zip(old, new):
+            assert table.setdefault(a, b) == b and re.sub("[0-9]", "0", re.sub("[a-z]", "a", a.rpartition(".")[0])) == re.sub("[0-9]", "0", re.sub("[a-z]", "a", b.rpartition(".")[0]))
+    assert len(set(table.values())) == len(table) and not set(table.values()) & set(pool)
+    again = pii.replace_pii(df.repartition(2), key="k").collect()
+    assert sorted(r["text"] for r in again) == sorted(r["text"] for r in out)
+    assert sorted(r["text"] for r in pii.replace_pii(df, key="other").collect()) != sorted(r["text"] for r in out)
+
+
+def test_top_k_with_outliers_by_scan(spark):
+    rng = random.Random(4)
+    codes = {i: rng.getrandbits(6) for i in range(400)} | {1000 + i: (1 << 64) - 1 - (1 << i) for i in range(3)} | {2000: 0x5555555555555555}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(i, signed(c)) for i, c in codes.items()], "vec_id long, code long").withColumn("dist", F.lit("x")).repartition(3)
+    for most in (0, 1 << 12):
+        got = {}
+        for r in topk_hamming.top_k(df, df.where("vec_id >= 1000 or vec_id % 100 = 0"), k=4, most_words=most).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"]))
+        assert got == {q: sorted(((codes[q] ^ c).bit_count(), i) for i, c in codes.items() if i != q)[:4] for q in codes if q >= 1000 or q % 100 == 0}
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null and repeated ids, repeated rows, empty tables and columns named like those the operators make."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    d = "/root/testdata/sf0.001"
+    base = [prose(rng, 60) for _ in range(6)]
+    rows = [(i if i % 2 else None, t, "aa", "src") for i, t in enumerate(base)] + [(7, base[0], "aa", None)] * 3 + [(None, base[1], "aa", "src"), (8, None, None, None), (8, "", "aa", "s"), (9, prose(rng, 20_000), "aa", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = ("score", "predicted", "lang_pred", "langs", "taken", "size", "copies", "fp", "_n", "_h", "_m", "_r", "h", "root")
+    wide = df.withColumns({c: F.lit(c) for c in names}).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, d)
+        assert out.columns == wide.columns and stage(spark, wide.where("false"), d).count() == 0, name
+        got = out.collect()
+        if name in ("decontamination", "pii"):
+            assert sorted(map(str, got)) == sorted(map(str, wide.collect()))
+        if name == "language":
+            assert len(got) == len(rows) - 2
+        if name == "near_dedup":
+            assert sorted((r["doc_id"] or -1, len(r["text"] or "")) for r in got) == sorted([(-1, len(base[2])), (-1, len(base[4])), (1, len(base[1])), (3, len(base[3])), (5, len(base[5])), (7, len(base[0])), (8, 0), (9, len(rows[-1][1]))])
+    mixed = corpus_pipeline.mixture(spark, wide, d)
+    assert set(names) - {"taken", "size", "copies"} <= set(mixed.columns) and len(mixed.columns) == len(set(mixed.columns))
+    assert corpus_pipeline.mixture(spark, wide.where("false"), d).count() == 0
+
+
 def test_language(spark):
     rng = random.Random(8)
     parts = {"aa": ["lor", "mip", "sun", "dol"], "bb": ["ska", "tra", "ove", "nik"], "cc": ["zhu", "wei", "xing", "qia"]}
