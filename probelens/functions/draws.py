@@ -29,9 +29,28 @@ def poisson(u: Column) -> Column:
     return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
 
 
-def seeded_rank(seed, key: str, by: tuple = ()) -> Column:
-    """Place (from 1) in a seeded order within by."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
+def meet(a: DataFrame, b: DataFrame, names: tuple, how: str = "inner") -> DataFrame:
+    """a's columns and b's others where both agree in all names, nulls with nulls; no names: every row (b is one row)."""
+    b = b.withColumnsRenamed({c: f"_on_{c}" for c in names})
+    cond = F.lit(True)
+    for c in names:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return a.join(b, cond, how).drop(*[f"_on_{c}" for c in names])
+
+
+def placed(df: DataFrame, seed, key: str, by: tuple = (), out: str = "_r") -> DataFrame:
+    """df with each row's place (from 1) in the order of md5(seed:key), key within its group.
+
+    Rows are counted by the first digits of their hash, and sorted only among those that share them: 4096 tasks' worth
+    of sorting for a group of any size, none of which holds the group.
+    """
+    spot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    rows = df.withColumn("_h", spot).withColumn("_b", F.coalesce(F.substring("_h", 1, 3), F.lit("")))
+    sums = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows a group
+    base = sums.select(*by, "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
+    return meet(rows.withColumn("_i", inside), base, (*by, "_b")).select(*df.columns, (F.col("_i") + F.col("_base")).alias(out))
 
 
 def hash_fold(seed, key: str, k: int) -> Column:
@@ -41,4 +60,4 @@ def hash_fold(seed, key: str, k: int) -> Column:
 
 def sample_within(df: DataFrame, by: tuple, n, seed, key: str) -> DataFrame:
     """At most n rows of each group in seeded order; n: a number or a column."""
-    return df.withColumn("_r", seeded_rank(seed, key, by)).where(F.col("_r") <= n).drop("_r")
+    return placed(df, seed, key, by).where(F.col("_r") <= n).drop("_r")

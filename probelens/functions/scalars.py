@@ -72,7 +72,12 @@ def aic(sse: Column, n: Column, k: int) -> Column:
 
 
 def gap_text(gap: Column, lo: Column, hi: Column) -> Column:
-    return F.format_string("%+.3f [%+.3f, %+.3f]%s", gap, lo, hi, F.when(excludes_zero(lo, hi), "*").otherwise(""))
+    return F.format_string("%+.3f [%+.3f, %+.3f]%s", F.bround(gap, 3), F.bround(lo, 3), F.bround(hi, 3), F.when(excludes_zero(lo, hi), "*").otherwise(""))
+
+
+def interval_text(value: Column, lo: Column, hi: Column) -> Column:
+    """0.123 [0.100, 0.200]; a dash for a null value, the value alone without limits."""
+    return F.when(value.isNull(), "—").when(lo.isNull() | hi.isNull(), F.format_string("%.3f", F.bround(value, 3))).otherwise(F.format_string("%.3f [%.3f, %.3f]", F.bround(value, 3), F.bround(lo, 3), F.bround(hi, 3)))
 
 
 def short_model(model: Column) -> Column:

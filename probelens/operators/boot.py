@@ -1,14 +1,22 @@
 """Bootstraps by Poisson(1) weights: a replicate is a hash of (seed, replicate, unit), so rows need no numbering, no
-join and no sampling order; each row meets its replicates where it stands and is summed before it is shuffled.
+join and no sampling order.
+
+For AUROCs rows are shuffled once, into value buckets; a bucket draws all its rows' weights as arrays and leaves three
+numbers for each replicate, which a running sum over buckets joins. Rows are never multiplied by replicates.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probelens.functions.draws import POISSON, poisson, uniform
-from probelens.operators.ranks import auroc, spearman
+from probelens.functions.stage import staged
+from probelens.operators.ranks import auroc, quantiles, spearman
 
 
 def replicates(rows: DataFrame, n_boot: int, seed, unit: str) -> DataFrame:
@@ -17,16 +25,79 @@ def replicates(rows: DataFrame, n_boot: int, seed, unit: str) -> DataFrame:
     return each.withColumn("_u", uniform(seed, F.col("b"), F.col(unit))).where(F.col("_u") >= POISSON[0]).withColumn("w", poisson(F.col("_u"))).drop("_u")
 
 
+#: rows whose weights a task holds at once
+CHUNK = 2048
+
+
+def weights(units, n_boot: int, seed) -> np.ndarray:
+    """Units x replicates of the weights that replicates() gives."""
+    heads = [f"{seed}:{b}:".encode() for b in range(1, n_boot + 1)]
+    md5, out = hashlib.md5, np.empty((len(units), n_boot), np.uint8)
+    cuts = np.array(POISSON)
+    for i, u in enumerate(units):
+        tail = str(u).encode()
+        h = np.frombuffer(b"".join([md5(x + tail).digest() for x in heads]), ">u4")[::4]
+        out[i] = np.searchsorted(cuts, (h + 0.5) / 4294967296.0, side="right")
+    return out
+
+
+def auroc_replicates(rows: DataFrame, by: tuple, n_boot: int, seed, unit: str, score: str, label: str) -> DataFrame:
+    """(by, b, auroc), a row for each replicate that has both classes."""
+    spark = rows.sparkSession
+    kept = rows.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("boolean").alias("_y"), F.col(unit).cast("string").alias("_u")).dropna(subset=["_s", "_y", "_u"])
+    n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = kept.agg(F.percentile_approx("_s", F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000).alias("_c"))  # one row of n - 1 numbers
+    dealt = kept.crossJoin(F.broadcast(bounds)).withColumn("_b", F.coalesce(F.size(F.filter("_c", lambda c: c <= F.col("_s"))), F.lit(0))).drop("_c")
+    names = list(by)
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name in by)
+
+    def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = pdf.iloc[0]
+        pdf = pdf.sort_values("_s", kind="stable")
+        p, q, u = (np.zeros(n_boot) for _ in range(3))  # of the values before the current one
+        value, vp, vq = None, np.zeros(n_boot), np.zeros(n_boot)
+        for a in range(0, len(pdf), CHUNK):
+            part = pdf.iloc[a : a + CHUNK]
+            w, x, y = weights(part["_u"], n_boot, seed), part["_s"].to_numpy(), part["_y"].to_numpy(bool)
+            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            pos = np.add.reduceat(np.where(y[:, None], w, 0), first, axis=0, dtype=float)
+            neg = np.add.reduceat(np.where(y[:, None], 0, w), first, axis=0, dtype=float)
+            for v, dp, dq in zip(x[first], pos, neg):
+                if v != value:
+                    u += vp * (q + vq / 2)
+                    p += vp
+                    q += vq
+                    value, vp, vq = v, dp.copy(), dq.copy()
+                else:
+                    vp += dp
+                    vq += dq
+        u += vp * (q + vq / 2)
+        return pd.DataFrame([(*[key[c] for c in names], int(key["_b"]), (p + vp).tobytes(), (q + vq).tobytes(), u.tobytes())], columns=[*names, "_b", "p", "q", "u"])
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_b")
+        p, q, u = (np.stack([np.frombuffer(x) for x in pdf[c]]) for c in ("p", "q", "u"))
+        whole = (u + p * (np.cumsum(q, axis=0) - q)).sum(0)
+        n1, n0 = p.sum(0), q.sum(0)
+        ok = np.flatnonzero((n1 > 0) & (n0 > 0))
+        out = pd.DataFrame({"b": (ok + 1).astype(np.int32), "auroc": whole[ok] / (n1[ok] * n0[ok])})
+        for c in reversed(names):
+            out.insert(0, c, [pdf[c].iloc[0]] * len(out))
+        return out
+
+    sums = dealt.groupBy(*by, "_b").applyInPandas(bucket, head + "_b int, p binary, q binary, u binary")
+    return sums.groupBy(*by).applyInPandas(joined, head + "b int, auroc double")
+
+
 def interval(values: DataFrame, value: str, by: tuple = (), alpha: float = 0.05) -> DataFrame:
     """(by, lo, hi, n_boot): percentile interval over replicates that have a value."""
-    cuts = F.percentile(value, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    cuts = F.percentile(value, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))  # of as many values as replicates
     return values.where(F.col(value).isNotNull()).groupBy(*by).agg(cuts.alias("_c"), F.count("*").alias("n_boot")).select(*by, F.col("_c")[0].alias("lo"), F.col("_c")[1].alias("hi"), "n_boot")
 
 
 def auroc_ci(rows: DataFrame, by: tuple = (), n_boot: int = 1000, seed=0, unit: str = "item_id", score: str = "score", label: str = "truth") -> DataFrame:
     point = auroc(rows, by, score, label)
-    reps = auroc(replicates(rows, n_boot, seed, unit), (*by, "b"), score, label, "w")
-    ci = interval(reps, "auroc", by)
+    ci = interval(auroc_replicates(rows, by, n_boot, seed, unit, score, label), "auroc", by)
     return point.join(ci, list(by), "left") if by else point.crossJoin(ci)
 
 
@@ -34,13 +105,11 @@ def gap_ci(rows: DataFrame, side: str, by: tuple = (), n_boot: int = 1000, seed=
     """AUROC where side is true less AUROC where it is false, the sides drawn independently: (by, auroc_a, auroc_b, gap, lo, hi)."""
 
     def wide(df, keys):
-        a = df.where(side).select(*keys, F.col("auroc").alias("auroc_a"))
-        b = df.where(f"not {side}").select(*keys, F.col("auroc").alias("auroc_b"))
-        both = a.join(b, list(keys)) if keys else a.crossJoin(b)
+        both = df.groupBy(*keys).agg(F.max(F.when(F.col(side), F.col("auroc"))).alias("auroc_a"), F.max(F.when(~F.col(side), F.col("auroc"))).alias("auroc_b"))
         return both.withColumn("gap", F.col("auroc_a") - F.col("auroc_b"))
 
     point = wide(auroc(rows, (*by, side), score, label), by)
-    reps = wide(auroc(replicates(rows, n_boot, seed, unit), (*by, "b", side), score, label, "w"), (*by, "b"))
+    reps = wide(auroc_replicates(rows, (*by, side), n_boot, seed, unit, score, label), (*by, "b"))
     ci = interval(reps, "gap", by)
     return point.join(ci, list(by)) if by else point.crossJoin(ci)
 
@@ -63,3 +132,46 @@ def pearson_ci(rows: DataFrame, x: str, y: str, unit: str, n_boot: int = 1000, s
     drawn = replicates(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), n_boot, seed, unit)
     many = drawn.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("w"))))
     return rows.agg(F.corr(x, y).alias("r"), F.count("*").alias("n")).crossJoin(interval(many.groupBy("b").agg(F.corr(x, y).alias("r")), "r"))
+
+
+def _banded(rows: DataFrame, typicality: str, n_bands: int, by: tuple, weight: str | None) -> DataFrame:
+    """rows with band: how many inner quantile edges of its group's typicality are not above its own."""
+    edges = quantiles(rows, typicality, tuple(i / n_bands for i in range(1, n_bands)), by, weight)
+    edges = edges.select(*[F.col(c).alias(f"_e_{c}") for c in by], F.array(*[f"q{i}" for i in range(n_bands - 1)]).alias("_e"))
+    alike = F.lit(True)
+    for c in by:
+        alike = alike & F.col(c).eqNullSafe(F.col(f"_e_{c}"))
+    got = rows.join(F.broadcast(staged(edges, "edges")), alike)  # a row for each replicate
+    return got.withColumn("band", F.size(F.filter("_e", lambda e: e <= F.col(typicality)))).select(*rows.columns, "band")
+
+
+def bands(rows: DataFrame, typicality: str, n_bands: int = 4, least: int = 5, score: str = "score", label: str = "truth", by: tuple = (), weight: str | None = None) -> DataFrame:
+    """(by, band, n, n_pos, n_neg, auroc) within quantile bands of typicality; no AUROC below ``least`` rows of a class."""
+    kept = rows.dropna(subset=[score, label, typicality])
+    got = auroc(_banded(kept, typicality, n_bands, by, weight), (*by, "band"), score, label, weight)
+    return got.select(*by, "band", (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", "n_neg", F.when(F.least("n_pos", "n_neg") >= least, F.col("auroc")).alias("auroc"))
+
+
+def stratified(rows: DataFrame, typicality: str, n_bands: int = 4, least: int = 5, n_boot: int = 1000, seed=0, unit: str = "item_id", score: str = "score", label: str = "truth") -> DataFrame:
+    """(pooled, within, n_usable, gap, lo, hi, n_boot): pooled AUROC, mean AUROC within bands weighted by their rows, and
+    their difference with an interval over draws for each of which edges and bands are made anew."""
+    kept = staged(rows.select(unit, score, label, typicality).dropna(), "scored")
+
+    def once(df, by, weight):
+        inner = bands(df, typicality, n_bands, least, score, label, by, weight).where("auroc is not null")
+        inner = inner.groupBy(*by).agg((F.sum(F.col("n") * F.col("auroc")) / F.sum("n")).alias("within"), F.count("*").alias("n_usable"))
+        whole = auroc(df, by, score, label, weight).select(*by, F.col("auroc").alias("pooled"))
+        both = whole.join(inner, list(by)) if by else whole.crossJoin(inner)
+        return both.withColumn("gap", F.col("pooled") - F.col("within"))
+
+    reps = once(replicates(kept, n_boot, seed, unit), ("b",), "w")
+    return once(kept, (), None).crossJoin(interval(reps, "gap"))
+
+
+def spearman_floors(pairs: DataFrame, cluster: str = "model", floors: tuple = (0.0, 0.85, 0.9), n_boot: int = 4000, seed=0) -> DataFrame:
+    """(floor, rho, n, lo, hi, n_boot): clustered_spearman() of in_dist and off at or above each floor."""
+    out = None
+    for f in floors:
+        one = clustered_spearman(pairs.where(F.col("in_dist") >= f), "in_dist", "off", cluster, n_boot, seed).withColumn("floor", F.lit(float(f)))
+        out = one if out is None else out.unionByName(one)
+    return out

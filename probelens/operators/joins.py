@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probelens.functions.draws import h32
+from probelens.functions.countries import GROUPS, group_of
+from probelens.functions.draws import h32, placed
+from probelens.functions.text import answer_norm, clean_answer, country_norm
 
 
 def false_swaps(pairs: DataFrame, seed=0, tries: int = 8) -> DataFrame:
@@ -17,7 +19,7 @@ def false_swaps(pairs: DataFrame, seed=0, tries: int = 8) -> DataFrame:
     """
     pool = pairs.select("object").distinct()
     total = pool.agg(F.count("*").alias("m"))
-    numbered = pool.withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "object")), "object")) - 1)
+    numbered = placed(pool, seed, "object", out="k").withColumn("k", F.col("k").cast("int") - 1)
     drawn = pairs.select("subject").distinct().crossJoin(F.broadcast(total)).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     drawn = drawn.withColumn("k", (h32(seed, F.col("subject"), F.col("try")) % F.col("m")).cast("int"))
     fit = drawn.join(numbered, "k").join(pairs, ["subject", "object"], "left_anti")
@@ -35,6 +37,74 @@ def canonical(rows: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
     return rows.join(one.withColumnRenamed("alias", name), name, "left")
 
 
+def canonical_map(spark: SparkSession, gold: DataFrame) -> DataFrame:
+    """gold(name, seq) -> (alias, canon): normalised country names with the one they stand for.
+
+    Alias groups come first, under their own name; other names stand for themselves, the first spelling of each holds.
+    """
+    own = gold.select(country_norm(F.col("name")).alias("alias"), "name", "seq").groupBy("alias").agg(F.min_by("name", "seq").alias("canon"))
+    listed = spark.createDataFrame([(a, g.title()) for g, names in GROUPS.items() for a in (g, *names)], "alias string, canon string").select(country_norm(F.col("alias")).alias("alias"), "canon").distinct()
+    return listed.unionByName(own.join(listed, "alias", "left_anti"))
+
+
+def canonicalised(rows: DataFrame, name: str, canon: DataFrame) -> DataFrame:
+    """rows whose name is a known country, with canon; canon(alias, canon) as canonical_map gives it."""
+    return rows.withColumn("alias", country_norm(F.col(name))).join(canon, "alias").drop("alias")
+
+
+def verify_countries(claims: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """verify() with objects equal if they name the same country under an alias; gazetteer(subject, objects): an array."""
+    listed = gazetteer.select("subject", F.explode("objects").alias("object")).select("subject", group_of(F.col("object")).alias("object"))
+    keyed = claims.withColumnRenamed("object", "_said").withColumn("object", group_of(F.col("_said")))
+    return verify(keyed, listed).drop("object").withColumnRenamed("_said", "object")
+
+
+def names_it(generated: Column, wanted: Column, aliases: Column) -> Column:
+    """Whether a generated text has the wanted name, or one of its aliases (an array), as whole words; false below 3 letters."""
+    said = F.concat(F.lit(" "), answer_norm(generated), F.lit(" "))
+    one = answer_norm(wanted)
+    has = lambda c: (c != "") & F.contains(said, F.concat(F.lit(" "), c, F.lit(" ")))
+    return F.coalesce((F.trim(said) != "") & (F.length(one) >= 3) & (has(one) | F.exists(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: has(answer_norm(a)))), F.lit(False))
+
+
+def adjudicated(answers: DataFrame, gold: DataFrame, canon: DataFrame) -> DataFrame:
+    """answers(subject, answer) against gold(subject, objects): canon of the cleaned answer, and status.
+
+    status: no_country where the answer names none, unverifiable without gold, correct or error else.
+    """
+    said = answers.withColumn("_a", clean_answer(F.col("answer"))).withColumn("alias", country_norm(F.col("_a"))).join(canon, "alias", "left").drop("alias", "_a")
+    got = verify_countries(said.withColumn("object", F.coalesce("canon", F.lit(""))), gold).drop("object")
+    return got.withColumn("status", F.when(F.col("canon").isNull(), "no_country").when(F.col("status") == "kept", "error").when(F.col("status") == "rejected", "correct").otherwise(F.col("status")))
+
+
+def aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(n, n_both, aligned): whether two tables hold the same multiset of keys, by a full outer join of their counts."""
+    count = lambda df, n: df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias(n))
+    x, y = count(a, "_a"), count(b, "_b").withColumnRenamed("_k", "_j")
+    both = x.join(y, F.col("_k").eqNullSafe(F.col("_j")), "full_outer")
+    same_n = F.coalesce(F.col("_a"), F.lit(0)) == F.coalesce(F.col("_b"), F.lit(0))
+    return both.agg(F.count("*").alias("n"), F.count_if(same_n).alias("n_both")).withColumn("aligned", F.col("n") == F.col("n_both"))
+
+
+def baseline_or(reference: DataFrame, baseline: DataFrame, key: str, value: str) -> DataFrame:
+    """reference with value from baseline where both hold the same keys, else its own; source says which."""
+    ok = F.broadcast(aligned(reference, baseline, key).select(F.col("aligned").alias("_ok")))  # one row
+    from_it = baseline.groupBy(key).agg(F.min(value).alias("_v"))
+    rows = reference.join(from_it, key, "left").crossJoin(ok)
+    return rows.withColumn(value, F.when(F.col("_ok"), F.col("_v")).otherwise(F.col(value))).withColumn("source", F.when(F.col("_ok"), "baseline").otherwise("reference")).drop("_v", "_ok")
+
+
+def paired_vectors(a: DataFrame, b: DataFrame, key: str = "item_id", vec: str = "vec") -> DataFrame:
+    """a's rows with the two vectors of a key end to end."""
+    return a.join(b.select(key, F.col(vec).alias("_other")), key).withColumn(vec, F.concat(F.col(vec).cast("array<double>"), F.col("_other").cast("array<double>"))).drop("_other")
+
+
+def stacked_taps(acts: DataFrame, taps: tuple, key: str = "item_id", vec: str = "vec") -> DataFrame:
+    """A row for each key with the vectors of the layers in taps end to end; keys that lack one are left out."""
+    each = acts.where(F.col("layer").isin(*taps)).groupBy(key).agg(*[F.max(F.when(F.col("layer") == t, F.col(vec))).alias(f"_v{i}") for i, t in enumerate(taps)])
+    return each.dropna().select(key, F.concat(*[F.col(f"_v{i}").cast("array<double>") for i in range(len(taps))]).alias(vec))
+
+
 def verify(claims: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """claims(subject, object) against gazetteer(subject, object): status kept (known otherwise), rejected (in fact true), unverifiable."""
     known = gazetteer.groupBy("subject").agg(F.count("*").alias("_k"))

@@ -20,10 +20,37 @@ def running(rows: DataFrame, by: tuple, order: str, values: tuple) -> DataFrame:
     placed = rows.crossJoin(F.broadcast(bounds)).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order))), F.lit(0))).drop("_cuts")
     sums = placed.groupBy(*by, "_b").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     over = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*by, "_b", *[F.coalesce(F.sum(f"_s_{v}").over(over), F.lit(0)).alias(f"_base_{v}") for v in values])
+    base = sums.select(*[F.col(c).alias(f"_by_{i}") for i, c in enumerate((*by, "_b"))], *[F.coalesce(F.sum(f"_s_{v}").over(over), F.lit(0)).alias(f"_base_{v}") for v in values])
     inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    got = placed.withColumns({f"_in_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).join(base, [*by, "_b"])
-    return got.withColumns({f"before_{v}": F.col(f"_in_{v}") + F.col(f"_base_{v}") for v in values}).drop("_b", *[f"_in_{v}" for v in values], *[f"_base_{v}" for v in values])
+    alike = F.lit(True)
+    for i, c in enumerate((*by, "_b")):
+        alike = alike & F.col(c).eqNullSafe(F.col(f"_by_{i}"))
+    got = placed.withColumns({f"_in_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).join(base, alike)
+    return got.select(*rows.columns, *[(F.col(f"_in_{v}") + F.col(f"_base_{v}")).alias(f"before_{v}") for v in values])
+
+
+def quantiles(rows: DataFrame, value: str, qs: tuple, by: tuple = (), weight: str | None = None) -> DataFrame:
+    """(by, n, q0, q1, ...): exact quantiles with linear interpolation, from counts of distinct values in running order.
+
+    weight: how often a row counts.
+    """
+    at = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.sum(weight if weight else F.lit(1)).cast("long").alias("_n"))
+    ran = running(at, by, "_v", ("_n",))
+    total = at.groupBy(*by).agg(F.sum("_n").alias("n"))
+    alike = F.lit(True)
+    total = total.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(by)], "n")
+    for i, c in enumerate(by):
+        alike = alike & F.col(c).eqNullSafe(F.col(f"_t{i}"))
+    both = ran.join(F.broadcast(total) if not by else total, alike)
+    picks = []
+    for i, q in enumerate(qs):
+        at_q = F.lit(float(q)) * (F.col("n") - 1)
+        low, high = F.floor(at_q), F.ceil(at_q)
+        holds = lambda k: (F.col("before__n") <= k) & (k < F.col("before__n") + F.col("_n"))
+        picks += [F.max(F.when(holds(low), F.col("_v"))).alias(f"_l{i}"), F.max(F.when(holds(high), F.col("_v"))).alias(f"_h{i}")]
+    got = both.groupBy(*by, "n").agg(*picks)
+    part = lambda q: F.lit(float(q)) * (F.col("n") - 1) - F.floor(F.lit(float(q)) * (F.col("n") - 1))
+    return got.select(*by, "n", *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * part(q)).alias(f"q{i}") for i, q in enumerate(qs)])
 
 
 def auroc(rows: DataFrame, by: tuple = (), score: str = "score", label: str = "truth", weight: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from probelens.streaming import gates as gates_stream
 
 QUERIES: dict = {}
 SQL: dict = {}
-BOOT = 100
+BOOT = 1000
 
 ITEMS = """freq AS (SELECT o_custkey AS entity, count(*) AS cnt, log10(1.0::DOUBLE + count(*)) AS logf FROM orders GROUP BY 1),
 items AS (SELECT o_orderkey AS item_id, o_orderstatus = 'F' AS truth, o_custkey AS entity, o_orderpriority AS domain, month(o_orderdate) % 2 = 1 AS edited, o_totalprice AS score, cnt, logf
@@ -49,14 +49,31 @@ CURVES = ACTS + """, au AS (SELECT * FROM """ + _auc("scored", "layer, diag") +
 POINTS = "points AS (SELECT p_brand AS g, ((p_size - 1) / 49.0::DOUBLE) AS x, p_retailprice / 1000.0::DOUBLE AS y FROM part)"
 
 
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
+def statements(s, d) -> DataFrame:
+    """A statement for each part in one of the six topics, with and without a full stop, and every seventh in none."""
+    k = F.col("p_partkey") % 7
+    topic = F.get(F.array(*[F.lit(t) for t in text.TEMPLATES]), k.cast("int"))
+    said = text.instantiate(topic, F.col("p_name"), F.col("p_type"))
+    bare = F.when(F.col("p_partkey") % 2 == 0, said).otherwise(F.regexp_replace(said, r"\.$", ""))
+    return table(s, d, "part").select("p_partkey", topic.alias("topic"), F.when(k == 6, "The sky is blue").otherwise(bare).alias("statement"), (F.col("p_partkey") % 3 > 0).cast("int").alias("label"), "p_name", "p_type")
 
-    return keep
+
+def keeper(queries: dict, sqls: dict):
+    """A decorator that registers a query, and its SQL if it has one."""
+
+    def query(name: str, sql: str | None = None):
+        def keep(f):
+            queries[name] = f
+            if sql:
+                sqls[name] = sql
+            return f
+
+        return keep
+
+    return query
+
+
+query = keeper(QUERIES, SQL)
 
 
 def r6(*names: str) -> list:
@@ -195,9 +212,9 @@ def _(s, d):
     return gates.ft_yield(order_cells(s, d)).select("gate", "pass", *r6("metric"))
 
 
-@query("crossing_gate", f"WITH {ITEMS} SELECT 'crossing' AS gate, min(2 * auroc - 1) >= 0.5 AS pass, {s6('min(2 * auroc - 1)', 'metric')} FROM {_auc('celled', 'truth', 'logf', 'typical')}")
+@query("crossing_gate", f"WITH {ITEMS}, a AS (SELECT * FROM {_auc('celled', 'truth', 'logf', 'typical')}), t AS (SELECT truth, sum(t * t * t - t) AS ties FROM (SELECT truth, logf, count(*)::DOUBLE AS t FROM celled GROUP BY ALL) GROUP BY truth) SELECT 'crossing' AS gate, min(2 * auroc - 1) >= 0.5 AND min((auroc - 0.5) * n_pos * n_neg / sqrt(n_pos::DOUBLE * n_neg / 12 * (n_pos + n_neg + 1 - ties / ((n_pos + n_neg) * (n_pos + n_neg - 1))))) >= 3.0902::DOUBLE AND count(*) = 2 AS pass, {s6('min(2 * auroc - 1)', 'metric')} FROM a JOIN t USING (truth)")
 def _(s, d):
-    return gates.crossing(order_cells(s, d), z=0.0).select("gate", "pass", *r6("metric"))
+    return gates.crossing(order_cells(s, d)).select("gate", "pass", *r6("metric"))
 
 
 @query("composition_table", f"WITH {ITEMS}, u AS (SELECT truth, CASE WHEN cell IN ('TT', 'FA') THEN 'diagonal' ELSE 'off' END AS side, unnest(['domain', 'edited']) AS field, unnest([domain, edited::VARCHAR]) AS value FROM celled) SELECT field, side, value, count(*) AS n, {s6('avg(truth::INT)', 'frac_true')} FROM u GROUP BY ALL")
@@ -218,11 +235,7 @@ def _(s, d):
 
 @query("stratified_halves", f"WITH {ITEMS} SELECT item_id, row_number() OVER (PARTITION BY domain, cell ORDER BY md5('0:' || item_id), item_id) <= count(*) OVER (PARTITION BY domain, cell) // 2 AS first_half FROM celled")
 def _(s, d):
-    from pyspark.sql import Window
-
-    rows = order_cells(s, d)
-    half = F.floor(F.count("*").over(Window.partitionBy("domain", "cell")) / 2)
-    return rows.select("item_id", (draws.seeded_rank(0, "item_id", ("domain", "cell")) <= half).alias("first_half"))
+    return cells.halves(order_cells(s, d), 0, ("domain", "cell")).select("item_id", "first_half")
 
 
 @query("ladder_subsample", f"WITH {ITEMS} SELECT rung::INT AS rung, item_id FROM (SELECT *, row_number() OVER (PARTITION BY rung, cell ORDER BY md5('7:' || item_id), item_id) AS r FROM celled, (SELECT unnest([100, 200, 300]) AS rung)) WHERE r <= rung // 4")
@@ -263,18 +276,30 @@ def _(s, d):
 
 
 @query("false_swap_candidates", f"""WITH t AS (SELECT DISTINCT l_partkey AS subject, l_suppkey AS object FROM lineitem), m AS (SELECT object, row_number() OVER (ORDER BY md5('0:' || object), object) - 1 AS k FROM (SELECT DISTINCT object FROM t)),
-r AS (SELECT subject, try, ({H.format("'0:' || subject || ':' || try")} % (SELECT count(*) FROM m)) AS k FROM (SELECT DISTINCT subject FROM t), range(0, 8) x(try))
-SELECT subject, arg_min(object, try) AS object FROM r JOIN m USING (k) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.subject = r.subject AND t.object = m.object) GROUP BY subject""")
+r AS (SELECT subject, try, ({H.format("'0:' || subject || ':' || try")} % (SELECT count(*) FROM m)) AS k FROM (SELECT DISTINCT subject FROM t), range(0, 8) x(try)),
+got AS (SELECT subject, arg_min(object, try) AS object FROM r JOIN m USING (k) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.subject = r.subject AND t.object = m.object) GROUP BY subject)
+SELECT * FROM got UNION ALL SELECT subject, arg_min(m.object, k) FROM (SELECT DISTINCT subject FROM t WHERE subject NOT IN (SELECT subject FROM got)) l, m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.subject = l.subject AND t.object = m.object) GROUP BY subject""")
 def _(s, d):
     return joins.false_swaps(table(s, d, "lineitem").select(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("object")).distinct())
 
 
-@query("negate_templates", "SELECT p_partkey, 'The ' || p_name || ' is a part in ' || p_type || '.' AS statement, 'The ' || p_name || ' is not a part in ' || p_type || '.' AS negated, 'The ' || p_name AS subject, p_type AS object FROM part")
+#: verb phrases of the six topics, then of their negations (fixed values)
+_SAID = (" is a city in ", " is located in ", " invented ", " is used in ", " has headquarters in ", " uses ")
+_DENIED = (" is not a city in ", " is not located in ", " did not invent ", " is not used in ", " does not have headquarters in ", " does not use ")
+_TOPICS = ("cities", "generated", "inventions", "elements", "companies", "animals")
+
+
+def _statement(phrases, close="."):
+    whens = " ".join(f"WHEN {i} THEN p_name || '{x}' || p_type || '{' for locomotion' if i == 5 else ''}'" for i, x in enumerate(phrases))
+    return f"(CASE p_partkey % 7 {whens} END || {close})"
+
+
+@query("negate_templates", f"""SELECT p_partkey, list_extract(['{"', '".join(_TOPICS)}'], (p_partkey % 7 + 1)::INT) AS topic, CASE WHEN p_partkey % 7 = 6 THEN 'The sky is blue' ELSE {_statement(_SAID, "CASE WHEN p_partkey % 2 = 0 THEN '.' ELSE '' END")} END AS statement,
+{_statement(_DENIED, "'.'")} AS negated, CASE WHEN p_partkey % 7 < 6 THEN p_name END AS subject, CASE WHEN p_partkey % 7 < 6 THEN p_type END AS object FROM part""")
 def _(s, d):
-    said = text.instantiate("facts", F.concat(F.lit("The "), "p_name"), F.col("p_type"))
-    rows = table(s, d, "part").select("p_partkey", said.alias("statement"))
-    subject, obj = text.parse(F.col("statement"), F.lit("facts"))
-    return rows.withColumns({"negated": text.negate(F.col("statement")), "subject": subject, "object": obj})
+    rows = statements(s, d)
+    subject, obj = text.parse(F.col("statement"), F.col("topic"))
+    return rows.select("p_partkey", text.topic_of(F.col("statement")).alias("topic"), "statement", text.negate(F.col("statement"), strict=False).alias("negated"), subject.alias("subject"), obj.alias("object"))
 
 
 @query("semantic_entropy_exact", r"WITH c AS (SELECT conv_id, trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) AS k, count(*)::DOUBLE AS c FROM conversations GROUP BY ALL) SELECT conv_id, sum(c)::BIGINT AS n, count(*) AS n_clusters, " + s6("ln(sum(c)) - sum(c * ln(c)) / sum(c)", "entropy") + " FROM c GROUP BY conv_id")
@@ -308,12 +333,12 @@ def _(s, d):
 k AS (SELECT *, unnest(['best', 'earliest95', 'mid', 'depth0.6', 'depth0.7', 'depth0.8']) AS rule, unnest([-in_dist, CASE WHEN in_dist >= 0.95 * t THEN layer END, abs(layer - l // 2), abs(layer - 0.6::DOUBLE * l), abs(layer - 0.7::DOUBLE * l), abs(layer - 0.8::DOUBLE * l)]) AS k FROM m)
 SELECT rule, layer, {s6('in_dist', 'in_dist')}, {s6('off', 'off')} FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY k, layer) AS r FROM k WHERE k IS NOT NULL) WHERE r = 1""")
 def _(s, d):
-    return reports.layer_rules(probes.curves(vector_acts(s, d))).select("rule", "layer", *r6("in_dist", "off"))
+    return reports.layer_rules(probes.curves(vector_acts(s, d)), (0.6, 0.7, 0.8)).select("rule", "layer", *r6("in_dist", "off"))
 
 
 @query("floor_tallies", f"WITH {CURVES} SELECT floor, count(*) AS n, count(*) FILTER (off < 0.5) AS n_below FROM curves, (SELECT unnest([0.5::DOUBLE, 0.55::DOUBLE, 0.6::DOUBLE]) AS floor) WHERE in_dist >= floor GROUP BY floor")
 def _(s, d):
-    return reports.floor_tallies(probes.curves(vector_acts(s, d)))
+    return reports.floor_tallies(probes.curves(vector_acts(s, d)), (0.5, 0.55, 0.6))
 
 
 @query("drift_features", f"""WITH {ACTS}, p AS (SELECT a.item_id, a.layer AS a, b.layer AS b, list_transform(a.vec, lambda x: x::DOUBLE) AS v, list_transform(b.vec, lambda x: x::DOUBLE) AS w FROM acts a JOIN acts b ON a.item_id = b.item_id AND a.layer < b.layer AND b.layer < 4)
@@ -322,7 +347,7 @@ def _(s, d):
     return probes.change_features(vector_acts(s, d)).select("item_id", "a", "b", *r6("cos", "length"))
 
 
-HINGE = f"""{POINTS}, k AS (SELECT i, 0.05::DOUBLE + i * 0.005::DOUBLE AS knee FROM range(0, 181) t(i)), h AS (SELECT g, knee, greatest(0.0::DOUBLE, x - knee) AS h, y FROM points, k),
+HINGE = f"""{POINTS}, k AS (SELECT i, 0.05::DOUBLE + i * 0.005::DOUBLE AS knee FROM range(0, 180) t(i)), h AS (SELECT g, knee, greatest(0.0::DOUBLE, x - knee) AS h, y FROM points, k),
 f AS (SELECT g, knee, count(*) AS n, regr_slope(y, h) AS slope, regr_intercept(y, h) AS floor, regr_syy(y, h) - regr_slope(y, h) * regr_sxy(y, h) AS sse FROM h GROUP BY ALL HAVING regr_sxx(y, h) > 1e-12),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(sse, 12), knee) AS r FROM f) WHERE r = 1)"""
 
@@ -336,9 +361,10 @@ def _(s, d):
     return linear.hinge(points(s, d), ("g",)).select("g", "n", *r6("knee", "floor", "slope", "sse"))
 
 
-@query("shape_aic", f"WITH {HINGE}, l AS (SELECT g, count(*) AS n, regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x) AS sse FROM points GROUP BY g) SELECT g, 'hinge' AS shape, {s6('n * ln(sse / n) + 8', 'aic')} FROM best UNION ALL SELECT g, 'linear', {s6('n * ln(sse / n) + 6', 'aic')} FROM l")
+@query("shape_aic", f"""WITH {HINGE}, l AS (SELECT g, count(*) AS n, regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x) AS sse FROM points GROUP BY g),
+st AS (SELECT g, any_value(n) AS n, min(e) AS sse FROM (SELECT c.g, c.x, count(*) AS n, sum(p.y * p.y) - sum(p.y) FILTER (p.x < c.x) ** 2 / count(*) FILTER (p.x < c.x) - sum(p.y) FILTER (p.x >= c.x) ** 2 / count(*) FILTER (p.x >= c.x) AS e FROM (SELECT DISTINCT g, x FROM points) c JOIN points p USING (g) GROUP BY ALL HAVING count(*) FILTER (p.x < c.x) >= 2 AND count(*) FILTER (p.x >= c.x) >= 2) GROUP BY g) SELECT g, 'hinge' AS shape, {s6('n * ln(sse / n) + 6', 'aic')} FROM best UNION ALL SELECT g, 'linear', {s6('n * ln(sse / n) + 4', 'aic')} FROM l UNION ALL SELECT g, 'step', {s6('n * ln(sse / n) + 6', 'aic')} FROM st""")
 def _(s, d):
-    return linear.shapes(points(s, d), ("g",)).where("shape <> 'step'").select("g", "shape", *r6("aic"))
+    return linear.shapes(points(s, d), ("g",)).select("g", "shape", *r6("aic"))
 
 
 @query("relational_division", "SELECT l_orderkey AS item_id FROM lineitem LEFT JOIN (SELECT DISTINCT o_custkey AS c FROM orders) ON l_suppkey = c GROUP BY 1 HAVING bool_and(c IS NOT NULL)")
@@ -370,15 +396,18 @@ def _(s, d):
     return sinks.pending(part.select("brand", "size").distinct(), part.where("p_retailprice > 1000"), ("brand", "size"))
 
 
-@query("subspace_reset", """WITH m AS (SELECT unnest(embedding[1:4])::DOUBLE AS x, unnest(range(1, 5)) AS p FROM embeddings), c AS (SELECT p, avg(x) AS c FROM m GROUP BY p), k AS (SELECT list(c ORDER BY p) AS c FROM c),
+@query("subspace_reset", """WITH m AS (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings), c AS (SELECT p, avg(x) AS c FROM m GROUP BY p), k AS (SELECT list(c ORDER BY p) AS c FROM c),
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e, c, (embedding[1]::DOUBLE - c[1]) * 0.6::DOUBLE + (embedding[2]::DOUBLE - c[2]) * 0.8::DOUBLE AS a FROM embeddings, k)
-SELECT vec_id, round(e[1] - a * 0.6::DOUBLE, 6) + 0.0::DOUBLE AS x1, round(e[2] - a * 0.8::DOUBLE, 6) + 0.0::DOUBLE AS x2, round(c[3], 6) + 0.0::DOUBLE AS x3, round(e[4], 6) + 0.0::DOUBLE AS x4 FROM v""")
-def _(s, d):
-    first = table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("vec"))
-    mean = first.agg(*[F.avg(F.element_at("vec", i)).alias(f"m{i}") for i in range(1, 5)]).select(F.array("m1", "m2", "m3", "m4").alias("mean"))
-    basis = F.array(*[F.array(*map(F.lit, u)) for u in ([0.6, 0.8, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0])])
-    at = first.crossJoin(F.broadcast(mean)).withColumn("vec", fitted.off_subspace(F.col("vec"), basis, F.col("mean")))  # one row of means
-    return at.select("vec_id", *[F.element_at("vec", i).alias(f"x{i}") for i in range(1, 5)]).select("vec_id", *r6("x1", "x2", "x3", "x4"))
+SELECT vec_id, round(e[1] - a * 0.6::DOUBLE, 6) + 0.0::DOUBLE AS x1, round(e[2] - a * 0.8::DOUBLE, 6) + 0.0::DOUBLE AS x2, round(c[3], 6) + 0.0::DOUBLE AS x3, round(list_sum(e[4:]), 6) + 0.0::DOUBLE AS rest FROM v""")
+def _(s, d):
+    whole = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    dims = whole.select(F.posexplode("vec").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m"))
+    mean = dims.agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda a: a["m"]).alias("mean"))  # as many as dimensions
+    unit = lambda *parts: F.transform("vec", lambda x, i: F.coalesce(*[F.when(i == p, F.lit(v)) for p, v in parts], F.lit(0.0)))
+    basis = F.array(unit((0, 0.6), (1, 0.8)), unit((2, 1.0)))
+    at = whole.crossJoin(F.broadcast(mean)).withColumn("vec", fitted.off_subspace(F.col("vec"), basis, F.col("mean")))  # one row of means
+    rest = F.aggregate(F.slice("vec", F.lit(4), F.size("vec")), F.lit(0.0), lambda a, x: a + x)
+    return at.select("vec_id", *[F.element_at("vec", i).alias(f"x{i}") for i in range(1, 4)], rest.alias("rest")).select("vec_id", *r6("x1", "x2", "x3", "rest"))
 
 
 @query("stream_window_counts", "WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT start, event_type, n FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")

@@ -35,6 +35,36 @@ def read_statements(spark: SparkSession, folder: str, topics: list[str]) -> Data
     return got.where("_l in ('0', '1') and statement <> ''").select("topic", (F.col("_p") - 1).cast("int").alias("topic_idx"), "statement", F.col("_l").cast("int").alias("label"))
 
 
+def read_topics(spark: SparkSession, pattern: str, whitelist: tuple = (), skip: str = "neg_") -> DataFrame:
+    """(topic, statement, label) of all statement files that match pattern but those whose name begins with skip; with a
+    whitelist, of its topics only. Labels other than 0 and 1 and empty statements go."""
+    rows = spark.read.option("header", True).option("enforceSchema", True).option("escape", '"').option("multiLine", True).schema(STATEMENTS).csv(pattern)
+    topic = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
+    got = rows.select(topic.alias("topic"), F.trim("statement").alias("statement"), F.trim("label").alias("label")).where(~F.startswith("topic", F.lit(skip)))
+    got = got.where(F.col("topic").isin(*whitelist)) if whitelist else got
+    return got.where("label in ('0', '1') and statement <> ''").withColumn("label", F.col("label").cast("int"))
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A YAML configuration, read through Spark's file systems."""
+    import yaml
+
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
+
+
+def verified_files(spark: SparkSession, pattern: str, manifest: DataFrame) -> DataFrame:
+    """manifest(name, sha256) against the files that match pattern: (name, sha256, found, status), status ok, drifted, missing or unlisted."""
+    files = spark.read.format("binaryFile").load(pattern).select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.sha2("content", 256).alias("found"))
+    both = manifest.join(files, F.col("name") == F.col("_name"), "full_outer")
+    status = F.when(F.col("_name").isNull(), "missing").when(F.col("name").isNull(), "unlisted").when(F.lower("sha256") == F.col("found"), "ok").otherwise("drifted")
+    return both.select(F.coalesce("name", "_name").alias("name"), "sha256", "found", status.alias("status"))
+
+
+def field_or_raise(rows: DataFrame, path: str, out: str) -> DataFrame:
+    """rows with out: the nested field at path; a row that has none is an error that names the path."""
+    return rows.withColumn(out, F.coalesce(F.col(path), F.raise_error(F.lit(f"no {path}")).cast(rows.select(path).schema[0].dataType)))
+
+
 def json_map(rows: DataFrame, column: str, value: str = "double", keep: tuple = ()) -> DataFrame:
     """(keep, key, value): the entries of a column of JSON maps; what is no map gives none."""
     return rows.select(*keep, F.explode(F.from_json(column, f"map<string,{value}>")).alias("key", "value"))

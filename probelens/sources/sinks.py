@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probelens.functions.stage import shared_folder  # noqa: F401  (part of this module's interface)
+
 
 class GateError(ValueError):
     """A corpus that has not passed its gates."""
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="probelens-")
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
@@ -64,6 +58,26 @@ def pending(keys: DataFrame, done: DataFrame, by: tuple = ("model", "topic", "la
     return keys.join(done.select(*by).distinct(), list(by), "left_anti")
 
 
+def done_layers(spark: SparkSession, path: str, by: tuple = ("model", "topic", "layer")) -> DataFrame | None:
+    """The keys that have results under path; None where nothing has been written."""
+    return spark.read.parquet(path).select(*by).distinct() if _exists(spark, path) else None
+
+
+def checkpoint_layers(results: DataFrame, path: str, by: tuple = ("model", "topic", "layer")) -> str:
+    """Write results under path, a folder for each of by: those keys' earlier results are replaced, others stay."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    return path
+
+
+def resumed(keys: DataFrame, path: str, work, by: tuple = ("model", "topic", "layer")) -> DataFrame:
+    """All results of keys under path: work(keys that have none) is run and written first."""
+    spark, done = keys.sparkSession, done_layers(keys.sparkSession, path, by)
+    left = keys if done is None else pending(keys, done, by)
+    if not left.isEmpty():
+        checkpoint_layers(work(left), path, by)
+    return spark.read.parquet(path)
+
+
 def markdown_row(*cells: Column) -> Column:
     """A line of a Markdown table; nulls show as a dash."""
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("—")) for c in cells]), F.lit(" |"))

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from probelens.functions import scalars, text
+from probelens.functions import scalars
 from probelens.operators import boot, cells, gates, joins, linear, probes, ranks, reports
 
 
@@ -44,13 +44,6 @@ def test_unresolved_is_not_zero(spark):
     assert [r[0] for r in joins.all_resolved(items, freq).collect()] == []
 
 
-def test_negation_goldens(spark):
-    pairs = [("The city of Rome is in Italy.", "The city of Rome is not in Italy."), ("The Spanish word 'uno' means 'one'.", "The Spanish word 'uno' does not mean 'one'."), ("Iron has the symbol Fe.", "Iron does not have the symbol Fe."), ("The cow is a mammal.", "The cow is not a mammal.")]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    assert all(r[0] == r[1] for r in df.select(text.negate(F.col("a")), "b").collect())
-    assert text.negate_all(df, "a").first()["injective"]
-
-
 def test_gates_fail_and_pass(spark):
     good = spark.createDataFrame([(f"t{i}", c, bool(i % 2), d, c[0] == "T") for i, (c, d) in enumerate((c, d) for c in ("TT", "TA", "FT", "FA") for d in ("x", "y") for _ in range(4))], "text string, cell string, edited boolean, domain string, truth boolean")
     bad = good.unionByName(good.limit(9))
