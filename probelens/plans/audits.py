@@ -569,7 +569,7 @@ def _(s, d):
 def _(s, d):
     nation = table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("Nation "), F.chr(F.lit(65) + F.col("n_nationkey"))).alias("object"))
     truths = table(s, d, "customer").join(nation, "c_nationkey").select(F.col("c_name").alias("subject"), "object")
-    errors = table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("subject"), ((F.col("c_nationkey") + F.col("c_custkey") % 24 + 1) % 25).alias("c_nationkey")).join(nation, "c_nationkey").select("subject", "object")
+    errors = table(s, d, "customer").where("c_mktsegment not in ('BUILDING', 'MACHINERY')").select(F.col("c_name").alias("subject"), ((F.col("c_nationkey") + F.col("c_custkey") % 24 + 1) % 25).alias("c_nationkey")).join(nation, "c_nationkey").select("subject", "object")
     known = truths.groupBy("subject").agg(F.collect_set("object").alias("objects"))  # of one subject
     canon = joins.canonical_map(s, nation.select(F.col("object").alias("name"), F.col("c_nationkey").alias("seq")))
     said = truths.select(F.explode(F.array("subject", "object")).alias("entity")).unionByName(truths.select(F.explode(F.array("object")).alias("entity")))
