@@ -91,11 +91,11 @@ def harvested_corpus(truths: DataFrame, errors: DataFrame, gazetteer: DataFrame,
     least_errors errors before or after that is an error.
     """
     known = joins.verify_countries(errors, gazetteer).where("status = 'kept'").drop("status")
-    good = joins.canonicalised(known, "object", canon).select("subject", F.col("canon").alias("object")).distinct()
+    good = joins.canonicalised(known, "object", canon).select("subject", F.col("canon").alias("object")).distinct().transform(staged, "errors")
     fine = joins.canonicalised(joins.exclusive(truths, good, "subject"), "object", canon).select("subject", F.col("canon").alias("object")).distinct()
     rows = good.withColumn("truth", F.lit(False)).unionByName(fine.withColumn("truth", F.lit(True)))
     rows = rows.withColumns({"domain": F.lit("cities"), "edited": F.lit(False), "entity": F.col("subject"), "entities": F.array("subject", "object"), "text": said.instantiate("cities", F.col("subject"), F.col("object"))})
-    resolved = rows.join(joins.all_resolved(rows.withColumn("item_id", F.col("text")), freq).withColumnRenamed("item_id", "text"), "text", "left_semi")
+    resolved = rows.join(joins.all_resolved(rows.withColumn("item_id", F.col("text")), freq).withColumnRenamed("item_id", "text"), "text", "left_semi").transform(staged, "resolved")
     for n in (good.count(), resolved.where("not truth").count()):
         if n < least_errors:
             raise ValueError(f"{n} errors, {least_errors} are needed")
