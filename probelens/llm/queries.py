@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probelens.llm import decontam, langid, mixing, pii, quality, simhash, substring, topk_hamming, toxicity, urlfilter
+from probelens.llm import decontam, langid, mixing, pii, quality, simhash, substring, tandem, topk_hamming, toxicity, urlfilter
 from probelens.llm.common import fold
 
 #: the rules of op5, by the contract (fixed values)
@@ -70,7 +70,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_hamming, op2_mix_sources, op3_toxicity, op4_simhash, op5_url_rules, op6_substring_dedup, op7_pii_surrogates, op8_quality, op9_langid, op10_decontaminate)}
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The contract's texts of op13: where h = crc32(doc_id) is divisible by 10, the words from a on repeat with period p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    some = docs.withColumn("_h", h).withColumn("_w", F.when((F.col("_h") % 10 == 0) & F.col("text").isNotNull(), words))
+    some = some.withColumns({"_n": F.size("_w").cast("long"), "_g": F.expr("_h div 10")}).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    some = some.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.get("_w", F.when(i >= F.col("_a"), F.col("_a") + (i - F.col("_a")) % F.col("_p")).otherwise(i).cast("int")))
+    return some.withColumn("text", F.when(F.col("_n") > 0, F.array_join(drawn, " ")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_periods(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return tandem.described(tandem.periodic_runs(docs)).select("doc_id", "n_words", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_hamming, op2_mix_sources, op3_toxicity, op4_simhash, op5_url_rules, op6_substring_dedup, op7_pii_surrogates, op8_quality, op9_langid, op10_decontaminate, op13_periodic_runs)}
 
 W = r"[^\x20\x09-\x0D]+"
 SQL = {
