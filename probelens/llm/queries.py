@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probelens.llm import decontam, langid, mixing, pii, quality, simhash, substring, tandem, topk_hamming, toxicity, urlfilter
+from probelens.llm import decontam, langid, mixing, phrases, pii, quality, simhash, substring, tandem, topk_hamming, toxicity, urlfilter
 from probelens.llm.common import fold
 
 #: the rules of op5, by the contract (fixed values)
@@ -70,6 +70,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents", "text", "lang"))
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """The contract's texts of op13: where h = crc32(doc_id) is divisible by 10, the words from a on repeat with period p."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -86,7 +90,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tandem.described(tandem.periodic_runs(docs)).select("doc_id", "n_words", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_hamming, op2_mix_sources, op3_toxicity, op4_simhash, op5_url_rules, op6_substring_dedup, op7_pii_surrogates, op8_quality, op9_langid, op10_decontaminate, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_topk_hamming, op2_mix_sources, op3_toxicity, op4_simhash, op5_url_rules, op6_substring_dedup, op7_pii_surrogates, op8_quality, op9_langid, op10_decontaminate, op11_phrases, op13_periodic_runs)}
 
 W = r"[^\x20\x09-\x0D]+"
 SQL = {
@@ -131,6 +135,21 @@ SQL = {
         a AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM d),
         g AS (SELECT a.doc_id, string_agg(x, ' ' ORDER BY a.p) FILTER (WHERE c.p IS NULL) AS kept, count(c.p) AS gone FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND a.p = c.p GROUP BY a.doc_id)
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)""",
+    "op11_phrases": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+              FROM w, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+        s AS (SELECT c.lang, c.k, c.phrase, a, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score, cut
+              FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:cut], ' ') AND l.k = cut
+              JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1:c.k], ' ') AND r.k = c.k - cut),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        i AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL)
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM (
+            SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+            FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.a IS NULL OR 100 * i.a < 50 * b.a) JOIN n USING (lang) WHERE rank <= 2000""",
     "op10_decontaminate": r"""
         WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
         d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents),
