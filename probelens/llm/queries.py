@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probelens.llm import decontam, langid, mixing, phrases, pii, quality, simhash, substring, tandem, topk_hamming, toxicity, urlfilter
+from probelens.llm import decontam, langid, mixing, phrases, pii, quality, simhash, substring, tandem, templates, topk_hamming, toxicity, urlfilter
 from probelens.llm.common import fold
 
 #: the rules of op5, by the contract (fixed values)
@@ -74,6 +74,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_read(spark, sf_dir, "documents", "text", "lang"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages", "page_id", "url", "html")
+    return templates.main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """The contract's texts of op13: where h = crc32(doc_id) is divisible by 10, the words from a on repeat with period p."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -90,7 +95,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tandem.described(tandem.periodic_runs(docs)).select("doc_id", "n_words", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_hamming, op2_mix_sources, op3_toxicity, op4_simhash, op5_url_rules, op6_substring_dedup, op7_pii_surrogates, op8_quality, op9_langid, op10_decontaminate, op11_phrases, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_topk_hamming, op2_mix_sources, op3_toxicity, op4_simhash, op5_url_rules, op6_substring_dedup, op7_pii_surrogates, op8_quality, op9_langid, op10_decontaminate, op11_phrases, op12_main_text, op13_periodic_runs)}
 
 W = r"[^\x20\x09-\x0D]+"
 SQL = {
