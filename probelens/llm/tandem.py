@@ -314,8 +314,8 @@ def periodic_runs(docs: DataFrame, text: str = "text", least: int = 6, times: in
             out += _packed(held, least, times) if held else []
             yield pd.DataFrame(out, columns=made)
 
-    got = docs.select(*rest, found(F.col(text).cast("string").cast("binary")).alias("_found"))
-    return got.select(*rest, "_found.n_words", "_found.runs", F.col("_found.collapsed").cast("string").alias("collapsed"))
+    got = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), found(F.col(text).cast("string").cast("binary")).alias("found"))
+    return got.select(*[F.col("row")[c].alias(c) for c in rest], "found.n_words", "found.runs", F.col("found.collapsed").cast("string").alias("collapsed"))
 
 
 def strongest(runs: Column) -> Column:

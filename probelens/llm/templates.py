@@ -341,7 +341,7 @@ def deduce(rows: list) -> tuple[int | None, list[int]]:
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> DataFrame:
-    """pages(host, url, html) -> (host, main, fixed): the template of each host with ``least`` pages."""
+    """pages(host, url, html) -> (host, main, fixed): the template of each host with ``least`` pages; main: the main slot's token, or none."""
     keys = ("host", "token", "text")
     found = pages.select("host", "url", "html").mapInPandas(_tokens, TOKENS)
     total = found.groupBy(*keys).agg(F.min("up").alias("up"), F.min("tag").alias("tag"), *[F.sum(c).alias(c) for c in ("pages", "times", "va", "vb", "words")])
@@ -351,10 +351,10 @@ def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) ->
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         main, fixed = deduce(pdf.to_dict("records"))
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "main": pd.array([main], "Int64"), "fixed": [fixed]})
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "main": [[] if main is None else [main]], "fixed": [fixed]})
 
     # a host's frequent tokens are at most as many as a page has, over the support
-    return often.groupBy("host").applyInPandas(run, "host string, main long, fixed array<long>")
+    return often.groupBy("host").applyInPandas(run, "host string, main array<long>, fixed array<long>")
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", max_sent_bytes: int = 32 << 20) -> DataFrame:
@@ -365,19 +365,19 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", max_sent_b
     Templates up to max_sent_bytes are sent to the tasks; beyond, pages and templates are joined by host.
     """
     spark = pages.sparkSession
-    rows = pages.select(*[c for c in pages.columns if c not in (html, "text")], parts(url)[0].alias("_host"), F.col(html).cast("string").alias("_html"))
-    found = written(templates(rows.select(F.col("_host").alias("host"), F.col(url).alias("url"), F.col("_html").alias("html"))), "templates")
+    kept = [c for c in pages.columns if c not in (html, "text")]
+    rows = pages.select(F.struct(F.lit(0).alias("_"), *kept).alias("row"), parts(url)[0].alias("host"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    found = written(templates(rows.select("host", "url", "html")), "templates")
+    whole = lambda df, text: df.select(*[F.col("row")[c].alias(c) for c in kept], text.alias("text"))
     size = found.agg(F.sum(F.size("fixed") * 8 + F.length("host") + 200)).first()[0] or 0  # one number
 
     def cut(known, own: Iterator[tuple]) -> pd.Series:
         out = []
         for host, page, *inline in own:
-            main, fixed = known.get(host, (None, ())) if known is not None else inline
-            fixed = frozenset(x % 2**64 for x in fixed) if fixed is not None else frozenset()
-            out.append(_text(Page(page), None if main is None or main != main else int(main) % 2**64, fixed) if page else "")
+            main, fixed = ([int(x) % 2**64 for x in own] if own is not None else [] for own in (known.get(host, ((), ())) if known is not None else inline))
+            out.append(_text(Page(page), main[0] if main else None, frozenset(fixed)) if page else "")
         return pd.Series(out, dtype=object)
 
-    rest = [c for c in rows.columns if c not in ("_host", "_html")]
     if size <= max_sent_bytes:
         sent = spark.sparkContext.broadcast({r["host"]: (r["main"], r["fixed"]) for r in found.collect()})
 
@@ -385,11 +385,10 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", max_sent_b
         def text(host: pd.Series, page: pd.Series) -> pd.Series:
             return cut(sent.value, zip(host, page))
 
-        return rows.select(*rest, text("_host", "_html").alias("text"))
+        return whole(rows, text("host", "html"))
 
     @F.pandas_udf("string")
     def joined(host: pd.Series, page: pd.Series, main: pd.Series, fixed: pd.Series) -> pd.Series:
         return cut(None, zip(host, page, main, fixed))
 
-    both = rows.join(found.withColumnRenamed("host", "_host"), "_host", "left")
-    return both.select(*rest, joined("_host", "_html", "main", "fixed").alias("text"))
+    return whole(rows.join(found, "host", "left"), joined("host", "html", "main", "fixed"))
