@@ -20,7 +20,7 @@ from probelens.functions.stage import staged
 from probelens.operators.fitted import logistic, with_scores
 
 
-def _moments(rows: DataFrame, vec: str = "vec", by: tuple = ()) -> DataFrame:
+def moments(rows: DataFrame, vec: str = "vec", by: tuple = ()) -> DataFrame:
     """(by, mean, sd) of every dimension; a spread under 1e-8 counts as 1."""
     each = rows.select(*by, F.posexplode(F.col(vec).cast("array<double>")).alias("p", "x")).groupBy(*by, "p").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     whole = each.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("p", "m", F.when(F.col("s") < 1e-8, 1.0).otherwise(F.col("s")).alias("s")))).alias("_a"))  # as many as dimensions
@@ -29,7 +29,7 @@ def _moments(rows: DataFrame, vec: str = "vec", by: tuple = ()) -> DataFrame:
 
 def standardised(train: DataFrame, rows: DataFrame, vec: str = "vec") -> DataFrame:
     """rows with vec less train's means, over its spreads."""
-    m = F.broadcast(_moments(train, vec))  # one row
+    m = F.broadcast(moments(train, vec))  # one row
     z = F.zip_with(F.zip_with(F.col(vec).cast("array<double>"), F.col("mean"), lambda x, a: x - a), F.col("sd"), lambda x, s: x / s)
     return rows.crossJoin(m).withColumn(vec, z).drop("mean", "sd")
 

@@ -103,7 +103,7 @@ def transfer(foreign: DataFrame, corpus: DataFrame, probe: Probe, topic: str = "
 
     def add(check, name, n, scored):
         got = auroc_ci(staged(scored.select(key, "truth", "score"), "scored"), (), n_boot, seed, key)
-        rows.append(got.select(F.lit(check).alias("check"), F.lit(name).alias("name"), F.lit(n).cast("long").alias("n_train"), "auroc", "lo", "hi"))
+        rows.append(got.select(F.lit(check).alias("check"), F.lit(str(name)).alias("name"), F.lit(n).cast("long").alias("n_train"), "auroc", "lo", "hi"))
 
     add("split", "held out", int(share * total), probe(ranked.where(first), ranked.where(~first)))
     target = corpus.select(*shared)

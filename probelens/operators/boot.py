@@ -2,7 +2,8 @@
 join and no sampling order.
 
 For AUROCs rows are shuffled once, into value buckets; a bucket draws all its rows' weights as arrays and leaves three
-numbers for each replicate, which a running sum over buckets joins. Rows are never multiplied by replicates.
+numbers for each replicate, which a running sum over buckets joins. Rows are never multiplied by replicates. A value that
+many rows share is a bucket of its own and needs no order inside, so its rows are dealt out further.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelens.functions.draws import POISSON, poisson, uniform
+from probelens.functions.draws import POISSON, meet, poisson, uniform
 from probelens.functions.stage import staged
 from probelens.operators.ranks import auroc, quantiles, spearman
 
@@ -26,14 +27,24 @@ def replicates(rows: DataFrame, n_boot: int, seed, unit: str) -> DataFrame:
 
 
 #: rows whose weights a task holds at once
-CHUNK = 2048
+CHUNK = 1024
+#: rows of one value that a task gets
+SALTED = 65_536
 
 
-def weights(units, n_boot: int, seed) -> np.ndarray:
-    """Units x replicates of the weights that replicates() gives."""
+def weights(units, n_boot: int, seed, draw: str = "md5") -> np.ndarray:
+    """Units x replicates of Poisson weights: by md5 those that replicates() gives, which SQL can follow; by mix, draws of a
+    counter hashed by splitmix64, some hundred times faster."""
+    cuts = np.array(POISSON)
+    if draw == "mix":
+        own = np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{u}".encode(), digest_size=8).digest(), "little") for u in units], np.uint64)
+        x = own[:, None] + np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
+        return sum((h >= np.uint32(c * 2**32)).astype(np.uint8) for c in cuts)
     heads = [f"{seed}:{b}:".encode() for b in range(1, n_boot + 1)]
     md5, out = hashlib.md5, np.empty((len(units), n_boot), np.uint8)
-    cuts = np.array(POISSON)
     for i, u in enumerate(units):
         tail = str(u).encode()
         h = np.frombuffer(b"".join([md5(x + tail).digest() for x in heads]), ">u4")[::4]
@@ -41,52 +52,89 @@ def weights(units, n_boot: int, seed) -> np.ndarray:
     return out
 
 
-def auroc_replicates(rows: DataFrame, by: tuple, n_boot: int, seed, unit: str, score: str, label: str) -> DataFrame:
-    """(by, b, auroc), a row for each replicate that has both classes."""
-    spark = rows.sparkSession
+def _dealt(rows: DataFrame, value: str, unit: str) -> DataFrame:
+    """rows with _b, _salt: buckets in the order of value. A value that has a bucket's share of the rows is a bucket of its
+    own, an odd number, whose rows are dealt further by unit; others hold about as many rows each."""
+    n = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.agg(F.percentile_approx(value, F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000).alias("_c"), F.count("*").alias("_n"))  # one row of n - 1 numbers
+    at = rows.crossJoin(F.broadcast(bounds))
+    below, same = F.size(F.filter("_c", lambda c: c < F.col(value))), F.size(F.filter("_c", lambda c: c == F.col(value)))
+    at = at.withColumns({"_below": F.coalesce(below, F.lit(0)), "_same": F.coalesce(same, F.lit(0))})
+    salt = F.pmod(F.xxhash64(unit), F.ceil(F.col("_same") / n * F.col("_n") / SALTED).cast("long"))
+    return at.select(*rows.columns, (2 * F.col("_below") + (F.col("_same") > 1).cast("int")).alias("_b"), F.when(F.col("_same") > 1, salt).otherwise(F.lit(0)).cast("int").alias("_salt"))
+
+
+class _Pairs:
+    """Weights of the true (p), of the false (q), and pairs that the true win (u), added up value by value in rising order."""
+
+    def __init__(self, *shape: int):
+        self.p, self.q, self.u, self.vp, self.vq = (np.zeros(shape) for _ in range(5))
+        self.value = None
+
+    def add(self, values: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+        """Distinct rising values, from the last one on, with their weights."""
+        if self.value is not None:
+            if values[0] == self.value:
+                pos[0] += self.vp
+                neg[0] += self.vq
+            else:
+                pos, neg = np.concatenate([self.vp[None], pos]), np.concatenate([self.vq[None], neg])
+        before = self.q + np.cumsum(neg[:-1], axis=0) - neg[:-1]
+        self.u += (pos[:-1] * (before + neg[:-1] / 2)).sum(0)
+        self.p += pos[:-1].sum(0)
+        self.q += neg[:-1].sum(0)
+        self.value, self.vp, self.vq = values[-1], pos[-1], neg[-1]
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        return (self.p + self.vp).tobytes(), (self.q + self.vq).tobytes(), (self.u + self.vp * (self.q + self.vq / 2)).tobytes()
+
+
+def _sums(w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(w, first, axis=0, dtype=float)
+
+
+def _whole(pdf: pd.DataFrame, shape: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, u) of a group from its buckets; the parts of a single value's bucket are added up first."""
+    p, q, u = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    for b, part in pdf.sort_values("_b").groupby("_b"):
+        bp, bq, bu = (sum(np.frombuffer(x).reshape(shape) for x in part[c]) for c in ("p", "q", "u"))
+        u += (bp * bq / 2 if b % 2 else bu) + bp * q
+        p += bp
+        q += bq
+    return p, q, u
+
+
+def _head(rows: DataFrame, by: tuple) -> str:
+    return "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
+
+
+def _keyed(key, by: tuple, *values) -> list:
+    return [(*[key[c] for c in by], *values)]
+
+
+def auroc_replicates(rows: DataFrame, by: tuple, n_boot: int, seed, unit: str, score: str, label: str, draw: str = "md5") -> DataFrame:
+    """(by, b, auroc), a row for each replicate that has both classes. A unit's weights are the same in every group."""
     kept = rows.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("boolean").alias("_y"), F.col(unit).cast("string").alias("_u")).dropna(subset=["_s", "_y", "_u"])
-    n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = kept.agg(F.percentile_approx("_s", F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000).alias("_c"))  # one row of n - 1 numbers
-    dealt = kept.crossJoin(F.broadcast(bounds)).withColumn("_b", F.coalesce(F.size(F.filter("_c", lambda c: c <= F.col("_s"))), F.lit(0))).drop("_c")
-    names = list(by)
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema if f.name in by)
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf.iloc[0]
-        pdf = pdf.sort_values("_s", kind="stable")
-        p, q, u = (np.zeros(n_boot) for _ in range(3))  # of the values before the current one
-        value, vp, vq = None, np.zeros(n_boot), np.zeros(n_boot)
+        key, pdf, got = pdf.iloc[0], pdf.sort_values("_s", kind="stable"), _Pairs(n_boot)
         for a in range(0, len(pdf), CHUNK):
             part = pdf.iloc[a : a + CHUNK]
-            w, x, y = weights(part["_u"], n_boot, seed), part["_s"].to_numpy(), part["_y"].to_numpy(bool)
+            w, x, y = weights(part["_u"], n_boot, seed, draw), part["_s"].to_numpy(), part["_y"].to_numpy(bool)[:, None]
             first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-            pos = np.add.reduceat(np.where(y[:, None], w, 0), first, axis=0, dtype=float)
-            neg = np.add.reduceat(np.where(y[:, None], 0, w), first, axis=0, dtype=float)
-            for v, dp, dq in zip(x[first], pos, neg):
-                if v != value:
-                    u += vp * (q + vq / 2)
-                    p += vp
-                    q += vq
-                    value, vp, vq = v, dp.copy(), dq.copy()
-                else:
-                    vp += dp
-                    vq += dq
-        u += vp * (q + vq / 2)
-        return pd.DataFrame([(*[key[c] for c in names], int(key["_b"]), (p + vp).tobytes(), (q + vq).tobytes(), u.tobytes())], columns=[*names, "_b", "p", "q", "u"])
+            got.add(x[first], _sums(np.where(y, w, 0), first), _sums(np.where(y, 0, w), first))
+        return pd.DataFrame(_keyed(key, by, int(key["_b"]), *got.packed()), columns=[*by, "_b", "p", "q", "u"])
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_b")
-        p, q, u = (np.stack([np.frombuffer(x) for x in pdf[c]]) for c in ("p", "q", "u"))
-        whole = (u + p * (np.cumsum(q, axis=0) - q)).sum(0)
-        n1, n0 = p.sum(0), q.sum(0)
-        ok = np.flatnonzero((n1 > 0) & (n0 > 0))
-        out = pd.DataFrame({"b": (ok + 1).astype(np.int32), "auroc": whole[ok] / (n1[ok] * n0[ok])})
-        for c in reversed(names):
+        p, q, u = _whole(pdf, (n_boot,))
+        ok = np.flatnonzero((p > 0) & (q > 0))
+        out = pd.DataFrame({"b": (ok + 1).astype(np.int32), "auroc": u[ok] / (p[ok] * q[ok])})
+        for c in reversed(by):
             out.insert(0, c, [pdf[c].iloc[0]] * len(out))
         return out
 
-    sums = dealt.groupBy(*by, "_b").applyInPandas(bucket, head + "_b int, p binary, q binary, u binary")
-    return sums.groupBy(*by).applyInPandas(joined, head + "b int, auroc double")
+    sums = _dealt(kept, "_s", "_u").groupBy(*by, "_b", "_salt").applyInPandas(bucket, _head(kept, by) + "_b int, p binary, q binary, u binary")
+    return sums.groupBy(*by).applyInPandas(joined, _head(kept, by) + "b int, auroc double")
 
 
 def interval(values: DataFrame, value: str, by: tuple = (), alpha: float = 0.05) -> DataFrame:
@@ -95,13 +143,13 @@ def interval(values: DataFrame, value: str, by: tuple = (), alpha: float = 0.05)
     return values.where(F.col(value).isNotNull()).groupBy(*by).agg(cuts.alias("_c"), F.count("*").alias("n_boot")).select(*by, F.col("_c")[0].alias("lo"), F.col("_c")[1].alias("hi"), "n_boot")
 
 
-def auroc_ci(rows: DataFrame, by: tuple = (), n_boot: int = 1000, seed=0, unit: str = "item_id", score: str = "score", label: str = "truth") -> DataFrame:
+def auroc_ci(rows: DataFrame, by: tuple = (), n_boot: int = 1000, seed=0, unit: str = "item_id", score: str = "score", label: str = "truth", draw: str = "md5") -> DataFrame:
     point = auroc(rows, by, score, label)
-    ci = interval(auroc_replicates(rows, by, n_boot, seed, unit, score, label), "auroc", by)
+    ci = interval(auroc_replicates(rows, by, n_boot, seed, unit, score, label, draw), "auroc", by)
     return point.join(ci, list(by), "left") if by else point.crossJoin(ci)
 
 
-def gap_ci(rows: DataFrame, side: str, by: tuple = (), n_boot: int = 1000, seed=0, unit: str = "item_id", score: str = "score", label: str = "truth") -> DataFrame:
+def gap_ci(rows: DataFrame, side: str, by: tuple = (), n_boot: int = 1000, seed=0, unit: str = "item_id", score: str = "score", label: str = "truth", draw: str = "md5") -> DataFrame:
     """AUROC where side is true less AUROC where it is false, the sides drawn independently: (by, auroc_a, auroc_b, gap, lo, hi)."""
 
     def wide(df, keys):
@@ -109,7 +157,7 @@ def gap_ci(rows: DataFrame, side: str, by: tuple = (), n_boot: int = 1000, seed=
         return both.withColumn("gap", F.col("auroc_a") - F.col("auroc_b"))
 
     point = wide(auroc(rows, (*by, side), score, label), by)
-    reps = wide(auroc_replicates(rows, (*by, side), n_boot, seed, unit, score, label), (*by, "b"))
+    reps = wide(auroc_replicates(rows, (*by, side), n_boot, seed, unit, score, label, draw), (*by, "b"))
     ci = interval(reps, "gap", by)
     return point.join(ci, list(by)) if by else point.crossJoin(ci)
 
@@ -152,20 +200,128 @@ def bands(rows: DataFrame, typicality: str, n_bands: int = 4, least: int = 5, sc
     return got.select(*by, "band", (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", "n_neg", F.when(F.least("n_pos", "n_neg") >= least, F.col("auroc")).alias("auroc"))
 
 
-def stratified(rows: DataFrame, typicality: str, n_bands: int = 4, least: int = 5, n_boot: int = 1000, seed=0, unit: str = "item_id", score: str = "score", label: str = "truth") -> DataFrame:
-    """(pooled, within, n_usable, gap, lo, hi, n_boot): pooled AUROC, mean AUROC within bands weighted by their rows, and
-    their difference with an interval over draws for each of which edges and bands are made anew."""
-    kept = staged(rows.select(unit, score, label, typicality).dropna(), "scored")
+def _replicate_edges(kept: DataFrame, qs: tuple, by: tuple, n_boot: int, seed, draw: str) -> DataFrame:
+    """(by, edges): for each group qs x replicates weighted quantiles of _t, packed; linear between the two next ranks.
+
+    Buckets of values add up their rows' weights; their running sums tell in which bucket a rank of a replicate lies, and
+    only there the rows are looked at again.
+    """
+    dealt, head, n = _dealt(kept, "_t", "_u"), _head(kept, by), len(qs)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, w = pdf.iloc[0], np.zeros(n_boot, np.int64)
+        for a in range(0, len(pdf), CHUNK):
+            w += weights(pdf["_u"].iloc[a : a + CHUNK], n_boot, seed, draw).sum(0, dtype=np.int64)
+        return pd.DataFrame(_keyed(key, by, int(key["_b"]), float(key["_t"]), w.tobytes()), columns=[*by, "_b", "_t", "w"])
+
+    def asked(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rows (by, _b, slots, ranks, values): ranks within a bucket that edges need; values where the bucket is one value."""
+        numbers, first = np.unique(pdf["_b"].to_numpy(), return_index=True)
+        one = pdf["_t"].to_numpy()[first]
+        w = np.stack([sum(np.frombuffer(x, np.int64) for x in pdf["w"][(pdf["_b"] == b).to_numpy()]) for b in numbers])
+        upto = np.cumsum(w, axis=0)
+        at = np.array(qs)[:, None] * np.maximum(upto[-1] - 1, 0)
+        ranks = np.stack([np.floor(at), np.ceil(at)]).astype(np.int64).reshape(-1, n_boot)
+        out = []
+        place = np.minimum((upto[None] <= ranks[:, None]).sum(1), len(numbers) - 1)
+        for i in np.unique(place):
+            slots = np.flatnonzero(place.ravel() == i)
+            inside = ranks.ravel()[slots] - (upto[i] - w[i])[slots % n_boot]
+            out += _keyed(pdf.iloc[0], by, int(numbers[i]), slots.tobytes(), inside.tobytes(), np.full(len(slots), one[i]).tobytes() if numbers[i] % 2 else None)
+        return pd.DataFrame(out, columns=[*by, "_b", "slots", "ranks", "found"])
+
+    def found(rows: pd.DataFrame, need: pd.DataFrame) -> pd.DataFrame:
+        if not len(need) or not len(rows):
+            return pd.DataFrame([], columns=[*by, "slots", "found"])
+        rows, key = rows.sort_values("_t", kind="stable"), need.iloc[0]
+        slots, ranks = np.frombuffer(key["slots"], np.int64), np.frombuffer(key["ranks"], np.int64)
+        values, base, t = np.full(len(slots), rows["_t"].iloc[-1]), np.zeros(n_boot, np.int64), rows["_t"].to_numpy()
+        left = np.arange(len(slots))
+        for a in range(0, len(rows), CHUNK):
+            upto = base + np.cumsum(weights(rows["_u"].iloc[a : a + CHUNK], n_boot, seed, draw), axis=0, dtype=np.int64)
+            here = left[ranks[left] < upto[-1, slots[left] % n_boot]]
+            for c in range(0, len(here), 1024):
+                h = here[c : c + 1024]
+                values[h] = t[a + (upto[:, slots[h] % n_boot] > ranks[h]).argmax(0)]
+            left, base = np.setdiff1d(left, here), upto[-1]
+        return pd.DataFrame(_keyed(key, by, slots.tobytes(), values.tobytes()), columns=[*by, "slots", "found"])
+
+    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        flat, total = np.zeros(2 * n * n_boot), np.zeros(n_boot)
+        for slots, values in zip(pdf["slots"], pdf["found"]):
+            if slots is None:
+                total = np.frombuffer(values)
+            else:
+                flat[np.frombuffer(slots, np.int64)] = np.frombuffer(values)
+        low, high = flat.reshape(2, n, n_boot)
+        at = np.array(qs)[:, None] * np.maximum(total - 1, 0)
+        return pd.DataFrame(_keyed(pdf.iloc[0], by, (low + (high - low) * (at - np.floor(at))).tobytes()), columns=[*by, "edges"])
+
+    def size(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = sum(np.frombuffer(x, np.int64) for x in pdf["w"]).astype(float)
+        return pd.DataFrame(_keyed(pdf.iloc[0], by, None, whole.tobytes()), columns=[*by, "slots", "found"])
+
+    sums = staged(dealt.groupBy(*by, "_b", "_salt").applyInPandas(total, head + "_b int, _t double, w binary"), "sums")
+    need = staged(sums.groupBy(*by).applyInPandas(asked, head + "_b int, slots binary, ranks binary, found binary"), "need")
+    pair = head + "slots binary, found binary"
+    open_ = need.where("found is null")
+    looked = dealt.where("_b % 2 = 0").groupBy(*by, "_b").cogroup(open_.groupBy(*by, "_b")).applyInPandas(found, pair)
+    every = looked.unionByName(need.where("found is not null").select(*by, "slots", "found")).unionByName(sums.groupBy(*by).applyInPandas(size, pair))
+    return every.groupBy(*by).applyInPandas(edges, head + "edges binary")
+
+
+def stratified_replicates(kept: DataFrame, n_bands: int, least: int, by: tuple, n_boot: int, seed, draw: str) -> DataFrame:
+    """(by, b, gap) of rows (by, _u, _s, _y, _t): pooled AUROC less that within bands, whose edges each replicate draws anew."""
+    edges = staged(_replicate_edges(kept, tuple(i / n_bands for i in range(1, n_bands)), by, n_boot, seed, draw), "edges")
+    dealt, head = _dealt(kept, "_s", "_u"), _head(kept, by)
+    where = staged(dealt.select(*by, "_b", "_salt").distinct(), "buckets")
+    sent = meet(where, edges, by)  # the edges of a group for each of its buckets
+
+    def bucket(rows: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
+        key, rows, got = rows.iloc[0], rows.sort_values("_s", kind="stable"), _Pairs(n_bands + 1, n_boot)
+        e = np.frombuffer(cut["edges"].iloc[0]).reshape(n_bands - 1, n_boot)
+        for a in range(0, len(rows), CHUNK // 4):
+            part = rows.iloc[a : a + CHUNK // 4]
+            w, x, y = weights(part["_u"], n_boot, seed, draw), part["_s"].to_numpy(), part["_y"].to_numpy(bool)[:, None]
+            band = sum((part["_t"].to_numpy()[:, None] >= one).astype(np.int8) for one in e) if n_bands > 1 else np.zeros(w.shape, np.int8)
+            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            inside = [np.where(band == k, w, 0) for k in range(n_bands)] + [w]
+            got.add(x[first], np.stack([_sums(np.where(y, v, 0), first) for v in inside], 1), np.stack([_sums(np.where(y, 0, v), first) for v in inside], 1))
+        return pd.DataFrame(_keyed(key, by, int(key["_b"]), *got.packed()), columns=[*by, "_b", "p", "q", "u"])
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q, u = _whole(pdf, (n_bands + 1, n_boot))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            auc, n = u / (p * q), p + q
+        ok = np.minimum(p, q) >= least
+        ok[-1] = np.minimum(p, q)[-1] > 0
+        weight = np.where(ok[:-1], n[:-1], 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = auc[-1] - (weight * np.where(ok[:-1], auc[:-1], 0)).sum(0) / weight.sum(0)
+        at = np.flatnonzero(ok[-1] & ok[:-1].any(0))
+        out = pd.DataFrame({"b": (at + 1).astype(np.int32), "gap": gap[at]})
+        for c in reversed(by):
+            out.insert(0, c, [pdf[c].iloc[0]] * len(out))
+        return out
+
+    keys = (*by, "_b", "_salt")
+    sums = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(bucket, head + "_b int, p binary, q binary, u binary")
+    return sums.groupBy(*by).applyInPandas(joined, head + "b int, gap double")
+
 
-    def once(df, by, weight):
-        inner = bands(df, typicality, n_bands, least, score, label, by, weight).where("auroc is not null")
-        inner = inner.groupBy(*by).agg((F.sum(F.col("n") * F.col("auroc")) / F.sum("n")).alias("within"), F.count("*").alias("n_usable"))
-        whole = auroc(df, by, score, label, weight).select(*by, F.col("auroc").alias("pooled"))
-        both = whole.join(inner, list(by)) if by else whole.crossJoin(inner)
-        return both.withColumn("gap", F.col("pooled") - F.col("within"))
+def stratified(rows: DataFrame, typicality: str, n_bands: int = 4, least: int = 5, n_boot: int = 1000, seed=0, unit: str = "item_id", score: str = "score", label: str = "truth", by: tuple = (), draw: str = "md5") -> DataFrame:
+    """(by, pooled, within, n_usable, gap, lo, hi, n_boot): pooled AUROC, mean AUROC within bands weighted by their rows, and
+    their difference with an interval over draws for each of which edges and bands are made anew.
 
-    reps = once(replicates(kept, n_boot, seed, unit), ("b",), "w")
-    return once(kept, (), None).crossJoin(interval(reps, "gap"))
+    Rows are never multiplied by replicates. Rows with a null are left out; groups without rows give none.
+    """
+    kept = rows.select(*by, F.col(unit).cast("string").alias("_u"), F.col(score).cast("double").alias("_s"), F.col(label).cast("boolean").alias("_y"), F.col(typicality).cast("double").alias("_t"))
+    kept = staged(kept.dropna(subset=["_u", "_s", "_y", "_t"]), "scored")
+    inner = bands(kept, "_t", n_bands, least, "_s", "_y", by).where("auroc is not null")
+    inner = inner.groupBy(*by).agg((F.sum(F.col("n") * F.col("auroc")) / F.sum("n")).alias("within"), F.count("*").alias("n_usable"))
+    whole = auroc(kept, by, "_s", "_y").select(*by, F.col("auroc").alias("pooled"))
+    point = meet(whole, inner, by).withColumn("gap", F.col("pooled") - F.col("within"))
+    return meet(point, interval(stratified_replicates(kept, n_bands, least, by, n_boot, seed, draw), "gap", by), by)
 
 
 def spearman_floors(pairs: DataFrame, cluster: str = "model", floors: tuple = (0.0, 0.85, 0.9), n_boot: int = 4000, seed=0) -> DataFrame:

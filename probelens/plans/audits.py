@@ -441,10 +441,10 @@ def _(s, d):
     return boot.bands(order_items(s, d), "logf").select("band", "n", "n_pos", "n_neg", F.round("auroc", 6).alias("auroc"))
 
 
-@query("stratified_gap", f"""WITH {ITEMS}, d AS (SELECT * FROM (SELECT i.*, b, {_poisson("'0:' || b || ':' || item_id")} AS w FROM items i, range(1, 101) t(b)) WHERE w > 0), p AS (SELECT * FROM {_within('items', '')}), v AS (SELECT * FROM {_within('d', 'b', 'w')})
+@query("stratified_gap", f"""WITH {ITEMS}, d AS (SELECT * FROM (SELECT i.*, b, {_poisson("'0:' || b || ':' || item_id")} AS w FROM items i, range(1, 1001) t(b)) WHERE w > 0), p AS (SELECT * FROM {_within('items', '')}), v AS (SELECT * FROM {_within('d', 'b', 'w')})
 SELECT {s6('any_value(p.pooled)', 'pooled')}, {s6('any_value(p.within)', 'within')}, any_value(p.n_usable) AS n_usable, {s6('any_value(p.gap)', 'gap')}, {s6('quantile_cont(v.gap, 0.025)', 'lo')}, {s6('quantile_cont(v.gap, 0.975)', 'hi')}, count(*) AS n_boot FROM v, p WHERE v.gap IS NOT NULL""")
 def _(s, d):
-    return boot.stratified(order_items(s, d), "logf", n_boot=100).select(*r6("pooled", "within"), "n_usable", *r6("gap", "lo", "hi"), "n_boot")
+    return boot.stratified(order_items(s, d), "logf").select(*r6("pooled", "within"), "n_usable", *r6("gap", "lo", "hi"), "n_boot")
 
 
 @query("mediation_terms", f"WITH {ITEMS}, c AS (SELECT corr(score, truth::INT::DOUBLE) AS a, corr(score, logf) AS b, corr(truth::INT::DOUBLE, logf) AS c, count(*) AS n FROM items) SELECT {s6('a', 'beta_marginal')}, {s6('(a - b * c) / (1 - c * c)', 'beta_joint')}, {s6('1 - (a - b * c) / (1 - c * c) / a', 'shrinkage')}, {s6('a * a', 'r2_marginal')}, {s6('((a - b * c) * a + (b - a * c) * b) / (1 - c * c)', 'r2_joint')}, n FROM c")
