@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelens.operators import causal, probes
+from probelens.operators import causal, layers, probes, ranks
 from probelens.plans import registry
 from probelens.plans.registry import ACTS, r6, s6
 from probelens.plans.worlds import vector_acts
@@ -44,3 +44,24 @@ def _(s, d):
 def _(s, d):
     """The fielded logistic probe across the frequency manifold, against random subspaces."""
     return causal.subspace_run(framed(s, d), ks=(1, 2, 4, 8))
+
+
+@query("layer_audit")
+def _(s, d):
+    """All eight layers under both probes, at the default 1,000 replicates."""
+    return layers.layer_audit(framed(s, d)).select("probe", "layer", "design", "measure", *r6("value", "lo", "hi"), "n")
+
+
+#: the split of items, and scores by the mass-mean direction of its training part
+SPLIT = f"""{ACTS.split('theta AS')[0].rstrip().rstrip(',')}, it AS (SELECT DISTINCT item_id, cell FROM acts), rk AS (SELECT item_id, row_number() OVER (ORDER BY md5('0:' || item_id), item_id) AS r, count(*) OVER () AS n FROM it WHERE cell IN ('TT', 'FA')),
+pt AS (SELECT dims.*, CASE WHEN r IS NULL THEN 'off' WHEN r <= floor(0.8::DOUBLE * n) THEN 'train' ELSE 'held' END AS part FROM dims LEFT JOIN rk USING (item_id)),
+mo AS (SELECT layer, pos, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-8 THEN 1.0::DOUBLE ELSE stddev_pop(x) END AS s, (avg(x) FILTER (truth) - avg(x) FILTER (NOT truth)) / (CASE WHEN stddev_pop(x) < 1e-8 THEN 1.0::DOUBLE ELSE stddev_pop(x) END) AS t FROM pt WHERE part = 'train' GROUP BY ALL),
+sc AS (SELECT item_id, layer, truth, part, 1 / (1 + exp(-sum((x - m) / s * t))) AS score FROM pt JOIN mo USING (layer, pos) WHERE part <> 'train' GROUP BY ALL)"""
+
+
+@query("layer_points", f"WITH {SPLIT} SELECT layer, part AS side, {s6('auroc', 'auroc')}, n_pos, n_neg FROM {registry._auc('sc', 'layer, part')}")
+def _(s, d):
+    """Headline and controlled AUROC of every layer, from one grouped fit."""
+    rows = layers.designed(framed(s, d))
+    scored = layers.design_scores(rows, layers.FITS["mass_mean"]).where(F.col("design") == layers.SPLIT)
+    return ranks.auroc(scored.withColumnRenamed("part", "side"), ("layer", "side")).select("layer", "side", *r6("auroc"), "n_pos", "n_neg")
