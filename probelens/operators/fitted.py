@@ -18,10 +18,15 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from probelens.functions.draws import hash_fold, uniform
 from probelens.functions.scalars import dot, sigmoid
+from probelens.functions.stage import staged
+from probelens.operators.cells import halves
+from probelens.operators.ladder import listed_rungs
 from probelens.operators.linear import mediation
 from probelens.operators.ranks import auroc
 
 SALTS = 32
+#: dimensions up to which curvature is added up too
+NEWTON = 512
 
 
 def _totals(partials: DataFrame, by: tuple, schema: str) -> DataFrame:
@@ -35,8 +40,14 @@ def _totals(partials: DataFrame, by: tuple, schema: str) -> DataFrame:
 
 
 def logistic(train: DataFrame, by: tuple = ("layer",), label: str = "truth", vec: str = "vec", l2: float = 1.0, steps: int = 8) -> DataFrame:
-    """(by, weights): L2-regularised logistic weights, the intercept last, of all rows with a label and a vector."""
+    """(by, weights): L2-regularised logistic weights, the intercept last, of all rows with a label and a vector.
+
+    Newton steps; vectors longer than NEWTON go by gradients alone.
+    """
     spark = train.sparkSession
+    one = train.where(F.col(vec).isNotNull()).select(F.size(vec).alias("n")).first()
+    if one and one["n"] > NEWTON:
+        return logistic_by_gradients(train, by, label, vec, l2)
     rows = train.select(*by, F.col(label).cast("double").alias("_y"), F.col(vec).cast("array<double>").alias("_x")).where("_y is not null and _x is not null")
     keys = [rows.schema[c] for c in by]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["salt int", "sums binary"])
@@ -68,6 +79,76 @@ def logistic(train: DataFrame, by: tuple = ("layer",), label: str = "truth", vec
     return spark.createDataFrame([(*k, w.tolist()) for k, w in weights.items()], StructType([*keys, StructField("weights", ArrayType(DoubleType()))]))
 
 
+def _direction(g: np.ndarray, pairs: list) -> np.ndarray:
+    """Minus the gradient under the curvature that the last steps have shown (L-BFGS)."""
+    q, kept = g.copy(), []
+    for s, y in reversed(pairs):
+        a = (s @ q) / (s @ y)
+        q -= a * y
+        kept.append(a)
+    if pairs:
+        s, y = pairs[-1]
+        q *= (s @ y) / (y @ y)
+    for (s, y), a in zip(pairs, reversed(kept)):
+        q += s * (a - (y @ q) / (s @ y))
+    return -q
+
+
+def logistic_by_gradients(train: DataFrame, by: tuple = ("layer",), label: str = "truth", vec: str = "vec", l2: float = 1.0, steps: int = 200, tol: float = 1e-7, memory: int = 8) -> DataFrame:
+    """logistic() for thousands of dimensions: a pass sends loss and gradient of each group to the driver, dimensions + 2
+    numbers, and the next point of the groups that still move back. All groups step in the same passes.
+
+    Ends where no gradient is above tol, or after ``steps`` passes.
+    """
+    spark = train.sparkSession
+    rows = train.select(*by, F.col(label).cast("double").alias("_y"), F.col(vec).cast("array<double>").alias("_x")).where("_y is not null and _x is not null")
+    keys = [rows.schema[c] for c in by]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["salt int", "sums binary"])
+    at: dict[tuple, dict] = {}
+    trial: dict[tuple, np.ndarray] | None = None
+    for _ in range(steps):
+        sent = spark.sparkContext.broadcast(trial)
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[tuple, np.ndarray] = {}
+            for pdf in batches:
+                for key, part in pdf.groupby(list(by), sort=False, dropna=False) if by else [((), pdf)]:
+                    if sent.value is not None and key not in sent.value:
+                        continue  # settled
+                    x, y = np.column_stack([np.stack(part["_x"].to_numpy()), np.ones(len(part))]), part["_y"].to_numpy()
+                    z = x @ (sent.value[key] if sent.value is not None else np.zeros(x.shape[1]))
+                    got = np.concatenate([[(np.logaddexp(0, z) - y * z).sum()], x.T @ (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)])
+                    sums[key] = sums[key] + got if key in sums else got
+            salt = TaskContext.get().partitionId() % SALTS
+            yield pd.DataFrame([(*k, salt, v.tobytes()) for k, v in sums.items()], columns=[*by, "salt", "sums"])
+
+        moves = {}
+        for r in _totals(rows.mapInPandas(partial, schema), by, schema).collect():  # a row for each group that moves
+            key, got = tuple(r[c] for c in by), np.frombuffer(r["sums"])
+            ridge = np.append(np.full(len(got) - 2, l2), 1e-6)
+            own = at.setdefault(key, {"w": np.zeros(len(ridge)), "f": np.inf, "pairs": [], "t": 1.0, "p": None})
+            w = trial[key] if trial is not None else own["w"]
+            f, g = got[0] + 0.5 * (ridge * w) @ w, got[1:] + ridge * w
+            if own["p"] is None or f <= own["f"] + 1e-4 * own["t"] * (own["g"] @ own["p"]) + 1e-12 * abs(own["f"]):
+                if own["p"] is not None:
+                    s, y = w - own["w"], g - own["g"]
+                    if s @ y > 1e-14:
+                        own["pairs"] = [*own["pairs"], (s, y)][-memory:]
+                own.update(w=w, f=f, g=g, p=_direction(g, own["pairs"]), t=1.0 if own["pairs"] else 1 / max(1.0, np.linalg.norm(g)))
+                if np.abs(g).max() <= tol:
+                    continue
+            else:
+                own["t"] /= 2
+                if own["t"] < 1e-12:
+                    continue
+            moves[key] = own["w"] + own["t"] * own["p"]
+        sent.unpersist()
+        trial = moves
+        if not moves:
+            break
+    return spark.createDataFrame([(*k, v["w"].tolist()) for k, v in at.items()], StructType([*keys, StructField("weights", ArrayType(DoubleType()))]))
+
+
 def with_scores(rows: DataFrame, models: DataFrame, by: tuple = ("layer",), vec: str = "vec", out: str = "score") -> DataFrame:
     """rows with the probability under their group's model; rows of a group without one go."""
     n = F.size("weights")
@@ -105,23 +186,29 @@ def fielded(rows: DataFrame, by: tuple = ("layer",), k: int = 5, seed=0, key: st
     return rows.join(every, list(by)).withColumn("_p", one).withColumn("score", mean).drop("_m", "_p", "_diag")
 
 
-def cross_fitted(rows: DataFrame, by: tuple = ("layer",), k: int = 5, seed=0, key: str = "item_id", typicality: str = "logf") -> DataFrame:
+def cross_fitted(rows: DataFrame, by: tuple = ("layer",), k: int = 5, seed=0, key: str = "item_id", typicality: str = "logf", half: str | None = None, **options) -> DataFrame:
     """(by, half, n, recoverability, off_diagonal): what truth adds beyond typicality to out-of-fold scores of one half of
-    every cell, and the AUROC off the diagonal of fielded scores on the other half. Halves are swapped; average over half."""
-    halved = rows.withColumn("half", hash_fold(f"{seed}:half", key, 2))
+    every cell, and the AUROC off the diagonal of fielded scores on the other half. Halves are swapped; average over half.
+
+    Halves are equal in every cell, by places in a seeded order; half: a column that has them already.
+    """
+    halved = rows.withColumnRenamed(half, "half") if half else halves(rows, f"{seed}:half", (*by, "cell"), key).withColumn("half", F.col("first_half").cast("int")).drop("first_half")
     by2 = (*by, "half")
-    found = mediation(out_of_fold(halved, by2, k, seed, key), by2, typicality=typicality).select(*by2, "n", F.col("beta_joint").alias("recoverability"))
-    off = auroc(fielded(halved, by2, k, seed, key).where(~F.col("cell").isin("TT", "FA")), by2)
+    found = mediation(out_of_fold(halved, by2, k, seed, key, **options), by2, typicality=typicality).select(*by2, "n", F.col("beta_joint").alias("recoverability"))
+    off = auroc(fielded(halved, by2, k, seed, key, **options).where(~F.col("cell").isin("TT", "FA")), by2)
     return found.join(off.select(*by, (1 - F.col("half")).cast("int").alias("half"), F.col("auroc").alias("off_diagonal")), list(by2))
 
 
-def ladder(rows: DataFrame, rungs: tuple, reps: int = 5, by: tuple = ("layer",), seed=0, key: str = "item_id", n: int | None = None, **options) -> DataFrame:
-    """(by, rung, rep, recoverability, off_diagonal) of seeded subsamples of about rung rows in all; n: the rows there are."""
-    total = n or rows.select(key).distinct().count()
-    grid = F.explode(F.array(*[F.struct(F.lit(r).alias("rung"), F.lit(i).alias("rep")) for r in rungs for i in range(reps)]))
-    drawn = rows.withColumn("_g", grid).select("*", "_g.rung", "_g.rep").drop("_g").where(uniform(seed, F.col("rung"), F.col("rep"), F.col(key)) < F.col("rung") / total)
+def ladder(rows: DataFrame, rungs: tuple, reps: int = 5, by: tuple = ("layer",), seed=0, key: str = "item_id", design: str = "crossfit", typicality: str = "logf", **options) -> DataFrame:
+    """(by, rung, rep, n, recoverability, off_diagonal) of logistic probes on nested rungs of n // 4 rows of each cell."""
     keys = (*by, "rung", "rep")
-    return cross_fitted(drawn, keys, seed=seed, key=key, **options).groupBy(*keys).agg(F.avg("recoverability").alias("recoverability"), F.avg("off_diagonal").alias("off_diagonal"))
+    drawn = staged(listed_rungs(rows, rungs, reps, design, seed, key), "rungs")
+    if design == "same":
+        found = mediation(out_of_fold(drawn, keys, seed=seed, key=key, **options), keys, typicality=typicality).select(*keys, "n", F.col("beta_joint").alias("recoverability"))
+        off = auroc(fielded(drawn, keys, seed=seed, key=key, **options).where(~F.col("cell").isin("TT", "FA")), keys)
+        return found.join(off.select(*keys, F.col("auroc").alias("off_diagonal")), list(keys), "left")
+    got = cross_fitted(drawn, keys, seed=seed, key=key, typicality=typicality, half="half", **options)
+    return got.groupBy(*keys).agg(F.sum("n").alias("n"), F.avg("recoverability").alias("recoverability"), F.avg("off_diagonal").alias("off_diagonal"))
 
 
 def fit_stability(rows: DataFrame, replicates: int = 60, dropped: float = 0.1, by: tuple = ("layer",), seed=0, key: str = "item_id", **options) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelens.operators import causal, layers, probes, ranks
+from probelens.operators import causal, clusters, ladder, layers, probes, ranks
 from probelens.plans import registry
 from probelens.plans.registry import ACTS, r6, s6
-from probelens.plans.worlds import vector_acts
+from probelens.plans.worlds import table, vector_acts
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -65,3 +65,59 @@ def _(s, d):
     rows = layers.designed(framed(s, d))
     scored = layers.design_scores(rows, layers.FITS["mass_mean"]).where(F.col("design") == layers.SPLIT)
     return ranks.auroc(scored.withColumnRenamed("part", "side"), ("layer", "side")).select("layer", "side", *r6("auroc"), "n_pos", "n_neg")
+
+
+_PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9 ]', '', 'g'))"
+_BAG = "list_sort(list_distinct(list_filter(string_split(" + _PLAIN + ", ' '), lambda w: w <> '')))"
+#: either has half of the other's words
+_ALIKE = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN len({a}) = len({b}) ELSE 2 * len(list_intersect({a}, {b})) >= len({b}) AND 2 * len(list_intersect({a}, {b})) >= len({a}) END"
+
+
+@query("first_match_entropy", f"""WITH RECURSIVE u AS (SELECT conv_id, text, min(turn) AS pos, count(*) AS times, {_BAG.format('text')} AS bag FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, text),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos, text) AS i FROM u),
+f AS (SELECT conv_id, 1::BIGINT AS i, [bag] AS reps, 0::BIGINT AS label, times FROM o WHERE i = 1 UNION ALL
+      SELECT conv_id, i, CASE WHEN hit IS NULL THEN list_append(reps, bag) ELSE reps END, coalesce(hit - 1, len(reps)), times FROM (
+          SELECT o.conv_id, o.i, f.reps, o.bag, o.times, list_position(list_transform(f.reps, lambda r: {_ALIKE.format(a='o.bag', b='r')}), true) AS hit FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)),
+k AS (SELECT conv_id, label, sum(times) AS k FROM f GROUP BY ALL)
+SELECT conv_id, sum(k)::BIGINT AS n, count(*) AS n_clusters, {s6('ln(sum(k)) - sum(k * ln(k)) / sum(k)', 'entropy')} FROM k GROUP BY conv_id""")
+def _(s, d):
+    """Answers of a conversation, clustered by the first representative that shares half of either's words."""
+    got = clusters.cluster_entropy(table(s, d, "conversations"), clusters.covers(0.5))
+    return got.select("conv_id", "n", "n_clusters", *r6("entropy"))
+
+
+def _ladder_sql(half: str) -> str:
+    """The mass-mean ladder over rungs of 100, 200 and 300 items and two replicates; half: of an item at place r."""
+    sums = ", ".join(f"coalesce(sum(x) FILTER ({c}), 0) AS {n}s, count(*) FILTER ({c}) AS {n}n" for n, c in (("p", "truth"), ("b", "NOT truth"), ("c", "truth AND diag"), ("e", "NOT truth AND diag")))
+    keys = "layer, rep, idx, half"
+    return f"""WITH {ACTS.split('theta AS')[0].rstrip().rstrip(',')}, it AS (SELECT DISTINCT item_id, cell FROM acts),
+sp AS (SELECT it.*, rep::INT AS rep, row_number() OVER (PARTITION BY rep, cell ORDER BY md5('0:' || rep || ':' || item_id), rep || ':' || item_id) AS r FROM it, range(0, 2) t(rep)),
+rk AS (SELECT item_id, rep, {half} AS half, (r > 25)::INT + (r > 50)::INT AS band, {registry.H.format("'0:' || item_id")} % 5 AS fold FROM sp WHERE r <= 75),
+li AS (SELECT a.*, cell IN ('TT', 'FA') AS diag, rep, half, fold, idx FROM acts a JOIN rk USING (item_id), range(0, 3) u(idx) WHERE idx >= band),
+dd AS (SELECT * EXCLUDE (vec), vec[1]::DOUBLE AS logf, unnest(vec)::DOUBLE AS x, unnest(range(0, 8)) AS pos FROM li),
+fo AS (SELECT {keys}, fold, pos, {sums} FROM dd GROUP BY ALL), wh AS (SELECT {keys}, pos, {sums} FROM dd GROUP BY ALL),
+fi AS (SELECT {keys}, pos, cs / nullif(cn, 0) - es / nullif(en, 0) AS v FROM wh),
+fa AS (SELECT wh.layer, wh.rep, wh.idx, wh.half, fold, pos, (wh.ps - coalesce(fo.ps, 0)) / nullif(wh.pn - coalesce(fo.pn, 0), 0) - (wh.bs - coalesce(fo.bs, 0)) / nullif(wh.bn - coalesce(fo.bn, 0), 0) AS v FROM wh CROSS JOIN range(0, 5) t(fold) LEFT JOIN fo USING ({keys}, fold, pos)),
+so AS (SELECT {keys}, item_id, truth, any_value(logf) AS logf, sum(x * v) AS score FROM dd JOIN fa USING ({keys}, fold, pos) GROUP BY ALL),
+sf AS (SELECT {keys}, item_id, truth, sum(x * v) AS score FROM dd JOIN fi USING ({keys}, pos) WHERE NOT diag GROUP BY ALL),
+co AS (SELECT {keys}, count(*) AS n, corr(score, truth::INT::DOUBLE) AS a, corr(score, logf) AS b, corr(truth::INT::DOUBLE, logf) AS c FROM so GROUP BY ALL)
+SELECT layer, list_extract([100, 200, 300], (idx + 1)::INT) AS rung, rep, sum(n)::BIGINT AS n, {s6('avg((a - b * c) / (1 - c * c))', 'recoverability')}, {s6('avg(auroc)', 'off_diagonal')} FROM co LEFT JOIN {registry._auc('sf', keys)} USING ({keys}) GROUP BY layer, rep, idx"""
+
+
+@query("ladder_same", _ladder_sql("0"))
+def _(s, d):
+    got = ladder.mass_mean_ladder(framed(s, d), (100, 200, 300), 2, "same")
+    return got.select("layer", "rung", "rep", "n", *r6("recoverability", "off_diagonal"))
+
+
+@query("ladder_crossfit", _ladder_sql("(r % 2)::INT"))
+def _(s, d):
+    got = ladder.mass_mean_ladder(framed(s, d), (100, 200, 300), 2, "crossfit")
+    return got.select("layer", "rung", "rep", "n", *r6("recoverability", "off_diagonal"))
+
+
+@query("ladder_rungs", f"WITH {ACTS}, it AS (SELECT DISTINCT item_id, cell FROM acts), sp AS (SELECT cell, rep::INT AS rep, row_number() OVER (PARTITION BY rep, cell ORDER BY md5('0:' || rep || ':' || item_id), rep || ':' || item_id) AS r, item_id FROM it, range(0, 5) t(rep)) SELECT rung, rep, cell, count(*) AS n, sum(item_id)::BIGINT AS checksum FROM sp, (SELECT unnest([100, 200, 300, 450, 608]) AS rung) WHERE r <= rung // 4 GROUP BY ALL")
+def _(s, d):
+    """How many items of each cell a rung holds: a fourth of it, or all there are."""
+    items = vector_acts(s, d).where("layer = 0").select("item_id", "cell")
+    return ladder.listed_rungs(items, (100, 200, 300, 450, 608)).groupBy("rung", "rep", "cell").agg(F.count("*").alias("n"), F.sum("item_id").alias("checksum"))
