@@ -16,7 +16,7 @@ from probelens.functions.stage import staged
 from probelens.operators.assembled import moments
 from probelens.operators.audit import split_diagonal
 from probelens.operators.boot import auroc_ci, gap_ci, stratified
-from probelens.operators.fitted import logistic
+from probelens.operators.fitted import eigen_scores, logistic
 from probelens.operators.linear import mediation
 from probelens.operators.probes import mass_mean as mean_direction
 
@@ -99,25 +99,28 @@ def layer_audit(acts: DataFrame, probes: tuple = ("mass_mean", "logistic"), by:
         one = design_scores(rows, FITS[name], by, folds).withColumn("probe", F.lit(name))
         scored = one if scored is None else scored.unionByName(one)
     scored = staged(scored.select("probe", *by, "design", key, "truth", "cell", "part", typicality, "score"), "scored")
-    at = ("probe", *by, "design")
-    null = F.lit(None).cast("double")
-    out = []
+    side = scored.where("part = 'off' or design = 'adversarial'").withColumn("side", F.when(F.col("part") == "off", "off").otherwise("held"))
+    return measured(side, side.where(F.col("design") == SPLIT), scored.where(F.col("design") != SPLIT), scored.where(F.col("design") == FIELDED), ("probe", *by, "design"), typicality, n_boot, seed, key)
+
+
+def measured(sides: DataFrame, split: DataFrame, whole: DataFrame, fielded: DataFrame, at: tuple, typicality: str, n_boot: int, seed, key: str) -> DataFrame:
+    """(at, measure, value, lo, hi, n): AUROCs of the sides held and off, their gap in split, stratified gap and coefficients
+    of truth in whole, and the cells' means in fielded. One grouped pass for each measure."""
+    null, out = F.lit(None).cast("double"), []
 
     def add(df, measure, value, lo=null, hi=null, n=None):
         out.append(df.select(*at, (measure if isinstance(measure, Column) else F.lit(measure)).alias("measure"), value.cast("double").alias("value"), lo.alias("lo"), hi.alias("hi"), (F.lit(None) if n is None else n).cast("long").alias("n")))
 
-    side = scored.where("part = 'off' or design = 'adversarial'").withColumn("side", F.when(F.col("part") == "off", "off").otherwise("held"))
-    each = auroc_ci(side, (*at, "side"), n_boot, seed, key, draw="mix")
+    each = auroc_ci(sides, (*at, "side"), n_boot, seed, key, draw="mix")
     add(each, F.concat(F.lit("auroc_"), F.col("side")), F.col("auroc"), F.col("lo"), F.col("hi"), F.col("n_pos") + F.col("n_neg"))
-    gap = gap_ci(side.where(F.col("design") == SPLIT).withColumn("_held", F.col("side") == "held"), "_held", at, n_boot, seed, key, draw="mix")
+    gap = gap_ci(split.withColumn("_held", F.col("side") == "held"), "_held", at, n_boot, seed, key, draw="mix")
     add(gap, "gap", F.col("gap"), F.col("lo"), F.col("hi"))
-    whole = scored.where(F.col("design") != SPLIT)
     inner = stratified(whole, typicality, n_boot=n_boot, seed=seed, unit=key, by=at, draw="mix")
     add(inner, "stratified_gap", F.col("gap"), F.col("lo"), F.col("hi"), F.col("n_boot"))
     beta = mediation(whole, at, typicality=typicality)
     add(beta, "truth_beta_marginal", F.col("beta_marginal"), n=F.col("n"))
     add(beta, "truth_beta_partialled", F.col("beta_joint"), n=F.col("n"))
-    means = scored.where(F.col("design") == FIELDED).groupBy(*at, "cell").agg(F.avg("score").alias("m"), F.count("*").alias("n"))
+    means = fielded.groupBy(*at, "cell").agg(F.avg("score").alias("m"), F.count("*").alias("n"))
     add(means, F.concat(F.lit("mean_"), F.col("cell")), F.col("m"), n=F.col("n"))
     got = out[0]
     for one in out[1:]:
@@ -125,6 +128,14 @@ def layer_audit(acts: DataFrame, probes: tuple = ("mass_mean", "logistic"), by:
     return got
 
 
+def eigen_audit(samples: DataFrame, items: DataFrame, by: tuple = ("layer",), typicality: str = "logf", alpha: float = 1e-3, n_boot: int = 1000, seed=0, key: str = "item_id") -> DataFrame:
+    """(by, measure, value, lo, hi, n) of minus the eigenvalue score of an item's samples, which needs no training: held is
+    the diagonal. samples: (by, key, vec); items: (key, truth, cell, typicality). Items of fewer than two samples drop out."""
+    score = eigen_scores(samples, (*by, key), alpha=alpha).where(F.col("score").isNotNull()).select(*by, key, (-F.col("score")).alias("score"))
+    rows = staged(score.join(items.select(key, "truth", "cell", typicality), key), "scored").withColumn("side", F.when(diagonal(F.col("cell")), "held").otherwise("off"))
+    return measured(rows, rows, rows, rows, by, typicality, n_boot, seed, key)
+
+
 def verdicts(audit: DataFrame, by: tuple = ("layer",)) -> DataFrame:
     """(probe, by, in_dist, off, gap, lo, hi, excludes_zero, verdict) of a layer_audit()."""
     split = audit.where(F.col("design") == SPLIT)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probelens.functions.stage import shared_folder
 from probelens.operators import causal, clusters, ladder, layers, probes, ranks
 from probelens.plans import registry
 from probelens.plans.registry import ACTS, r6, s6
 from probelens.plans.worlds import table, vector_acts
+from probelens.sources import tensors
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -121,3 +125,24 @@ def _(s, d):
     """How many items of each cell a rung holds: a fourth of it, or all there are."""
     items = vector_acts(s, d).where("layer = 0").select("item_id", "cell")
     return ladder.listed_rungs(items, (100, 200, 300, 450, 608)).groupBy("rung", "rep", "cell").agg(F.count("*").alias("n"), F.sum("item_id").alias("checksum"))
+
+
+@query("tensor_scan", f"WITH {ACTS.split('dims AS')[0].rstrip().rstrip(',')} SELECT layer, count(*) AS n, {s6('sum(list_sum(vec::DOUBLE[]))', 'total')} FROM acts WHERE layer IN (1, 6) GROUP BY layer")
+def _(s, d):
+    """Activations stored as blocks of floats and read back, two layers only."""
+    acts = vector_acts(s, d).select(F.col("item_id").alias("row"), "layer", "vec")
+    path = f"{shared_folder(s)}/tensors-{uuid.uuid4().hex}"
+    n = tensors.store(acts, path, "<f4", 128)
+    got = tensors.read(s, path, n).where(F.col("layer").isin(1, 6))
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return got.withColumn("t", total).groupBy("layer").agg(F.count("*").alias("n"), F.sum("t").alias("total")).select("layer", "n", *r6("total"))
+
+
+@query("eigen_audit")
+def _(s, d):
+    """Four layers of four sampled vectors of four components, audited by minus their eigenvalue score."""
+    items = vector_acts(s, d).where("layer = 0").select("item_id", "truth", "cell", F.element_at("vec", 1).cast("double").alias("logf"))
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    blocks = probes.layers(v, "embedding", 16).withColumnRenamed("vec", "wide")
+    samples = probes.layers(blocks.withColumnRenamed("layer", "at"), "wide", 4).select("item_id", F.col("at").alias("layer"), "vec")
+    return layers.eigen_audit(samples, items).select("layer", "measure", *r6("value", "lo", "hi"), "n")
