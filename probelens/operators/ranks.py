@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from probelens.functions.intervals import correlation_p
+
 BUCKETS = 64
 
 
@@ -76,6 +78,14 @@ def spearman(rows: DataFrame, x: str, y: str, by: tuple = ()) -> DataFrame:
     return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n")).withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
 
 
+def axis_agreement(rows: DataFrame, x: str, y: str, by: tuple = ()) -> DataFrame:
+    """(by, rho, p, n, coverage): spearman() with a two-sided p by Student's t, and the share of rows that have both values."""
+    got = spearman(rows, x, y, by)
+    total = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    both = got.join(total, list(by)) if by else got.crossJoin(total)
+    return both.select(*by, "rho", correlation_p(F.col("rho"), F.col("n")).alias("p"), "n", (F.col("n") / F.col("_n")).alias("coverage"))
+
+
 def cliffs_delta(rows: DataFrame, by: tuple, value: str, group: str) -> DataFrame:
     """(by, delta, z): group true against false, by ranks instead of pairs; z: the tie-corrected normal deviate of U."""
     got = auroc(rows, by, value, group)

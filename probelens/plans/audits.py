@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probelens.functions import countries, scalars, text
-from probelens.operators import assembled, audit, boot, cells, corpora, gates, joins, linear, probes, ranks, reports
+from probelens.operators import assembled, audit, boot, cells, corpora, gates, joins, layouts, linear, probes, ranks, reports
 from probelens.plans import registry
 from probelens.plans.registry import _TOPICS, ACTS, CURVES, H, ITEMS, U, _auc, _mid, _poisson, r6, s6, statements
-from probelens.plans.worlds import order_cells, order_items, table, vector_acts
+from probelens.plans.worlds import order_cells, order_items, statement_items, table, vector_acts
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -474,7 +474,7 @@ def _(s, d):
 
 @query("probe_audit")
 def _(s, d):
-    return audit.audit(framed(s, d), assembled.probe_named("mass_mean"), n_boot=50)
+    return audit.audit(framed(s, d), assembled.probe_named("mass_mean"))
 
 
 @query("crossing_report", f"WITH {ITEMS}, a AS (SELECT * FROM {_auc('celled', 'truth', 'logf', 'typical')}), m AS (SELECT truth, median(score) FILTER (typical) AS pt, median(score) FILTER (NOT typical) AS pa FROM celled GROUP BY truth) SELECT truth, n_pos AS n_typical, n_neg AS n_atypical, {s6('2 * auroc - 1', 'delta')}, {s6('pt', 'ppl_typical')}, {s6('pa', 'ppl_atypical')}, 2 * auroc - 1 >= 0.5 AS pass FROM a JOIN m USING (truth)")
@@ -539,14 +539,12 @@ def _(s, d):
 
 @query("corpus_audit")
 def _(s, d):
-    items = cells.balanced(order_cells(s, d)).withColumn("text", F.col("item_id").cast("string"))
-    return gates.corpus_audit(items, {"domain": None, "edited": None}, n_boot=200)
+    return gates.corpus_audit(cells.balanced(statement_items(s, d)), {"domain": None, "edited": None})
 
 
 @query("corpus_verdict")
 def _(s, d):
-    items = cells.balanced(order_cells(s, d)).withColumn("text", F.col("item_id").cast("string"))
-    return gates.verdict_of(gates.corpus_audit(items, {"domain": None}, n_boot=200), with_canaries=False)
+    return gates.verdict_of(gates.corpus_audit(cells.balanced(statement_items(s, d)), {"domain": None}), with_canaries=False)
 
 
 # ---- corpora
@@ -580,10 +578,12 @@ def _(s, d):
 # ---- probes that are fitted
 
 
-def _doubled(s, d) -> DataFrame:
-    """A layer and its negation end to end."""
-    one = framed(s, d)
-    return one.withColumn("vec", F.concat(F.col("vec").cast("array<double>"), F.transform("vec", lambda x: 0.5 - x.cast("double"))))
+def _paired(s, d, name: str) -> DataFrame:
+    """Statements about parts beside their negations by template, as the probe wants them."""
+    items = statement_items(s, d)
+    acts = layouts.text_vectors(items.select("item_id", "truth", "cell", "topic", "text"))
+    negated = layouts.text_vectors(items.select("item_id", "negated"), "negated")
+    return layouts.prepared(layouts.loaded(name), acts, 0, negated)
 
 
 def _probe_query(name: str, rows):
@@ -595,8 +595,8 @@ def _probe_query(name: str, rows):
 
 _probe_query("logistic", framed)
 _probe_query("mlp", framed)
-_probe_query("ccs", _doubled)
-_probe_query("ttpd", _doubled)
+_probe_query("ccs", lambda s, d: _paired(s, d, "ccs"))
+_probe_query("ttpd", lambda s, d: _paired(s, d, "ttpd"))
 _probe_query("drift", lambda s, d: joins.stacked_taps(vector_acts(s, d), assembled.taps(8)).join(framed(s, d).drop("vec"), "item_id"))
 
 
@@ -613,7 +613,7 @@ def _(s, d):
 @query("transfer")
 def _(s, d):
     rows = framed(s, d).withColumn("entity", F.col("item_id").cast("string")).withColumn("topic", F.col("item_id") % 4)
-    return audit.transfer(rows.where("item_id % 2 = 0"), rows.where("item_id % 2 = 1 or item_id % 10 = 0"), assembled.mass_mean, reps=1, n_boot=20)
+    return audit.transfer(rows.where("item_id % 2 = 0"), rows.where("item_id % 2 = 1 or item_id % 10 = 0"), assembled.mass_mean)
 
 
 @query("frequency_detector", f"WITH {ITEMS} SELECT {s6('auroc', 'auroc')}, n_pos, n_neg FROM {_auc('celled', '', 'logf')}")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probelens.functions.stage import shared_folder
-from probelens.operators import causal, clusters, ladder, layers, probes, ranks
+from probelens.operators import canaries, cells, causal, clusters, frames, gates, ladder, layers, layouts, probes, ranks
 from probelens.plans import registry
-from probelens.plans.registry import ACTS, r6, s6
-from probelens.plans.worlds import table, vector_acts
+from probelens.plans.registry import ACTS, ITEMS, r6, s6
+from probelens.plans.worlds import order_cells, order_items, statement_items, table, vector_acts
 from probelens.sources import tensors
 
 QUERIES: dict = {}
@@ -146,3 +146,107 @@ def _(s, d):
     blocks = probes.layers(v, "embedding", 16).withColumnRenamed("vec", "wide")
     samples = probes.layers(blocks.withColumnRenamed("layer", "at"), "wide", 4).select("item_id", F.col("at").alias("layer"), "vec")
     return layers.eigen_audit(samples, items).select("layer", "measure", *r6("value", "lo", "hi"), "n")
+
+
+# ---- what probes are fed
+
+
+def said(s, d) -> tuple[DataFrame, DataFrame]:
+    """Vectors of statements, with their items' columns, and of their negations."""
+    items = statement_items(s, d)
+    rest = ("item_id", "truth", "cell", "topic", "logf")
+    return layouts.text_vectors(items.select(*rest, "text")), layouts.text_vectors(items.select("item_id", "negated"), "negated")
+
+
+_HASHED = registry.H.format("'vec:' || g")
+
+
+@query("text_vectors", rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, layer::INT AS layer, ws FROM w, range(0, 2) t(layer) WHERE len(ws) > 0),
+g AS (SELECT doc_id, layer, unnest(list_transform(range(1, greatest(1, len(ws) - layer) + 1), lambda i: array_to_string(ws[i:i + layer], ' '))) AS g FROM l),
+h AS (SELECT doc_id, layer, {_HASHED} AS h FROM g), n AS (SELECT doc_id, layer, count(*) AS n FROM h GROUP BY ALL), c AS (SELECT doc_id, layer, h % 16 AS j, sum(1.0::DOUBLE - 2 * ((h // 65536) % 2)) AS c FROM h GROUP BY ALL)
+SELECT doc_id, layer, {s6('sum(c / sqrt(n) * (j + 1))', 'x')}, {s6('sum(c * c / n)', 'length') } FROM c JOIN n USING (doc_id, layer) GROUP BY ALL""")
+def _(s, d):
+    rows = table(s, d, "documents").select("doc_id", "text").where(F.exists(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
+    got = layouts.text_vectors(rows, layers=2)
+    x = F.aggregate(F.transform("vec", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return got.select("doc_id", "layer", x.alias("x"), F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v).alias("length")).select("doc_id", "layer", *r6("x", "length"))
+
+
+@query("pair_probes")
+def _(s, d):
+    """Contrast and truth-direction probes on statements beside their negations by template."""
+    acts, negated = said(s, d)
+    got = layouts.swept(("ccs", "ttpd"), acts, negated, (0,)).withColumn("side", F.when(F.col("cell").isin("TT", "FA"), "diagonal").otherwise("off"))
+    return ranks.auroc(got, ("probe", "side")).select("probe", "side", *r6("auroc"), "n_pos", "n_neg")
+
+
+@query("layer_probes")
+def _(s, d):
+    """Probes of one layer, and probes that read four depths, on statements."""
+    got = layouts.swept(("mass_mean", "logistic", "drift", "drift_concat"), said(s, d)[0], None, (1,)).withColumn("side", F.when(F.col("cell").isin("TT", "FA"), "diagonal").otherwise("off"))
+    return ranks.auroc(got, ("probe", "side")).select("probe", "side", *r6("auroc"), "n_pos", "n_neg")
+
+
+# ---- whole checks of a corpus
+
+
+def _checked(s, d) -> DataFrame:
+    """All gates over statements: six of the corpus, and canaries on their vectors and on how they fall into pieces."""
+    items = cells.balanced(statement_items(s, d))
+    acts = layouts.text_vectors(items.select("item_id", "edited", "text")).where("layer = 1").drop("layer")
+    more = [canaries.edit_canary(acts), canaries.fragmentation_canary(items.select("item_id", "truth", "text", F.col("subject").alias("entity")))]
+    return gates.corpus_audit(items, {"domain": canaries.text_visible(items, "domain")["visible"], "edited": canaries.text_visible(items, "edited")["visible"]}, more=more)
+
+
+@query("corpus_check")
+def _(s, d):
+    return _checked(s, d).select("gate", "pass", *r6("metric"))
+
+
+@query("corpus_check_verdict")
+def _(s, d):
+    return gates.verdict_of(_checked(s, d), with_canaries=True)
+
+
+# ---- frames
+
+
+@query("cell_violins", f"""WITH {ITEMS}, k AS (SELECT cell, score AS v FROM celled), m AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 40 AS w FROM k), b AS (SELECT cell, v, least(floor((v - lo) / w), 39)::INT AS bin FROM k, m), c AS (SELECT cell, bin, count(*) AS n FROM b GROUP BY ALL),
+g AS (SELECT cell, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h FROM k GROUP BY cell), x AS (SELECT cell, n, h, lo, w, unnest(range(0, 40))::INT AS bin FROM g, m),
+d AS (SELECT x.cell, x.bin, sum(c.n * exp(-0.5 * pow((x.bin - c.bin) * w / h, 2))) / any_value(x.n * h * sqrt(2 * pi())) AS density, coalesce(sum(c.n) FILTER (c.bin = x.bin), 0)::BIGINT AS n, any_value(lo + (x.bin + 0.5) * w) AS x FROM x JOIN c ON c.cell = x.cell GROUP BY ALL)
+SELECT cell, bin, {s6('x', 'x')}, n, round(density * 1e6, 6) AS density FROM d""")
+def _(s, d):
+    return frames.violins(order_cells(s, d), "score").select("cell", "bin", *r6("x"), "n", F.round(F.col("density") * 1e6, 6).alias("density"))
+
+
+_READ = "WITH r AS (SELECT p_brand AS model, list_extract(['TT', 'TA', 'FT', 'FA'], (p_partkey % 4 + 1)::INT) AS cell, (p_size - 1) / 49.0::DOUBLE AS probe, (p_retailprice % 100) / 100.0::DOUBLE AS behaviour FROM part)"
+
+
+@query("dissociation_frame", _READ + f", a AS (SELECT model FROM r WHERE cell = 'FA' GROUP BY model HAVING min(behaviour) < 0.01) SELECT model, cell, {s6('avg(probe)', 'probe')}, {s6('avg(behaviour)', 'behaviour')}, {s6('avg(probe) - avg(behaviour)', 'apart')} FROM r JOIN a USING (model) GROUP BY ALL")
+def _(s, d):
+    cell = F.get(F.array(*[F.lit(c) for c in ("TT", "TA", "FT", "FA")]), (F.col("p_partkey") % 4).cast("int"))
+    rows = table(s, d, "part").select(F.col("p_brand").alias("model"), cell.alias("cell"), ((F.col("p_size") - 1) / 49.0).alias("probe"), ((F.col("p_retailprice") % 100) / 100.0).alias("behaviour"))
+    return frames.dissociations(rows, 0.01).select("model", "cell", *r6("probe", "behaviour", "apart"))
+
+
+@query("spectrum_frame", f"WITH {ITEMS}, f AS (SELECT * FROM {registry._auc('(SELECT * FROM celled WHERE truth)', 'domain', 'score', 'typical')}), a AS (SELECT * FROM {registry._auc('(SELECT *, month(o_orderdate) % 3 AS layer FROM celled JOIN orders ON o_orderkey = item_id)', 'domain, layer')}) SELECT lower(f.domain) AS model, {s6('f.auroc', 'frequency_read')}, {s6('a.auroc', 'headline')} FROM f JOIN a ON a.domain = f.domain AND a.layer = 1")
+def _(s, d):
+    """Each domain as a model: its frequency read among true items, and its AUROC in the middle of three layers."""
+    rows = order_cells(s, d)
+    reads = ranks.auroc(rows.where("truth"), ("domain",), "score", "typical").select(F.concat(F.lit("org/"), "domain").alias("model"), F.col("auroc").alias("frequency_read"))
+    month = table(s, d, "orders").select(F.col("o_orderkey").alias("item_id"), (F.month("o_orderdate") % 3).alias("layer"))
+    audits = ranks.auroc(rows.join(month, "item_id"), ("domain", "layer")).select(F.col("domain").alias("model"), "layer", F.lit(1).alias("headline_layer"), F.col("auroc").alias("headline"))
+    return frames.spectrum(reads, audits).select("model", *r6("frequency_read", "headline"))
+
+
+@query("cache_summary", "WITH f AS (SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN NULL ELSE coalesce(n, 0) END AS cnt FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey) SELECT count(*) AS n, count(*) FILTER (cnt IS NULL) AS unresolved, count(*) FILTER (cnt = 0) AS zero, count(*) FILTER (cnt > 0) AS nonzero, round(median(cnt) FILTER (cnt > 0), 6) AS median_nonzero FROM f")
+def _(s, d):
+    n = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("k"))
+    freq = table(s, d, "customer").join(n, "c_custkey", "left").select(F.when(F.col("c_nationkey") != 0, F.coalesce("k", F.lit(0))).alias("cnt"))
+    return frames.cache_summary(freq).select("n", "unresolved", "zero", "nonzero", F.round("median_nonzero", 6).alias("median_nonzero"))
+
+
+@query("axis_agreement", f"WITH {ITEMS}, p AS (SELECT logf AS x, CASE WHEN item_id % 5 > 0 THEN score END AS y FROM items), q AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS b FROM q) SELECT {s6('corr(a, b)', 'rho')}, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM p), 6) AS coverage FROM k")
+def _(s, d):
+    rows = order_items(s, d).withColumn("other", F.when(F.col("item_id") % 5 > 0, F.col("score")))
+    return ranks.axis_agreement(rows, "logf", "other").select(*r6("rho", "coverage"), "n")

@@ -27,3 +27,15 @@ def vector_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as activations of 8 layers of 8 dimensions."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), (F.col("label") % 2 == 1).alias("truth"), (F.col("label") < 5).alias("typical"), F.col("label").cast("string").alias("topic"), F.col("embedding").alias("vec"))
     return probes.layers(cells.with_cells(v), "vec", 8)
+
+
+def statement_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements about parts as items with their negations; the part's number of orders is the entity frequency."""
+    from probelens.functions import text
+    from probelens.plans.registry import statements
+
+    rows = statements(spark, sf_dir).where("topic is not null")
+    said = text.instantiate(F.col("topic"), F.col("p_name"), F.col("p_type"))
+    items = rows.select(F.col("p_partkey").alias("item_id"), (F.col("label") == 1).alias("truth"), F.col("p_partkey").alias("entity"), F.col("topic").alias("domain"), "topic", (F.col("p_partkey") % 4 == 1).alias("edited"), F.col("p_name").alias("subject"), said.alias("text"), text.negate(said).alias("negated"))
+    items = cells.with_frequency(items, cells.entity_frequency(table(spark, sf_dir, "lineitem"), "l_partkey"))
+    return cells.with_cells(cells.terciles(items, by=("domain",)))
