@@ -32,7 +32,7 @@ def swap_candidates(rows: DataFrame, edit_rate: float = 0.5, seed=20260712) -> D
     For each topic with at least four true pairs: of its n true pairs a share of edit_rate is replaced by other true
     pairs, the rest stay as they are; as many false ones are made, of which the same share are pairs with a wrong object,
     in turn from the third most and the third least frequent objects, and the rest are false statements as found. The
-    first of equal texts holds. A subject that the drawn objects are all true of gives no row.
+    first of equal texts holds. A place has no wrong object only where every subject is true of all objects of its tier.
     """
     pairs = said.true_pairs(rows).withColumn("id", F.concat_ws("|", "subject", "object"))
     pairs = staged(pairs, "pairs")
@@ -44,17 +44,23 @@ def swap_candidates(rows: DataFrame, edit_rate: float = 0.5, seed=20260712) -> D
     kept = true.where("k > m").select("topic", "k", "subject", "object")
     own = [drawn.join(other, ["topic", "at"]).select("topic", "k", "subject", "object", F.lit(True).alias("truth"), F.lit(True).alias("edited"), F.lit("truth_preserving_swap").alias("strategy")),
            kept.select("topic", "k", "subject", "object", F.lit(True).alias("truth"), F.lit(False).alias("edited"), F.lit("original_true").alias("strategy"))]
-    # wrong objects: for every place, the first of a few seeded draws from the tier that is not true of the drawn subject
+    # wrong objects: a place draws a pair, whose subject isn't true of all of the tier, and a number among the objects of the
+    # tier that are not true of that subject; so every draw fits
     counts = object_counts(rows).join(pairs.select("topic", "object").distinct(), ["topic", "object"])
     tiers = placed(cells.tops(counts, ("topic",)).where("tier is not null"), f"{seed}:tier", "object", ("topic", "tier"), "at")
     tiers = staged(tiers, "tiers")
     widths = tiers.groupBy("topic", "tier").agg(F.count("*").alias("width"))
-    asked = true.where("k <= m").select("topic", "k", "n").withColumn("tier", F.when(F.col("k") % 2 == 1, "common").otherwise("rare"))
-    asked = asked.join(F.broadcast(widths), ["topic", "tier"])
-    tries = asked.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(79)))).withColumns({"who": h32(f"{seed}:who", F.col("topic"), F.col("k"), F.col("t")) % F.col("n") + 1, "at": h32(f"{seed}:what", F.col("topic"), F.col("k"), F.col("t")) % F.col("width") + 1})
-    tries = tries.join(other.select("topic", F.col("at").alias("who"), "subject"), ["topic", "who"]).join(tiers.select("topic", "tier", "at", "object"), ["topic", "tier", "at"])
-    wrong = tries.join(pairs.select("topic", "subject", "object").distinct(), ["topic", "subject", "object"], "left_anti")
-    wrong = wrong.groupBy("topic", "k", "tier").agg(F.min_by(F.struct("subject", "object"), "t").alias("p")).select("topic", "k", "p.subject", "p.object", F.lit(False).alias("truth"), F.lit(True).alias("edited"), F.concat(F.lit("truth_breaking_swap_"), F.when(F.col("tier") == "common", "FT_lean").otherwise("FA_lean")).alias("strategy"))
+    known = pairs.select("topic", "subject", "object").distinct().join(tiers.select("topic", "tier", "object", "at"), ["topic", "object"])
+    known = known.groupBy("topic", "tier", "subject").agg(F.sort_array(F.collect_set(F.col("at") - 1)).alias("own"))  # of one subject
+    open_ = numbered.select("topic", "id", "subject").join(widths, "topic").join(known, ["topic", "tier", "subject"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>"))).where(F.size("own") < F.col("width"))
+    open_ = staged(placed(open_, f"{seed}:open", "id", ("topic", "tier"), "who"), "open")
+    many = open_.groupBy("topic", "tier").agg(F.count("*").alias("n_open"))
+    asked = true.where("k <= m").select("topic", "k").withColumn("tier", F.when(F.col("k") % 2 == 1, "common").otherwise("rare")).join(many, ["topic", "tier"])
+    asked = asked.withColumn("who", h32(f"{seed}:who", F.col("topic"), F.col("k")) % F.col("n_open") + 1).join(open_.select("topic", "tier", "who", "subject", "own", "width"), ["topic", "tier", "who"])
+    free = h32(f"{seed}:what", F.col("topic"), F.col("k")) % (F.col("width") - F.size("own"))
+    asked = asked.withColumn("at", F.aggregate("own", free, lambda x, o: F.when(o <= x, x + 1).otherwise(x)) + 1)
+    wrong = asked.join(tiers.select("topic", "tier", "at", "object"), ["topic", "tier", "at"])
+    wrong = wrong.select("topic", "k", "subject", "object", F.lit(False).alias("truth"), F.lit(True).alias("edited"), F.concat(F.lit("truth_breaking_swap_"), F.when(F.col("tier") == "common", "FT_lean").otherwise("FA_lean")).alias("strategy"))
     false = placed(said.natural_false(rows), f"{seed}:false", "statement", ("topic",), "k").join(F.broadcast(sizes), "topic").where("k <= n - m")
     found = false.select("topic", "k", "subject", "object", F.lit(False).alias("truth"), F.lit(False).alias("edited"), F.lit("original_false").alias("strategy"))
     every = own[0].unionByName(own[1]).unionByName(wrong).unionByName(found)

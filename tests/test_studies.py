@@ -308,3 +308,138 @@ def test_transfer_names_are_text(spark):
     rows = world(spark, 120, n_layers=1).drop("layer").withColumn("entity", F.col("item_id").cast("string")).withColumn("topic", F.col("item_id") % 2)
     got = audit.transfer(rows.where("item_id < 60"), rows.where("item_id >= 60"), assembled.mass_mean, reps=1, n_boot=5).collect()
     assert {(r["check"], r["name"]) for r in got} >= {("split", "held out"), ("topic", "0"), ("topic", "1"), ("corpus", "off"), ("size", "draw 0")}
+
+
+# ---- layouts
+
+
+def statements(spark, n=60, layers_=4):
+    from probelens.functions import text
+    from probelens.operators import layouts
+
+    rng = np.random.default_rng(4)
+    rows = [(i, f"City{i}", f"Land{rng.integers(9)}", bool(i % 2), ["TT", "TA", "FT", "FA"][(0 if i % 2 else 2) + i // 2 % 2], "cities", float(i % 5)) for i in range(n)]
+    items = spark.createDataFrame(rows, "item_id long, subject string, object string, truth boolean, cell string, topic string, logf double")
+    items = items.withColumn("text", text.instantiate("cities", F.col("subject"), F.col("object"))).withColumn("negated", text.negate(F.col("text")))
+    acts = layouts.text_vectors(items.select("item_id", "truth", "cell", "topic", "logf", "text"), dimensions=8, layers=layers_)
+    return acts, layouts.text_vectors(items.select("item_id", "negated"), "negated", 8, layers_)
+
+
+def test_layouts(spark):
+    from probelens.operators import layouts
+
+    acts, negated = statements(spark)
+    plain = layouts.prepared(layouts.loaded("mass_mean"), acts, 1)
+    assert plain.count() == 60 and {len(r["vec"]) for r in plain.collect()} == {8}
+    both = layouts.prepared(layouts.loaded("ttpd"), acts, 1, negated).join(plain.select("item_id", F.col("vec").alias("own")), "item_id").collect()
+    assert len(both) == 60 and all(len(r["vec"]) == 16 and r["vec"][:8] == r["own"] and r["vec"][8:] != r["own"] for r in both)
+    taps = layouts.prepared(layouts.loaded("drift"), acts).collect()
+    assert {len(r["vec"]) for r in taps} == {32} and "topic" in taps[0]
+    for name, missing in (("ccs", (acts, 1)), ("ttpd", (acts.drop("topic"), 1, negated))):
+        with pytest.raises(ValueError):
+            layouts.prepared(layouts.loaded(name), *missing)
+    with pytest.raises(ValueError):
+        layouts.prepared(layouts.loaded("mass_mean"), acts.where("false"))
+
+
+def test_probes_are_loaded_by_path(spark):
+    from probelens.operators import layouts
+
+    kind = layouts.loaded("probelens.operators.assembled:mass_mean")
+    assert kind.run is assembled.mass_mean and not kind.paired
+    with pytest.raises(KeyError):
+        layouts.loaded("none")
+    with pytest.raises(TypeError):
+        layouts.loaded("probelens.operators.assembled:PROBES")
+    with pytest.raises(ModuleNotFoundError):
+        layouts.loaded("no_such_module:probe")
+    acts, negated = statements(spark)
+    got = layouts.swept(("probelens.operators.assembled:mass_mean", "ccs", "drift"), acts, negated, (0, 1)).groupBy("probe", "layer").count().collect()
+    assert {(r["probe"], r["layer"]): r["count"] for r in got} == {("probelens.operators.assembled:mass_mean", 0): 60, ("probelens.operators.assembled:mass_mean", 1): 60, ("ccs", 0): 60, ("ccs", 1): 60, ("drift", None): 60}
+
+
+def test_text_vectors(spark):
+    import hashlib
+
+    from probelens.operators import layouts
+
+    df = spark.createDataFrame([(1, "The cat. The CAT!"), (2, ""), (3, None)], "item_id long, text string")
+    got = {(r["item_id"], r["layer"]): r["vec"] for r in layouts.text_vectors(df, dimensions=4, layers=2).collect()}
+    for layer, grams in ((0, ["the", "cat", "the", "cat"]), (1, ["the cat", "cat the", "the cat"])):
+        want = np.zeros(4)
+        for g in grams:
+            h = int(hashlib.md5(f"vec:{g}".encode()).hexdigest()[:8], 16)
+            want[h % 4] += 1 - 2 * (h // 65536 % 2)
+        assert np.allclose(got[1, layer], want / np.sqrt(len(grams)))
+    assert got[2, 0] == got[3, 1] == [0.0] * 4
+
+
+# ---- corpora, frames
+
+
+def test_every_place_gets_a_wrong_object(spark):
+    """Subjects that are true of nearly every object still get one that is not."""
+    from probelens.functions import text
+    from probelens.operators import corpora
+
+    rows = [("cities", f"S{i}", f"Land{j}") for i in range(12) for j in range(12) if (i + j) % 12 != 0]
+    said = spark.createDataFrame(rows, "topic string, subject string, object string").select("topic", text.instantiate("cities", F.col("subject"), F.col("object")).alias("statement"), F.lit(1).alias("label"))
+    got = corpora.swap_candidates(said).where("not truth and edited").collect()
+    true = {(s, o) for _, s, o in rows}
+    assert got and all(tuple(r["entities"]) not in true for r in got)
+    n = len(rows)
+    assert corpora.swap_candidates(said).where("truth and edited").count() + len(got) > n // 4
+
+
+def test_violins(spark):
+    from probelens.operators import frames
+
+    rng = np.random.default_rng(0)
+    data = [("a", float(x)) for x in rng.normal(size=300)] + [("b", float(x)) for x in rng.normal(3, 2, size=200)] + [("c", 1.0), ("c", None), ("c", float("nan"))]
+    got = frames.violins(spark.createDataFrame(data, "cell string, v double"), "v", bins=30).toPandas()
+    v = np.array([x for _, x in data if x is not None and x == x])
+    edges = np.linspace(v.min(), v.max(), 31)
+    for cell, n in (("a", 300), ("b", 200), ("c", 1)):
+        own = np.array([x for c, x in data if c == cell and x is not None and x == x])
+        part = got[got["cell"] == cell].sort_values("bin")
+        want, _ = np.histogram(own, edges)
+        assert (part["n"].to_numpy() == want).all() and part["n"].sum() == n
+        h, mid = (own.std(ddof=1) * n**-0.2 if n > 1 else edges[1] - edges[0]), (edges[1:] + edges[:-1]) / 2
+        density = (want * np.exp(-0.5 * ((mid[:, None] - mid) / h) ** 2)).sum(1) / (n * h * np.sqrt(2 * np.pi))
+        assert np.allclose(part["density"], density) and np.allclose(part["x"], mid)
+    assert frames.violins(spark.createDataFrame([], "cell string, v double"), "v").count() == 0
+
+
+def test_dissociation_spectrum_and_cache(spark):
+    from probelens.operators import frames
+
+    rows = spark.createDataFrame([("m1", "FA", 0.9, 0.1), ("m1", "FT", 0.8, 0.2), ("m2", "FA", 0.4, 0.15), ("m3", "FA", 0.4, None), ("m4", "FT", 0.1, 0.1)], "model string, cell string, probe double, behaviour double")
+    assert {(r["model"], r["cell"], round(r["apart"], 6)) for r in frames.dissociations(rows).collect()} == {("m1", "FA", 0.8), ("m1", "FT", 0.6)}
+    reads = spark.createDataFrame([("org/M1", 0.9), ("M2", 0.8)], "model string, frequency_read double")
+    audits = spark.createDataFrame([("m1", 1, 1, 0.7), ("m1", 0, 1, 0.6), ("other/m3", 1, 1, 0.5)], "model string, layer int, headline_layer int, headline double")
+    assert [tuple(r) for r in frames.spectrum(reads, audits).collect()] == [("m1", 0.9, 0.7)]
+    freq = spark.createDataFrame([(None,), (0,), (2,), (5,), (6,)], "cnt int")
+    assert tuple(frames.cache_summary(freq).first()) == (5, 1, 1, 3, 5.0)
+    assert tuple(frames.cache_summary(freq.where("cnt is null")).first()) == (1, 1, 0, 0, None)
+
+
+def test_axis_agreement(spark):
+    rows = spark.createDataFrame([(float(i), float(i * i) if i != 3 else None) for i in range(8)] + [(None, 1.0)], "x double, y double")
+    got = ranks.axis_agreement(rows, "x", "y").first()
+    assert got["n"] == 7 and abs(got["rho"] - 1) < 1e-12 and got["p"] < 1e-9 and abs(got["coverage"] - 7 / 9) < 1e-12
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=30)
+    y = x + rng.normal(size=30) * 2
+    got = ranks.axis_agreement(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"), "x", "y").first()
+    assert 0 < got["p"] < 1
+
+
+def test_three_verdicts(spark):
+    """Usable with canaries, usable by data alone, not usable: duplicates are found in real texts."""
+    from probelens.operators import gates
+
+    checks = spark.createDataFrame([("a", True, 1.0), ("b", True, None)], "gate string, pass boolean, metric double")
+    assert gates.verdict_of(checks, True).first()["verdict"] == "USABLE"
+    assert gates.verdict_of(checks, False).first()["verdict"] == "USABLE (data-only checks)"
+    same = spark.createDataFrame([(1, "x"), (2, "x")], "item_id long, text string")
+    assert gates.verdict_of(checks.unionByName(gates.duplicates(same, "text")), True).first()["verdict"] == "CONFOUNDED / UN-BUILDABLE"
