@@ -5,14 +5,14 @@ codes: in an equi-join a looked-up word costs more than a code met under it). Ro
 of the first a query segments. After it, a code that was not met differs by more than s in these and by more than s - 1
 in the others, so all codes within m s + a - 1 bits are known: a query is done once its k-th verified distance is within
 that radius. A query with k verified distances asks only for the segments that reach the k-th.
-Equal codes are one entry of the index, with the k + 1 smallest ids. Once the words at the next distance outnumber the
-codes, what is left of the queries is compared with all codes instead, in blocks: an outlier costs one scan.
+Equal codes are one entry of the index, with the k + 1 smallest ids. The masks of a round are rows, made from those of the
+round before; the driver holds none. Once the words at the next distance outnumber the codes, or a million, what is left
+of the queries is compared with all codes instead, in blocks: an outlier costs one scan.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from probelens.llm.common import written
 
 
+#: words of a round from which the rest of the queries is compared with all codes; the masks of a round are fewer
+MOST_MASKS = 1 << 20
+
+
 def sign_code(vector: str = "embedding") -> Column:
     """Bit i is 1 if component i is above 0 (not NaN); components beyond 64 are added to i mod 64 first. Null: null."""
     v = F.col(vector)
@@ -37,21 +41,16 @@ def _segments(m: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _flipped(j: int, val: Column, masks: list[int]) -> Column:
-    words = F.lit(masks).cast("array<bigint>")
-    return F.transform(words, lambda x: F.struct(F.lit(j).alias("j"), val.bitwiseXOR(x).alias("val")))
+def _words(code: str, segments) -> Column:
+    """Array of (j, w, val): the code's segments, with their widths."""
+    part = lambda at, width: F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1))
+    return F.array(*[F.struct(F.lit(j).alias("j"), F.lit(width).alias("w"), part(at, width).alias("val")) for j, (at, width) in enumerate(segments)])
 
 
-def _words(code: str, segments, flips=None, first: str | None = None) -> Column:
-    """Array of (j, val): the code's segments, with each of the flips if given, of the first segments only if named."""
-    out = []
-    for j, (at, width) in enumerate(segments):
-        val = F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1))
-        if flips is None:
-            out.append(F.array(F.struct(F.lit(j).alias("j"), val.alias("val"))))
-        elif flips[width]:
-            out.append(F.when(F.col(first) > j, _flipped(j, val, flips[width])).otherwise(F.array().cast("array<struct<j:int,val:bigint>>")))
-    return F.flatten(F.array(*out))
+def _further(masks: DataFrame) -> DataFrame:
+    """masks(w, mask, top) of s bits -> those of s + 1: each takes one more bit above its highest."""
+    bit = F.explode(F.when(F.col("top") + 1 < F.col("w"), F.sequence(F.col("top") + 1, F.col("w") - 1)))
+    return masks.select("w", "mask", bit.alias("top")).select("w", F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("top"))).alias("mask"), "top")
 
 
 def _scan(index: DataFrame, todo: DataFrame, k: int, block: int = 1024) -> DataFrame:
@@ -110,15 +109,17 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     todo = asked.select("q").distinct().withColumns({"bound": F.lit(64), "a": F.lit(m)})
     best = None
     widest = max(w for _, w in segments)
+    masks = spark.createDataFrame([(w, 0, -1) for w in sorted({w for _, w in segments})], "w int, mask long, top int")
     ranked = Window.partitionBy("q").orderBy("dist", "low")
     for s in range(widest + 1):
-        if sum(math.comb(w, s) for _, w in segments) > max(most_words, size):
+        if sum(math.comb(w, s) for _, w in segments) > min(max(most_words, size), MOST_MASKS):
             met = _scan(index, todo, k)
             met = (met if best is None else met.unionByName(best.select("q", "code", "low", "n", "dist"))).distinct()
             best = written(met.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).drop("r"), "best")
             break
-        flips = {w: [sum(1 << i for i in c) for c in combinations(range(w), s)] for w in {w for _, w in segments}}
-        probes = todo.select("q", "bound", F.explode(_words("q", segments, flips, "a")).alias("w")).select("q", "bound", "w.j", "w.val")
+        masks = written(_further(masks), "masks") if s else masks
+        asks = todo.select("q", "bound", "a", F.explode(_words("q", segments)).alias("x")).where("x.j < a").select("q", "bound", "x.j", "x.w", "x.val")
+        probes = asks.join(F.broadcast(masks), "w").select("q", "bound", "j", F.col("val").bitwiseXOR(F.col("mask")).alias("val"))  # at most MOST_MASKS
         dist = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         met = probes.alias("p").join(tables.alias("t"), (F.col("p.j") == F.col("t.j")) & (F.col("p.val") == F.col("t.val")) & (dist <= F.col("bound")))
         met = met.select("q", "code", "low", "n", dist.alias("dist"))

@@ -203,3 +203,24 @@ def test_op13(spark, tmp_path):
         want.append((doc_id, n, len(runs), s, m, q, 1000 * m // q if runs else None, *digests))
     assert got == sorted(want, key=str)
     assert sum(r[2] > 0 for r in got) > 20
+
+
+# ---- masks of the top-k search
+
+
+def test_masks_are_all_and_rows(spark, monkeypatch):
+    """All masks of s bits, once, as rows; what would be more of them than the bound goes by a scan, with the same result."""
+    from itertools import combinations
+
+    from probelens.llm import topk_hamming
+
+    masks = spark.createDataFrame([(w, 0, -1) for w in (3, 6)], "w int, mask long, top int")
+    for s in range(1, 7):
+        masks = topk_hamming._further(masks)
+        got = sorted((r["w"], r["mask"]) for r in masks.collect())
+        assert got == sorted((w, sum(1 << i for i in c)) for w in (3, 6) for c in combinations(range(w), s))
+    rng = random.Random(7)
+    rows = spark.createDataFrame([(i, rng.getrandbits(64) - 2**63) for i in range(200)], "vec_id long, code long")
+    want = sorted(tuple(r) for r in topk_hamming.top_k(rows, rows.where("vec_id % 20 = 0"), k=3).collect())
+    monkeypatch.setattr(topk_hamming, "MOST_MASKS", 40)
+    assert sorted(tuple(r) for r in topk_hamming.top_k(rows, rows.where("vec_id % 20 = 0"), k=3).collect()) == want
