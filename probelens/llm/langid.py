@@ -1,8 +1,8 @@
 """Language identification as mixture inference.
 
 Each language has a byte 4-gram model over A-Z lower-cased words with a space on either side, counted over all
-training documents in hashed cells. For a document, expectation-maximisation over its words, until the likelihood rises
-no more, estimates the proportion of each language; sets of its likeliest languages are compared by log-likelihood less
+training documents in hashed cells. For a document, expectation-maximisation over its words estimates the proportion of
+each language, until the likelihood's slopes prove that less than 0.001 nats are missing; sets of its likeliest languages are compared by log-likelihood less
 a penalty for each further language. Sets grow as long as a larger one could still win; the likelihood is concave in the
 proportions, so bounds from its gradient at the best single language and from its maximum over all languages tell that
 exactly, and most documents in one language need no iteration.
@@ -62,26 +62,27 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", smooth: float
 
 
 def _em(like: np.ndarray, mass: np.ndarray, sizes: np.ndarray, share: np.ndarray, gain: float) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions by document and their log-likelihood; like: a row for each (document, word), scaled to a maximum of 1.
+    """Proportions by document and their log-likelihood, at most gain below its maximum over the languages that share holds.
 
-    A document is done when a round adds no more than gain; the likelihood never falls and is 0 at most, so all get there.
+    like: a row for each (document, word), scaled to a maximum of 1. The likelihood is concave in the proportions, so its
+    maximum lies no further than the largest of its slopes less the words above where it is; a document is done when
+    that is no more than gain.
     """
     share, value = share.copy(), np.full(len(sizes), -np.inf)
+    held = share > 0
     active = np.arange(len(sizes))
     while len(active):
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        part = like * share[active][doc]
-        sums = np.maximum(part.sum(1), 1e-300)
-        got = np.add.reduceat(mass * np.log(sums), starts)  # of the proportions as they came in
-        part *= (mass / sums)[:, None]
-        new = np.add.reduceat(part, starts, axis=0) / np.add.reduceat(mass, starts)[:, None]
-        rises = got - value[active] > gain
-        value[active] = got
-        share[active[rises]] = new[rises]
-        if not rises.all():
-            keep = rises[doc]
-            like, mass, sizes, active = like[keep], mass[keep], sizes[rises], active[rises]
+        sums = np.maximum((like * share[active][doc]).sum(1), 1e-300)
+        total = np.add.reduceat(mass, starts)
+        slope = np.add.reduceat(like * (mass / sums)[:, None], starts, axis=0)
+        value[active] = np.add.reduceat(mass * np.log(sums), starts)
+        goes = np.where(held[active], slope, 0).max(1) - total > gain
+        share[active[goes]] *= slope[goes] / total[goes][:, None]
+        if not goes.all():
+            keep = goes[doc]
+            like, mass, sizes, active = like[keep], mass[keep], sizes[goes], active[goes]
     return share, value
 
 
@@ -129,7 +130,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     """docs -> its columns but the text's, lang_pred, score (share of lang_pred in 0..1), langs: array of (lang, share).
 
     A null text, one without a letter, or a model without languages gives und with score 0 and no langs. Columns of docs
-    named lang_pred, score or langs give way to these. gain: nats under which a round of the iteration is its last.
+    named lang_pred, score or langs give way to these. gain: nats that the likelihood of the proportions may lack of its maximum.
     """
     names, table = model
     spark = docs.sparkSession

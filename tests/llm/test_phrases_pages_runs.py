@@ -224,3 +224,28 @@ def test_masks_are_all_and_rows(spark, monkeypatch):
     want = sorted(tuple(r) for r in topk_hamming.top_k(rows, rows.where("vec_id % 20 = 0"), k=3).collect())
     monkeypatch.setattr(topk_hamming, "MOST_MASKS", 40)
     assert sorted(tuple(r) for r in topk_hamming.top_k(rows, rows.where("vec_id % 20 = 0"), k=3).collect()) == want
+
+
+# ---- mixtures of languages
+
+
+def test_em_stops_within_its_bound():
+    """What is missing of the maximum likelihood is below gain, for close languages too, where the iteration is slow."""
+    import numpy as np
+
+    from probelens.llm import langid
+
+    rng = np.random.default_rng(0)
+    for case in range(30):
+        n, k = int(rng.integers(3, 60)), int(rng.integers(2, 5))
+        logs = rng.normal(size=(n, k)) * (0.02 if case % 2 else 1.0)
+        like, mass = np.exp(logs - logs.max(1, keepdims=True)), rng.integers(1, 9, n).astype(float)
+        share, value = langid._em(like, mass, np.array([n]), np.full((1, k), 1 / k), 1e-3)
+        best = np.full(k, 1 / k)
+        for _ in range(100_000):
+            part = like * best
+            new = (part / part.sum(1, keepdims=True) * mass[:, None]).sum(0) / mass.sum()
+            if np.abs(new - best).max() < 1e-13:
+                break
+            best = new
+        assert abs(share.sum() - 1) < 1e-9 and -1e-9 <= (mass * np.log(like @ best)).sum() - value[0] <= 1e-3
