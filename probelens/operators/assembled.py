@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelens.functions.draws import h32
@@ -266,3 +266,8 @@ def pooled(tokens: DataFrame, how: str = "mean", by: tuple = ("item_id", "layer"
 def taps(n_layers: int, fractions: tuple = (0.6, 0.7, 0.8, 0.85)) -> tuple[int, ...]:
     """Layers at fixed depths; halves go to the even layer."""
     return tuple(round(f * (n_layers - 1)) for f in fractions)
+
+
+def tap_layers(n_layers: Column, fractions: tuple = (0.6, 0.7, 0.8, 0.85)) -> Column:
+    """taps() of a column of numbers of layers."""
+    return F.array(*[F.bround(F.lit(f) * (n_layers - 1), 0).cast("int") for f in fractions])

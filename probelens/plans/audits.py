@@ -120,9 +120,10 @@ def _(s, d):
     return joins.contains_word(table(s, d, "part").select("p_partkey", "p_name"), "p_name", names, "name").select("p_partkey", "name")
 
 
-@query("exclusive_subjects", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("exclusive_subjects", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'F')")
 def _(s, d):
-    return joins.exclusive(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    urgent = table(s, d, "orders").where("o_orderpriority like '1%' and o_orderstatus = 'F'")
+    return joins.exclusive(table(s, d, "customer").select("c_custkey"), urgent.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("dangling_edges", "SELECT o_orderkey AS src, o_custkey AS dst, id FROM (SELECT *, unnest([o_orderkey, o_custkey]) AS id FROM orders) WHERE id NOT IN (SELECT c_custkey FROM customer)")
@@ -235,9 +236,11 @@ def _(s, d):
     return reports.widest(table(s, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice")
 
 
-@query("tap_layers", "SELECT n::INT AS n, [round_even(0.6::DOUBLE * (n - 1), 0)::INT, round_even(0.7::DOUBLE * (n - 1), 0)::INT, round_even(0.8::DOUBLE * (n - 1), 0)::INT, round_even(0.85::DOUBLE * (n - 1), 0)::INT] AS taps FROM range(2, 50) t(n)")
+@query("tap_layers", "SELECT n::INT AS n, [round_even(0.6::DOUBLE * (n - 1), 0)::INT, round_even(0.7::DOUBLE * (n - 1), 0)::INT, round_even(0.8::DOUBLE * (n - 1), 0)::INT, round_even(0.85::DOUBLE * (n - 1), 0)::INT] AS taps FROM (SELECT DISTINCT p_size AS n FROM part WHERE p_size > 1)")
 def _(s, d):
-    return s.createDataFrame([(n, list(assembled.taps(n))) for n in range(2, 50)], "n int, taps array<int>")
+    """The tapped layers of models as deep as parts are large."""
+    part = table(s, d, "part").where("p_size > 1").select(F.col("p_size").cast("int").alias("n")).distinct()
+    return part.select("n", assembled.tap_layers(F.col("n")).alias("taps"))
 
 
 # ---- layer reports
@@ -499,30 +502,39 @@ def _(s, d):
     return gates.edit_report(order_cells(s, d)).select(*r6("cell_spread", "truth_gap"))
 
 
-@query("count_gates", f"WITH {ITEMS} SELECT 'frequency_coverage' AS gate, count(*) FILTER (o_custkey IS NULL) <= 0.05 * count(*) AS pass, round(count(*) FILTER (o_custkey IS NULL)::DOUBLE / count(*), 6) AS metric FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey UNION ALL SELECT 'minimum_rows', count(*) >= 80, count(*)::DOUBLE FROM items UNION ALL SELECT 'sign_off', true, NULL UNION ALL SELECT 'recheck', true, 0.0")
+@query("count_gates", f"WITH {ITEMS} SELECT 'frequency_coverage' AS gate, count(*) FILTER (o_custkey IS NULL) <= 0.05 * count(*) AS pass, round(count(*) FILTER (o_custkey IS NULL)::DOUBLE / count(*), 6) AS metric FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey UNION ALL SELECT 'minimum_rows', count(*) >= 80, count(*)::DOUBLE FROM items UNION ALL SELECT 'sign_off', true, NULL UNION ALL SELECT 'recheck', count(*) FILTER (o_custkey % 10 = 0) = 0, count(*) FILTER (o_custkey % 10 = 0) FROM (SELECT o_custkey, row_number() OVER (ORDER BY md5('0:' || o_custkey), o_custkey) AS r FROM (SELECT DISTINCT o_custkey FROM orders)) WHERE r <= 25")
 def _(s, d):
     freq = cells.entity_frequency(table(s, d, "orders"), "o_custkey")
     known = cells.with_frequency(table(s, d, "customer").select(F.col("c_custkey").alias("entity")), freq)
-    rows = [gates.frequency_coverage(known), gates.minimum_rows(order_items(s, d)), gates.sign_off(known, "owner"), gates.recheck(freq, cells.entity_frequency(table(s, d, "orders"), "o_custkey"), "entity", "cnt")]
+    stale = freq.withColumn("cnt", F.col("cnt") + (F.col("entity") % 10 == 0).cast("int"))  # a cache that was right once
+    rows = [gates.frequency_coverage(known), gates.minimum_rows(order_items(s, d)), gates.sign_off(known, "owner"), gates.recheck(stale, freq, "entity", "cnt")]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.select("gate", "pass", F.round("metric", 6).alias("metric"))
 
 
-@query("substrate_checks", "SELECT 'vectors' AS model, layer, count(*) AS n, true AS one_width, true AS finite, true AS varied FROM embeddings, (SELECT unnest(range(0, 8))::INT AS layer) GROUP BY layer")
+#: activations of which some layers are broken: a short vector in layer 2, a NaN in layer 3, one vector throughout layer 4
+_BROKEN = "SELECT vec_id, layer, CASE WHEN layer = 2 AND vec_id % 50 = 0 THEN v[1:7] WHEN layer = 3 AND vec_id % 50 = 1 THEN list_prepend('NaN'::FLOAT, v[2:8]) WHEN layer = 4 THEN list_transform(v, lambda x: 1.0::FLOAT) ELSE v END AS v FROM (SELECT vec_id, layer, embedding[layer * 8 + 1:layer * 8 + 8] AS v FROM embeddings, (SELECT unnest(range(0, 8))::INT AS layer))"
+
+
+@query("substrate_checks", f"SELECT 'vectors' AS model, layer, count(*) AS n, min(len(v)) = max(len(v)) AS one_width, bool_and(len(list_filter(v, lambda x: isnan(x) OR isinf(x))) = 0) AS finite, count(DISTINCT v) > 1 AS varied FROM ({_BROKEN}) GROUP BY layer")
 def _(s, d):
-    return gates.substrate(vector_acts(s, d).withColumn("model", F.lit("vectors")))
+    at = lambda layer, k: (F.col("layer") == layer) & (F.col("item_id") % 50 == k)
+    nan = F.lit("NaN").cast("float")
+    vec = F.when(at(2, 0), F.slice("vec", 1, 7)).when(at(3, 1), F.concat(F.array(nan), F.slice("vec", 2, 7))).when(F.col("layer") == 4, F.transform("vec", lambda x: F.lit(1.0).cast("float"))).otherwise(F.col("vec"))
+    return gates.substrate(vector_acts(s, d).withColumn("vec", vec).withColumn("model", F.lit("vectors")))
 
 
-@query("stored_rows", "SELECT 'vectors' AS model, layer, count(*) AS n, true AS fit FROM embeddings, (SELECT unnest(range(0, 8))::INT AS layer) GROUP BY layer")
+@query("stored_rows", "SELECT 'vectors' AS model, layer, count(*) AS n, count(*) = (SELECT count(*) FROM embeddings) AS fit FROM embeddings, (SELECT unnest(range(0, 8))::INT AS layer) WHERE layer <> 5 OR vec_id % 7 > 0 GROUP BY layer")
 def _(s, d):
-    return gates.tensor_rows(vector_acts(s, d).withColumn("model", F.lit("vectors")), table(s, d, "embeddings").count())
+    """Layer 5 lacks rows."""
+    return gates.tensor_rows(vector_acts(s, d).where("layer <> 5 or item_id % 7 > 0").withColumn("model", F.lit("vectors")), table(s, d, "embeddings").count())
 
 
-@query("banned_words", "SELECT p_partkey, CASE WHEN least(nullif(strpos(' ' || p_name || ' ', ' green '), 0), nullif(strpos(' ' || p_name || ' ', ' sky '), 0)) = strpos(' ' || p_name || ' ', ' green ') THEN 'green' ELSE 'sky' END AS banned FROM part WHERE contains(' ' || p_name || ' ', ' green ') OR contains(' ' || p_name || ' ', ' sky ')")
+@query("banned_words", r"SELECT p_partkey, regexp_extract(lower(p_name), '\b(hot|gizmo)\b', 1) AS banned FROM part WHERE regexp_matches(lower(p_name), '\b(hot|gizmo)\b')")
 def _(s, d):
-    return gates.banned_words(table(s, d, "part").select("p_partkey", "p_name"), "p_name", ("green", "sky")).select("p_partkey", "banned")
+    return gates.banned_words(table(s, d, "part").select("p_partkey", "p_name"), "p_name", ("hot", "gizmo")).select("p_partkey", "banned")
 
 
 @query("categorical_fields", "SELECT unnest(['event_type', 'even']) AS field")

@@ -443,3 +443,8 @@ def test_three_verdicts(spark):
     assert gates.verdict_of(checks, False).first()["verdict"] == "USABLE (data-only checks)"
     same = spark.createDataFrame([(1, "x"), (2, "x")], "item_id long, text string")
     assert gates.verdict_of(checks.unionByName(gates.duplicates(same, "text")), True).first()["verdict"] == "CONFOUNDED / UN-BUILDABLE"
+
+
+def test_tap_layers_are_the_taps(spark):
+    rows = spark.range(1, 60).select(F.col("id").cast("int").alias("n"))
+    assert all(tuple(r["t"]) == assembled.taps(r["n"]) for r in rows.select("n", assembled.tap_layers(F.col("n")).alias("t")).collect())
