@@ -3,8 +3,9 @@
 Pass 1. Every 8-word gram is hashed; a window's anchor is the smallest gram hash inside it (winnowing, Schleimer et al.,
 2003), so equal windows have equal anchors and a text has about one anchor in 22 words. Each partition adds a text's
 distinct anchors to a count-min sketch; partition sketches are merged by cell. A sketch never counts too low, so a
-window whose anchor counts below 2 in some row of the sketch is in one text only and is left out. The sketch has a
-fixed size; where it fills up, more windows pass, none is lost.
+window whose anchor counts below 2 in some row of the sketch is in one text only and is left out. The sketch grows with
+the texts, to 2^28 cells a row; where it fills up, more windows pass, none is lost. A block of cells is added up in a task
+of its own, and only its bits (counted twice or more) go to the driver and out to the executors.
 
 Pass 2 groups the windows that passed by 128-bit hashes of their word sequences, which stand for the sequences. Within a partition only the smallest
 doc_id of each is left open, the others are settled there; so a passage that a third of all texts share sends a row for
@@ -15,16 +16,19 @@ covered. The covered spans of a text are then cut from it.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probelens.llm.common import BLOCK, SPARSE, gathered, sparse_rows
 
+#: cells of a block of the sketch
+BLOCK = 1 << 18
+#: a row of the sketch has 2^28 cells at most: 64 MB of bits in all
+MOST_BITS = 28
 GRAM = 8
 ROWS = 2
 #: windows of which a partition settles the repeats at once
@@ -123,17 +127,42 @@ def repeated_cells(rows: DataFrame, width: int, bits: int) -> np.ndarray:
             at, n = np.unique(_cells(anchors, row, bits), return_counts=True)
             yield _by_block(row, at, np.minimum(n, 2))
 
-    got = gathered(rows.select("raw").mapInPandas(run, SPARSE), ROWS, 1 << bits, most=2, dtype="int8")
-    return np.packbits(got > 1, axis=1)
+    def add(batches):
+        """Rows in order of block: one block is held at a time, whatever the number of partitions that sent a part of it."""
+        now, total = None, np.zeros(BLOCK, np.uint8)
+        for pdf in batches:
+            out = []
+            for row, blk, at, n in zip(pdf["row"], pdf["blk"], pdf["at"], pdf["n"]):
+                if (row, blk) != now:
+                    if now is not None:
+                        out.append((*now, np.packbits(total > 1).tobytes()))
+                    now, total = (row, blk), np.zeros(BLOCK, np.uint8)
+                at = np.frombuffer(at, "<u4")
+                total[at] = np.minimum(total[at] + np.frombuffer(n, np.uint8), 2)
+            yield pd.DataFrame(out, columns=["row", "blk", "bits"])
+        if now is not None:
+            yield pd.DataFrame([(*now, np.packbits(total > 1).tobytes())], columns=["row", "blk", "bits"])
+
+    parts = rows.select("raw").mapInPandas(run, "row int, blk int, at binary, n binary")
+    marked = parts.repartition("row", "blk").sortWithinPartitions("row", "blk").mapInPandas(add, "row int, blk int, bits binary")
+    out = np.zeros((ROWS, max(1 << bits, BLOCK) // 8), np.uint8)
+    for r in marked.collect():  # bits of a block
+        out[r["row"], r["blk"] * BLOCK // 8 : (r["blk"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def _by_block(row: int, at: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    """sparse_rows() for cells that are known already."""
-    salt = TaskContext.get().partitionId()
+    """Counted cells, in order, as packed rows of a block each."""
     blocks = at // BLOCK
     cut = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(at)]))
-    out = [(row, int(blocks[a]), salt, (at[a:b] % BLOCK).astype("<u4").tobytes(), n[a:b].astype("<i8").tobytes()) for a, b in zip(cut[:-1], cut[1:]) if b > a]
-    return pd.DataFrame(out, columns=["key", "blk", "salt", "idx", "val"])
+    out = [(row, int(blocks[a]), (at[a:b] % BLOCK).astype("<u4").tobytes(), n[a:b].astype(np.uint8).tobytes()) for a, b in zip(cut[:-1], cut[1:]) if b > a]
+    return pd.DataFrame(out, columns=["row", "blk", "at", "n"])
+
+
+def sketch_bits(docs: DataFrame, text: str) -> int:
+    """log2 of the cells of a sketch row: about 8 for each anchor, at 6 bytes a word and an anchor in 22 words; MOST_BITS at most."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return min(max(20, math.ceil(math.log2(max(1, size / 16)))), MOST_BITS)
 
 
 OPEN = "doc_id long, thash long, h1 long, h2 long, start int, span int"
@@ -188,11 +217,12 @@ def _candidates(sent, width: int, bits: int):
     return run
 
 
-def covered_spans(docs: DataFrame, text: str = "text", width: int = 50, bits: int = 26) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, thash, start, span): words that windows seen in a smaller doc_id cover."""
+def covered_spans(docs: DataFrame, text: str = "text", width: int = 50, bits: int | None = None) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, thash, start, span): words that windows seen in a smaller doc_id cover. bits: None takes sketch_bits()."""
+    bits = sketch_bits(docs, text) if bits is None else bits
     raw = F.col(text).cast("binary").alias("raw")
     rows = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("thash"), raw)
-    sent = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs.select(raw), width, bits))  # fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs.select(raw), width, bits))  # 2^MOST_BITS cells a row at most
     found = rows.mapInPandas(_candidates(sent, width, bits), OPEN)
     # settled spans keep rows of their own: they are spread by their text, not gathered under a null window
     keyed = found.withColumn("k1", F.coalesce("h1", F.xxhash64("doc_id", "start"))).withColumn("k2", F.coalesce("h2", F.col("thash")))
@@ -207,7 +237,7 @@ def _cut(words: list[bytes], spans) -> list[bytes]:
     return [w for w, k in zip(words, keep.tolist()) if k]
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", width: int = 50, bits: int = 26) -> DataFrame:
+def dedup_substrings(docs: DataFrame, text: str = "text", width: int = 50, bits: int | None = None) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_words, n_removed, kept, kept_sha256), a row for each row of docs.
 
     Removes each word covered by a window of width words whose sequence also starts in a text with a smaller doc_id;
