@@ -119,7 +119,7 @@ class Sketches:
 def _blocks(bench: DataFrame, text: str, most: int):
     """Items in blocks of at most about most characters (one item at least), read one partition at a time."""
     held, size = [], 0
-    for r in bench.select("item_id", F.col(text).alias("text")).where("item_id is not null").toLocalIterator():
+    for r in bench.select(F.col("item_id").cast("string").alias("item_id"), F.col(text).alias("text")).where("item_id is not null").toLocalIterator():
         held.append((r["item_id"], r["text"]))
         size += len(r["text"] or "")
         if size > most:
@@ -149,18 +149,18 @@ def _hit(sent):
 def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", width: int = 5, threshold: float = 0.8, max_block_chars: int = 8 << 20) -> DataFrame:
     """docs(doc_id, text), bench(item_id, text) -> (doc_id, item_id, n_shared, n_item, containment), a row for each match.
 
-    Only a block of items of bounded size is sent to the executors at once; a larger benchmark takes one pass over
-    docs for each block. Null or wordless texts match nothing; repeated rows are reported once for each.
+    Ids keep their types, numbers or text. Only a block of items of bounded size is sent to the executors at once; a larger
+    benchmark takes one pass over docs for each block. Null or wordless texts match nothing; repeated rows are reported once for each.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, n_shared int, n_item int, containment double"
+    schema = "doc_id string, item_id string, n_shared int, n_item int, containment double"
     out = spark.createDataFrame([], schema)
     for block in _blocks(bench, text, max_block_chars):
         sent = spark.sparkContext.broadcast(Sketches(block, width, threshold))
 
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+        rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(text).alias("text"))
         out = out.unionByName(rows.mapInPandas(_matches(sent), schema))
-    return out
+    return out.withColumns({c: F.col(c).cast(df.schema[c].dataType) for c, df in (("doc_id", docs), ("item_id", bench))})
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", width: int = 5, threshold: float = 0.8, max_block_chars: int = 8 << 20) -> DataFrame:

@@ -245,7 +245,7 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str | None = None, cou
 
     Null and empty texts stay. The same key gives the same surrogates for the same corpus; with another key, or where
     entities collide that did not before, they differ. key: a secret; None takes session_key(). Rows may repeat or lack
-    a doc_id: texts meet their surrogates by (doc_id, hash of the text). A column of docs named like count gives way.
+    a doc_id, which may have any type: texts meet their surrogates by hashes of id and text. A column of docs named like count gives way.
     """
     key = key or session_key(docs.sparkSession)
     if count:
@@ -254,13 +254,13 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str | None = None, cou
     has = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
     rows = docs.where(has).select("doc_id", text, F.struct(*docs.columns).alias("_row")).withColumn("_m", mentions(text)).withColumn("_p", _known(F.col("_m")))
     rows = rows.withColumn("_m", F.when(F.col("_p") == ANY, F.col("_m")).otherwise(F.regexp_extract_all(F.col(text), F.col("_p"), F.lit(0))))
-    pairs = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d"), F.xxhash64(text).alias("_h"), F.explode(F.array_distinct("_m")).alias("m"), F.col(text).alias("x"))
+    pairs = rows.select(F.xxhash64("doc_id").alias("_d"), F.xxhash64(text).alias("_h"), F.explode(F.array_distinct("_m")).alias("m"), F.col(text).alias("x"))
     pairs = pairs.withColumn("type", kind(F.col("m"))).withColumn("gender", F.when(F.col("type") == "name", _gender("x", F.col("m"))).otherwise("n"))
     pairs = written(pairs.select("_d", "_h", "m", "type", norm(F.col("m"), F.col("type")).alias("entity"), "gender"), "mentions")
     table = entities(pairs.select("type", "entity", "gender"), key)
     drawn = pairs.join(table, ["type", "entity"]).select("_d", "_h", "m", _rendered(F.col("m"), F.col("type"), F.col("surrogate")).alias("s"))
     maps = drawn.groupBy("_d", "_h").agg(F.map_from_entries(F.collect_set(F.struct("m", "s"))).alias("_s"))  # of one text
-    some = rows.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_h": F.xxhash64(text)}).join(maps, ["_d", "_h"], "left")
+    some = rows.withColumns({"_d": F.xxhash64("doc_id"), "_h": F.xxhash64(text)}).join(maps, ["_d", "_h"], "left")
     between = F.split(F.col(text), F.col("_p"), -1)
     new = F.transform("_m", lambda m: F.coalesce(F.element_at("_s", m), m))
     joined = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size("_m")).alias("b"), new.alias("n")), lambda z: F.concat(z["b"], z["n"])), ""), F.element_at(between, -1))

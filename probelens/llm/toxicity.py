@@ -277,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         p = np.clip(p, 1e-9, 1 - 1e-9)
         losses.append(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
     best = int(np.argmin(losses)) if len(y) else 0
-    diff, rest = found[2]
+    diff, rest = found[2][0].cast("float"), float(np.float32(found[2][1]))  # one type, sent or joined
     floor = float(floors[best])
     inside = F.lit(rest) if abs(rest) > floor else F.lit(0.0)
     words = table.select("word", diff.alias("diff")).where((F.abs("diff") > floor) | (F.abs(inside) > floor))
@@ -316,7 +316,7 @@ def _joined(docs: DataFrame, model: Fitted, text: str, rest: list[str], cut: flo
 
     rows = docs.withColumn("_t", F.xxhash64(text))
     words = rows.select("_t", F.col(text).cast("binary").alias("_raw")).dropDuplicates(["_t"]).mapInPandas(run, "_t long, word long, n long")
-    diff = F.coalesce("diff", F.lit(model.rest))
+    diff = F.coalesce(F.col("diff").cast("double"), F.lit(model.rest))
     sides = [F.sqrt(F.sum(F.greatest(x - F.lit(model.floor), F.lit(0.0)) * F.col("n")) / F.sum("n")) for x in (diff, -diff)]
     found = words.join(model.words.hint("merge"), "word", "left").groupBy("_t").agg(*[x.alias(f"_s{i}") for i, x in enumerate(sides)])
     z = F.lit(float(model.weights[-1])) + sum(F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) * F.lit(float(model.weights[i])) for i in range(2))

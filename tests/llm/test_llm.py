@@ -539,3 +539,28 @@ def test_pipeline(spark):
     for i, t in zip(out["doc_id"], out["text"]):
         for private in re.findall(r"\b[\w.]+@[\w.]+\b|\b\d{16}\b|\b[0-9a-f]{40}\b", docs["text"][i]):
             assert private not in t
+
+
+def test_ids_of_any_type(spark, docs):
+    """Text ids, and numbers beyond doubles beside null ones, come out as they went in."""
+    long = next(r["text"] for r in docs.collect() if len(r["text"] or "") > 9000)
+    item = " ".join(long.split()[100:120])
+    big = (1 << 60) + 1
+    for kind, ids, items in (("string", ["a-1", None, "x"], ["q/1", "q/2"]), ("long", [big, None, big + 2], [big + 4, 2])):
+        rows = spark.createDataFrame(list(zip(ids, [long, long, f"Write to jane.roe@example.com. {item}"])), f"doc_id {kind}, text string").repartition(1)
+        bench = spark.createDataFrame([(items[0], item), (items[1], "none of these words is in any text")], f"item_id {kind}, text string")
+        got = decontam.contaminated(rows, bench)
+        assert sorted(((r["doc_id"], r["item_id"]) for r in got.collect()), key=str) == sorted(((i, items[0]) for i in ids), key=str)
+        assert [got.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")] == [{"long": "bigint"}.get(kind, kind)] * 2
+        out = {r["doc_id"]: r for r in pii.replace_pii(rows, key="k", count="n").collect()}
+        assert set(out) == set(ids) and [out[i]["n"] for i in ids] == [0, 0, 1] and "jane.roe" not in out[ids[2]]["text"]
+
+
+def test_toxicity_is_alike_sent_and_joined(spark):
+    rng = random.Random(11)
+    texts = [prose(rng, 40) + (" vile wretch" if i % 7 == 0 else "") for i in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.learn(rows, marks)
+    sent, joined = ({r["doc_id"]: r["score"] for r in toxicity.score(rows, model, max_words=most).collect()} for most in (1 << 20, 0))
+    assert max(abs(sent[i] - joined[i]) for i in sent) < 1e-12 and len(sent) == len(joined) == 400
