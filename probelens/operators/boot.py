@@ -114,7 +114,7 @@ def _keyed(key, by: tuple, *values) -> list:
 
 def auroc_replicates(rows: DataFrame, by: tuple, n_boot: int, seed, unit: str, score: str, label: str, draw: str = "md5") -> DataFrame:
     """(by, b, auroc), a row for each replicate that has both classes. A unit's weights are the same in every group."""
-    kept = rows.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("boolean").alias("_y"), F.col(unit).cast("string").alias("_u")).dropna(subset=["_s", "_y", "_u"])
+    kept = rows.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("boolean").alias("_y"), F.col(unit).cast("string").alias("_u")).dropna(subset=["_s", "_y", "_u"])  # NaN too
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         key, pdf, got = pdf.iloc[0], pdf.sort_values("_s", kind="stable"), _Pairs(n_boot)

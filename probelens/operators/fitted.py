@@ -16,17 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from probelens.functions.draws import hash_fold, uniform
+from probelens.functions.draws import hash_fold, meet, uniform
 from probelens.functions.scalars import dot, sigmoid
 from probelens.functions.stage import staged
 from probelens.operators.cells import halves
 from probelens.operators.ladder import listed_rungs
 from probelens.operators.linear import mediation
-from probelens.operators.ranks import auroc
+from probelens.operators.ranks import auroc, quantiles
 
 SALTS = 32
 #: dimensions up to which curvature is added up too
 NEWTON = 512
+#: numbers of directions that are sent to the executors: 64 MB
+SENT = 8 << 20
 
 
 def _totals(partials: DataFrame, by: tuple, schema: str) -> DataFrame:
@@ -229,36 +231,83 @@ def off_subspace(vec: Column, basis: Column, mean: Column | None = None) -> Colu
     return F.aggregate(basis, x, lambda v, u: F.zip_with(v, u, lambda a, b: a - dot(shift, u) * b))
 
 
-def erase(rows: DataFrame, rounds: int = 12, by: tuple = ("layer",), label: str = "typical", vec: str = "vec", **options) -> DataFrame:
-    """rows with vec projected off the directions that told label, found one after another (iterative null space)."""
+def null_directions(rows: DataFrame, rounds: int = 12, by: tuple = ("layer",), label: str = "typical", vec: str = "vec", **options) -> DataFrame:
+    """(by, basis): orthonormal directions that told label, found one after another in what the earlier ones leave.
+
+    The driver holds groups x rounds x dimensions numbers. A group in which label takes one value only has no direction of use.
+    """
     basis: dict[tuple, list] = {}
     spark, keys = rows.sparkSession, [rows.schema[c] for c in by]
-    schema = StructType([*keys, StructField("_b", ArrayType(ArrayType(DoubleType())))])
+    schema = StructType([*keys, StructField("basis", ArrayType(ArrayType(DoubleType())))])
 
-    def projected() -> DataFrame:
-        if not basis:
-            return rows
-        table = spark.createDataFrame([(*k, b) for k, b in basis.items()], schema)
-        return rows.join(table, list(by), "left").withColumn(vec, F.when(F.col("_b").isNull(), F.col(vec).cast("array<double>")).otherwise(off_subspace(F.col(vec), F.col("_b")))).drop("_b")
+    def table() -> DataFrame:
+        return spark.createDataFrame([(*k, b) for k, b in basis.items()], schema)
 
     for _ in range(rounds):
-        for r in logistic(projected(), by, label, vec, **options).collect():  # a row for each group
+        left = without(rows, table(), by, vec, sum(len(u) for b in basis.values() for u in b)) if basis else rows
+        for r in logistic(left, by, label, vec, **options).collect():  # a row for each group
             key, w = tuple(r[c] for c in by), np.array(r["weights"][:-1])
             for _again in range(2):  # rounding leaves a little of the old directions in w
                 for u in basis.get(key, []):
                     w = w - (w @ np.array(u)) * np.array(u)
             if len(basis.get(key, [])) < len(w) and np.linalg.norm(w) > 1e-8:
                 basis.setdefault(key, []).append((w / np.linalg.norm(w)).tolist())
-    return projected()
+    return table()
+
+
+def without(rows: DataFrame, bases: DataFrame, by: tuple = ("layer",), vec: str = "vec", numbers: int | None = None) -> DataFrame:
+    """rows with vec less its part in its group's basis; rows of a group without one stay.
+
+    numbers: how many numbers bases hold. Up to SENT of them, bases are sent to the rows, which then aren't shuffled.
+    """
+    if numbers is not None and numbers <= SENT:
+        bases = F.broadcast(bases)
+    kept = F.when(F.col("basis").isNull(), F.col(vec).cast("array<double>")).otherwise(off_subspace(F.col(vec), F.col("basis")))
+    return meet(rows, bases, by, "left").withColumn(vec, kept).drop("basis")
+
+
+def erase(rows: DataFrame, rounds: int = 12, by: tuple = ("layer",), label: str = "typical", vec: str = "vec", **options) -> DataFrame:
+    """rows with vec projected off the directions that told label, found one after another (iterative null space)."""
+    return without(rows, null_directions(rows, rounds, by, label, vec, **options), by, vec)
+
+
+def erasure_study(rows: DataFrame, ks: tuple = (4, 8, 12, 16, 24), by: tuple = ("layer",), label: str = "typical", seed: int = 0, key: str = "item_id", steps: int = 4, **options) -> DataFrame:
+    """(by, design, k, on, off, read): what is left of a probe and of label after k directions are erased from vec.
+
+    on and off: AUROC of the fielded truth probe on and off the diagonal; read: how well label is told out of fold.
+    Designs: none (k = 0); label, directions learnt on all rows; diagonal, learnt on the diagonal alone, where label and
+    truth are one; random. The k directions are the first of one search, so they are nested; a group with fewer loses
+    all it has. All designs and k are groups of the same fits: the number of jobs doesn't grow with them. A direction is
+    searched for by ``steps`` Newton steps; the probes are fitted to their optimum.
+    """
+    rows = staged(rows.where("vec is not null and cell is not null").select(*by, key, "cell", "truth", label, "vec"), "vectors")
+    d = rows.agg(F.max(F.size("vec"))).first()[0] or 0  # one number
+    if not d:
+        raise ValueError("there are no vectors")
+    diag = F.col("cell").isin("TT", "FA")
+    taught = rows.withColumn("design", F.explode(F.when(diag, F.array(F.lit("label"), F.lit("diagonal"))).otherwise(F.array(F.lit("label")))))
+    groups = rows.select(*by).distinct()
+    drawn = groups.sparkSession.createDataFrame([("random", random_basis(d, min(d, max(ks)), seed))], "design string, basis array<array<double>>")
+    found = null_directions(taught, min(d, max(ks)), (*by, "design"), label, steps=steps, **options)
+    found = found.select(*by, "design", "basis").unionByName(groups.crossJoin(F.broadcast(drawn)).select(*by, "design", "basis"))
+    nested = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("basis", F.slice("basis", F.lit(1), F.col("k")))
+    bases = staged(nested.unionByName(groups.select(*by, F.lit("none").alias("design"), F.slice(F.array(F.array(F.lit(0.0))), 1, 0).alias("basis"), F.lit(0).alias("k"))), "bases")
+    keys = (*by, "design", "k")
+    cut = staged(meet(rows, bases, by).withColumn("vec", off_subspace(F.col("vec"), F.col("basis"))).drop("basis"), "erased")
+    sides = auroc(fielded(cut, keys, seed=seed, key=key, **options).withColumn("_on", diag), (*keys, "_on"))
+    side = lambda on: F.max(F.when(F.col("_on") == on, F.col("auroc")))
+    both = sides.groupBy(*keys).agg(side(True).alias("on"), side(False).alias("off"))
+    read = auroc(out_of_fold(cut, keys, seed=seed, key=key, label=label, **options), keys, label=label).select(*keys, F.col("auroc").alias("read"))
+    return both.join(read, list(keys))
 
 
 def frequency_basis(rows: DataFrame, k: int = 4, value: str = "logf", vec: str = "vec", bins: int = 20) -> list[list[float]]:
     """The k main directions of the mean vectors of quantile bins of value: bins x dimensions numbers on the driver."""
     inner = [i / bins for i in range(1, bins)]
-    edges = rows.agg(F.percentile(value, F.array(*[F.lit(q) for q in inner])).alias("e")).first()["e"]
+    edges = quantiles(rows, value, tuple(inner)).first()  # one row
     if edges is None:
         return []
-    place = sum((F.when(F.col(value) > e, 1).otherwise(0) for e in edges), F.lit(0))
+    place = sum((F.when(F.col(value) >= edges[f"q{i}"], 1).otherwise(0) for i in range(len(inner))), F.lit(0))
     dims = rows.where(F.col(value).isNotNull()).select(place.alias("bin"), F.posexplode(vec).alias("pos", "x")).groupBy("bin", "pos").agg(F.avg("x").alias("m"))
     wide = dims.toPandas().pivot(index="bin", columns="pos", values="m").to_numpy()
     return np.linalg.svd(wide - wide.mean(0), full_matrices=False)[2][:k].tolist()

@@ -55,10 +55,19 @@ def quantiles(rows: DataFrame, value: str, qs: tuple, by: tuple = (), weight: st
     return got.select(*by, "n", *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * part(q)).alias(f"q{i}") for i, q in enumerate(qs)])
 
 
+def finite(rows: DataFrame, *names: str) -> DataFrame:
+    """rows with a value in each of the columns: neither null nor, of a fraction type, NaN."""
+    for c in names:
+        rows = rows.where(F.col(c).isNotNull())
+        if rows.select(c).schema[0].dataType.typeName() in ("float", "double"):
+            rows = rows.where(~F.isnan(c))
+    return rows
+
+
 def auroc(rows: DataFrame, by: tuple = (), score: str = "score", label: str = "truth", weight: str | None = None) -> DataFrame:
-    """(by, auroc, n_pos, n_neg): tie-averaged; null where a class is missing. Null scores or labels are left out."""
+    """(by, auroc, n_pos, n_neg): tie-averaged; null where a class is missing. Null or NaN scores and null labels are left out."""
     w = F.col(weight) if weight else F.lit(1)
-    kept = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    kept = finite(rows, score, label)
     at = kept.groupBy(*by, F.col(score).cast("double").alias("_v")).agg(F.sum(F.when(F.col(label), w).otherwise(0)).alias("p"), F.sum(F.when(F.col(label), 0).otherwise(w)).alias("q"))
     got = running(at, by, "_v", ("q",)).groupBy(*by).agg(F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2.0)).alias("_u"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     return got.withColumn("auroc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_u") / (F.col("n_pos") * F.col("n_neg").cast("double")))).drop("_u")
@@ -73,7 +82,7 @@ def mid_ranks(rows: DataFrame, value: str, by: tuple = (), out: str = "rank") ->
 
 def spearman(rows: DataFrame, x: str, y: str, by: tuple = ()) -> DataFrame:
     """(by, rho, n): correlation of mid-ranks over pairwise complete rows; null below 3 rows."""
-    kept = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    kept = finite(rows, x, y).select(*by, x, y)
     ranked = mid_ranks(mid_ranks(kept, x, by, "_rx"), y, by, "_ry")
     return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n")).withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
 
@@ -89,7 +98,7 @@ def axis_agreement(rows: DataFrame, x: str, y: str, by: tuple = ()) -> DataFrame
 def cliffs_delta(rows: DataFrame, by: tuple, value: str, group: str) -> DataFrame:
     """(by, delta, z): group true against false, by ranks instead of pairs; z: the tie-corrected normal deviate of U."""
     got = auroc(rows, by, value, group)
-    ties = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*by, value).agg(F.count("*").cast("double").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    ties = finite(rows, value, group).groupBy(*by, value).agg(F.count("*").cast("double").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     both = got.join(ties, list(by)) if by else got.crossJoin(ties)
     n, m = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     var = n * m / 12 * (n + m + 1 - F.col("ties") / ((n + m) * (n + m - 1)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from probelens.functions.intervals import correlation_p
 from probelens.functions.scalars import gap_text, interval_text, short_model
+from probelens.operators.boot import interval, replicates
 from probelens.operators.ranks import auroc, quantiles, spearman
 
 
@@ -138,6 +139,41 @@ def mechanism(curves: DataFrame, recoverability: DataFrame, floor: float = 0.0,
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rec", "off").alias("r")).withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
+def layer_report(curves: DataFrame, heads: DataFrame, floor: float = 0.85, tol: float = 0.02) -> DataFrame:
+    """(model, probe, headline_layer, headline_in, headline_off, selected_layer, selected_off, n_tied, moved, powered).
+
+    headline: at the layer that heads(model, headline_layer) gives; selected: the layers within tol of the best in_dist,
+    by their median off. moved: selected less headline. powered: in_dist of the headline layer reaches floor. A model
+    without a headline layer has nulls there and is not powered. Layers without both AUROCs are left out.
+    """
+    known = curves.where("in_dist is not null and off is not null").select("model", "probe", "layer", "in_dist", "off")
+    selected = median_tied(known, tol).withColumnsRenamed({"median_off": "selected_off", "layer": "selected_layer"})
+    tied = tie_sets(known, (tol,)).select("model", "probe", "n_tied")
+    at = with_headline(known, heads).where(F.col("headline").isNotNull())
+    at = at.select("model", "probe", F.col("layer").alias("headline_layer"), F.col("in_dist").alias("headline_in"), F.col("off").alias("headline_off"))
+    got = selected.join(tied, ["model", "probe"]).join(at, ["model", "probe"], "left")
+    return got.select("model", "probe", "headline_layer", "headline_in", "headline_off", "selected_layer", "selected_off", "n_tied", (F.col("selected_off") - F.col("headline_off")).alias("moved"), F.coalesce(F.col("headline_in") >= floor, F.lit(False)).alias("powered"))
+
+
+def mechanism_by_probe(report: DataFrame, recoverability: DataFrame, n_boot: int = 1000, seed=0, least: int = 3) -> DataFrame:
+    """(probe, rule, subset, n, r, p, lo, hi, n_boot): does a model's recoverability still order off, by either layer rule?
+
+    report: of layer_report(); recoverability(name, rec) meets it by short name. rule: headline or selected; subset: all
+    models, or the powered ones. Intervals over draws of models; groups and draws with fewer than ``least`` models are left out.
+    """
+    keyed = recoverability.select(short_model(F.col("name")).alias("_m"), "rec")
+    sides = F.array(F.struct(F.lit("headline").alias("rule"), F.col("headline_off").alias("off")), F.struct(F.lit("selected").alias("rule"), F.col("selected_off").alias("off")))
+    subsets = F.when(F.col("powered"), F.array(F.lit("all"), F.lit("powered"))).otherwise(F.array(F.lit("all")))
+    rows = report.withColumn("_m", short_model(F.col("model"))).join(keyed, "_m").select("model", "probe", "rec", subsets.alias("_s"), F.explode(sides).alias("_o"))
+    rows = rows.select("model", "probe", "rec", F.explode("_s").alias("subset"), "_o.rule", "_o.off").where("off is not null and rec is not null")
+    by = ["probe", "rule", "subset"]
+    r = F.try_divide(F.covar_pop("rec", "off"), F.stddev_pop("rec") * F.stddev_pop("off")).alias("r")  # null where all are alike
+    point = rows.groupBy(*by).agg(F.count("*").alias("n"), r).where(F.col("n") >= least)
+    many = replicates(rows, n_boot, seed, "model").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("w"))))
+    drawn = many.groupBy(*by, "b").agg(r, F.count_distinct("model").alias("_d")).where(F.col("_d") >= least)
+    return point.withColumn("p", correlation_p(F.col("r"), F.col("n"))).join(interval(drawn, "r", tuple(by)), by, "left")
+
+
 def with_headline(curves: DataFrame, heads: DataFrame) -> DataFrame:
     """curves with headline: the off-diagonal AUROC at the model's headline layer, null at others and where it has none."""
     at = heads.select(F.col("model").alias("_m"), F.col("headline_layer").alias("_l"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probelens.functions.stage import shared_folder
-from probelens.operators import canaries, cells, causal, clusters, frames, gates, ladder, layers, layouts, probes, ranks
+from probelens.operators import canaries, cells, causal, clusters, fitted, frames, gates, ladder, layers, layouts, probes, ranks, reports
 from probelens.plans import registry
 from probelens.plans.registry import ACTS, ITEMS, r6, s6
 from probelens.plans.worlds import order_cells, order_items, statement_items, table, vector_acts
@@ -208,6 +208,55 @@ def _(s, d):
     return gates.verdict_of(_checked(s, d), with_canaries=True)
 
 
+# ---- erasure, and reports over layers
+
+
+@query("erasure_study")
+def _(s, d):
+    """Two layers of 32 dimensions, up to the twelve rounds of the protocol, against random and diagonal-only directions."""
+    v = vector_acts(s, d).groupBy("item_id", "truth", "typical", "cell", F.floor(F.col("layer") / 4).cast("int").alias("wide")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("layer", "vec"))), lambda b: b["vec"])).alias("vec"))  # four blocks
+    return fitted.erasure_study(v.withColumnRenamed("wide", "layer"), (4, 8, 12)).select("layer", "design", "k", *r6("on", "off", "read"))
+
+
+def layer_curves(s, d) -> DataFrame:
+    """Domains as models, price and date as probes, the month modulo 6 as layer."""
+    month = table(s, d, "orders").select(F.col("o_orderkey").alias("item_id"), (F.month("o_orderdate") % 6).alias("layer"), F.unix_date(F.col("o_orderdate").cast("date")).cast("double").alias("day"))
+    rows = order_cells(s, d).join(month, "item_id").withColumn("diag", F.col("cell").isin("TT", "FA"))
+    both = F.explode(F.array(F.struct(F.lit("price").alias("probe"), F.col("score").cast("double").alias("v")), F.struct(F.lit("date").alias("probe"), F.col("day").alias("v"))))
+    long = rows.select("domain", "layer", "diag", "truth", both.alias("_p")).select("domain", "layer", "diag", "truth", "_p.probe", F.col("_p.v").alias("score"))
+    side = lambda on: F.max(F.when(F.col("diag") == on, F.col("auroc")))
+    return ranks.auroc(long, ("domain", "probe", "layer", "diag")).groupBy(F.col("domain").alias("model"), "probe", "layer").agg(side(True).alias("in_dist"), side(False).alias("off"))
+
+
+def _report(s, d) -> DataFrame:
+    curves = layer_curves(s, d)
+    return reports.layer_report(curves, curves.select("model").distinct().withColumn("headline_layer", F.lit(3)), 0.5)
+
+
+_REPORT = f"""WITH {ITEMS}, long AS (SELECT domain, month(o_orderdate) % 6 AS layer, cell IN ('TT', 'FA') AS diag, truth, unnest(['price', 'date']) AS probe, unnest([score::DOUBLE, (o_orderdate::DATE - DATE '1970-01-01')::DOUBLE]) AS score FROM celled JOIN orders ON o_orderkey = item_id),
+cv AS (SELECT domain AS model, probe, layer::INT AS layer, max(auroc) FILTER (diag) AS in_dist, max(auroc) FILTER (NOT diag) AS off FROM {registry._auc('long', 'domain, probe, layer, diag')} GROUP BY ALL HAVING in_dist IS NOT NULL AND off IS NOT NULL),
+td AS (SELECT * FROM (SELECT *, max(in_dist) OVER (PARTITION BY model, probe) AS best FROM cv) WHERE in_dist >= best - 0.02 - 1e-12), md AS (SELECT model, probe, median(off) AS selected_off, count(*) AS n_tied FROM td GROUP BY ALL),
+sl AS (SELECT model, probe, selected_off, n_tied, arg_min(layer, (round(abs(off - selected_off), 12), layer)) AS selected_layer FROM td JOIN md USING (model, probe) GROUP BY ALL),
+rp AS (SELECT model, probe, layer AS headline_layer, in_dist AS headline_in, off AS headline_off, selected_layer, selected_off, n_tied, selected_off - off AS moved, coalesce(in_dist >= 0.5, false) AS powered FROM sl LEFT JOIN (SELECT * FROM cv WHERE layer = 3) USING (model, probe))"""
+
+
+@query("layer_report", f"{_REPORT} SELECT model, probe, headline_layer, {s6('headline_in', 'headline_in')}, {s6('headline_off', 'headline_off')}, selected_layer, {s6('selected_off', 'selected_off')}, n_tied, {s6('moved', 'moved')}, powered FROM rp")
+def _(s, d):
+    return _report(s, d).select("model", "probe", "headline_layer", *r6("headline_in", "headline_off"), "selected_layer", *r6("selected_off"), "n_tied", *r6("moved"), "powered")
+
+
+@query("mechanism_by_probe", f"""{_REPORT}, rc AS (SELECT domain AS model, auroc AS rec FROM {registry._auc('(SELECT * FROM celled WHERE truth)', 'domain', 'score', 'typical')}),
+lg AS (SELECT model, probe, powered, rec, unnest(['headline', 'selected']) AS rule, unnest([headline_off, selected_off]) AS off FROM rp JOIN rc USING (model)), ex AS (SELECT model, probe, rec, rule, off, unnest(CASE WHEN powered THEN ['all', 'powered'] ELSE ['all'] END) AS subset FROM lg WHERE off IS NOT NULL AND rec IS NOT NULL),
+pt AS (SELECT probe, rule, subset, count(*) AS n, corr(rec, off) AS r FROM ex GROUP BY ALL HAVING count(*) >= 3),
+bt AS (SELECT probe, rule, subset, b, corr(rec, off) AS r FROM (SELECT ex.*, b, unnest(range({registry._poisson("'0:' || b || ':' || model")})) AS k FROM ex, range(1, 1001) t(b)) GROUP BY ALL HAVING count(DISTINCT model) >= 3),
+ci AS (SELECT probe, rule, subset, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi, count(*) AS n_boot FROM bt WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY ALL)
+SELECT probe, rule, subset, n, {s6('r', 'r')}, {s6('lo', 'lo')}, {s6('hi', 'hi')}, n_boot FROM pt LEFT JOIN ci USING (probe, rule, subset)""")
+def _(s, d):
+    """Whether the frequency read of true items orders the domains' AUROC off the diagonal, by both layer rules."""
+    rec = ranks.auroc(order_cells(s, d).where("truth"), ("domain",), "score", "typical").select(F.concat(F.lit("Org/"), F.upper("domain")).alias("name"), F.col("auroc").alias("rec"))
+    return reports.mechanism_by_probe(_report(s, d), rec).select("probe", "rule", "subset", "n", *r6("r", "lo", "hi"), "n_boot")
+
+
 # ---- frames
 
 

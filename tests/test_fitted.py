@@ -91,3 +91,29 @@ def test_clopper_pearson(spark):
     assert abs(lo - 0.0320709) < 1e-6 and abs(hi - 0.3789268) < 1e-6 and intervals.binomial_limits(0, 0) == (0, 1)
     row = spark.createDataFrame([(3, 20)], "h int, n int").select(intervals.clopper_pearson(F.col("h"), F.col("n")).alias("c")).first()["c"]
     assert abs(row["lo"] - lo) < 1e-12
+
+
+def test_erasure_against_its_controls(spark):
+    rows = planted(spark, 600).unionByName(planted(spark, 600, seed=4).withColumn("layer", F.lit(1)))
+    more = rows.limit(2).withColumn("vec", F.lit(None).cast("array<double>")).unionByName(rows.limit(2).withColumn("cell", F.lit(None).cast("string")))
+    got = {(r["layer"], r["design"], r["k"]): r for r in fitted.erasure_study(rows.unionByName(more), (1, 3, 9)).collect()}
+    assert len(got) == 2 * (1 + 3 * 3)
+    for layer in range(2):
+        at = lambda design, k: got[layer, design, k]  # noqa: E731, B023
+        assert at("none", 0)["read"] > 0.9 and at("none", 0)["off"] < 0.5 < 0.9 < at("none", 0)["on"]  # follows typicality
+        assert at("label", 1)["read"] < 0.6 and at("label", 1)["off"] > 0.75  # truth comes through
+        assert at("random", 1)["read"] > 0.8  # a random direction leaves it
+        assert at("diagonal", 1)["off"] < at("label", 1)["off"] - 0.05  # takes truth with typicality
+        assert all(at(design, 9)[c] < 0.6 for design in ("label", "diagonal", "random") for c in ("read", "on", "off"))  # nothing is left
+    one = fitted.erase(rows.where("layer = 0"), 1, steps=4)
+    by_hand = ranks.auroc(fitted.fielded(one).where(~F.col("cell").isin("TT", "FA"))).first()["auroc"]
+    assert abs(by_hand - got[0, "label", 1]["off"]) < 1e-6
+
+
+def test_null_directions_are_orthonormal(spark):
+    rows = planted(spark, 300)
+    sent, joined = (fitted.without(rows, fitted.null_directions(rows, 3), numbers=n).orderBy("item_id").collect() for n in (18, None))
+    u = np.array(fitted.null_directions(rows, 9).first()["basis"])
+    assert u.shape == (6, 6) and np.allclose(u @ u.T, np.eye(6), atol=1e-9)
+    assert np.allclose([r["vec"] for r in sent], [r["vec"] for r in joined])
+    assert np.allclose(np.array([r["vec"] for r in sent]) @ u[:3].T, 0, atol=1e-9)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probelens.operators import assembled, audit, boot, causal, clusters, fitted, ladder, layers, ranks
+from probelens.operators import assembled, audit, boot, causal, clusters, fitted, ladder, layers, ranks, reports
 from probelens.sources import tensors
 
 
@@ -448,3 +448,45 @@ def test_three_verdicts(spark):
 def test_tap_layers_are_the_taps(spark):
     rows = spark.range(1, 60).select(F.col("id").cast("int").alias("n"))
     assert all(tuple(r["t"]) == assembled.taps(r["n"]) for r in rows.select("n", assembled.tap_layers(F.col("n")).alias("t")).collect())
+
+
+def test_missing_scores_are_neither_null_nor_nan(spark):
+    data = [(i, i % 2 == 0, float("nan") if i % 7 == 0 else None if i % 11 == 0 else float(i % 5)) for i in range(200)]
+    rows = spark.createDataFrame(data, "item_id long, truth boolean, score double")
+    kept = spark.createDataFrame([r for r in data if r[2] is not None and r[2] == r[2]], rows.schema)
+    for got, want in ((f(rows), f(kept)) for f in (ranks.auroc, lambda x: boot.auroc_ci(x, (), 50), lambda x: ranks.spearman(x, "score", "item_id"), lambda x: ranks.cliffs_delta(x, (), "score", "truth"))):
+        assert got.first() == want.first()
+
+
+def test_layer_report_and_mechanism(spark):
+    rng = np.random.default_rng(8)
+    models = [f"org/m{i}" for i in range(6)]
+    rec = {m: float(rng.random()) for m in models}
+    data = [(m, p, layer, float(rng.uniform(0.7, 1)), rec[m] + 0.1 * float(rng.random()) if p == "a" else float(rng.random())) for m in models for p in "ab" for layer in range(5)]
+    data += [("org/m0", "a", 9, None, 0.5), ("org/headless", "a", 0, 0.9, 0.4)]
+    curves = spark.createDataFrame(data, "model string, probe string, layer int, in_dist double, off double")
+    heads = spark.createDataFrame([(m, i % 5) for i, m in enumerate(models)], "model string, headline_layer int")
+    report = reports.layer_report(curves, heads, 0.85, 0.05)
+    got = {(r["model"], r["probe"]): r for r in report.collect()}
+    assert len(got) == 13
+    for (m, p), r in got.items():
+        own = [x for x in data if x[:2] == (m, p) and x[3] is not None]
+        best = max(x[3] for x in own)
+        tied = [x for x in own if x[3] >= best - 0.05 - 1e-12]
+        med = float(np.median([x[4] for x in tied]))
+        assert r["n_tied"] == len(tied) and abs(r["selected_off"] - med) < 1e-12
+        assert r["selected_layer"] == min((round(abs(x[4] - med), 12), x[2]) for x in tied)[1]
+        if m == "org/headless":
+            assert r["headline_off"] is None and r["moved"] is None and not r["powered"]
+        else:
+            head = next(x for x in own if x[2] == models.index(m) % 5)
+            assert (r["headline_layer"], r["headline_in"], r["headline_off"], r["powered"]) == (head[2], head[3], head[4], head[3] >= 0.85)
+    names = spark.createDataFrame([("other/" + m.split("/")[1].upper(), rec[m]) for m in models], "name string, rec double")
+    found = {(r["probe"], r["rule"], r["subset"]): r for r in reports.mechanism_by_probe(report, names, 200).collect()}
+    for (p, rule, subset), r in found.items():
+        own = [(rec[m], got[m, p][f"{rule}_off"]) for m in models if subset == "all" or got[m, p]["powered"]]
+        assert r["n"] == len(own) >= 3 and abs(r["r"] - np.corrcoef(*zip(*own))[0, 1]) < 1e-9 and r["lo"] <= r["hi"] and 0 < r["n_boot"] <= 200
+    assert {(p, rule, "all") for p in "ab" for rule in ("headline", "selected")} <= set(found)
+    assert {k for k in found if k[2] == "powered"} == {(p, rule, "powered") for p in "ab" for rule in ("headline", "selected") if sum(got[m, p]["powered"] for m in models) >= 3}
+    assert found["a", "headline", "all"]["r"] > 0.9
+    assert reports.mechanism_by_probe(report.where("false"), names, 20).count() == 0
