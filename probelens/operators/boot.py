@@ -9,6 +9,7 @@ many rows share is a bucket of its own and needs no order inside, so its rows ar
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probelens.functions.draws import POISSON, meet, poisson, uniform
+from probelens.functions.md5 import pair_heads
 from probelens.functions.stage import staged
 from probelens.operators.ranks import auroc, quantiles, spearman
 
@@ -29,7 +31,7 @@ def replicates(rows: DataFrame, n_boot: int, seed, unit: str) -> DataFrame:
 #: rows whose weights a task holds at once
 CHUNK = 1024
 #: rows of one value that a task gets
-SALTED = 65_536
+SALTED = 16_384
 
 
 def weights(units, n_boot: int, seed, draw: str = "md5") -> np.ndarray:
@@ -43,12 +45,10 @@ def weights(units, n_boot: int, seed, draw: str = "md5") -> np.ndarray:
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         h = ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
         return sum((h >= np.uint32(c * 2**32)).astype(np.uint8) for c in cuts)
-    heads = [f"{seed}:{b}:".encode() for b in range(1, n_boot + 1)]
-    md5, out = hashlib.md5, np.empty((len(units), n_boot), np.uint8)
-    for i, u in enumerate(units):
-        tail = str(u).encode()
-        h = np.frombuffer(b"".join([md5(x + tail).digest() for x in heads]), ">u4")[::4]
-        out[i] = np.searchsorted(cuts, (h + 0.5) / 4294967296.0, side="right")
+    h = pair_heads([f"{seed}:{b}:".encode() for b in range(1, n_boot + 1)], [str(u).encode() for u in units])
+    out = np.zeros(h.shape, np.uint8)
+    for c in POISSON:
+        out += h >= np.uint32(math.ceil(c * 2**32 - 0.5))  # (h + 0.5) / 2^32 >= c
     return out
 
 
@@ -64,33 +64,46 @@ def _dealt(rows: DataFrame, value: str, unit: str) -> DataFrame:
     return at.select(*rows.columns, (2 * F.col("_below") + (F.col("_same") > 1).cast("int")).alias("_b"), F.when(F.col("_same") > 1, salt).otherwise(F.lit(0)).cast("int").alias("_salt"))
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out by keys into as many parts as a shuffle has, however few bytes they are: a row costs n_boot draws."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 class _Pairs:
-    """Weights of the true (p), of the false (q), and pairs that the true win (u), added up value by value in rising order."""
+    """Weights of the true (p), of the false (q), and pairs that the true win (u), added up in rising order of value: one set
+    for each of ``sets`` weightings of the same rows."""
 
-    def __init__(self, *shape: int):
-        self.p, self.q, self.u, self.vp, self.vq = (np.zeros(shape) for _ in range(5))
+    def __init__(self, sets: int, n_boot: int):
+        self.p, self.q, self.twice, self.vp, self.vq = (np.zeros((sets, n_boot)) for _ in range(5))
         self.value = None
 
-    def add(self, values: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
-        """Distinct rising values, from the last one on, with their weights."""
-        if self.value is not None:
-            if values[0] == self.value:
-                pos[0] += self.vp
-                neg[0] += self.vq
-            else:
-                pos, neg = np.concatenate([self.vp[None], pos]), np.concatenate([self.vq[None], neg])
-        before = self.q + np.cumsum(neg[:-1], axis=0) - neg[:-1]
-        self.u += (pos[:-1] * (before + neg[:-1] / 2)).sum(0)
-        self.p += pos[:-1].sum(0)
-        self.q += neg[:-1].sum(0)
-        self.value, self.vp, self.vq = values[-1], pos[-1], neg[-1]
+    def add(self, x: np.ndarray, y: np.ndarray, drawn: list[np.ndarray]) -> None:
+        """Rows in rising order of x, from the last value on, with the weights of each set: at most some thousand rows."""
+        neg, pos = np.flatnonzero(~y), np.flatnonzero(y)
+        below, upto = np.searchsorted(x[neg], x[pos], "left"), np.searchsorted(x[neg], x[pos], "right")
+        tied, again = (below != upto).any(), self.value == x[0]
+        last_pos, last_neg = pos[x[pos] == x[-1]], neg[x[neg] == x[-1]]
+        first_pos, first_neg = (pos[x[pos] == x[0]], neg[x[neg] == x[0]]) if again else (pos[:0], neg[:0])
+        for i, w in enumerate(drawn):
+            of = lambda rows, w=w: w[rows].sum(0, dtype=np.int64)
+            q = np.zeros((len(neg) + 1, w.shape[1]), np.int32)
+            np.cumsum(w[neg], axis=0, out=q[1:])
+            won = q[below]
+            won += q[upto] if tied else won
+            won *= w[pos]
+            p = of(pos)
+            self.twice[i] += won.sum(0, dtype=np.int64) + 2 * p * self.q[i]
+            if again:  # pairs within the value that goes on
+                self.twice[i] += self.vp[i] * of(first_neg) - of(first_pos) * self.vq[i]
+            self.p[i] += p
+            self.q[i] += q[-1]
+            goes_on = again and x[0] == x[-1]
+            self.vp[i] = of(last_pos) + (self.vp[i] if goes_on else 0)
+            self.vq[i] = of(last_neg) + (self.vq[i] if goes_on else 0)
+        self.value = x[-1]
 
     def packed(self) -> tuple[bytes, bytes, bytes]:
-        return (self.p + self.vp).tobytes(), (self.q + self.vq).tobytes(), (self.u + self.vp * (self.q + self.vq / 2)).tobytes()
-
-
-def _sums(w: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(w, first, axis=0, dtype=float)
+        return self.p.tobytes(), self.q.tobytes(), (self.twice / 2).tobytes()
 
 
 def _whole(pdf: pd.DataFrame, shape: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,12 +130,10 @@ def auroc_replicates(rows: DataFrame, by: tuple, n_boot: int, seed, unit: str, s
     kept = rows.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("boolean").alias("_y"), F.col(unit).cast("string").alias("_u")).dropna(subset=["_s", "_y", "_u"])  # NaN too
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, pdf, got = pdf.iloc[0], pdf.sort_values("_s", kind="stable"), _Pairs(n_boot)
+        key, pdf, got = pdf.iloc[0], pdf.sort_values("_s", kind="stable"), _Pairs(1, n_boot)
         for a in range(0, len(pdf), CHUNK):
             part = pdf.iloc[a : a + CHUNK]
-            w, x, y = weights(part["_u"], n_boot, seed, draw), part["_s"].to_numpy(), part["_y"].to_numpy(bool)[:, None]
-            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-            got.add(x[first], _sums(np.where(y, w, 0), first), _sums(np.where(y, 0, w), first))
+            got.add(part["_s"].to_numpy(), part["_y"].to_numpy(bool), [weights(part["_u"], n_boot, seed, draw)])
         return pd.DataFrame(_keyed(key, by, int(key["_b"]), *got.packed()), columns=[*by, "_b", "p", "q", "u"])
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -133,7 +144,7 @@ def auroc_replicates(rows: DataFrame, by: tuple, n_boot: int, seed, unit: str, s
             out.insert(0, c, [pdf[c].iloc[0]] * len(out))
         return out
 
-    sums = _dealt(kept, "_s", "_u").groupBy(*by, "_b", "_salt").applyInPandas(bucket, _head(kept, by) + "_b int, p binary, q binary, u binary")
+    sums = _spread(_dealt(kept, "_s", "_u"), *by, "_b", "_salt").groupBy(*by, "_b", "_salt").applyInPandas(bucket, _head(kept, by) + "_b int, p binary, q binary, u binary")
     return sums.groupBy(*by).applyInPandas(joined, _head(kept, by) + "b int, auroc double")
 
 
@@ -261,11 +272,11 @@ def _replicate_edges(kept: DataFrame, qs: tuple, by: tuple, n_boot: int, seed, d
         whole = sum(np.frombuffer(x, np.int64) for x in pdf["w"]).astype(float)
         return pd.DataFrame(_keyed(pdf.iloc[0], by, None, whole.tobytes()), columns=[*by, "slots", "found"])
 
-    sums = staged(dealt.groupBy(*by, "_b", "_salt").applyInPandas(total, head + "_b int, _t double, w binary"), "sums")
+    sums = staged(_spread(dealt, *by, "_b", "_salt").groupBy(*by, "_b", "_salt").applyInPandas(total, head + "_b int, _t double, w binary"), "sums")
     need = staged(sums.groupBy(*by).applyInPandas(asked, head + "_b int, slots binary, ranks binary, found binary"), "need")
     pair = head + "slots binary, found binary"
     open_ = need.where("found is null")
-    looked = dealt.where("_b % 2 = 0").groupBy(*by, "_b").cogroup(open_.groupBy(*by, "_b")).applyInPandas(found, pair)
+    looked = _spread(dealt.where("_b % 2 = 0"), *by, "_b").groupBy(*by, "_b").cogroup(_spread(open_, *by, "_b").groupBy(*by, "_b")).applyInPandas(found, pair)
     every = looked.unionByName(need.where("found is not null").select(*by, "slots", "found")).unionByName(sums.groupBy(*by).applyInPandas(size, pair))
     return every.groupBy(*by).applyInPandas(edges, head + "edges binary")
 
@@ -280,13 +291,13 @@ def stratified_replicates(kept: DataFrame, n_bands: int, least: int, by: tuple,
     def bucket(rows: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
         key, rows, got = rows.iloc[0], rows.sort_values("_s", kind="stable"), _Pairs(n_bands + 1, n_boot)
         e = np.frombuffer(cut["edges"].iloc[0]).reshape(n_bands - 1, n_boot)
-        for a in range(0, len(rows), CHUNK // 4):
-            part = rows.iloc[a : a + CHUNK // 4]
-            w, x, y = weights(part["_u"], n_boot, seed, draw), part["_s"].to_numpy(), part["_y"].to_numpy(bool)[:, None]
-            band = sum((part["_t"].to_numpy()[:, None] >= one).astype(np.int8) for one in e) if n_bands > 1 else np.zeros(w.shape, np.int8)
-            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-            inside = [np.where(band == k, w, 0) for k in range(n_bands)] + [w]
-            got.add(x[first], np.stack([_sums(np.where(y, v, 0), first) for v in inside], 1), np.stack([_sums(np.where(y, 0, v), first) for v in inside], 1))
+        for a in range(0, len(rows), CHUNK):
+            part = rows.iloc[a : a + CHUNK]
+            w, t = weights(part["_u"], n_boot, seed, draw), part["_t"].to_numpy()[:, None]
+            band = np.zeros(w.shape, np.uint8)
+            for one in e:
+                band += t >= one
+            got.add(part["_s"].to_numpy(), part["_y"].to_numpy(bool), [w * (band == k) for k in range(n_bands)] + [w])
         return pd.DataFrame(_keyed(key, by, int(key["_b"]), *got.packed()), columns=[*by, "_b", "p", "q", "u"])
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -305,7 +316,7 @@ def stratified_replicates(kept: DataFrame, n_bands: int, least: int, by: tuple,
         return out
 
     keys = (*by, "_b", "_salt")
-    sums = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(bucket, head + "_b int, p binary, q binary, u binary")
+    sums = _spread(dealt, *keys).groupBy(*keys).cogroup(_spread(sent, *keys).groupBy(*keys)).applyInPandas(bucket, head + "_b int, p binary, q binary, u binary")
     return sums.groupBy(*by).applyInPandas(joined, head + "b int, gap double")
 
 

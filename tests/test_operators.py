@@ -102,3 +102,26 @@ def test_registry_has_sql_for_every_query_but_fits():
 
     without = {"out_of_fold_probe", "fielded_probe", "cross_fitted_probe", "fit_stability", "erasure_probe", "eigen_score", "discordance_interval"}
     assert set(registry.SQL) == set(registry.QUERIES) - without and without <= set(registry.QUERIES)
+
+
+def test_md5_of_many_is_md5():
+    import hashlib
+
+    from probelens.functions import md5
+
+    one = lambda t: int.from_bytes(hashlib.md5(t).digest()[:4])
+    before = [f"{s}:{b}:".encode() for s in ("0", "seed") for b in (1, 9, 10, 999, 1000)] + [b""]
+    after = [u.encode() for u in ("", "7", "12345", "é:x", "a" * 46, "a" * 47, "b" * 60)]
+    assert md5.pair_heads(before, after).tolist() == [[one(x + u) for x in before] for u in after]
+    assert md5.heads(np.frombuffer(b"abcdefgh", np.uint8).reshape(2, 4)).tolist() == [one(b"abcd"), one(b"efgh")]
+
+
+def test_replicates_are_dealt_out_however_small_the_rows(spark):
+    rows = spark.createDataFrame([(i, float(i % 37), i % 3 == 0) for i in range(400)], "item_id long, score double, truth boolean")
+    reps = boot.auroc_replicates(rows, (), 20, 0, "item_id", "score", "truth")
+    assert "REPARTITION_BY_NUM" in reps._jdf.queryExecution().executedPlan().toString()
+    w = boot.weights([str(i) for i in range(400)], 20, 0)
+    x, y = np.arange(400) % 37, np.arange(400) % 3 == 0
+    wins = (x[y][:, None] > x[~y]) + (x[y][:, None] == x[~y]) / 2
+    want = [float(p @ wins @ q / (p.sum() * q.sum())) for p, q in zip(w[y].T.astype(float), w[~y].T.astype(float))]
+    assert np.allclose([r["auroc"] for r in reps.orderBy("b").collect()], want)
