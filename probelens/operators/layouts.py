@@ -7,12 +7,15 @@ a probe from this registry or from any module by ``module:attribute``.
 from __future__ import annotations
 
 import importlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelens.functions.draws import h32
+from probelens.functions.md5 import BLOCK, heads
 from probelens.functions.scalars import diagonal
 from probelens.functions.stage import staged
 from probelens.operators import assembled, joins
@@ -93,6 +96,7 @@ def prepared(kind: Kind, acts: DataFrame, layer: int | None = None, negated: Dat
 def swept(names: tuple, acts: DataFrame, negated: DataFrame | None = None, layers: tuple | None = None, key: str = "item_id", model: str = "vectors") -> DataFrame:
     """(model, probe, layer, item, cell, truth, score) of each kind at each layer, learnt on the diagonal; layer is null for
     kinds that read several. Kinds that lack what they need are an error, never left out."""
+    acts, negated = staged(acts, "acts"), negated if negated is None else staged(negated, "negated")  # each probe reads them
     out = None
     for kind in map(loaded, names):
         for layer in (None,) if kind.taps else layers or (None,):
@@ -104,15 +108,64 @@ def swept(names: tuple, acts: DataFrame, negated: DataFrame | None = None, layer
 
 def text_vectors(rows: DataFrame, text: str = "text", dimensions: int = 16, layers: int = 4) -> DataFrame:
     """rows without text, with layer and vec: signed counts of a text's hashed runs of layer + 1 words, over the square root of
-    their number. Stands in for activations where there is no model; a text without words is a vector of zeros."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - n + 1)), lambda i: h32("vec", F.array_join(F.slice("_w", i, n), " ")))
-    grams = F.array(*[F.when(F.size("_w") > 0, runs(n)).otherwise(F.array().cast("array<bigint>")) for n in range(1, layers + 1)])
-    rest = [c for c in rows.columns if c != text]
-    each = rows.withColumn("_w", words).select(*rest, F.posexplode(grams).alias("layer", "_h"))
+    their number. Stands in for activations where there is no model; a text without words is a vector of zeros.
+
+    A run is hashed once, as a slice of its text's bytes, whatever the dimensions."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+", " "))
 
-    def part(j: Column) -> Column:
-        signed = F.aggregate("_h", F.lit(0.0), lambda a, h: a + F.when(h % dimensions == j, 1.0 - 2.0 * (F.floor(h / 65536) % 2)).otherwise(0.0))
-        return signed / F.sqrt(F.greatest(F.size("_h"), F.lit(1)))
+    @F.pandas_udf("array<array<double>>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(_vectors(texts.tolist(), dimensions, layers)), dtype=object)
 
-    return each.select(*rest, F.col("layer").cast("int").alias("layer"), F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), part).alias("vec"))
+    rest = [c for c in rows.columns if c != text]
+    each = rows.select(*rest, vectors(plain).alias("_v"))
+    # numbers are exploded, not vectors, so that a filter on them is not one on the function, which then ran twice
+    each = each.select(*rest, "_v", F.explode(F.array(*[F.lit(i) for i in range(layers)])).alias("layer"))
+    return each.select(*rest, "layer", F.get("_v", "layer").alias("vec"))
+
+
+#: bytes of texts whose runs are hashed at once
+TEXTS = 1 << 18
+
+
+def _vectors(texts: list[str], dimensions: int, layers: int) -> Iterator[list[np.ndarray]]:
+    """For each text of single-spaced words its vector of every layer."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t.encode())
+        size += len(part[-1])
+        if size >= TEXTS:
+            yield from _hashed(part, dimensions, layers)
+            part, size = [], 0
+    if part:
+        yield from _hashed(part, dimensions, layers)
+
+
+def _hashed(texts: list[bytes], dimensions: int, layers: int) -> Iterator[list[np.ndarray]]:
+    line = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    ends = np.flatnonzero(line == 32)  # each closes a word; an empty text is a word of no bytes
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    counts = np.array([t.count(b" ") + 1 for t in texts])
+    first = np.cumsum(counts) - counts
+    counts = np.where([bool(t) for t in texts], counts, 0)
+    out = np.zeros((layers, len(texts), dimensions))
+    for layer in range(layers):
+        runs = np.where(counts > 0, np.maximum(1, counts - layer), 0)
+        of = np.repeat(np.arange(len(texts)), runs)
+        begin = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)
+        last = np.minimum(begin + layer, (first + counts - 1)[of])
+        a, b = starts[begin], ends[last]
+        h = np.empty(len(of), np.int64)
+        for n in np.unique(b - a):
+            here = np.flatnonzero(b - a == n)
+            for c in range(0, len(here), BLOCK):
+                some = here[c : c + BLOCK]
+                said = np.empty((len(some), 4 + n), np.uint8)
+                said[:, :4] = np.frombuffer(b"vec:", np.uint8)
+                said[:, 4:] = line[a[some, None] + np.arange(n)]
+                h[some] = heads(said)
+        signs = 1.0 - 2.0 * ((h >> 16) & 1)
+        sums = np.bincount(of * dimensions + h % dimensions, signs, len(texts) * dimensions).reshape(-1, dimensions)
+        out[layer] = sums / np.sqrt(np.maximum(runs, 1))[:, None]
+    for i in range(len(texts)):
+        yield list(out[:, i])

@@ -166,7 +166,7 @@ g AS (SELECT doc_id, layer, unnest(list_transform(range(1, greatest(1, len(ws) -
 h AS (SELECT doc_id, layer, {_HASHED} AS h FROM g), n AS (SELECT doc_id, layer, count(*) AS n FROM h GROUP BY ALL), c AS (SELECT doc_id, layer, h % 16 AS j, sum(1.0::DOUBLE - 2 * ((h // 65536) % 2)) AS c FROM h GROUP BY ALL)
 SELECT doc_id, layer, {s6('sum(c / sqrt(n) * (j + 1))', 'x')}, {s6('sum(c * c / n)', 'length') } FROM c JOIN n USING (doc_id, layer) GROUP BY ALL""")
 def _(s, d):
-    rows = table(s, d, "documents").select("doc_id", "text").where(F.exists(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
+    rows = table(s, d, "documents").select("doc_id", "text").where(F.lower("text").rlike("[a-z0-9]"))
     got = layouts.text_vectors(rows, layers=2)
     x = F.aggregate(F.transform("vec", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     return got.select("doc_id", "layer", x.alias("x"), F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v).alias("length")).select("doc_id", "layer", *r6("x", "length"))

@@ -490,3 +490,22 @@ def test_layer_report_and_mechanism(spark):
     assert {k for k in found if k[2] == "powered"} == {(p, rule, "powered") for p in "ab" for rule in ("headline", "selected") if sum(got[m, p]["powered"] for m in models) >= 3}
     assert found["a", "headline", "all"]["r"] > 0.9
     assert reports.mechanism_by_probe(report.where("false"), names, 20).count() == 0
+
+
+def test_text_vectors_hash_each_run_once(spark):
+    import hashlib
+
+    from probelens.operators import layouts
+
+    texts = ["", "  ", None, "a", "Hello, World", "x y", "one two three four five six", "w" * 80 + " q"]
+    got = layouts.text_vectors(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), dimensions=4, layers=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "h32" not in plan and "md5" not in plan
+    for r in got.collect():
+        words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in (texts[r["id"]] or "").lower()).split()]
+        runs = [" ".join(words[i : i + r["layer"] + 1]) for i in range(max(1, len(words) - r["layer"]))] if words else []
+        want = np.zeros(4)
+        for t in runs:
+            h = int.from_bytes(hashlib.md5(b"vec:" + t.encode()).digest()[:4])
+            want[h % 4] += 1 - 2 * (h >> 16 & 1)
+        assert np.allclose(r["vec"], want / np.sqrt(max(1, len(runs))))
