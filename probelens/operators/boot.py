@@ -32,6 +32,8 @@ def replicates(rows: DataFrame, n_boot: int, seed, unit: str) -> DataFrame:
 CHUNK = 1024
 #: rows of one value that a task gets
 SALTED = 16_384
+#: rows of a group that a bucket has at least, on average
+FILLED = 512
 
 
 def weights(units, n_boot: int, seed, draw: str = "md5") -> np.ndarray:
@@ -52,15 +54,20 @@ def weights(units, n_boot: int, seed, draw: str = "md5") -> np.ndarray:
     return out
 
 
-def _dealt(rows: DataFrame, value: str, unit: str) -> DataFrame:
+def _dealt(rows: DataFrame, value: str, unit: str, by: tuple = ()) -> DataFrame:
     """rows with _b, _salt: buckets in the order of value. A value that has a bucket's share of the rows is a bucket of its
-    own, an odd number, whose rows are dealt further by unit; others hold about as many rows each."""
+    own, an odd number, whose rows are dealt further by unit; others hold about as many rows each.
+
+    There are only as many buckets as leave a group FILLED rows in each, since a bucket leaves its replicates' numbers."""
     n = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.agg(F.percentile_approx(value, F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000).alias("_c"), F.count("*").alias("_n"))  # one row of n - 1 numbers
+    groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
+    every = F.least(F.lit(n), F.ceil(F.lit(n * FILLED) * groups / F.greatest(F.count("*"), F.lit(1))))  # cuts of which one is kept
+    bounds = rows.agg(F.percentile_approx(value, F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000).alias("_c"), every.cast("long").alias("_every"), F.count("*").alias("_n"))  # one row of n - 1 numbers
+    bounds = bounds.withColumn("_c", F.filter("_c", lambda c, i: (i + 1) % F.col("_every") == 0))
     at = rows.crossJoin(F.broadcast(bounds))
     below, same = F.size(F.filter("_c", lambda c: c < F.col(value))), F.size(F.filter("_c", lambda c: c == F.col(value)))
     at = at.withColumns({"_below": F.coalesce(below, F.lit(0)), "_same": F.coalesce(same, F.lit(0))})
-    salt = F.pmod(F.xxhash64(unit), F.ceil(F.col("_same") / n * F.col("_n") / SALTED).cast("long"))
+    salt = F.pmod(F.xxhash64(unit), F.ceil(F.col("_same") * F.col("_every") / n * F.col("_n") / SALTED).cast("long"))
     return at.select(*rows.columns, (2 * F.col("_below") + (F.col("_same") > 1).cast("int")).alias("_b"), F.when(F.col("_same") > 1, salt).otherwise(F.lit(0)).cast("int").alias("_salt"))
 
 
@@ -144,7 +151,7 @@ def auroc_replicates(rows: DataFrame, by: tuple, n_boot: int, seed, unit: str, s
             out.insert(0, c, [pdf[c].iloc[0]] * len(out))
         return out
 
-    sums = _spread(_dealt(kept, "_s", "_u"), *by, "_b", "_salt").groupBy(*by, "_b", "_salt").applyInPandas(bucket, _head(kept, by) + "_b int, p binary, q binary, u binary")
+    sums = _spread(_dealt(kept, "_s", "_u", by), *by, "_b", "_salt").groupBy(*by, "_b", "_salt").applyInPandas(bucket, _head(kept, by) + "_b int, p binary, q binary, u binary")
     return sums.groupBy(*by).applyInPandas(joined, _head(kept, by) + "b int, auroc double")
 
 
@@ -217,7 +224,7 @@ def _replicate_edges(kept: DataFrame, qs: tuple, by: tuple, n_boot: int, seed, d
     Buckets of values add up their rows' weights; their running sums tell in which bucket a rank of a replicate lies, and
     only there the rows are looked at again.
     """
-    dealt, head, n = _dealt(kept, "_t", "_u"), _head(kept, by), len(qs)
+    dealt, head, n = _dealt(kept, "_t", "_u", by), _head(kept, by), len(qs)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         key, w = pdf.iloc[0], np.zeros(n_boot, np.int64)
@@ -284,7 +291,7 @@ def _replicate_edges(kept: DataFrame, qs: tuple, by: tuple, n_boot: int, seed, d
 def stratified_replicates(kept: DataFrame, n_bands: int, least: int, by: tuple, n_boot: int, seed, draw: str) -> DataFrame:
     """(by, b, gap) of rows (by, _u, _s, _y, _t): pooled AUROC less that within bands, whose edges each replicate draws anew."""
     edges = staged(_replicate_edges(kept, tuple(i / n_bands for i in range(1, n_bands)), by, n_boot, seed, draw), "edges")
-    dealt, head = _dealt(kept, "_s", "_u"), _head(kept, by)
+    dealt, head = _dealt(kept, "_s", "_u", by), _head(kept, by)
     where = staged(dealt.select(*by, "_b", "_salt").distinct(), "buckets")
     sent = meet(where, edges, by)  # the edges of a group for each of its buckets
 

@@ -152,9 +152,11 @@ def logistic_by_gradients(train: DataFrame, by: tuple = ("layer",), label: str =
 
 
 def with_scores(rows: DataFrame, models: DataFrame, by: tuple = ("layer",), vec: str = "vec", out: str = "score") -> DataFrame:
-    """rows with the probability under their group's model; rows of a group without one go."""
+    """rows with the probability under their group's model; rows of a group without one go. Models, which the driver has
+    held, are sent to the rows: a shuffle by group would bring all of a group's rows to one task."""
     n = F.size("weights")
     score = sigmoid(dot(F.col(vec).cast("array<double>"), F.slice("weights", 1, n - 1)) + F.element_at("weights", n))
+    models = F.broadcast(models)
     joined = rows.join(models, list(by)) if by else rows.crossJoin(models)  # one model
     return joined.withColumn(out, score).drop("weights")
 
@@ -185,7 +187,7 @@ def fielded(rows: DataFrame, by: tuple = ("layer",), k: int = 5, seed=0, key: st
     one = F.transform("_m", lambda m: F.struct(m["fold"].alias("fold"), sigmoid(dot(x, F.slice(m["weights"], 1, n - 1)) + F.element_at(m["weights"], n)).alias("p")))
     kept = F.filter("_p", lambda p: ~F.col("_diag") | (p["fold"] == F.col("fold")))
     mean = F.aggregate(kept, F.lit(0.0), lambda a, p: a + p["p"]) / F.size(kept)
-    return rows.join(every, list(by)).withColumn("_p", one).withColumn("score", mean).drop("_m", "_p", "_diag")
+    return rows.join(F.broadcast(every), list(by)).withColumn("_p", one).withColumn("score", mean).drop("_m", "_p", "_diag")
 
 
 def cross_fitted(rows: DataFrame, by: tuple = ("layer",), k: int = 5, seed=0, key: str = "item_id", typicality: str = "logf", half: str | None = None, **options) -> DataFrame:
@@ -293,7 +295,7 @@ def erasure_study(rows: DataFrame, ks: tuple = (4, 8, 12, 16, 24), by: tuple = (
     nested = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("basis", F.slice("basis", F.lit(1), F.col("k")))
     bases = staged(nested.unionByName(groups.select(*by, F.lit("none").alias("design"), F.slice(F.array(F.array(F.lit(0.0))), 1, 0).alias("basis"), F.lit(0).alias("k"))), "bases")
     keys = (*by, "design", "k")
-    cut = staged(meet(rows, bases, by).withColumn("vec", off_subspace(F.col("vec"), F.col("basis"))).drop("basis"), "erased")
+    cut = staged(meet(rows, F.broadcast(bases), by).withColumn("vec", off_subspace(F.col("vec"), F.col("basis"))).drop("basis"), "erased")
     sides = auroc(fielded(cut, keys, seed=seed, key=key, **options).withColumn("_on", diag), (*keys, "_on"))
     side = lambda on: F.max(F.when(F.col("_on") == on, F.col("auroc")))
     both = sides.groupBy(*keys).agg(side(True).alias("on"), side(False).alias("off"))
@@ -347,22 +349,27 @@ def eigen_scores(samples: DataFrame, by: tuple = ("item_id",), vec: str = "vec",
             code, _ = pd.factorize(pd.MultiIndex.from_frame(pdf[list(by)])) if len(by) > 1 else pd.factorize(pdf[by[0]], use_na_sentinel=False)
             order = np.argsort(code, kind="stable")
             first = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) > 0))) if len(pdf) else np.zeros(0, int)
-            out = []
+            sums = []
             for a, b in zip(first, np.append(first[1:], len(pdf))):
                 z = x[order[a:b]]
-                key = pdf.iloc[order[a]]
-                out.append((*[key[c] for c in by], salt, np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()]).tobytes()))
-            yield pd.DataFrame(out, columns=[*by, "salt", "sums"])
+                sums.append(np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()]).tobytes())
+            yield pdf[list(by)].iloc[order[first]].assign(salt=salt, sums=sums)
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.sum([np.frombuffer(b) for b in pdf["sums"]], axis=0)
-        k, d = int(s[0]), int((np.sqrt(4 * len(s) - 3) - 1) / 2)
-        value = None
-        if k > 1:
-            m = s[1 : d + 1] / k
-            lam = np.linalg.eigvalsh(s[d + 1 :].reshape(d, d) / k - np.outer(m, m)).clip(0)[::-1]
-            lam = np.concatenate([lam[:k], np.zeros(max(0, k - d))])
-            value = float(np.log(lam + alpha).mean())
-        return pdf[list(by)].iloc[:1].assign(k=[k], score=[value])
-
-    return rows.mapInPandas(partial, head + "salt int, sums binary").groupBy(*by).applyInPandas(score, head + "k long, score double")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Items by the thousand: their matrices are solved together."""
+        for pdf in batches:
+            sums = [np.sum([np.frombuffer(b) for b in parts], axis=0) for parts in pdf["sums"]]
+            ks, values = np.array([int(s[0]) for s in sums], np.int64), np.full(len(sums), None, object)
+            for size in {len(s) for s in sums}:
+                at = np.array([i for i, s in enumerate(sums) if len(s) == size and ks[i] > 1], int)
+                if not len(at):
+                    continue
+                s, d = np.stack([sums[i] for i in at]), int((np.sqrt(4 * size - 3) - 1) / 2)
+                k, m = s[:, 0], s[:, 1 : d + 1] / s[:, :1]
+                lam = np.linalg.eigvalsh(s[:, d + 1 :].reshape(-1, d, d) / k[:, None, None] - m[:, :, None] * m[:, None]).clip(0)[:, ::-1]
+                own = np.where(np.arange(d) < k[:, None], np.log(lam + alpha), 0).sum(1) + np.maximum(0, k - d) * np.log(alpha)
+                values[at] = own / k
+            yield pdf[list(by)].assign(k=ks, score=pd.Series(values, pdf.index).astype("float64"))
+
+    parts = rows.mapInPandas(partial, head + "salt int, sums binary").groupBy(*by).agg(F.collect_list("sums").alias("sums"))  # as many as parts of the samples
+    return parts.mapInPandas(score, head + "k long, score double").withColumn("score", F.nanvl("score", F.lit(None).cast("double")))

@@ -71,7 +71,7 @@ def design_scores(rows: DataFrame, fit, by: tuple = ("layer",), folds: int = 5)
     sets = models.groupBy(*by).agg(F.collect_list(F.struct("model", "weights")).alias("_m"))  # 2 folds + 1 models
     x = F.col("vec").cast("array<double>")
     response = lambda w: sigmoid(dot(x, F.slice(w, 1, F.size(w) - 1)) + F.element_at(w, F.size(w)))
-    scored = meet(rows, sets, by).withColumn("_p", F.transform("_m", lambda m: F.struct(m["model"].alias("model"), response(m["weights"]).alias("p"))))
+    scored = meet(rows, F.broadcast(sets), by).withColumn("_p", F.transform("_m", lambda m: F.struct(m["model"].alias("model"), response(m["weights"]).alias("p"))))
     mean = lambda keep: F.aggregate(F.filter("_p", keep), F.lit(0.0), lambda a, p: a + p["p"]) / F.nullif(F.size(F.filter("_p", keep)), F.lit(0))
     own = F.col("fold").cast("string")
     designs = {
