@@ -569,8 +569,10 @@ def _(s, d):
 
 @query("crossed_corpus")
 def _(s, d):
-    rows = statements(s, d)
-    words = table(s, d, "part").select(F.explode(F.array("p_name", "p_type")).alias("entity"))
+    """Parts by name and number: the few names alone leave, from some thousand parts on, no sentence that isn't true of one."""
+    name = F.concat_ws(" ", "p_name", "p_partkey")
+    rows = statements(s, d).withColumn("statement", F.coalesce(text.instantiate(F.col("topic"), name, F.col("p_type")), "statement"))
+    words = table(s, d, "part").select(F.explode(F.array(name, "p_type")).alias("entity"))
     freq = cells.entity_frequency(words, "entity")
     return corpora.crossed_corpus(corpora.swap_candidates(rows), freq, least=2).select("text", "truth", "edited", "cell", "domain")
 

@@ -509,3 +509,20 @@ def test_text_vectors_hash_each_run_once(spark):
             h = int.from_bytes(hashlib.md5(b"vec:" + t.encode()).digest()[:4])
             want[h % 4] += 1 - 2 * (h >> 16 & 1)
         assert np.allclose(r["vec"], want / np.sqrt(max(1, len(runs))))
+
+
+def test_crossed_corpus_of_parts_that_share_names(spark, tmp_path):
+    from probelens.plans import audits
+
+    parts = [(i, ["hot gizmo", "red bolt"][i // 7 % 2], ["STEEL", "TIN", "BRASS"][i // 14 % 3]) for i in range(4000)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = audits.QUERIES["crossed_corpus"](spark, str(tmp_path)).groupBy("domain", "cell", "edited").count().collect()
+    assert len(got) == 8 * len({r["domain"] for r in got}) and len({(r["domain"], r["count"]) for r in got}) == len({r["domain"] for r in got}) > 0
+
+
+def test_small_groups_have_few_buckets_and_models_are_sent(spark):
+    rows = spark.range(2000).selectExpr("cast(id as string) _u", "id % 40 g", "double(hash(id)) _s", "id % 3 = 0 _y")
+    assert boot._dealt(rows, "_s", "_u", ("g",)).select("g", "_b").distinct().count() <= 3 * 40
+    models = spark.createDataFrame([(0, [1.0, 0.0])], "layer int, weights array<double>")
+    acts = spark.createDataFrame([(0, [2.0])] * 5, "layer int, vec array<double>")
+    assert "hashpartitioning" not in fitted.with_scores(acts, models)._jdf.queryExecution().executedPlan().toString()
