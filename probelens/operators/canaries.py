@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelens.functions.draws import meet, placed
+from probelens.functions.stage import staged
 from probelens.functions.text import count_features
 from probelens.operators.assembled import logistic_probe
 from probelens.operators.gates import canary, composition_canary
@@ -55,7 +56,7 @@ def text_visible(items: DataFrame, field: str, text: str = "text", threshold: fl
     sizes = rows.groupBy("value").agg(F.count("*").alias("n")).collect()  # a row for each value of a categorical field
     if len(sizes) < 2 or min(r["n"] for r in sizes) < 2:
         return {"visible": None, "accuracy": None, "majority": None}
-    train, rest = split(rows, 0.7, seed, key, ("value",))
+    train, rest = (staged(part, "grams") for part in split(rows, 0.7, seed, key, ("value",)))  # every stage reads them
     stages = []
     for stage in (StringIndexer(inputCol="value", outputCol="label"), CountVectorizer(inputCol="grams", outputCol="counts", minDF=2, vocabSize=20_000), IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="features")):
         stages.append(stage.fit(train) if hasattr(stage, "fit") else stage)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelens.functions.stage import shared_folder
+from probelens.functions.stage import shared_folder, staged
 from probelens.operators import canaries, cells, causal, clusters, fitted, frames, gates, ladder, layers, layouts, probes, ranks, reports
 from probelens.plans import registry
 from probelens.plans.registry import ACTS, ITEMS, r6, s6
@@ -192,7 +192,7 @@ def _(s, d):
 
 def _checked(s, d) -> DataFrame:
     """All gates over statements: six of the corpus, and canaries on their vectors and on how they fall into pieces."""
-    items = cells.balanced(statement_items(s, d))
+    items = staged(cells.balanced(statement_items(s, d)), "items")  # every gate reads them
     acts = layouts.text_vectors(items.select("item_id", "edited", "text")).where("layer = 1").drop("layer")
     more = [canaries.edit_canary(acts), canaries.fragmentation_canary(items.select("item_id", "truth", "text", F.col("subject").alias("entity")))]
     return gates.corpus_audit(items, {"domain": canaries.text_visible(items, "domain")["visible"], "edited": canaries.text_visible(items, "edited")["visible"]}, more=more)
