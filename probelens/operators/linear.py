@@ -74,12 +74,19 @@ def _line(sums: DataFrame) -> DataFrame:
 
 
 def hinge(points: DataFrame, by: tuple = (), x: str = "x", y: str = "y", low: float = 0.05, high: float = 0.945, step: float = 0.005, weight: str | None = None) -> DataFrame:
-    """y = floor + slope max(0, x - knee) over a grid of knees: (by, n, knee, floor, slope, sse), the first knee of the least sse."""
+    """y = floor + slope max(0, x - knee) over a grid of knees: (by, n, knee, floor, slope, sse), the first knee of the least sse.
+
+    Knees below every x are all one line, knees with a single x above them all one step: of either kind the first stands
+    for the rest, which differ from it by the rounding of sums alone.
+    """
     grid = F.transform(F.sequence(F.lit(0), F.lit(round((high - low) / step))), lambda i: F.lit(low) + i * F.lit(step))
     kept = [*by, *([weight] if weight else [])]
     each = points.select(*kept, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.explode(grid).alias("knee")).withColumn("h", F.greatest(F.lit(0.0), F.col("x") - F.col("knee")))
-    fits = _line(each.groupBy(*by, "knee").agg(*_sums("h", "y", weight))).where("slope is not null")
-    best = fits.groupBy(*by).agg(F.min(F.struct(F.round("sse", 12).alias("e"), "knee", "intercept", "slope", "n", "sse")).alias("m"))
+    above = F.when(F.col("h") > 0, F.col("x"))
+    kind = F.when((F.min("x") >= F.col("knee")) & (F.count("x") == F.count("*")), -1.0).when(F.min(above) == F.max(above), -2.0).otherwise(F.col("knee"))
+    fits = _line(each.groupBy(*by, "knee").agg(*_sums("h", "y", weight), kind.alias("_kind"))).where("slope is not null")
+    firsts = fits.groupBy(*by, "_kind").agg(F.min(F.struct("knee", F.round("sse", 12).alias("e"), "intercept", "slope", "n", "sse")).alias("f"))
+    best = firsts.groupBy(*by).agg(F.min(F.struct("f.e", "f.knee", "f.intercept", "f.slope", "f.n", "f.sse")).alias("m"))
     return best.select(*by, F.col("m.n").cast("long").alias("n"), "m.knee", F.col("m.intercept").alias("floor"), "m.slope", "m.sse")
 
 
