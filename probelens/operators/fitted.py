@@ -7,14 +7,14 @@ several folds or replicates by being listed under each of their keys, which no e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from probelens.functions.draws import hash_fold, meet, uniform
 from probelens.functions.scalars import dot, sigmoid
@@ -32,26 +32,42 @@ SENT = 8 << 20
 
 
 def _totals(partials: DataFrame, by: tuple, schema: str) -> DataFrame:
-    """Packed arrays added up for each group, in two levels."""
+    """Packed arrays added up for each group, in two levels. A task adds up many groups: no more than the driver gets."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(b) for b in pdf["sums"]], axis=0)
-        return pdf.iloc[:1].assign(salt=0, sums=[total.tobytes()])
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for *key, _, packed in pdf.itertuples(index=False, name=None):
+                key = tuple(None if v is None or v != v else v for v in key)  # pandas' missing values
+                sums[key] = sums[key] + np.frombuffer(packed) if key in sums else np.frombuffer(packed)
+        yield pd.DataFrame([(*k, 0, v.tobytes()) for k, v in sums.items()], columns=[*by, "salt", "sums"])
+
+    once = partials.repartition(*by, "salt").mapInPandas(add, schema)
+    return (once.repartition(*by) if by else once.repartition(1)).mapInPandas(add, schema)
 
-    return partials.groupBy(*by, "salt").applyInPandas(add, schema).groupBy(*by).applyInPandas(add, schema)
 
+def _off(u, d: int) -> np.ndarray:
+    """The matrix that takes their part in the orthonormal u from d - 1 weights, and leaves the intercept."""
+    keep = np.eye(d)
+    if u is not None and len(u):
+        keep[:-1, :-1] -= keep[:-1, :-1] if len(u) >= d - 1 else np.transpose(u) @ np.asarray(u)  # no rounding where nothing is left
+    return keep
 
-def logistic(train: DataFrame, by: tuple = ("layer",), label: str = "truth", vec: str = "vec", l2: float = 1.0, steps: int = 8) -> DataFrame:
-    """(by, weights): L2-regularised logistic weights, the intercept last, of all rows with a label and a vector.
 
-    Newton steps; vectors longer than NEWTON go by gradients alone.
+def logistic(train: DataFrame, by: tuple = ("layer",), label: str = "truth", vec: str = "vec", l2: float = 1.0, steps: int = 8, more: tuple = (), each: tuple = ((),), off: Callable | None = None) -> DataFrame:
+    """(by, more, weights): L2-regularised logistic weights, the intercept last, of all rows with a label and a vector.
+
+    Newton steps; vectors longer than NEWTON go by gradients alone. A row trains a model under each of the keys ``each``,
+    whose fields are ``more``. off: a function from (by, more) to the orthonormal directions that the model's weights keep
+    off, or None. Its fit is that of vectors without their part in these directions, none of which is rewritten.
     """
     spark = train.sparkSession
     one = train.where(F.col(vec).isNotNull()).select(F.size(vec).alias("n")).first()
     if one and one["n"] > NEWTON:
-        return logistic_by_gradients(train, by, label, vec, l2)
+        return logistic_by_gradients(train, by, label, vec, l2, more=more, each=each, off=off) if off else logistic_by_gradients(train, by, label, vec, l2)
     rows = train.select(*by, F.col(label).cast("double").alias("_y"), F.col(vec).cast("array<double>").alias("_x")).where("_y is not null and _x is not null")
-    keys = [rows.schema[c] for c in by]
+    keys = [*[rows.schema[c] for c in by], *more]
+    names = tuple(f.name for f in keys)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["salt int", "sums binary"])
     weights: dict[tuple, np.ndarray] = {}
     for _ in range(steps):
@@ -60,20 +76,25 @@ def logistic(train: DataFrame, by: tuple = ("layer",), label: str = "truth", vec
             sums: dict[tuple, np.ndarray] = {}
             for pdf in batches:
                 for key, part in pdf.groupby(list(by), sort=False, dropna=False) if by else [((), pdf)]:
-                    x = np.column_stack([np.stack(part["_x"].to_numpy()), np.ones(len(part))])
-                    p = 1 / (1 + np.exp(-np.clip(x @ w.get(key, np.zeros(x.shape[1])), -30, 30)))
-                    got = np.concatenate([x.T @ (part["_y"].to_numpy() - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
-                    sums[key] = sums[key] + got if key in sums else got
+                    x, y = np.column_stack([np.stack(part["_x"].to_numpy()), np.ones(len(part))]), part["_y"].to_numpy()
+                    for one in ((*key, *e) for e in each):
+                        p = 1 / (1 + np.exp(-np.clip(x @ w.get(one, np.zeros(x.shape[1])), -30, 30)))
+                        got = np.concatenate([x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+                        sums[one] = sums[one] + got if one in sums else got
             salt = TaskContext.get().partitionId() % SALTS
-            yield pd.DataFrame([(*k, salt, v.tobytes()) for k, v in sums.items()], columns=[*by, "salt", "sums"])
+            yield pd.DataFrame([(*k, salt, v.tobytes()) for k, v in sums.items()], columns=[*names, "salt", "sums"])
 
-        merged = _totals(rows.mapInPandas(partial, schema), by, schema).collect()  # a row for each group
+        merged = _totals(rows.mapInPandas(partial, schema), names, schema).collect()  # a row for each model
         after = {}
         for r in merged:
-            key, s = tuple(r[c] for c in by), np.frombuffer(r["sums"])
+            key, s = tuple(r[c] for c in names), np.frombuffer(r["sums"])
             d = int((np.sqrt(4 * len(s) + 1) - 1) / 2)
             w, ridge = weights.get(key, np.zeros(d)), np.diag([l2] * (d - 1) + [1e-6])
-            after[key] = w + np.linalg.solve(s[d:].reshape(d, d) + ridge, s[:d] - ridge @ w)
+            g, h = s[:d], s[d:].reshape(d, d)
+            if off:
+                keep = _off(off(key), d)
+                g, h = keep @ g, keep @ h @ keep
+            after[key] = w + np.linalg.solve(h + ridge, g - ridge @ w)
         settled = all(np.allclose(after[k], weights[k], atol=1e-9) for k in after) if weights else not after
         weights = after
         if settled:
@@ -96,7 +117,7 @@ def _direction(g: np.ndarray, pairs: list) -> np.ndarray:
     return -q
 
 
-def logistic_by_gradients(train: DataFrame, by: tuple = ("layer",), label: str = "truth", vec: str = "vec", l2: float = 1.0, steps: int = 200, tol: float = 1e-7, memory: int = 8) -> DataFrame:
+def logistic_by_gradients(train: DataFrame, by: tuple = ("layer",), label: str = "truth", vec: str = "vec", l2: float = 1.0, steps: int = 200, tol: float = 1e-7, memory: int = 8, more: tuple = (), each: tuple = ((),), off: Callable | None = None) -> DataFrame:
     """logistic() for thousands of dimensions: a pass sends loss and gradient of each group to the driver, dimensions + 2
     numbers, and the next point of the groups that still move back. All groups step in the same passes.
 
@@ -104,7 +125,8 @@ def logistic_by_gradients(train: DataFrame, by: tuple = ("layer",), label: str =
     """
     spark = train.sparkSession
     rows = train.select(*by, F.col(label).cast("double").alias("_y"), F.col(vec).cast("array<double>").alias("_x")).where("_y is not null and _x is not null")
-    keys = [rows.schema[c] for c in by]
+    keys = [*[rows.schema[c] for c in by], *more]
+    names = tuple(f.name for f in keys)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["salt int", "sums binary"])
     at: dict[tuple, dict] = {}
     trial: dict[tuple, np.ndarray] | None = None
@@ -115,22 +137,26 @@ def logistic_by_gradients(train: DataFrame, by: tuple = ("layer",), label: str =
             sums: dict[tuple, np.ndarray] = {}
             for pdf in batches:
                 for key, part in pdf.groupby(list(by), sort=False, dropna=False) if by else [((), pdf)]:
-                    if sent.value is not None and key not in sent.value:
-                        continue  # settled
+                    moving = [one for one in ((*key, *e) for e in each) if sent.value is None or one in sent.value]  # others have settled
+                    if not moving:
+                        continue
                     x, y = np.column_stack([np.stack(part["_x"].to_numpy()), np.ones(len(part))]), part["_y"].to_numpy()
-                    z = x @ (sent.value[key] if sent.value is not None else np.zeros(x.shape[1]))
-                    got = np.concatenate([[(np.logaddexp(0, z) - y * z).sum()], x.T @ (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)])
-                    sums[key] = sums[key] + got if key in sums else got
+                    for one in moving:
+                        z = x @ (sent.value[one] if sent.value is not None else np.zeros(x.shape[1]))
+                        got = np.concatenate([[(np.logaddexp(0, z) - y * z).sum()], x.T @ (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)])
+                        sums[one] = sums[one] + got if one in sums else got
             salt = TaskContext.get().partitionId() % SALTS
-            yield pd.DataFrame([(*k, salt, v.tobytes()) for k, v in sums.items()], columns=[*by, "salt", "sums"])
+            yield pd.DataFrame([(*k, salt, v.tobytes()) for k, v in sums.items()], columns=[*names, "salt", "sums"])
 
         moves = {}
-        for r in _totals(rows.mapInPandas(partial, schema), by, schema).collect():  # a row for each group that moves
-            key, got = tuple(r[c] for c in by), np.frombuffer(r["sums"])
+        for r in _totals(rows.mapInPandas(partial, schema), names, schema).collect():  # a row for each model that moves
+            key, got = tuple(r[c] for c in names), np.frombuffer(r["sums"])
             ridge = np.append(np.full(len(got) - 2, l2), 1e-6)
             own = at.setdefault(key, {"w": np.zeros(len(ridge)), "f": np.inf, "pairs": [], "t": 1.0, "p": None})
             w = trial[key] if trial is not None else own["w"]
             f, g = got[0] + 0.5 * (ridge * w) @ w, got[1:] + ridge * w
+            if off and (u := off(key)) is not None and len(u):
+                g[:-1] -= g[:-1] if len(u) >= len(g) - 1 else np.transpose(u) @ (np.asarray(u) @ g[:-1])
             if own["p"] is None or f <= own["f"] + 1e-4 * own["t"] * (own["g"] @ own["p"]) + 1e-12 * abs(own["f"]):
                 if own["p"] is not None:
                     s, y = w - own["w"], g - own["g"]
@@ -246,8 +272,7 @@ def null_directions(rows: DataFrame, rounds: int = 12, by: tuple = ("layer",), l
         return spark.createDataFrame([(*k, b) for k, b in basis.items()], schema)
 
     for _ in range(rounds):
-        left = without(rows, table(), by, vec, sum(len(u) for b in basis.values() for u in b)) if basis else rows
-        for r in logistic(left, by, label, vec, **options).collect():  # a row for each group
+        for r in logistic(rows, by, label, vec, off=lambda key: basis.get(key), **options).collect():  # a row for each group
             key, w = tuple(r[c] for c in by), np.array(r["weights"][:-1])
             for _again in range(2):  # rounding leaves a little of the old directions in w
                 for u in basis.get(key, []):
@@ -288,19 +313,53 @@ def erasure_study(rows: DataFrame, ks: tuple = (4, 8, 12, 16, 24), by: tuple = (
         raise ValueError("there are no vectors")
     diag = F.col("cell").isin("TT", "FA")
     taught = rows.withColumn("design", F.explode(F.when(diag, F.array(F.lit("label"), F.lit("diagonal"))).otherwise(F.array(F.lit("label")))))
-    groups = rows.select(*by).distinct()
-    drawn = groups.sparkSession.createDataFrame([("random", random_basis(d, min(d, max(ks)), seed))], "design string, basis array<array<double>>")
-    found = null_directions(taught, min(d, max(ks)), (*by, "design"), label, steps=steps, **options)
-    found = found.select(*by, "design", "basis").unionByName(groups.crossJoin(F.broadcast(drawn)).select(*by, "design", "basis"))
-    nested = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("basis", F.slice("basis", F.lit(1), F.col("k")))
-    bases = staged(nested.unionByName(groups.select(*by, F.lit("none").alias("design"), F.slice(F.array(F.array(F.lit(0.0))), 1, 0).alias("basis"), F.lit(0).alias("k"))), "bases")
-    keys = (*by, "design", "k")
-    cut = staged(meet(rows, F.broadcast(bases), by).withColumn("vec", off_subspace(F.col("vec"), F.col("basis"))).drop("basis"), "erased")
-    sides = auroc(fielded(cut, keys, seed=seed, key=key, **options).withColumn("_on", diag), (*keys, "_on"))
-    side = lambda on: F.max(F.when(F.col("_on") == on, F.col("auroc")))
-    both = sides.groupBy(*keys).agg(side(True).alias("on"), side(False).alias("off"))
-    read = auroc(out_of_fold(cut, keys, seed=seed, key=key, label=label, **options), keys, label=label).select(*keys, F.col("auroc").alias("read"))
-    return both.join(read, list(keys))
+    found = null_directions(taught, min(d, max(ks)), (*by, "design"), label, steps=steps, **options).collect()  # a row for each group and design
+    bases = {tuple(r[c] for c in (*by, "design")): r["basis"] for r in found}
+    drawn, n = random_basis(d, min(d, max(ks)), seed), len(by)
+
+    def off(key: tuple) -> list | None:  # of (by, target, fold, design, k)
+        design, k = key[-2:]
+        return (drawn if design == "random" else bases.get((*key[:n], design), []))[:k] if k else None
+
+    each = (("none", 0), *[(design, k) for design in ("label", "diagonal", "random") for k in ks])
+    more = (StructField("design", StringType()), StructField("k", IntegerType()))
+    folded = _folded(rows.where(F.col("truth").isNotNull() | F.col(label).isNotNull()), 5, seed, key)
+    targets = F.when(diag, F.array(F.lit("truth"), F.lit("read"))).otherwise(F.array(F.lit("read")))  # truth is learnt on the diagonal
+    listed = folded.withColumn("target", F.explode(targets)).withColumn("_label", F.when(F.col("target") == "truth", F.col("truth").cast("double")).otherwise(F.col(label).cast("double")))
+    models = _fit_folds(staged(listed.select(*by, "target", "fold", "_label", "vec"), "listed"), (*by, "target"), 5, "_label", more=more, each=each, off=off, **options)
+    scored = staged(_told(folded.withColumn("_diag", diag), models, by, label, each), "scored")
+    sides = auroc(scored, (*by, "design", "k", "measure"), label="label")
+    side = lambda m: F.max(F.when(F.col("measure") == m, F.col("auroc"))).alias(m)
+    both = F.max(F.col("measure") == "read") & F.max(F.col("measure") != "read")
+    return sides.groupBy(*by, "design", "k").agg(side("on"), side("off"), side("read"), both.alias("_both")).where("_both").drop("_both")
+
+
+def _told(rows: DataFrame, models: DataFrame, by: tuple, label: str, each: tuple) -> DataFrame:
+    """rows of (by, fold, truth, label, vec, _diag) -> (by, design, k, measure, label, score), two for each of the keys ``each``:
+    truth on or off the diagonal, fielded, and label (read) out of fold. A score is NaN where no model is."""
+    found = models.collect()  # folds x keys for each group, which the driver has held
+    sent = rows.sparkSession.sparkContext.broadcast({tuple(r[c] for c in (*by, "target", "fold", "design", "k")): np.array(r["weights"]) for r in found})
+    head = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
+    rows = rows.select(*by, "fold", "_diag", F.col("truth").cast("boolean").alias("_t"), F.col(label).cast("boolean").alias("_l"), F.col("vec").cast("array<double>").alias("_x"))
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, part in pdf.groupby(list(by), sort=False, dropna=False) if by else [((), pdf)]:
+                x, fold, diag = np.column_stack([np.stack(part["_x"].to_numpy()), np.ones(len(part))]), part["fold"].to_numpy(), part["_diag"].to_numpy(bool)
+                one = part[list(by)]
+                for design, k in each:
+                    p = {}
+                    for target in ("truth", "read"):
+                        w = [sent.value.get((*key, target, f, design, k)) for f in range(5)]
+                        z = x @ np.column_stack([np.full(x.shape[1], np.nan) if v is None else v for v in w])
+                        p[target] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                    own = {t: v[np.arange(len(x)), fold] for t, v in p.items()}
+                    n = np.isfinite(p["truth"]).sum(1)
+                    truth = np.where(diag, own["truth"], np.nansum(p["truth"], 1) / np.where(n, n, np.nan))
+                    yield one.assign(design=design, k=k, measure=np.where(diag, "on", "off"), label=part["_t"], score=truth)
+                    yield one.assign(design=design, k=k, measure="read", label=part["_l"], score=own["read"])
+
+    return rows.mapInPandas(told, head + "design string, k int, measure string, label boolean, score double")
 
 
 def frequency_basis(rows: DataFrame, k: int = 4, value: str = "logf", vec: str = "vec", bins: int = 20) -> list[list[float]]:

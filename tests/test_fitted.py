@@ -1,5 +1,6 @@
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField
 
 from probelens.functions import intervals
 from probelens.operators import fitted, ranks
@@ -110,6 +111,30 @@ def test_erasure_against_its_controls(spark):
     assert abs(by_hand - got[0, "label", 1]["off"]) < 1e-6
 
 
+def test_fits_off_directions_are_fits_of_what_is_left(spark):
+    rows = planted(spark, 200)
+    u = np.array(fitted.random_basis(6, 2, 5))
+    cut = rows.withColumn("vec", fitted.off_subspace(F.col("vec"), F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in u])))
+    more, each = (StructField("k", IntegerType()),), ((0,), (1,), (2,))
+    got = {r["k"]: np.array(r["weights"]) for r in fitted.logistic(rows, more=more, each=each, off=lambda key: u[: key[1]]).collect()}
+    assert np.allclose(got[2], fitted.logistic(cut).first()["weights"], atol=1e-7) and np.allclose(got[0], fitted.logistic(rows).first()["weights"])
+    assert np.allclose(u[:1] @ got[1][:-1], 0) and not np.allclose(u[1:] @ got[1][:-1], 0)
+    slow = {r["k"]: np.array(r["weights"]) for r in fitted.logistic_by_gradients(rows, more=more, each=each, off=lambda key: u[: key[1]]).collect()}
+    assert all(np.allclose(slow[k], got[k], atol=1e-5) for k in range(3))
+
+
+def test_erasure_rewrites_no_vectors(spark, monkeypatch):
+    """Neither in its search nor for each design and k: jobs then took minutes."""
+
+    def never(*a, **k):
+        raise AssertionError("vectors are rewritten")
+
+    monkeypatch.setattr(fitted, "off_subspace", never)
+    monkeypatch.setattr(fitted, "without", never)
+    got = fitted.erasure_study(planted(spark, 120), (1, 2), steps=2)
+    assert got.count() == 7 and set(got.columns) == {"layer", "design", "k", "on", "off", "read"}
+
+
 def test_null_directions_are_orthonormal(spark):
     rows = planted(spark, 300)
     sent, joined = (fitted.without(rows, fitted.null_directions(rows, 3), numbers=n).orderBy("item_id").collect() for n in (18, None))
