@@ -17,8 +17,10 @@ def entity_frequency(df: DataFrame, entity: str) -> DataFrame:
 
 
 def with_frequency(items: DataFrame, freq: DataFrame) -> DataFrame:
-    """items(entity) with logf; an entity without a count keeps a null."""
-    return items.join(freq.select("entity", "cnt", "logf"), "entity", "left")
+    """items(entity) with logf; an entity without a count keeps a null.
+
+    Both sides grow with the input: merged, since by its file's size a table may look small enough to be sent to all."""
+    return items.join(freq.select("entity", "cnt", "logf").hint("merge"), "entity", "left")
 
 
 def mean_frequency(items: DataFrame, freq: DataFrame, key: str = "item_id", entities: str = "entities") -> DataFrame:

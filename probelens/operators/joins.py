@@ -96,7 +96,7 @@ def baseline_or(reference: DataFrame, baseline: DataFrame, key: str, value: str)
 
 def paired_vectors(a: DataFrame, b: DataFrame, key: str = "item_id", vec: str = "vec") -> DataFrame:
     """a's rows with the two vectors of a key end to end."""
-    return a.join(b.select(key, F.col(vec).alias("_other")), key).withColumn(vec, F.concat(F.col(vec).cast("array<double>"), F.col("_other").cast("array<double>"))).drop("_other")
+    return a.join(b.select(key, F.col(vec).alias("_other")).hint("merge"), key).withColumn(vec, F.concat(F.col(vec).cast("array<double>"), F.col("_other").cast("array<double>"))).drop("_other")
 
 
 def stacked_taps(acts: DataFrame, taps: tuple, key: str = "item_id", vec: str = "vec") -> DataFrame:

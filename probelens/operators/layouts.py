@@ -90,7 +90,7 @@ def prepared(kind: Kind, acts: DataFrame, layer: int | None = None, negated: Dat
     vectors = one(acts)
     if kind.paired:
         vectors = joins.paired_vectors(vectors, one(negated), key)
-    return acts.select(*rest).distinct().join(vectors, key)
+    return acts.select(*rest).distinct().join(vectors.hint("merge"), key)  # vectors of few values are small on disk only
 
 
 def swept(names: tuple, acts: DataFrame, negated: DataFrame | None = None, layers: tuple | None = None, key: str = "item_id", model: str = "vectors") -> DataFrame:

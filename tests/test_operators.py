@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from probelens.functions import scalars
-from probelens.operators import boot, cells, gates, joins, linear, probes, ranks, reports
+from probelens.operators import boot, cells, gates, joins, layouts, linear, probes, ranks, reports
 
 
 def brute_auroc(s, y):
@@ -30,6 +30,17 @@ def test_bootstrap_interval_covers_point(spark):
     assert gap["lo"] < gap["gap"] < gap["hi"]
 
 
+def test_item_tables_are_not_sent_to_the_driver(spark, tmp_path):
+    """However small they look on disk: a broadcast passes through the driver, and grows with the items."""
+    spark.range(50).selectExpr("id AS item_id", "id AS entity", "1 AS layer", "array(1.0D, 2.0D) AS vec").write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    seen = cells.with_frequency(items, cells.entity_frequency(items, "entity")).where("logf is not null")
+    one = layouts.prepared(layouts.loaded("mass_mean"), items, 1)
+    both = layouts.prepared(layouts.loaded("ccs"), items, 1, items)
+    for df in (seen, one, both):
+        assert df.count() == 50 and "Broadcast" not in df._jdf.queryExecution().toString()
+
+
 def test_terciles_drop_middle_and_nulls(spark):
     df = spark.createDataFrame([(i, float(i), "d") for i in range(8)] + [(99, None, "d")], "item_id long, logf double, domain string")
     got = {r["item_id"]: r["typical"] for r in cells.terciles(df, by=("domain",)).collect()}
