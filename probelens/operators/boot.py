@@ -4,6 +4,10 @@ join and no sampling order.
 For AUROCs rows are shuffled once, into value buckets; a bucket draws all its rows' weights as arrays and leaves three
 numbers for each replicate, which a running sum over buckets joins. Rows are never multiplied by replicates. A value that
 many rows share is a bucket of its own and needs no order inside, so its rows are dealt out further.
+
+Weights are what takes the time. Where a stratified gap's edges are values that many rows share, they are the same in all
+replicates but few, so the bands of all rows are told beforehand, their weights drawn once, and it is checked afterwards
+which replicates have other edges. Only those, and groups whose edges move, need a pass over the weights for the edges.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 from probelens.functions.draws import POISSON, meet, poisson, uniform
 from probelens.functions.md5 import pair_heads
 from probelens.functions.stage import staged
-from probelens.operators.ranks import auroc, quantiles, spearman
+from probelens.operators.ranks import auroc, passed, quantiles, spearman
 
 
 def replicates(rows: DataFrame, n_boot: int, seed, unit: str) -> DataFrame:
@@ -30,30 +34,53 @@ def replicates(rows: DataFrame, n_boot: int, seed, unit: str) -> DataFrame:
 
 #: rows whose weights a task holds at once
 CHUNK = 1024
+#: draws that are mixed at once: few enough for a core's cache
+SMALL = 32_768
 #: rows of one value that a task gets
 SALTED = 16_384
 #: rows of a group that a bucket has at least, on average
 FILLED = 512
 
 
-def weights(units, n_boot: int, seed, draw: str = "md5") -> np.ndarray:
+def weights(units, n_boot, seed, draw: str = "md5") -> np.ndarray:
     """Units x replicates of Poisson weights: by md5 those that replicates() gives, which SQL can follow; by mix, draws of a
-    counter hashed by splitmix64, some hundred times faster."""
-    cuts = np.array(POISSON)
+    counter hashed by splitmix64, some hundred times faster. n_boot: how many replicates, or the numbers of those asked for."""
+    numbers = np.arange(1, n_boot + 1) if np.ndim(n_boot) == 0 else np.asarray(n_boot)
+    out = np.zeros((len(units), len(numbers)), np.uint8)
     if draw == "mix":
         own = np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{u}".encode(), digest_size=8).digest(), "little") for u in units], np.uint64)
-        x = own[:, None] + np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h = ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
-        return sum((h >= np.uint32(c * 2**32)).astype(np.uint8) for c in cuts)
-    h = pair_heads([f"{seed}:{b}:".encode() for b in range(1, n_boot + 1)], [str(u).encode() for u in units])
-    out = np.zeros(h.shape, np.uint8)
-    for c in POISSON:
-        out += h >= np.uint32(math.ceil(c * 2**32 - 0.5))  # (h + 0.5) / 2^32 >= c
+        step, n = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), max(1, SMALL // max(1, len(numbers)))
+        room = np.empty((2, n, len(numbers)), np.uint64)
+        for a in range(0, len(own), n):
+            part = own[a : a + n, None]
+            x, y = room[:, : len(part)]
+            np.add(part, step, out=x)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                np.right_shift(x, np.uint64(shift), out=y)
+                np.bitwise_xor(x, y, out=x)
+                np.multiply(x, np.uint64(factor), out=x)
+            np.right_shift(x, np.uint64(31), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.right_shift(x, np.uint64(32), out=x)
+            _count(x.astype(np.uint32), [int(c * 2**32) for c in POISSON], out[a : a + n])
+        return out
+    before, after = [f"{seed}:{b}:".encode() for b in numbers], [str(u).encode() for u in units]
+    for a in range(0, len(after), CHUNK // 2):
+        _count(pair_heads(before, after[a : a + CHUNK // 2]), [math.ceil(c * 2**32 - 0.5) for c in POISSON], out[a : a + CHUNK // 2])  # (h + 0.5) / 2^32 >= c
     return out
 
 
+def _count(h: np.ndarray, cuts: list, out: np.ndarray) -> None:
+    """To out, zeros, how many of the cuts each draw has reached; few draws reach the fourth and are looked at alone."""
+    flag = np.empty(h.shape, bool)
+    for c in cuts[:3]:
+        np.greater_equal(h, np.uint32(c), out=flag)
+        np.add(out, flag.view(np.uint8), out=out)
+    far = np.nonzero(np.greater_equal(h, np.uint32(cuts[3]), out=flag))
+    drawn = h[far]
+    out[far] += sum((drawn >= np.uint32(c)).astype(np.uint8) for c in cuts[3:])
+
+
 def _dealt(rows: DataFrame, value: str, unit: str, by: tuple = ()) -> DataFrame:
     """rows with _b, _salt: buckets in the order of value. A value that has a bucket's share of the rows is a bucket of its
     own, an odd number, whose rows are dealt further by unit; others hold about as many rows each.
@@ -65,49 +92,65 @@ def _dealt(rows: DataFrame, value: str, unit: str, by: tuple = ()) -> DataFrame:
     bounds = rows.agg(F.percentile_approx(value, F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000).alias("_c"), every.cast("long").alias("_every"), F.count("*").alias("_n"))  # one row of n - 1 numbers
     bounds = bounds.withColumn("_c", F.filter("_c", lambda c, i: (i + 1) % F.col("_every") == 0))
     at = rows.crossJoin(F.broadcast(bounds))
-    below, same = F.size(F.filter("_c", lambda c: c < F.col(value))), F.size(F.filter("_c", lambda c: c == F.col(value)))
-    at = at.withColumns({"_below": F.coalesce(below, F.lit(0)), "_same": F.coalesce(same, F.lit(0))})
+    at = at.withColumn("_below", passed(F.col("_c"), F.col(value), n - 1, equal=False))
+    at = at.withColumn("_same", passed(F.col("_c"), F.col(value), n - 1) - F.col("_below"))
     salt = F.pmod(F.xxhash64(unit), F.ceil(F.col("_same") * F.col("_every") / n * F.col("_n") / SALTED).cast("long"))
     return at.select(*rows.columns, (2 * F.col("_below") + (F.col("_same") > 1).cast("int")).alias("_b"), F.when(F.col("_same") > 1, salt).otherwise(F.lit(0)).cast("int").alias("_salt"))
 
 
 def _spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows dealt out by keys into as many parts as a shuffle has, however few bytes they are: a row costs n_boot draws."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """rows dealt out by keys into as many parts as a shuffle has, however few bytes they are: a row costs n_boot draws. Parts
+    are some times as many as cores, since buckets fall into them unevenly."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), *keys)
 
 
 class _Pairs:
-    """Weights of the true (p), of the false (q), and pairs that the true win (u), added up in rising order of value: one set
-    for each of ``sets`` weightings of the same rows."""
+    """Weights of the true (p), of the false (q), and pairs that the true win (u), added up in rising order of value: for each
+    of ``sets`` of rows, which may share rows."""
 
     def __init__(self, sets: int, n_boot: int):
         self.p, self.q, self.twice, self.vp, self.vq = (np.zeros((sets, n_boot)) for _ in range(5))
-        self.value = None
+        self.value: list = [None] * sets
 
-    def add(self, x: np.ndarray, y: np.ndarray, drawn: list[np.ndarray]) -> None:
-        """Rows in rising order of x, from the last value on, with the weights of each set: at most some thousand rows."""
+    def add(self, i: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        """Rows of set i in rising order of x, from its last value on, with their weights: at most some thousand rows."""
+        if not len(x):
+            return
+        of = lambda rows: w[rows].sum(0, dtype=np.int64)
         neg, pos = np.flatnonzero(~y), np.flatnonzero(y)
         below, upto = np.searchsorted(x[neg], x[pos], "left"), np.searchsorted(x[neg], x[pos], "right")
-        tied, again = (below != upto).any(), self.value == x[0]
-        last_pos, last_neg = pos[x[pos] == x[-1]], neg[x[neg] == x[-1]]
-        first_pos, first_neg = (pos[x[pos] == x[0]], neg[x[neg] == x[0]]) if again else (pos[:0], neg[:0])
-        for i, w in enumerate(drawn):
-            of = lambda rows, w=w: w[rows].sum(0, dtype=np.int64)
-            q = np.zeros((len(neg) + 1, w.shape[1]), np.int32)
-            np.cumsum(w[neg], axis=0, out=q[1:])
-            won = q[below]
-            won += q[upto] if tied else won
-            won *= w[pos]
-            p = of(pos)
-            self.twice[i] += won.sum(0, dtype=np.int64) + 2 * p * self.q[i]
-            if again:  # pairs within the value that goes on
-                self.twice[i] += self.vp[i] * of(first_neg) - of(first_pos) * self.vq[i]
-            self.p[i] += p
-            self.q[i] += q[-1]
-            goes_on = again and x[0] == x[-1]
-            self.vp[i] = of(last_pos) + (self.vp[i] if goes_on else 0)
-            self.vq[i] = of(last_neg) + (self.vq[i] if goes_on else 0)
-        self.value = x[-1]
+        q = np.zeros((len(neg) + 1, w.shape[1]), np.int32)
+        np.cumsum(w[neg], axis=0, out=q[1:])
+        won = q[below]
+        won += q[upto] if (below != upto).any() else won
+        won *= w[pos]
+        p = of(pos)
+        self.twice[i] += won.sum(0, dtype=np.int64) + 2 * p * self.q[i]
+        again = self.value[i] == x[0]
+        if again:  # pairs within the value that goes on
+            self.twice[i] += self.vp[i] * of(neg[x[neg] == x[0]]) - of(pos[x[pos] == x[0]]) * self.vq[i]
+        self.p[i] += p
+        self.q[i] += q[-1]
+        goes_on = again and x[0] == x[-1]
+        self.vp[i] = of(pos[x[pos] == x[-1]]) + (self.vp[i] if goes_on else 0)
+        self.vq[i] = of(neg[x[neg] == x[-1]]) + (self.vq[i] if goes_on else 0)
+        self.value[i] = x[-1]
+
+    def band(self, x: np.ndarray, y: np.ndarray, t: np.ndarray, w: np.ndarray, edges: np.ndarray) -> None:
+        """Rows as in add(), to the last set all of them, to the others their bands: how many of the edges, each a number or
+        one for each replicate, t has reached. Only rows between an edge's ends have other bands in other replicates."""
+        last = len(edges) + 1
+        self.add(last, x, y, w)
+        low, high = ((t >= e[:, None]).sum(0) for e in (edges.max(1), edges.min(1)))
+        moving = np.flatnonzero(low < high)
+        band = (t[moving, None, None] >= edges).sum(1) if len(moving) else None
+        for k in range(last):
+            rows = np.flatnonzero((low <= k) & (k <= high))
+            own = w[rows]
+            if len(moving):
+                own[low[rows] < high[rows]] *= (band == k)[(low[moving] <= k) & (k <= high[moving])]
+            self.add(k, x[rows], y[rows], own)
 
     def packed(self) -> tuple[bytes, bytes, bytes]:
         return self.p.tobytes(), self.q.tobytes(), (self.twice / 2).tobytes()
@@ -140,7 +183,7 @@ def auroc_replicates(rows: DataFrame, by: tuple, n_boot: int, seed, unit: str, s
         key, pdf, got = pdf.iloc[0], pdf.sort_values("_s", kind="stable"), _Pairs(1, n_boot)
         for a in range(0, len(pdf), CHUNK):
             part = pdf.iloc[a : a + CHUNK]
-            got.add(part["_s"].to_numpy(), part["_y"].to_numpy(bool), [weights(part["_u"], n_boot, seed, draw)])
+            got.add(0, part["_s"].to_numpy(), part["_y"].to_numpy(bool), weights(part["_u"], n_boot, seed, draw))
         return pd.DataFrame(_keyed(key, by, int(key["_b"]), *got.packed()), columns=[*by, "_b", "p", "q", "u"])
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -218,18 +261,18 @@ def bands(rows: DataFrame, typicality: str, n_bands: int = 4, least: int = 5, sc
     return got.select(*by, "band", (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", "n_neg", F.when(F.least("n_pos", "n_neg") >= least, F.col("auroc")).alias("auroc"))
 
 
-def _replicate_edges(kept: DataFrame, qs: tuple, by: tuple, n_boot: int, seed, draw: str) -> DataFrame:
+def _replicate_edges(kept: DataFrame, qs: tuple, by: tuple, numbers: list, seed, draw: str) -> DataFrame:
     """(by, edges): for each group qs x replicates weighted quantiles of _t, packed; linear between the two next ranks.
 
     Buckets of values add up their rows' weights; their running sums tell in which bucket a rank of a replicate lies, and
     only there the rows are looked at again.
     """
-    dealt, head, n = _dealt(kept, "_t", "_u", by), _head(kept, by), len(qs)
+    dealt, head, n, n_boot = staged(_dealt(kept, "_t", "_u", by), "dealt"), _head(kept, by), len(qs), len(numbers)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         key, w = pdf.iloc[0], np.zeros(n_boot, np.int64)
         for a in range(0, len(pdf), CHUNK):
-            w += weights(pdf["_u"].iloc[a : a + CHUNK], n_boot, seed, draw).sum(0, dtype=np.int64)
+            w += weights(pdf["_u"].iloc[a : a + CHUNK], numbers, seed, draw).sum(0, dtype=np.int64)
         return pd.DataFrame(_keyed(key, by, int(key["_b"]), float(key["_t"]), w.tobytes()), columns=[*by, "_b", "_t", "w"])
 
     def asked(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -256,7 +299,7 @@ def _replicate_edges(kept: DataFrame, qs: tuple, by: tuple, n_boot: int, seed, d
         values, base, t = np.full(len(slots), rows["_t"].iloc[-1]), np.zeros(n_boot, np.int64), rows["_t"].to_numpy()
         left = np.arange(len(slots))
         for a in range(0, len(rows), CHUNK):
-            upto = base + np.cumsum(weights(rows["_u"].iloc[a : a + CHUNK], n_boot, seed, draw), axis=0, dtype=np.int64)
+            upto = base + np.cumsum(weights(rows["_u"].iloc[a : a + CHUNK], numbers, seed, draw), axis=0, dtype=np.int64)
             here = left[ranks[left] < upto[-1, slots[left] % n_boot]]
             for c in range(0, len(here), 1024):
                 h = here[c : c + 1024]
@@ -288,24 +331,52 @@ def _replicate_edges(kept: DataFrame, qs: tuple, by: tuple, n_boot: int, seed, d
     return every.groupBy(*by).applyInPandas(edges, head + "edges binary")
 
 
-def stratified_replicates(kept: DataFrame, n_bands: int, least: int, by: tuple, n_boot: int, seed, draw: str) -> DataFrame:
-    """(by, b, gap) of rows (by, _u, _s, _y, _t): pooled AUROC less that within bands, whose edges each replicate draws anew."""
-    edges = staged(_replicate_edges(kept, tuple(i / n_bands for i in range(1, n_bands)), by, n_boot, seed, draw), "edges")
-    dealt, head = _dealt(kept, "_s", "_u", by), _head(kept, by)
+def _guessed(kept: DataFrame, qs: tuple, by: tuple, sigmas: float = 4.0) -> DataFrame:
+    """(by, edges, tied): an array of qs quantiles of _t, and whether each is a value that so many rows share that all
+    replicates but few have it too: its first and last ranks are ``sigmas`` deviations of a replicate's rank away."""
+    point = quantiles(kept, "_t", qs, by).withColumnRenamed("n", "_n")
+    names = [f"q{i}" for i in range(len(qs))]
+    point = staged(point, "point")  # a row for each group
+    sides = [f(F.col("_t"), F.col(c)) for c in names for f in (lambda t, e: F.count_if(t < e), lambda t, e: F.count_if(t == e))]
+    counts = meet(kept.select(*by, "_t"), F.broadcast(point), by).groupBy(*by).agg(F.array(*sides).alias("_k"))
+    tied = F.lit(True)
+    for i, q in enumerate(qs):
+        rank, below, far = q * (F.col("_n") - 1), F.col("_k")[2 * i], sigmas * F.sqrt(F.col("_n") * q * (1 - q))
+        tied = tied & (below + far < rank) & (rank + 1 + far < below + F.col("_k")[2 * i + 1])
+    return meet(point, counts, by).select(*by, F.array(*names).alias("edges"), F.coalesce(tied, F.lit(False)).alias("tied"))
+
+
+def _banded_sums(kept: DataFrame, edges: DataFrame, n_bands: int, by: tuple, numbers: list, seed, draw: str) -> DataFrame:
+    """(by, _b, p, q, u, at): sums of the buckets of _s for each band and for all rows; at: weights of the rows at each edge,
+    where edges are the same in all replicates. edges: (by, edges), packed for each edge and replicate, or an array of edges."""
+    dealt, head, n_boot = staged(_dealt(kept, "_s", "_u", by), "dealt"), _head(kept, by), len(numbers)
     where = staged(dealt.select(*by, "_b", "_salt").distinct(), "buckets")
     sent = meet(where, edges, by)  # the edges of a group for each of its buckets
 
     def bucket(rows: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
+        if not len(cut):
+            return pd.DataFrame([], columns=[*by, "_b", "p", "q", "u", "at"])
         key, rows, got = rows.iloc[0], rows.sort_values("_s", kind="stable"), _Pairs(n_bands + 1, n_boot)
-        e = np.frombuffer(cut["edges"].iloc[0]).reshape(n_bands - 1, n_boot)
+        e = cut["edges"].iloc[0]
+        e = (np.frombuffer(e) if isinstance(e, bytes) else np.asarray(e, float)).reshape(n_bands - 1, -1)
+        fixed = e.shape[1] == 1
+        at = np.zeros((n_bands - 1 if fixed else 0, n_boot))
         for a in range(0, len(rows), CHUNK):
             part = rows.iloc[a : a + CHUNK]
-            w, t = weights(part["_u"], n_boot, seed, draw), part["_t"].to_numpy()[:, None]
-            band = np.zeros(w.shape, np.uint8)
-            for one in e:
-                band += t >= one
-            got.add(part["_s"].to_numpy(), part["_y"].to_numpy(bool), [w * (band == k) for k in range(n_bands)] + [w])
-        return pd.DataFrame(_keyed(key, by, int(key["_b"]), *got.packed()), columns=[*by, "_b", "p", "q", "u"])
+            w, t = weights(part["_u"], numbers, seed, draw), part["_t"].to_numpy()
+            got.band(part["_s"].to_numpy(), part["_y"].to_numpy(bool), t, w, e)
+            for i in range(len(at)):
+                at[i] += w[t == e[i, 0]].sum(0, dtype=np.int64)
+        return pd.DataFrame(_keyed(key, by, int(key["_b"]), *got.packed(), at.tobytes()), columns=[*by, "_b", "p", "q", "u", "at"])
+
+    keys = (*by, "_b", "_salt")
+    return _spread(dealt, *keys).groupBy(*keys).cogroup(_spread(sent, *keys).groupBy(*keys)).applyInPandas(bucket, head + "_b int, p binary, q binary, u binary, at binary")
+
+
+def _gaps(sums: DataFrame, n_bands: int, least: int, by: tuple, numbers: list) -> DataFrame:
+    """(by, b, gap, sure) of _banded_sums(). sure: the edges are those of the replicate; there is no gap where they are not."""
+    n_boot = len(numbers)
+    qs = np.arange(1, n_bands)[:, None] / n_bands
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         p, q, u = _whole(pdf, (n_bands + 1, n_boot))
@@ -316,15 +387,45 @@ def stratified_replicates(kept: DataFrame, n_bands: int, least: int, by: tuple,
         weight = np.where(ok[:-1], n[:-1], 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             gap = auc[-1] - (weight * np.where(ok[:-1], auc[:-1], 0)).sum(0) / weight.sum(0)
-        at = np.flatnonzero(ok[-1] & ok[:-1].any(0))
-        out = pd.DataFrame({"b": (at + 1).astype(np.int32), "gap": gap[at]})
+        whole, sure = ok[-1] & ok[:-1].any(0), np.ones(n_boot, bool)
+        if len(pdf["at"].iloc[0]):
+            at = sum(np.frombuffer(x).reshape(n_bands - 1, n_boot) for x in pdf["at"])
+            rank, below = qs * np.maximum(n[-1] - 1, 0), np.cumsum(n[:-1], axis=0)[:-1]
+            sure = ((below <= np.floor(rank)) & (np.ceil(rank) < below + at)).all(0)
+        at = np.flatnonzero(whole | ~sure)
+        out = pd.DataFrame({"b": np.array(numbers, np.int32)[at], "gap": np.where(sure, gap, np.nan)[at], "sure": sure[at]})
         for c in reversed(by):
             out.insert(0, c, [pdf[c].iloc[0]] * len(out))
         return out
 
-    keys = (*by, "_b", "_salt")
-    sums = _spread(dealt, *keys).groupBy(*keys).cogroup(_spread(sent, *keys).groupBy(*keys)).applyInPandas(bucket, head + "_b int, p binary, q binary, u binary")
-    return sums.groupBy(*by).applyInPandas(joined, head + "b int, gap double")
+    return sums.groupBy(*by).applyInPandas(joined, _head(sums, by) + "b int, gap double, sure boolean")
+
+
+def stratified_replicates(kept: DataFrame, n_bands: int, least: int, by: tuple, n_boot: int, seed, draw: str) -> DataFrame:
+    """(by, b, gap) of rows (by, _u, _s, _y, _t): pooled AUROC less that within bands, whose edges each replicate draws anew."""
+    qs, every = tuple(i / n_bands for i in range(1, n_bands)), list(range(1, n_boot + 1))
+    guess = staged(_guessed(kept, qs, by), "guess")
+
+    def drawn(rows: DataFrame, numbers: list) -> DataFrame:
+        edges = staged(_replicate_edges(rows, qs, by, numbers, seed, draw), "edges")
+        return _gaps(_banded_sums(rows, edges, n_bands, by, numbers, seed, draw), n_bands, least, by, numbers).select(*by, "b", "gap")
+
+    def of(groups: DataFrame) -> DataFrame:
+        return meet(kept, F.broadcast(groups.select(*by)), by) if by else kept
+
+    kinds = {r["tied"] for r in guess.select("tied").distinct().collect()}
+    if True not in kinds:
+        return drawn(kept, every)
+    tied = guess.where("tied")
+    told = staged(_gaps(_banded_sums(of(tied), tied.select(*by, "edges"), n_bands, by, every, seed, draw), n_bands, least, by, every), "told")
+    got = told.where("sure").select(*by, "b", "gap")
+    if False in kinds:
+        got = got.unionByName(drawn(of(guess.where("not tied")), every))
+    missed = told.where("not sure").select(*by, "b")
+    numbers = sorted(r["b"] for r in missed.select("b").distinct().collect())  # of replicates
+    if numbers:
+        got = got.unionByName(meet(drawn(of(missed.select(*by).distinct()), numbers), missed, (*by, "b")))
+    return got
 
 
 def stratified(rows: DataFrame, typicality: str, n_bands: int = 4, least: int = 5, n_boot: int = 1000, seed=0, unit: str = "item_id", score: str = "score", label: str = "truth", by: tuple = (), draw: str = "md5") -> DataFrame:

@@ -7,7 +7,7 @@ one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelens.functions.intervals import correlation_p
@@ -15,11 +15,23 @@ from probelens.functions.intervals import correlation_p
 BUCKETS = 64
 
 
+def passed(cuts: Column, value: Column, most: int, equal: bool = True) -> Column:
+    """How many of the rising cuts, ``most`` at most, value has passed, or with equal reached: by halving, since a look at
+    each of them would cost a row more the more buckets there are. 0 where either is null."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+
+    def further(at: Column, step: Column) -> Column:
+        cut = F.get(cuts, at + step - 1)
+        return F.when(cut <= value if equal else cut < value, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
 def running(rows: DataFrame, by: tuple, order: str, values: tuple) -> DataFrame:
     """rows with before_<v>: the sum of v over the group's rows with a smaller order value. (by, order) must be unique."""
     cuts = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
     bounds = rows.agg(F.percentile_approx(order, cuts, 2000).alias("_cuts"))  # one row of BUCKETS - 1 numbers
-    placed = rows.crossJoin(F.broadcast(bounds)).withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order))), F.lit(0))).drop("_cuts")
+    placed = rows.crossJoin(F.broadcast(bounds)).withColumn("_b", passed(F.col("_cuts"), F.col(order), BUCKETS - 1)).drop("_cuts")
     sums = placed.groupBy(*by, "_b").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     over = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*[F.col(c).alias(f"_by_{i}") for i, c in enumerate((*by, "_b"))], *[F.coalesce(F.sum(f"_s_{v}").over(over), F.lit(0)).alias(f"_base_{v}") for v in values])

@@ -177,6 +177,43 @@ def test_stratified_replicates_equal_the_exploded_form(spark, distinct):
     assert len(one) == 2 and all(r["lo"] <= r["hi"] for r in one)
 
 
+def test_shared_edges_are_drawn_once_and_others_are_found(spark, monkeypatch):
+    """Groups of few values whose edges stand, move in some replicates, or move in all; the edges' pass gets no others."""
+    rng = np.random.default_rng(3)
+    sure, unsure = [0] * 600 + [1] * 300 + [2] * 300 + [3] * 300 + [4] * 500, [0] * 460 + [1] * 560 + [2] * 470 + [3] * 510
+    data = [(i, g, float(rng.normal()), bool(rng.integers(2)), float(v)) for g, values in enumerate([[0] * 700 + [1] * 700 + [2] * 600, sure, unsure, rng.normal(size=2000)]) for i, v in enumerate(values)]
+    kept = spark.createDataFrame(data, "item_id long, g int, _s double, _y boolean, _t double").withColumn("_u", F.col("item_id").cast("string"))
+    asked, edges = [], boot._replicate_edges
+    monkeypatch.setattr(boot, "_replicate_edges", lambda rows, qs, by, numbers, *more: asked.append(({r["g"] for r in rows.select("g").distinct().collect()} if "g" in by else None, len(numbers))) or edges(rows, qs, by, numbers, *more))
+    drawn = boot.replicates(kept, 40, 0, "item_id")
+    for sigmas in (4.0, -1e9):  # whatever is taken for tied, replicates are checked
+        asked.clear()
+        guessed = boot._guessed
+        monkeypatch.setattr(boot, "_guessed", lambda rows, qs, by, s=sigmas: guessed(rows, qs, by, s))
+        got = {(r["g"], r["b"]): r["gap"] for r in boot.stratified_replicates(kept, 4, 5, ("g",), 40, 0, "md5").collect()}
+        monkeypatch.setattr(boot, "_guessed", guessed)
+        inner = boot.bands(drawn, "_t", 4, 5, "_s", "_y", ("g", "b"), "w").where("auroc is not null").groupBy("g", "b").agg((F.sum(F.col("n") * F.col("auroc")) / F.sum("n")).alias("within"))
+        want = {(r["g"], r["b"]): r["auroc"] - r["within"] for r in ranks.auroc(drawn, ("g", "b"), "_s", "_y", "w").join(inner, ["g", "b"]).collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in got)
+        assert asked and all(0 not in groups for groups, _ in asked if groups)
+    asked.clear()
+    boot.stratified_replicates(kept.where("g = 0").drop("g"), 4, 5, (), 40, 0, "md5").collect()
+    assert not asked
+
+
+def test_cuts_are_counted_by_halving(spark):
+    cuts = sorted([1.0, 1.0, 2.0, 5.0, 5.0, 5.0, 9.0])
+    for n in (0, 1, 4, 7):
+        rows = spark.createDataFrame([(cuts[:n], float(v)) for v in range(11)] + [(cuts[:n], float("nan")), (cuts[:n], None)], "c array<double>, v double")
+        got = rows.select("v", ranks.passed(F.col("c"), F.col("v"), 7).alias("upto"), ranks.passed(F.col("c"), F.col("v"), 7, equal=False).alias("below")).collect()
+        for r in got:
+            v = r["v"]
+            assert v is not None or (r["upto"], r["below"]) == (0, 0)
+            assert v is None or r["upto"] == sum(not c > v for c in cuts[:n]) and r["below"] == sum(v != v or c < v for c in cuts[:n])
+    plan = boot._dealt(spark.range(100).selectExpr("string(id) _u", "double(id) _s"), "_s", "_u")._jdf.queryExecution().analyzed().toString()
+    assert "lambdafunction((lambda c" not in plan and "aggregate(" in plan
+
+
 def test_mixed_weights_are_poisson(spark):
     w = boot.weights([str(i) for i in range(3000)], 200, 1, "mix").astype(float)
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06
