@@ -204,6 +204,12 @@ def interval(values: DataFrame, value: str, by: tuple = (), alpha: float = 0.05)
     return values.where(F.col(value).isNotNull()).groupBy(*by).agg(cuts.alias("_c"), F.count("*").alias("n_boot")).select(*by, F.col("_c")[0].alias("lo"), F.col("_c")[1].alias("hi"), "n_boot")
 
 
+def side_gaps(aurocs: DataFrame, side: str, by: tuple) -> DataFrame:
+    """(by, auroc_a, auroc_b, gap) of the AUROCs of two sides: that where side is true less that where it is false."""
+    both = aurocs.groupBy(*by).agg(F.max(F.when(F.col(side), F.col("auroc"))).alias("auroc_a"), F.max(F.when(~F.col(side), F.col("auroc"))).alias("auroc_b"))
+    return both.withColumn("gap", F.col("auroc_a") - F.col("auroc_b"))
+
+
 def auroc_ci(rows: DataFrame, by: tuple = (), n_boot: int = 1000, seed=0, unit: str = "item_id", score: str = "score", label: str = "truth", draw: str = "md5") -> DataFrame:
     point = auroc(rows, by, score, label)
     ci = interval(auroc_replicates(rows, by, n_boot, seed, unit, score, label, draw), "auroc", by)
@@ -212,13 +218,8 @@ def auroc_ci(rows: DataFrame, by: tuple = (), n_boot: int = 1000, seed=0, unit:
 
 def gap_ci(rows: DataFrame, side: str, by: tuple = (), n_boot: int = 1000, seed=0, unit: str = "item_id", score: str = "score", label: str = "truth", draw: str = "md5") -> DataFrame:
     """AUROC where side is true less AUROC where it is false, the sides drawn independently: (by, auroc_a, auroc_b, gap, lo, hi)."""
-
-    def wide(df, keys):
-        both = df.groupBy(*keys).agg(F.max(F.when(F.col(side), F.col("auroc"))).alias("auroc_a"), F.max(F.when(~F.col(side), F.col("auroc"))).alias("auroc_b"))
-        return both.withColumn("gap", F.col("auroc_a") - F.col("auroc_b"))
-
-    point = wide(auroc(rows, (*by, side), score, label), by)
-    reps = wide(auroc_replicates(rows, (*by, side), n_boot, seed, unit, score, label, draw), (*by, "b"))
+    point = side_gaps(auroc(rows, (*by, side), score, label), side, by)
+    reps = side_gaps(auroc_replicates(rows, (*by, side), n_boot, seed, unit, score, label, draw), side, (*by, "b"))
     ci = interval(reps, "gap", by)
     return point.join(ci, list(by)) if by else point.crossJoin(ci)
 
@@ -331,6 +332,18 @@ def _replicate_edges(kept: DataFrame, qs: tuple, by: tuple, numbers: list, seed,
     return every.groupBy(*by).applyInPandas(edges, head + "edges binary")
 
 
+def _shared_edges(kept: DataFrame, qs: tuple, by: tuple, numbers: list, seed, draw: str) -> DataFrame:
+    """_replicate_edges(), once for all groups whose rows have the same units and _t, such as the scores of several probes.
+    Such groups are told by their number of rows and two sums of 64-bit hashes."""
+    hashes = [F.sum(F.xxhash64("_u", "_t", F.lit(i)).cast("decimal(38,0)")).cast("string") for i in range(2)]
+    alike = kept.groupBy(*by).agg(F.concat_ws(":", F.count("*").cast("string"), *hashes).alias("_like"))
+    alike = staged(alike, "alike")  # a row for each group
+    first = alike.groupBy("_like").agg(F.min(F.struct(*by)).alias("_by")).select("_like", "_by.*") if by else alike
+    rows = meet(kept.select(*by, "_u", "_t"), F.broadcast(first), by).select("_like", "_u", "_t")
+    edges = staged(_replicate_edges(rows, qs, ("_like",), numbers, seed, draw), "edges")
+    return meet(alike, edges, ("_like",)).select(*by, "edges")
+
+
 def _guessed(kept: DataFrame, qs: tuple, by: tuple, sigmas: float = 4.0) -> DataFrame:
     """(by, edges, tied): an array of qs quantiles of _t, and whether each is a value that so many rows share that all
     replicates but few have it too: its first and last ranks are ``sigmas`` deviations of a replicate's rank away."""
@@ -407,7 +420,7 @@ def stratified_replicates(kept: DataFrame, n_bands: int, least: int, by: tuple,
     guess = staged(_guessed(kept, qs, by), "guess")
 
     def drawn(rows: DataFrame, numbers: list) -> DataFrame:
-        edges = staged(_replicate_edges(rows, qs, by, numbers, seed, draw), "edges")
+        edges = _shared_edges(rows, qs, by, numbers, seed, draw)
         return _gaps(_banded_sums(rows, edges, n_bands, by, numbers, seed, draw), n_bands, least, by, numbers).select(*by, "b", "gap")
 
     def of(groups: DataFrame) -> DataFrame:

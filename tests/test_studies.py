@@ -184,7 +184,7 @@ def test_shared_edges_are_drawn_once_and_others_are_found(spark, monkeypatch):
     data = [(i, g, float(rng.normal()), bool(rng.integers(2)), float(v)) for g, values in enumerate([[0] * 700 + [1] * 700 + [2] * 600, sure, unsure, rng.normal(size=2000)]) for i, v in enumerate(values)]
     kept = spark.createDataFrame(data, "item_id long, g int, _s double, _y boolean, _t double").withColumn("_u", F.col("item_id").cast("string"))
     asked, edges = [], boot._replicate_edges
-    monkeypatch.setattr(boot, "_replicate_edges", lambda rows, qs, by, numbers, *more: asked.append(({r["g"] for r in rows.select("g").distinct().collect()} if "g" in by else None, len(numbers))) or edges(rows, qs, by, numbers, *more))
+    monkeypatch.setattr(boot, "_replicate_edges", lambda rows, qs, by, numbers, *more: asked.append((rows.count(), len(numbers))) or edges(rows, qs, by, numbers, *more))
     drawn = boot.replicates(kept, 40, 0, "item_id")
     for sigmas in (4.0, -1e9):  # whatever is taken for tied, replicates are checked
         asked.clear()
@@ -195,12 +195,26 @@ def test_shared_edges_are_drawn_once_and_others_are_found(spark, monkeypatch):
         inner = boot.bands(drawn, "_t", 4, 5, "_s", "_y", ("g", "b"), "w").where("auroc is not null").groupBy("g", "b").agg((F.sum(F.col("n") * F.col("auroc")) / F.sum("n")).alias("within"))
         want = {(r["g"], r["b"]): r["auroc"] - r["within"] for r in ranks.auroc(drawn, ("g", "b"), "_s", "_y", "w").join(inner, ["g", "b"]).collect()}
         assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in got)
-        assert asked and all(0 not in groups for groups, _ in asked if groups)
+        assert asked and all(rows <= 6000 for rows, _ in asked)  # never those of group 0
     asked.clear()
     boot.stratified_replicates(kept.where("g = 0").drop("g"), 4, 5, (), 40, 0, "md5").collect()
     assert not asked
 
 
+def test_groups_of_the_same_rows_share_their_edges(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    t = rng.normal(size=300)
+    data = [(str(i), g, float(rng.normal()), bool(rng.integers(2)), float(t[i])) for g in range(3) for i in range(300) if g < 2 or i]
+    kept = spark.createDataFrame(data, "_u string, g int, _s double, _y boolean, _t double")
+    sizes, edges = [], boot._replicate_edges
+    monkeypatch.setattr(boot, "_replicate_edges", lambda rows, *more: sizes.append(rows.count()) or edges(rows, *more))
+    got = {(r["g"], r["b"]): r["gap"] for r in boot.stratified_replicates(kept, 4, 5, ("g",), 20, 0, "mix").collect()}
+    assert sizes == [599] and len(got) == 60  # groups 0 and 1 are looked at once
+    for g in range(3):
+        own = {r["b"]: r["gap"] for r in boot.stratified_replicates(kept.where(f"g = {g}").drop("g"), 4, 5, (), 20, 0, "mix").collect()}
+        assert all(np.isclose(got[g, b], own[b]) for b in own)
+
+
 def test_cuts_are_counted_by_halving(spark):
     cuts = sorted([1.0, 1.0, 2.0, 5.0, 5.0, 5.0, 9.0])
     for n in (0, 1, 4, 7):
